@@ -83,7 +83,7 @@ def front_matter(content: str | Column) -> Column:
 
     The end is a whole line, so a title that contains '---' does not cut the block short.
     """
-    found = F.regexp_extract(col(content), r"\A---\n((?s:.*?)\n)---(?:\n|\z)", 1)
+    found = F.regexp_extract(col(content), r"\A---\n((?s:.*?))\n---(?:\n|\z)", 1)
     return F.when(found != "", found)
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark import model as m
 from shelfmark.functions.text import strip
@@ -50,7 +51,8 @@ def generate(
 
     Runs in Arrow batches on the executors; a row that fails carries its error and stops nothing.
     """
-    schema = prompts.schema.add("reply", "string").add("call_error", "string")
+    answers = [T.StructField(name, T.StringType()) for name in ("reply", "call_error")]
+    schema = T.StructType([*prompts.schema.fields, *answers])
 
     def ask(prompt: str) -> tuple[str | None, str | None]:
         error = None
@@ -65,10 +67,8 @@ def generate(
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            answers = [ask(prompt) for prompt in frame["prompt"]]
-            yield frame.assign(
-                reply=[a[0] for a in answers], call_error=[a[1] for a in answers]
-            )
+            asked = [ask(prompt) for prompt in frame["prompt"]]
+            yield frame.assign(reply=[a[0] for a in asked], call_error=[a[1] for a in asked])
 
     return prompts.mapInPandas(batches, schema)
 

@@ -1,9 +1,9 @@
 """Ordered lists per key that no single task has to hold whole.
 
 A list of at most ``per_row`` items becomes one row with ``part`` 0.  A longer list is cut, in
-order, into several rows with rising ``part``; nothing is dropped.  Which keys are long is counted
-first (a pre-aggregated count over the key columns only).  Where none is, AQE finds the long branch
-empty at run time and drops it together with the joins.
+order, into several rows with rising ``part``; nothing is dropped.  Whether any key is that long is
+checked first, by a pre-aggregated count that reads the key columns only; without long keys the
+list is one plain grouping.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ def with_part(
     every part holds a consecutive stretch of its list.
     """
     long = long_keys(df, keys, per_row) if long is None else long
+    if long.isEmpty():
+        return df.withColumn("part", F.lit(0))
     short_rows = df.join(long, keys, "left_anti").withColumn("part", F.lit(0))
     long_rows = (
         df.join(long, keys, "left_semi")

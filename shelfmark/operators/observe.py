@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-OBSERVED = F.lit("observed")
+# Fixed value of ``evidence``.
+OBSERVED = "observed"
 
 
 def observe_columns(df: DataFrame, name: str) -> DataFrame:
@@ -33,14 +34,14 @@ def observe_columns(df: DataFrame, name: str) -> DataFrame:
         "rows",
         "nulls",
         (F.col("nulls") > 0).alias("is_nullable"),
-        OBSERVED.alias("evidence"),
+        F.lit(OBSERVED).alias("evidence"),
     )
 
 
 def observe_rows(df: DataFrame, name: str) -> DataFrame:
     """H2. Number of rows."""
     return df.agg(F.count("*").alias("row_count")).select(
-        F.lit(name).alias("table"), "row_count", OBSERVED.alias("evidence")
+        F.lit(name).alias("table"), "row_count", F.lit(OBSERVED).alias("evidence")
     )
 
 
@@ -66,7 +67,7 @@ def check_key(df: DataFrame, columns: list[str], nulls: str = "forbid") -> DataF
     holds = unique if nulls == "allow" else unique & (F.col("null_rows") == 0)
     return counted.select(
         F.lit(",".join(columns)).alias("key"), "rows", "distinct_keys", "null_rows",
-        holds.alias("holds"), OBSERVED.alias("evidence"),
+        holds.alias("holds"), F.lit(OBSERVED).alias("evidence"),
     )
 
 
@@ -93,7 +94,7 @@ def check_reference(
     )
     return counted.select(
         F.lit(",".join(columns)).alias("reference"), "matched_rows", "orphan_rows", "null_rows",
-        (F.col("orphan_rows") == 0).alias("holds"), OBSERVED.alias("evidence"),
+        (F.col("orphan_rows") == 0).alias("holds"), F.lit(OBSERVED).alias("evidence"),
     )
 
 
@@ -104,5 +105,5 @@ def observe_partitions(df: DataFrame, column: str | Column, name: str) -> DataFr
     mean = sizes.agg(F.avg("rows")).scalar()
     return sizes.select(
         F.lit(name).alias("table"), "value", "rows",
-        F.round(F.col("rows") / mean, 6).alias("skew"), OBSERVED.alias("evidence"),
+        F.round(F.col("rows") / mean, 6).alias("skew"), F.lit(OBSERVED).alias("evidence"),
     )

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark import model as m
-from shelfmark.operators import describe
 from shelfmark.operators.store import Store
 
 NOW = "2024-06-01 12:00:00"
@@ -23,8 +22,33 @@ def now() -> Column:
     return F.lit(NOW).cast("timestamp")
 
 
+# Columns of the given tables; declared, so that opening a table reads no file.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE,"
+    " c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT,"
+    " p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,"
+    " o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT,"
+    " l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE,"
+    " l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,"
+    " value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "benchmark": "item_id BIGINT, text STRING",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+}
+
+
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 CAT = """cat AS (
@@ -154,44 +178,44 @@ def raw_columns_mysql(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts of customers' tables: orders as columns, their line items as keys (urgent orders),
-    references (high priority) and indexes (not specified); pending orders as partitions."""
-    all_items = items(spark, sf)
-    of = lambda priority: all_items.where(F.col("o_orderpriority") == priority)
-    return m.union(
-        describe.columns_mysql(raw_columns_mysql(spark, sf)),
-        m.facts(
-            of("1-URGENT"),
-            m.PRIMARY_KEY,
-            position=F.col("l_linenumber"),
-            column_name=F.col("column_name"),
-        ),
-        m.facts(
-            of("2-HIGH"),
-            m.FOREIGN_KEY,
-            item=F.col("constraint_name"),
-            position=F.col("l_linenumber"),
-            column_name=F.col("column_name"),
-            referenced_table=F.lit("supplier"),
-            referenced_column=F.concat(F.lit("s_"), F.col("l_suppkey")),
-        ),
-        m.facts(
-            of("4-NOT SPECIFIED"),
-            m.INDEX,
-            item=F.concat(F.lit("idx_"), F.col("l_returnflag")),
-            position=F.col("l_linenumber"),
-            column_name=F.col("column_name"),
-            is_unique=F.col("l_returnflag") != "R",
-            is_primary=F.col("l_returnflag") == "N",
-        ),
-        m.facts(
-            orders(spark, sf).where(F.col("o_orderstatus") == "P"),
-            m.PARTITION,
-            position=F.col("o_orderkey"),
-            column_name=F.col("column_name"),
-            data_type=F.col("o_orderpriority"),
-        ),
+    """Facts of customers' tables: orders as columns, pending ones also as partitions; line items
+    as keys (urgent orders), references (high priority) and indexes (priority not specified)."""
+    status, flag = F.col("o_orderstatus"), F.col("l_returnflag")
+    sections = F.array_compact(
+        F.array(F.lit(m.COLUMN), F.when(status == "P", F.lit(m.PARTITION)))
+    )
+    listed = orders(spark, sf).withColumn("section", F.explode(sections))
+    is_column = F.col("section") == m.COLUMN
+    of_orders = m.facts(
+        listed,
+        F.col("section"),
+        position=F.col("o_orderkey"),
+        column_name=F.col("column_name"),
+        data_type=F.col("o_orderpriority"),
+        is_nullable=F.when(is_column, F.coalesce(status == "O", F.lit(False))),
+        default_value=F.when(is_column, status),
+    )
+    roles = {
+        "1-URGENT": m.PRIMARY_KEY, "2-HIGH": m.FOREIGN_KEY, "4-NOT SPECIFIED": m.INDEX,
+    }
+    role = F.create_map(*[F.lit(x) for pair in roles.items() for x in pair])
+    used = items(spark, sf).where(F.col("o_orderpriority").isin(list(roles)))
+    section = F.try_element_at(role, F.col("o_orderpriority"))
+    is_reference, is_index = section == m.FOREIGN_KEY, section == m.INDEX
+    of_items = m.facts(
+        used,
+        section,
+        item=F.when(is_reference, F.col("constraint_name"))
+        .when(is_index, F.concat(F.lit("idx_"), flag))
+        .otherwise(F.lit("")),
+        position=F.col("l_linenumber"),
+        column_name=F.col("column_name"),
+        referenced_table=F.when(is_reference, F.lit("supplier")),
+        referenced_column=F.when(is_reference, F.concat(F.lit("s_"), F.col("l_suppkey"))),
+        is_unique=F.when(is_index, flag != "R"),
+        is_primary=F.when(is_index, flag == "N"),
     )
+    return m.union(of_orders, of_items)
 
 
 def json_text(value: Column) -> Column:

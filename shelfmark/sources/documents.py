@@ -22,9 +22,11 @@ _DESCRIPTION = (
 
 def facts_of_descriptions(df: DataFrame) -> DataFrame:
     """Facts of ``K4, description``, the description being JSON text of one table's record."""
-    parsed = df.select(*m.K4, F.from_json("description", _DESCRIPTION).alias("d")).select(
-        *m.K4, "d.*"
-    )
+    return _facts(df.select(*m.K4, F.from_json("description", _DESCRIPTION).alias("d")))
+
+
+def _facts(described: DataFrame) -> DataFrame:
+    parsed = described.select(*m.K4, "d.*")
 
     def items(source: str) -> DataFrame:
         return parsed.select(*m.K4, F.posexplode(source).alias("i", "e"))
@@ -86,33 +88,42 @@ def facts_of_descriptions(df: DataFrame) -> DataFrame:
     )
 
 
+_DOCUMENT = (
+    "struct<" + ",".join(f"{k}_name:string" for k in m.K4)
+    + f",updated_at:string,ai_documentation:{m.AI_TYPE},schema_description:{_DESCRIPTION}>"
+)
+
+
 def _parsed(texts: DataFrame, column: str) -> DataFrame:
-    """Documents by top-level field, values as JSON text; text that is no object is absent."""
-    return texts.select(
-        F.from_json(
-            F.when(F.try_parse_json(column).isNotNull(), F.col(column)), "map<string,string>"
-        ).alias("doc")
-    ).where(F.col("doc.table_name").isNotNull())
+    """Documents with their names; text that is no such object counts as absent."""
+    doc = F.from_json(column, _DOCUMENT)
+    return (
+        texts.where(F.try_parse_json(column).isNotNull())
+        .select(F.col(column).alias("text"), doc.alias("doc"))
+        .where(F.col("doc.table_name").isNotNull())
+        .select(*[F.col(f"doc.{k}_name").alias(k) for k in m.K4], "text", "doc")
+    )
 
 
 def tables_of_documents(texts: DataFrame, column: str = "document") -> DataFrame:
-    """A3, D6. Header rows of JSON documents; custom fields are all that the system does not own."""
-    docs = _parsed(texts, column)
-    return docs.select(
-        *[F.col(f"doc.{k}_name").alias(k) for k in m.K4],
-        F.from_json("doc.ai_documentation", m.AI_TYPE).alias("ai_documentation"),
-        F.map_filter("doc", lambda k, v: ~k.isin(m.SYSTEM_KEYS)).alias("custom"),
-        F.col("doc.updated_at").cast("timestamp").alias("updated_at"),
+    """A3, D6. Header rows of JSON documents; custom fields, as JSON text each, are all that the
+    system does not own."""
+    fields = F.from_json("text", "map<string,variant>")
+    custom = F.transform_values(
+        F.map_filter(fields, lambda k, v: ~k.isin(m.SYSTEM_KEYS)), lambda k, v: F.to_json(v)
+    )
+    return m.tables(
+        _parsed(texts, column),
+        ai_documentation=F.col("doc.ai_documentation"),
+        custom=custom,
+        updated_at=F.col("doc.updated_at"),
     )
 
 
 def facts_of_documents(texts: DataFrame, column: str = "document") -> DataFrame:
     """A3. Facts of JSON documents."""
-    return facts_of_descriptions(
-        _parsed(texts, column).select(
-            *[F.col(f"doc.{k}_name").alias(k) for k in m.K4],
-            F.col("doc.schema_description").alias("description"),
-        )
+    return _facts(
+        _parsed(texts, column).select(*m.K4, F.col("doc.schema_description").alias("d"))
     )
 
 
