@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shelfmark import model as m
 from shelfmark.functions.text import code, non_empty, strip
 from shelfmark.functions.types import BSON_TYPES, DYNAMO_TYPES, normalise_type
-from shelfmark.operators.lists import PER_ROW, with_part
+from shelfmark.operators.lists import PER_ROW, long_keys, with_part
 
 TABLE_SCHEMA = {"table_schema": "schema", "table_name": "table"}
 
@@ -632,11 +632,11 @@ def nest(facts: DataFrame, per_row: int = PER_ROW) -> DataFrame:
         order = ["item", "position", "column_name", "referenced_column"]
         rows = F.collect_list(F.when(is_in(section), F.struct(*order, *_not_in(fields, order))))
         return F.transform(
-            F.array_sort(rows), lambda r: F.struct(*[r[f].alias(f) for f in fields])
+            F.sort_array(rows), lambda r: F.struct(*[r[f].alias(f) for f in fields])
         )
 
     grouped = (
-        with_part(facts, m.K4, m.FACT_ORDER, per_row)
+        with_part(facts, m.K4, m.FACT_ORDER, long_keys(facts, m.K4, per_row))
         .groupBy(*m.K4, "part")
         .agg(
             listed(

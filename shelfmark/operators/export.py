@@ -71,17 +71,16 @@ def essential(store: Store) -> Store:
     """E1. The compact view: no defaults, of the indexes only unique ones that are not primary, of
     the custom fields only owner, tags and status, of the documentation only the summary; a column
     keeps one description, the documentation's text before the comment."""
-    described = with_descriptions(store)
-    kept = (F.col("section") != m.INDEX) | (
-        F.coalesce("is_unique", F.lit(False)) & ~F.coalesce("is_primary", F.lit(False))
+    kept = (F.col("section") != m.COLUMN) & (
+        (F.col("section") != m.INDEX)
+        | (F.coalesce("is_unique", F.lit(False)) & ~F.coalesce("is_primary", F.lit(False)))
     )
-    facts = described.where(kept).select(
-        *[
-            F.lit(None).cast("string").alias(n) if n == "default_value"
-            else non_empty("description").alias(n) if n == "comment" else F.col(n)
-            for n in m.FACT_COLUMNS
-        ]
+    nothing = F.lit(None).cast("string")
+    compact = {"default_value": nothing, "comment": non_empty("description")}
+    columns = described_columns(store).select(
+        *[compact.get(name, F.col(name)).alias(name) for name in m.FACT_COLUMNS]
     )
+    facts = m.union(columns, store.facts.where(kept).select(*m.FACT_COLUMNS))
     empty = ["null", '""', "[]", "{}", ""]
     tables = store.tables.select(
         *m.K4,
@@ -102,16 +101,16 @@ def essential(store: Store) -> Store:
     return Store(tables, facts)
 
 
-def with_descriptions(store: Store) -> DataFrame:
-    """Facts with ``description``: of a column the documentation's text, else the comment, of a
-    partition column the comment.
+def described_columns(store: Store) -> DataFrame:
+    """Column facts with ``description``: the documentation's text, else the comment.
 
     The join is keyed by (table, column), so a wide table spreads over tasks.
     """
     texts = store.tables.select(
         *m.K4, F.explode("ai_documentation.column_descriptions").alias("column_name", "ai_text")
-    ).withColumn("section", F.lit(m.COLUMN))
-    return store.facts.join(texts, [*m.K4, "section", "column_name"], "left").select(
+    )
+    columns = store.facts.where(F.col("section") == m.COLUMN)
+    return columns.join(texts, [*m.K4, "column_name"], "left").select(
         *m.FACT_COLUMNS, F.coalesce(non_empty("ai_text"), "comment").alias("description")
     )
 
@@ -127,7 +126,7 @@ def _listed_name(lead: Column, facts: DataFrame) -> DataFrame:
     copies = facts.groupBy(*line, "position", "column_name", "is_unique").agg(
         F.count("*").alias("copies")
     )
-    first = facts.groupBy(*line).agg(F.min(place).alias("first"))
+    first = copies.groupBy(*line).agg(F.min(place).alias("first"))
     name = F.when(F.col("column_name").isNotNull(), code("column_name")).otherwise(F.lit(""))
     more = F.concat(F.lit(", "), name)
     text = F.when(
@@ -140,8 +139,8 @@ def _listed_name(lead: Column, facts: DataFrame) -> DataFrame:
     )
 
 
-def _pieces_of_facts(described: DataFrame) -> DataFrame:
-    section = F.col("section")
+def _pieces_of_facts(store: Store) -> DataFrame:
+    facts, section = store.facts, F.col("section")
     cells = [
         md_escape("column_name"), md_escape("data_type"), md_bool("is_nullable"),
         md_escape("description"),
@@ -157,11 +156,11 @@ def _pieces_of_facts(described: DataFrame) -> DataFrame:
         F.lit("\n- "), code("column_name"), F.lit(" ("),
         F.coalesce("data_type", F.lit("None")), F.lit(")"),
     )
-    shared_line = section.isin(m.PRIMARY_KEY, m.INDEX)
-    own_line = described.where(~shared_line).select(
-        *m.K4, "section", "item", "position", "column_name", "referenced_column",
-        F.when(section == m.COLUMN, row)
-        .when(section == m.SORT_KEY, sort_key)
+    place = [*m.K4, "section", "item", "position", "column_name", "referenced_column"]
+    columns = described_columns(store).select(*place, row.alias("text"))
+    own_line = facts.where(section.isin(m.SORT_KEY, m.FOREIGN_KEY, m.PARTITION)).select(
+        *place,
+        F.when(section == m.SORT_KEY, sort_key)
         .when(section == m.FOREIGN_KEY, reference)
         .otherwise(partition)
         .alias("text"),
@@ -172,9 +171,9 @@ def _pieces_of_facts(described: DataFrame) -> DataFrame:
             F.when(F.col("is_unique"), F.lit(" unique")).otherwise(F.lit("")), F.lit(" "),
         )
     )
-    return m.union(own_line, _listed_name(lead, described.where(shared_line))).select(
-        *m.K4, _place(0).alias("block"), _place(1).alias("kind"),
-        "item", "position", "column_name", "referenced_column", "text",
+    shared_line = _listed_name(lead, facts.where(section.isin(m.PRIMARY_KEY, m.INDEX)))
+    return m.union(columns, own_line, shared_line).select(
+        *m.K4, _place(0).alias("block"), _place(1).alias("kind"), *place[5:], "text"
     )
 
 
@@ -232,10 +231,9 @@ def _front_lines() -> Column:
 def pieces(store: Store, okf: bool = False) -> DataFrame:
     """E4, E5. All pieces of all documents: K4, the sort key ``_ORDER``, ``text``."""
     mark = "#" if okf else "##"
-    facts = store.facts.join(store.tables.select(*m.K4), m.K4, "left_semi")
-    of_facts = _pieces_of_facts(with_descriptions(Store(store.tables, facts)))
+    of_facts = _pieces_of_facts(store)
     # At most four headings per table, pre-aggregated.
-    heads = facts.select(*m.K4, _place(0).alias("block")).distinct()
+    heads = store.facts.select(*m.K4, _place(0).alias("block")).distinct()
     titles = {
         _COLUMNS: f"{OKF_COLUMNS if okf else COLUMNS}\n\n{COLUMN_HEADER}",
         _KEYS: f"{KEYS}\n",
@@ -265,30 +263,25 @@ def pieces(store: Store, okf: bool = False) -> DataFrame:
     )
 
 
-def _documents(store: Store, okf: bool, per_row: int) -> DataFrame:
+def _documents(store: Store, okf: bool, long: DataFrame | None) -> DataFrame:
     return (
-        ordered_text(
-            pieces(store, okf),
-            m.K4,
-            _ORDER,
-            F.col("text"),
-            "content",
-            per_row=per_row,
-            long=long_keys(store.facts, m.K4, per_row),
-        )
+        ordered_text(pieces(store, okf), m.K4, _ORDER, F.col("text"), "content", long)
         .withColumn("path", document_path())
         .select(*m.K4, "path", "part", "content")
     )
 
 
 def render_markdown(store: Store, per_row: int = PER_ROW) -> DataFrame:
-    """E4. Markdown documents ``K4, path, part, content``; empty sections are left out."""
-    return _documents(store, False, per_row)
+    """E4. Markdown documents ``K4, path, part, content``; empty sections are left out.
+
+    A table with more than ``per_row`` facts gives several rows, to be read one after the other.
+    """
+    return _documents(store, False, long_keys(store.facts, m.K4, per_row))
 
 
 def render_okf(store: Store, per_row: int = PER_ROW) -> DataFrame:
     """E5. Knowledge-bundle documents: front matter, then the body one heading level higher."""
-    return _documents(store, True, per_row)
+    return _documents(store, True, long_keys(store.facts, m.K4, per_row))
 
 
 def index_entries(documents: DataFrame) -> DataFrame:
@@ -345,9 +338,8 @@ def render_okf_index(entries: DataFrame, per_row: int = PER_ROW) -> DataFrame:
         .select(F.lit(1).alias("block"), no_place, F.lit(f"{INDEX_EMPTY}\n").alias("text"))
     )
     rows = m.union(opening, nothing, bullets).withColumn("path", F.lit("index.md"))
-    return ordered_text(
-        rows, ["path"], ["block", "place"], F.col("text"), "content", per_row=per_row
-    )
+    long = long_keys(rows, ["path"], per_row)
+    return ordered_text(rows, ["path"], ["block", "place"], F.col("text"), "content", long)
 
 
 def export_formats(formats: list[str] | None = None, save_markdown: bool | None = None) -> list[str]:
@@ -370,14 +362,15 @@ def export(
     With ``okf`` the bundle's index is among them, built once per batch.
     """
     chosen = export_formats(formats)
+    if not chosen:
+        return None
     source = essential(store) if preformat else store
+    long = long_keys(store.facts, m.K4, per_row)
     frames = []
     if m.MARKDOWN in chosen:
-        frames.append(render_markdown(source, per_row).withColumn("format", F.lit(m.MARKDOWN)))
+        frames.append(_documents(source, False, long).withColumn("format", F.lit(m.MARKDOWN)))
     if m.OKF in chosen:
-        entries = entries_of_tables(source.tables)
-        frames.append(render_okf(source, per_row).withColumn("format", F.lit(m.OKF)))
-        frames.append(render_okf_index(entries, per_row).withColumn("format", F.lit(m.OKF)))
-    if not frames:
-        return None
+        index = render_okf_index(entries_of_tables(source.tables), per_row)
+        frames.append(_documents(source, True, long).withColumn("format", F.lit(m.OKF)))
+        frames.append(index.withColumn("format", F.lit(m.OKF)))
     return m.union(*[f.select("format", "path", "part", "content") for f in frames])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import model as m
-from shelfmark.operators.lists import PER_ROW, ordered_lists, ordered_text
+from shelfmark.operators.lists import PER_ROW, long_keys, ordered_lists, ordered_text
 from shelfmark.operators.scope import expand_scope, unmatched_scopes
 
 RETENTION = "interval 7 days"
@@ -98,7 +98,8 @@ def fold_status(
     comes in several parts.  Only completed and partial jobs carry a result count.
     """
     counts = fold_counts(jobs, results, errors, crashed)
-    texts = ordered_text(errors, ["job_id"], order, F.col("error"), "error", "; ", per_row)
+    long = long_keys(errors, ["job_id"], per_row)
+    texts = ordered_text(errors, ["job_id"], order, F.col("error"), "error", long, "; ")
     if crashed is not None:
         broken = crashed.groupBy("job_id").agg(F.min("error").alias("error"))
         texts = m.union(
@@ -175,7 +176,8 @@ def job_with_results(
     """
     if not include:
         return jobs
-    lists = ordered_lists(results, ["job_id"], order, F.col("document"), "results", per_row)
+    long = long_keys(results, ["job_id"], per_row)
+    lists = ordered_lists(results, ["job_id"], order, F.col("document"), "results", long)
     nothing = F.array().cast("array<string>")
     return (
         jobs.join(lists, "job_id", "left")

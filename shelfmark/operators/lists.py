@@ -14,25 +14,21 @@ from pyspark.sql import functions as F
 PER_ROW = 10_000
 
 
-def long_keys(df: DataFrame, keys: list[str], per_row: int = PER_ROW) -> DataFrame:
-    """Keys with more than ``per_row`` rows."""
-    return df.groupBy(*keys).count().where(F.col("count") > per_row).select(*keys)
+def long_keys(df: DataFrame, keys: list[str], per_row: int = PER_ROW) -> DataFrame | None:
+    """Keys with more than ``per_row`` rows, None if there are none (found out at once)."""
+    long = df.groupBy(*keys).count().where(F.col("count") > per_row).select(*keys)
+    return None if long.isEmpty() else long
 
 
 def with_part(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    per_row: int = PER_ROW,
-    long: DataFrame | None = None,
+    df: DataFrame, keys: list[str], order: list[str], long: DataFrame | None
 ) -> DataFrame:
     """Add ``part``: 0, or for long keys the number of the range partition the row sorts into.
 
     The long rows are range-partitioned by key *and* order, so one key spreads over many tasks and
     every part holds a consecutive stretch of its list.
     """
-    long = long_keys(df, keys, per_row) if long is None else long
-    if long.isEmpty():
+    if long is None:
         return df.withColumn("part", F.lit(0))
     short_rows = df.join(long, keys, "left_anti").withColumn("part", F.lit(0))
     long_rows = (
@@ -43,10 +39,10 @@ def with_part(
     return short_rows.unionByName(long_rows)
 
 
-def ordered_list(order: list[str], item: Column) -> Column:
+def ordered_list(order: list[str], item: str) -> Column:
     """Aggregate: the items of a group as an array in the given order."""
-    rows = F.collect_list(F.struct(*order, item.alias("_item")))
-    return F.transform(F.array_sort(rows), lambda row: row["_item"])
+    rows = F.collect_list(F.struct(*order, F.col(item).alias("_item")))
+    return F.transform(F.sort_array(rows), lambda row: row["_item"])
 
 
 def ordered_lists(
@@ -55,14 +51,14 @@ def ordered_lists(
     order: list[str],
     item: Column,
     name: str,
-    per_row: int = PER_ROW,
+    long: DataFrame | None,
 ) -> DataFrame:
     """One row ``keys, part, name`` per key and part; ``name`` is an array of ``item``."""
     items = df.select(*keys, *order, item.alias("_value"))
     return (
-        with_part(items, keys, order, per_row)
+        with_part(items, keys, order, long)
         .groupBy(*keys, "part")
-        .agg(ordered_list(order, F.col("_value")).alias(name))
+        .agg(ordered_list(order, "_value").alias(name))
     )
 
 
@@ -72,14 +68,13 @@ def ordered_text(
     order: list[str],
     text: Column,
     name: str,
+    long: DataFrame | None,
     separator: str = "",
-    per_row: int = PER_ROW,
-    long: DataFrame | None = None,
 ) -> DataFrame:
-    """One row ``keys, part, name`` per key and part; ``name`` is the joined text of its rows."""
-    items = df.select(*keys, *order, text.alias("_value"))
-    return (
-        with_part(items, keys, order, per_row, long)
-        .groupBy(*keys, "part")
-        .agg(F.array_join(ordered_list(order, F.col("_value")), separator).alias(name))
+    """One row ``keys, part, name`` per key and part; ``name`` is the joined text of its rows.
+
+    Between two parts of a text the separator is left out.
+    """
+    return ordered_lists(df, keys, order, text, name, long).withColumn(
+        name, F.array_join(name, separator)
     )

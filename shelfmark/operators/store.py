@@ -15,6 +15,8 @@ from shelfmark.functions.text import document_path, metadata_key
 
 
 class Store(NamedTuple):
+    """One row per table, and the facts of these tables (of no others)."""
+
     tables: DataFrame
     facts: DataFrame
 
@@ -263,7 +265,7 @@ def page(names: DataFrame, number: int = 1, size: int = DEFAULT_PAGE) -> DataFra
         raise ValueError(f"page is at least 1 and page size 1 to {MAX_PAGE}")
     items = names.orderBy("name").offset((number - 1) * size).limit(size)
     total = names.agg(F.count("*").alias("total")).scalar()
-    return items.agg(F.array_sort(F.collect_list("name")).alias("items")).select(
+    return items.agg(F.sort_array(F.collect_list("name")).alias("items")).select(
         "items",
         total.alias("total"),
         F.lit(number).alias("page"),

@@ -58,25 +58,27 @@ CAT = """cat AS (
 K4_SQL = 'config, instance, "schema", "table"'
 
 
-def catalog(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers as tables: K4, c_custkey, c_acctbal."""
-    nations = t(spark, sf, "nation").join(
-        t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+def _placed(df: DataFrame, spark: SparkSession, sf: str, nation_key: str) -> DataFrame:
+    """Add the two upper levels; nation and region, the smaller sides, come last."""
+    nation = t(spark, sf, "nation").withColumnRenamed("n_name", "instance")
+    region = t(spark, sf, "region").withColumnRenamed("r_name", "config")
+    return df.join(nation, F.col(nation_key) == F.col("n_nationkey")).join(
+        region, F.col("n_regionkey") == F.col("r_regionkey")
     )
-    return (
-        t(spark, sf, "customer")
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("r_name").alias("config"),
-            F.col("n_name").alias("instance"),
-            F.col("c_mktsegment").alias("schema"),
-            F.col("c_name").alias("table"),
-            "c_custkey",
-            "c_acctbal",
-        )
+
+
+def _customers(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "customer").withColumnsRenamed(
+        {"c_mktsegment": "schema", "c_name": "table"}
     )
 
 
+def catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as tables: K4, c_custkey, c_acctbal."""
+    placed = _placed(_customers(spark, sf), spark, sf, "c_nationkey")
+    return placed.select(*m.K4, "c_custkey", "c_acctbal")
+
+
 ORD = f"""{CAT},
 ord AS (SELECT {K4_SQL}, c_custkey, orders.*, 'c_' || o_orderkey AS column_name
         FROM orders JOIN cat ON o_custkey = c_custkey)"""
@@ -84,10 +86,14 @@ ord AS (SELECT {K4_SQL}, c_custkey, orders.*, 'c_' || o_orderkey AS column_name
 
 def orders(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as columns of their customer's table."""
-    return (
-        t(spark, sf, "orders")
-        .join(catalog(spark, sf), F.col("o_custkey") == F.col("c_custkey"))
-        .withColumn("column_name", F.concat(F.lit("c_"), F.col("o_orderkey")))
+    owned = t(spark, sf, "orders").join(
+        _customers(spark, sf), F.col("o_custkey") == F.col("c_custkey")
+    )
+    return _placed(owned, spark, sf, "c_nationkey").select(
+        *m.K4,
+        "c_custkey",
+        *[c.split()[0] for c in SCHEMAS["orders"].split(", ")],
+        F.concat(F.lit("c_"), F.col("o_orderkey")).alias("column_name"),
     )
 
 
@@ -98,13 +104,14 @@ item AS (SELECT {K4_SQL}, o_orderpriority, o_orderstatus, lineitem.*, 'pk_' || l
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as key columns of their customer's table; the constraint is the order."""
+    """Line items as key columns of their customer's table; the constraint is the order.
+
+    Both sides are large, so this is a sort-merge join whatever the estimate.
+    """
+    named = orders(spark, sf).select(*m.K4, "o_orderkey", "o_orderpriority", "o_orderstatus")
     return (
         t(spark, sf, "lineitem")
-        .join(
-            orders(spark, sf).select(*m.K4, "o_orderkey", "o_orderpriority", "o_orderstatus"),
-            F.col("l_orderkey") == F.col("o_orderkey"),
-        )
+        .join(named.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .withColumn("constraint_name", F.concat(F.lit("pk_"), F.col("l_orderkey")))
         .withColumn("column_name", F.concat(F.lit("p_"), F.col("l_partkey")))
     )
@@ -117,19 +124,13 @@ SUP = """sup AS (
 
 def suppliers(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers as tables."""
-    nations = t(spark, sf, "nation").join(
-        t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-    )
-    return (
-        t(spark, sf, "supplier")
-        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("r_name").alias("config"),
-            F.col("n_name").alias("instance"),
-            F.lit("suppliers").alias("schema"),
-            F.col("s_name").alias("table"),
-            "s_suppkey",
-        )
+    placed = _placed(t(spark, sf, "supplier"), spark, sf, "s_nationkey")
+    return placed.select(
+        "config",
+        "instance",
+        F.lit("suppliers").alias("schema"),
+        F.col("s_name").alias("table"),
+        "s_suppkey",
     )
 
 
