@@ -618,7 +618,8 @@ def describe_tables(*parts: DataFrame, per_row: int = PER_ROW) -> DataFrame:
     The facts are a plain union, nested by one shuffle on K4 (and ``part``); no joins of lists.
     A missing list is empty, a missing key null.  A table with more than ``per_row`` facts comes
     as several rows with rising ``part``, each holding a consecutive stretch of its facts, so no
-    task builds an unbounded record.
+    task builds an unbounded record.  The facts are read twice (the count first): pass a written
+    table if computing them is costly.
     """
     return nest(m.union(*parts), per_row)
 

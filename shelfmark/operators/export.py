@@ -24,7 +24,7 @@ from shelfmark.functions.text import (
     quoted,
     unquoted,
 )
-from shelfmark.operators.lists import PER_ROW, long_keys, ordered_text
+from shelfmark.operators.lists import PER_ROW, Long, long_keys, ordered_text
 from shelfmark.operators.store import Store
 
 # Words and layout of the documents.
@@ -263,7 +263,7 @@ def pieces(store: Store, okf: bool = False) -> DataFrame:
     )
 
 
-def _documents(store: Store, okf: bool, long: DataFrame | None) -> DataFrame:
+def _documents(store: Store, okf: bool, long: Long | None) -> DataFrame:
     return (
         ordered_text(pieces(store, okf), m.K4, _ORDER, F.col("text"), "content", long)
         .withColumn("path", document_path())

@@ -200,9 +200,9 @@ def reclaim(
     The last delivery per message combines before the shuffle; the first ``count`` are a top-n.
     """
     pending = (
-        deliveries.join(acks.select("message_id"), "message_id", "left_anti")
-        .groupBy("message_id")
+        deliveries.groupBy("message_id")
         .agg(F.max(F.struct("delivered_at", "consumer")).alias("last"))
+        .join(acks.select("message_id"), "message_id", "left_anti")
         .orderBy("message_id")
         .limit(count)
     )

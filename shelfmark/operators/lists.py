@@ -8,32 +8,46 @@ list is one plain grouping.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PER_ROW = 10_000
 
 
-def long_keys(df: DataFrame, keys: list[str], per_row: int = PER_ROW) -> DataFrame | None:
+# At most so many range partitions cut the long lists, however long they are.
+MAX_RANGES = 100_000
+
+
+class Long(NamedTuple):
+    """Keys whose lists are cut, and into how many ranges their rows are cut altogether."""
+
+    keys: DataFrame
+    ranges: int
+
+
+def long_keys(df: DataFrame, keys: list[str], per_row: int = PER_ROW) -> Long | None:
     """Keys with more than ``per_row`` rows, None if there are none (found out at once)."""
-    long = df.groupBy(*keys).count().where(F.col("count") > per_row).select(*keys)
-    return None if long.isEmpty() else long
+    long = df.groupBy(*keys).count().where(F.col("count") > per_row)
+    rows = long.agg(F.sum("count")).first()[0]
+    if not rows:
+        return None
+    return Long(long.select(*keys), min(-(-rows // per_row), MAX_RANGES))
 
 
-def with_part(
-    df: DataFrame, keys: list[str], order: list[str], long: DataFrame | None
-) -> DataFrame:
+def with_part(df: DataFrame, keys: list[str], order: list[str], long: Long | None) -> DataFrame:
     """Add ``part``: 0, or for long keys the number of the range partition the row sorts into.
 
     The long rows are range-partitioned by key *and* order, so one key spreads over many tasks and
-    every part holds a consecutive stretch of its list.
+    every part holds a consecutive stretch of its list, of about ``per_row`` rows.
     """
     if long is None:
         return df.withColumn("part", F.lit(0))
-    short_rows = df.join(long, keys, "left_anti").withColumn("part", F.lit(0))
+    short_rows = df.join(long.keys, keys, "left_anti").withColumn("part", F.lit(0))
     long_rows = (
-        df.join(long, keys, "left_semi")
-        .repartitionByRange(*keys, *order)
+        df.join(long.keys, keys, "left_semi")
+        .repartitionByRange(long.ranges, *keys, *order)
         .withColumn("part", F.spark_partition_id())
     )
     return short_rows.unionByName(long_rows)
@@ -51,7 +65,7 @@ def ordered_lists(
     order: list[str],
     item: Column,
     name: str,
-    long: DataFrame | None,
+    long: Long | None,
 ) -> DataFrame:
     """One row ``keys, part, name`` per key and part; ``name`` is an array of ``item``."""
     items = df.select(*keys, *order, item.alias("_value"))
@@ -68,7 +82,7 @@ def ordered_text(
     order: list[str],
     text: Column,
     name: str,
-    long: DataFrame | None,
+    long: Long | None,
     separator: str = "",
 ) -> DataFrame:
     """One row ``keys, part, name`` per key and part; ``name`` is the joined text of its rows.

@@ -91,9 +91,9 @@ def merge_metadata(
         *m.K4, F.col("ai_documentation").alias("new_ai"), F.lit(True).alias("in_scan")
     )
     if only_if_changed:
-        changed = changed_tables(
-            existing.facts, incoming.facts.join(existing.tables, m.K4, "left_semi")
-        ).withColumn("changed", F.lit(True))
+        # Facts of tables outside the scan do not matter; a scan of few tables compares few.
+        old = existing.facts.join(scanned.select(*m.K4), m.K4, "left_semi")
+        changed = changed_tables(old, incoming.facts).withColumn("changed", F.lit(True))
         scanned = scanned.join(changed, m.K4, "left")
     else:
         scanned = scanned.withColumn("changed", F.lit(True))
@@ -156,17 +156,23 @@ def _fields(tables: DataFrame, patches: DataFrame) -> DataFrame:
 
     Stale patches (made on an older ``based_on``) are left out.
     """
-    known = patches.where(F.size("payload") > 0).join(_owner(tables), _NAMES)
-    if "based_on" in patches.columns:
+    basis = ["based_on"] if "based_on" in patches.columns else []
+    last = F.max(F.struct("seq", "value")).alias("last")
+    # The last value per field combines before the join, so many patches of one table are few rows.
+    fields = (
+        patches.where(F.size("payload") > 0)
+        .select(*_NAMES, *basis, "seq", F.explode("payload").alias("key", "value"))
+        .groupBy(*_NAMES, *basis, "key")
+        .agg(last)
+        .join(_owner(tables), _NAMES)
+        .select(*m.K4, *basis, "key", "last.seq", "last.value")
+    )
+    if basis:
         current = tables.select(*m.K4, F.col("updated_at").alias("current"))
-        known = known.join(current, m.K4).where(
+        fields = fields.join(current, m.K4).where(
             F.col("based_on").isNull() | (F.col("based_on") == F.col("current"))
         )
-    return (
-        known.select(*m.K4, "seq", F.explode("payload").alias("key", "value"))
-        .groupBy(*m.K4, "key")
-        .agg(F.max_by("value", "seq").alias("value"))
-    )
+    return fields.groupBy(*m.K4, "key").agg(last).select(*m.K4, "key", "last.value")
 
 
 def stale_patches(tables: DataFrame, patches: DataFrame) -> DataFrame:

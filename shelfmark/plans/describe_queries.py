@@ -12,6 +12,7 @@ from shelfmark.operators.scope import list_tables
 from shelfmark.plans import roles
 from shelfmark.plans.registry import query
 from shelfmark.plans.roles import CAT, ITEM, K4_SQL, ORD, SUP, t
+from shelfmark.sources.store import written
 
 SHOWN = [
     "section", "item", "position", "column_name", "data_type", "is_nullable", "default_value",
@@ -790,7 +791,7 @@ def flat(nested: DataFrame) -> DataFrame:
       LEFT JOIN indexes_of USING ({K4_SQL}) LEFT JOIN parts_of USING ({K4_SQL})""",
 )
 def describe_tables(spark, sf):
-    return flat(describe.describe_tables(roles.facts(spark, sf)))
+    return flat(describe.describe_tables(written(roles.facts(spark, sf), "facts")))
 
 
 @query(
@@ -836,7 +837,7 @@ def described_page(spark, sf):
             column_name=F.col("column_name"),
         ),
     ).join(page, m.K4, "left_semi")
-    described = flat(describe.describe_tables(listed)).select(
+    described = flat(describe.describe_tables(written(listed, "page"))).select(
         *m.K4, "n_columns", "column_list", "key_list"
     )
     return page.join(described, m.K4, "left").select(

@@ -298,7 +298,7 @@ PROMPT_SQL = f"""WITH {ITEM},
 
 @query("f1_build_prompts", PROMPT_SQL)
 def build_prompts(spark, sf):
-    return docgen.build_prompts(describe.nest(roles.facts(spark, sf))).select(*m.K4, "prompt")
+    return docgen.build_prompts(describe.nest(roles.store(spark, sf).facts)).select(*m.K4, "prompt")
 
 
 @query(

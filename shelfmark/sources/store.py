@@ -37,20 +37,29 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _write(df: DataFrame, path: str) -> None:
-    # Files follow the hierarchy: a range shuffle by table keeps the number of files per folder
-    # small and cuts a schema with most of the tables over many tasks.
-    spread = df.repartitionByRange(*m.K4)
-    # Names of columns in paths need not be distinct from data: K4 columns are the partitions.
-    spread.write.partitionBy(*_LEVELS).parquet(path)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from a table written now in the shared folder.
+
+    For frames that are read several times: they are computed once, and a lost executor costs
+    rereading, not recomputing.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _write(df: DataFrame, path: str, order: list[str]) -> None:
+    # A range shuffle in the order of the hierarchy keeps the number of files per folder small, and
+    # cuts a schema or table that holds most of the rows over many tasks.
+    df.repartitionByRange(*order).write.partitionBy(*_LEVELS).parquet(path)
 
 
 def write_store(store: Store, path: str, now: Column) -> str:
     """A4. Write a new version and commit it; the version's name."""
     spark = store.tables.sparkSession
     version = uuid.uuid4().hex
-    _write(store.tables.select(*m.TABLE_COLUMNS), f"{path}/versions/{version}/tables")
-    _write(store.facts.select(*m.FACT_COLUMNS), f"{path}/versions/{version}/facts")
+    _write(store.tables.select(*m.TABLE_COLUMNS), f"{path}/versions/{version}/tables", m.K4)
+    _write(store.facts.select(*m.FACT_COLUMNS), f"{path}/versions/{version}/facts", [*m.K4, *m.FACT_ORDER])
     commit = spark.range(1).select(F.lit(version).alias("version"), now.alias("committed_at"))
     commit.write.mode("append").parquet(f"{path}/commits")
     return version
