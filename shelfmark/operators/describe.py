@@ -352,7 +352,8 @@ def foreign_keys(
 
     ``referenced``: ``constraint_schema, constraint_name, table_name, column_name,
     ordinal_position``.  Matching by schema, name and ordinal gives n pairs for an n-column key;
-    matching by name alone would give n*n and mix equal names of different schemas.
+    matching by name alone would give n*n and mix equal names of different schemas.  Copies of a
+    referenced column are removed first, so every usage row finds one.
     """
     targets = referenced.select(
         "config",
@@ -362,7 +363,7 @@ def foreign_keys(
         "ordinal_position",
         F.col("table_name").alias("referenced_table"),
         F.col("column_name").alias("referenced_column"),
-    )
+    ).distinct()
     used = usage.withColumnsRenamed(TABLE_SCHEMA).select(
         *_CONSTRAINT, "ordinal_position", "column_name"
     )

@@ -24,7 +24,7 @@ from shelfmark.functions.text import (
     quoted,
     unquoted,
 )
-from shelfmark.operators.lists import PER_ROW, Long, long_keys, ordered_text
+from shelfmark.operators.lists import PER_ROW, PER_ROW_LARGE, Long, long_keys, ordered_text
 from shelfmark.operators.store import Store
 
 # Words and layout of the documents.
@@ -315,7 +315,7 @@ def _bullets(df: DataFrame, title: Column, description: Column) -> DataFrame:
     return df.where(~name.isin(RESERVED_NAMES)).select("path", line.alias("line"))
 
 
-def render_okf_index(entries: DataFrame, per_row: int = PER_ROW) -> DataFrame:
+def render_okf_index(entries: DataFrame, per_row: int = PER_ROW_LARGE) -> DataFrame:
     """E6. The bundle's index ``path, part, content``, bullets sorted by path.
 
     All bullets belong to one text, so beyond ``per_row`` of them it comes in several parts, cut by
@@ -370,7 +370,7 @@ def export(
     if m.MARKDOWN in chosen:
         frames.append(_documents(source, False, long).withColumn("format", F.lit(m.MARKDOWN)))
     if m.OKF in chosen:
-        index = render_okf_index(entries_of_tables(source.tables), per_row)
+        index = render_okf_index(entries_of_tables(source.tables))
         frames.append(_documents(source, True, long).withColumn("format", F.lit(m.OKF)))
         frames.append(index.withColumn("format", F.lit(m.OKF)))
     return m.union(*[f.select("format", "path", "part", "content") for f in frames])

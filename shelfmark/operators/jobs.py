@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import model as m
-from shelfmark.operators.lists import PER_ROW, long_keys, ordered_lists, ordered_text
+from shelfmark.operators.lists import PER_ROW, PER_ROW_LARGE, long_keys, ordered_lists, ordered_text
 from shelfmark.operators.scope import expand_scope, unmatched_scopes
 
 RETENTION = "interval 7 days"
@@ -168,7 +168,7 @@ def job_with_results(
     results: DataFrame,
     order: list[str],
     include: bool = True,
-    per_row: int = PER_ROW,
+    per_row: int = PER_ROW_LARGE,
 ) -> DataFrame:
     """G6b. Jobs with their results as an ordered array, or without them.
 

@@ -13,7 +13,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_ROW = 10_000
+# Items per row.  No database declares so many columns, keys and index columns for one table that
+# its description would be cut; whole documents are larger, so fewer of them share a row.
+PER_ROW = 100_000
+PER_ROW_LARGE = 10_000
 
 
 # At most so many range partitions cut the long lists, however long they are.

@@ -435,23 +435,25 @@ def primary_keys_duckdb(spark, sf):
 @query(
     "b10_foreign_keys",
     f"""WITH {ITEM},
-    joined AS (SELECT a.*, 's_' || b.l_suppkey AS target FROM item a JOIN item b
-      ON a.config = b.config AND a.instance = b.instance AND a."schema" = b."schema"
-     AND a.constraint_name = b.constraint_name AND a.l_linenumber = b.l_linenumber
-     WHERE a.o_orderpriority = '2-HIGH') """
+    named AS (SELECT constraint_name, l_linenumber, 's_' || min(l_suppkey) AS target FROM item GROUP BY ALL),
+    joined AS (SELECT item.*, target FROM item JOIN named USING (constraint_name, l_linenumber)
+     WHERE o_orderpriority = '2-HIGH') """
     + fact_sql(
         "joined", "'foreign_key'", item="constraint_name", position="l_linenumber",
         column_name="column_name", referenced_table="'supplier'", referenced_column="target",
     ),
 )
 def foreign_keys(spark, sf):
-    referenced = roles.items(spark, sf).select(
+    named = roles.items(spark, sf).groupBy(
+        "config", "instance", "schema", "constraint_name", "l_linenumber"
+    )
+    referenced = named.agg(F.min("l_suppkey").alias("target")).select(
         "config",
         "instance",
         F.col("schema").alias("constraint_schema"),
         "constraint_name",
         F.lit("supplier").alias("table_name"),
-        F.concat(F.lit("s_"), F.col("l_suppkey")).alias("column_name"),
+        F.concat(F.lit("s_"), F.col("target")).alias("column_name"),
         F.col("l_linenumber").alias("ordinal_position"),
     )
     return shown(

@@ -410,7 +410,7 @@ def store_round_trip(spark, sf):
 def json_documents(spark, sf) -> DataFrame:
     """Customers' tables as JSON documents."""
     own = roles.store(spark, sf)
-    return documents.to_documents(own.tables, describe.nest(own.facts)).select("document")
+    return documents.to_documents(own.tables, describe.nest(own.facts)).select("part", "document")
 
 
 # Positions of a document's columns are their places in its list.
@@ -434,7 +434,7 @@ def facts_of_documents(spark, sf):
           WHERE c_custkey IN (SELECT o_custkey FROM orders)""",
 )
 def tables_of_documents(spark, sf):
-    broken = t(spark, sf, "documents").select(F.col("text").alias("document"))
+    broken = t(spark, sf, "documents").select(F.lit(0).alias("part"), F.col("text").alias("document"))
     texts = json_documents(spark, sf).union(broken)
     found = documents.tables_of_documents(texts)
     field = lambda name: F.try_element_at("custom", F.lit(name)).alias(name)

@@ -25,15 +25,21 @@ def facts_of_descriptions(df: DataFrame) -> DataFrame:
     return _facts(df.select(*m.K4, F.from_json("description", _DESCRIPTION).alias("d")))
 
 
+# Facts of a later part of a long table come after those of the parts before it.
+_PART = 1 << 32
+
+
 def _facts(described: DataFrame) -> DataFrame:
-    parsed = described.select(*m.K4, "d.*")
+    part = F.col("part") if "part" in described.columns else F.lit(0)
+    parsed = described.select(*m.K4, (part.cast("bigint") * _PART).alias("before"), "d.*")
 
     def items(source: str) -> DataFrame:
-        return parsed.select(*m.K4, F.posexplode(source).alias("i", "e"))
+        return parsed.select(*m.K4, "before", F.posexplode(source).alias("i", "e"))
 
-    place = F.col("i") + 1
+    place = F.col("before") + F.col("i") + 1
     index_columns = items("indexes").select(
-        *m.K4, F.col("e").alias("x"), F.posexplode_outer("e.column_names").alias("i", "name")
+        *m.K4, "before", F.col("e").alias("x"),
+        F.posexplode_outer("e.column_names").alias("i", "name"),
     )
     return m.union(
         m.facts(
@@ -97,17 +103,18 @@ _DOCUMENT = (
 def _parsed(texts: DataFrame, column: str) -> DataFrame:
     """Documents with their names; text that is no such object counts as absent."""
     doc = F.from_json(column, _DOCUMENT)
+    part = F.col("part") if "part" in texts.columns else F.lit(0)
     return (
         texts.where(F.try_parse_json(column).isNotNull())
-        .select(F.col(column).alias("text"), doc.alias("doc"))
+        .select(F.col(column).alias("text"), doc.alias("doc"), part.alias("part"))
         .where(F.col("doc.table_name").isNotNull())
-        .select(*[F.col(f"doc.{k}_name").alias(k) for k in m.K4], "text", "doc")
+        .select(*[F.col(f"doc.{k}_name").alias(k) for k in m.K4], "part", "text", "doc")
     )
 
 
 def tables_of_documents(texts: DataFrame, column: str = "document") -> DataFrame:
     """A3, D6. Header rows of JSON documents; custom fields, as JSON text each, are all that the
-    system does not own."""
+    system does not own.  The documents of a table that comes in several parts share one row."""
     fields = F.from_json("text", "map<string,variant>")
     custom = F.transform_values(
         F.map_filter(fields, lambda k, v: ~k.isin(m.SYSTEM_KEYS)), lambda k, v: F.to_json(v)
@@ -117,13 +124,13 @@ def tables_of_documents(texts: DataFrame, column: str = "document") -> DataFrame
         ai_documentation=F.col("doc.ai_documentation"),
         custom=custom,
         updated_at=F.col("doc.updated_at"),
-    )
+    ).dropDuplicates(m.K4)
 
 
 def facts_of_documents(texts: DataFrame, column: str = "document") -> DataFrame:
-    """A3. Facts of JSON documents."""
+    """A3. Facts of JSON documents, those of a table's parts (column ``part``) in their order."""
     return _facts(
-        _parsed(texts, column).select(*m.K4, F.col("doc.schema_description").alias("d"))
+        _parsed(texts, column).select(*m.K4, "part", F.col("doc.schema_description").alias("d"))
     )
 
 
