@@ -187,17 +187,16 @@ def unmatched_scopes(scopes: DataFrame, expanded: DataFrame) -> DataFrame:
 
 
 def resolve_owner(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """C5. ``request_id, instance`` to the configuration that owns the instance.
+    """C5. Add to requests (with ``instance``) the configuration that owns the instance.
 
-    Exactly one owner is bound; with several the request stays unbound and covers all of them;
-    with none it is an error.
+    Exactly one owner is bound as ``config``; with several the request stays unbound and covers
+    all of them; with none it is an ``error``.
     """
     owners = catalog.groupBy("instance").agg(
         F.count_distinct("config").alias("owners"), F.min("config").alias("owner")
     )
     return requests.join(owners, "instance", "left").select(
-        "request_id",
-        "instance",
+        *requests.columns,
         F.coalesce("owners", F.lit(0)).alias("owners"),
         F.when(F.col("owners") == 1, F.col("owner")).alias("config"),
         F.when(

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark import model as m
+from shelfmark.operators import jobs
+from shelfmark.plans import roles
 from shelfmark.plans.job_queries import MESSAGES_SQL, STATE_SQL, shown_state, updates
 from shelfmark.plans.registry import query
-from shelfmark.plans.roles import EV, SCHEMAS
+from shelfmark.plans.roles import CAT, EV, SCHEMAS
 from shelfmark.sources.store import new_folder
 from shelfmark.streaming import scans
 
@@ -91,3 +94,38 @@ def stream_abandoned(spark, sf):
     )
 
 
+# One request per nation, without configuration; those of one region name instances that are gone.
+@query(
+    "g1_stream_scans",
+    f"""WITH {CAT},
+      request AS (SELECT 'job_' || n_nationkey AS job_id, CASE WHEN n_regionkey = 0 THEN 'gone_' || n_name
+          ELSE n_name END AS instance FROM nation),
+      described AS (SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_orderdate >= DATE '2001-01-01'),
+      target AS (SELECT job_id, c_acctbal >= 0 AND d.c_custkey IS NOT NULL AS found FROM request
+        JOIN cat USING (instance) LEFT JOIN described d ON d.c_custkey = cat.c_custkey),
+      counted AS (SELECT job_id, count(*) FILTER (found) AS r, count(*) FILTER (NOT found) AS e
+        FROM target GROUP BY job_id)
+      SELECT job_id, CASE WHEN coalesce(e, 1) = 0 THEN 'completed' WHEN coalesce(r, 0) > 0 THEN 'partial'
+          ELSE 'failed' END AS status, coalesce(r, 0) AS result_count, coalesce(e, 1) AS errors
+      FROM request LEFT JOIN counted USING (job_id)""",
+)
+def stream_scans(spark, sf):
+    path = new_folder(spark, "scans")
+    nations = scans.read_scan_events(spark, f"{sf}/nation.parquet*", SCHEMAS["nation"])
+    gone = F.when(F.col("n_regionkey") == 0, "gone_").otherwise("")
+    messages = nations.select(
+        F.concat(F.lit("job_"), "n_nationkey").alias("job_id"),
+        F.lit("").alias("config_name"),
+        F.concat(gone, "n_name").alias("instance_name"),
+        F.lit("").alias("schema_name"),
+    )
+    cat = roles.catalog(spark, sf)
+    recent = roles.t(spark, sf, "orders").where(F.col("o_orderdate") >= F.lit("2001-01-01"))
+    described = cat.join(
+        recent.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi"
+    ).where(F.col("c_acctbal") >= 0)
+    errors = cat.where(F.col("c_acctbal") < 0).select(*m.K4, F.lit("denied").alias("error"))
+    scans.write_scans(
+        messages, cat, described, errors, f"{path}/out", f"{path}/checkpoint"
+    ).awaitTermination()
+    return jobs.fold_counts(*scans.read_scans(spark, f"{path}/out"))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from shelfmark.operators.jobs import STATE_FIELDS
+from shelfmark.operators.jobs import STATE_FIELDS, decode_messages, scan
+from shelfmark.operators.scope import resolve_owner
 
 
 def read_scan_events(
@@ -73,6 +74,56 @@ def read_job_state(spark: SparkSession, path: str, fields: list[str] | None = No
     return latest.select("job_id", *[F.col(f"{f}.{f}").alias(f) for f in fields])
 
 
+def write_scans(
+    messages: DataFrame,
+    catalog: DataFrame,
+    described: DataFrame,
+    errors: DataFrame,
+    path: str,
+    checkpoint: str,
+) -> StreamingQuery:
+    """G1. Run the scan requests of a message stream: decode, bind owners, expand, fan out.
+
+    Per batch ``jobs``, ``results`` and ``errors`` are written below ``path``; a batch that runs
+    twice writes the same folders again.  A request for an instance that nobody owns fails alone.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        requests = decode_messages(batch).withColumnRenamed("config", "given")
+        owned = resolve_owner(requests, catalog).withColumn(
+            "config", F.coalesce("given", "config")
+        )
+        refused = F.col("error").isNotNull() & F.col("given").isNull()
+        scopes = owned.where(~refused).select(
+            F.col("job_id").alias("scope_id"),
+            "config",
+            "instance",
+            "schema",
+            F.lit(None).cast("string").alias("table"),
+        )
+        results, failed = scan(catalog, scopes, described, errors)
+        refusals = owned.where(refused).select("job_id", "error")
+        frames = {
+            "jobs": requests.select("job_id"),
+            "results": results,
+            "errors": failed.unionByName(refusals, allowMissingColumns=True),
+        }
+        for name, frame in frames.items():
+            frame.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+
+    return (
+        messages.writeStream.foreachBatch(run)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_scans(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Jobs, results and errors written so far, ready for the status fold."""
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("jobs", "results", "errors"))
+
+
 def dedupe_stream(results: DataFrame, keys: list[str], ttl: str = "7 days") -> DataFrame:
     """G5, G8. First result per key; keys are forgotten once ``ttl`` has passed in event time, which
     bounds the state."""
@@ -143,13 +194,3 @@ def abandoned_stream(
         )
     )
 
-
-__all__ = [
-    "abandoned_stream",
-    "dedupe_stream",
-    "read_job_state",
-    "read_kafka_events",
-    "read_scan_events",
-    "write_append",
-    "write_job_state",
-]
