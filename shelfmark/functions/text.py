@@ -54,8 +54,8 @@ def strip(value: str | Column) -> Column:
 
 
 def iso(ts: str | Column) -> Column:
-    """ISO-8601 text of a UTC timestamp; a fraction is written only if there is one."""
-    ts = col(ts)
+    """ISO-8601 text of a timestamp in UTC; a fraction is written only if there is one."""
+    ts = F.to_utc_timestamp(col(ts), F.current_timezone())
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     fraction = F.date_format(ts, ".SSSSSS")
     return F.concat(

@@ -44,23 +44,35 @@ def sanitize_collisions(df: DataFrame) -> DataFrame:
     )
 
 
-def changed_tables(old: DataFrame, new: DataFrame) -> DataFrame:
+def changed_tables(old: DataFrame, new: DataFrame, exact: bool = True) -> DataFrame:
     """D4. Tables whose facts differ in any field, place or number, as ``K4``.
 
     Old and new facts cancel out as a multiset, grouped by whole facts: exact, null-safe, without
     building a table's record, and a table with very many facts spreads over all tasks.
+
+    With ``exact=False`` two 64-bit hashes of every fact are summed per table instead.  That moves
+    one row per table and task, where the exact form moves every fact; two different tables pass
+    for equal with a chance of about 2**-128.
     """
     counted = m.union(
         old.select(*m.FACT_COLUMNS, F.lit(-1).alias("n")),
         new.select(*m.FACT_COLUMNS, F.lit(1).alias("n")),
     )
-    return (
-        counted.groupBy(*m.FACT_COLUMNS)
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") != 0)
-        .select(*m.K4)
-        .distinct()
+    if exact:
+        facts = counted.groupBy(*m.FACT_COLUMNS).agg(F.sum("n").alias("n"))
+        return facts.where(F.col("n") != 0).select(*m.K4).distinct()
+    fields = [c for c in m.FACT_COLUMNS if c not in m.K4]
+    # A hash skips nulls, so the places of nulls are hashed as well.
+    nulls = [F.col(c).isNull() for c in fields]
+    hashes = [F.xxhash64(F.lit(seed), *fields, *nulls) for seed in (1, 2)]
+    sums = counted.groupBy(*m.K4).agg(
+        F.sum("n").alias("n"),
+        *[
+            F.sum(F.col("n") * h.cast("decimal(20,0)")).alias(f"h{i}")
+            for i, h in enumerate(hashes)
+        ],
     )
+    return sums.where((F.col("n") != 0) | (F.col("h0") != 0) | (F.col("h1") != 0)).select(*m.K4)
 
 
 def _own(custom: Column) -> Column:
@@ -77,6 +89,7 @@ def merge_metadata(
     now: Column,
     only_if_changed: bool = False,
     save: bool = True,
+    exact: bool = True,
 ) -> Merged:
     """D3-D6, D14. Bring a scan into the store.
 
@@ -85,7 +98,8 @@ def merge_metadata(
     facts: the row stays as it is, even its documentation; new documentation is not taken over).
     Documentation is kept where the scan brings none, custom fields always.
 
-    With ``save=False`` the store stays as it is and only ``scanned`` carries the merge.
+    With ``save=False`` the store stays as it is and only ``scanned`` carries the merge.  ``exact``
+    is the way to compare, see ``changed_tables``.
     """
     scanned = incoming.tables.select(
         *m.K4, F.col("ai_documentation").alias("new_ai"), F.lit(True).alias("in_scan")
@@ -93,7 +107,7 @@ def merge_metadata(
     if only_if_changed:
         # Facts of tables outside the scan do not matter; a scan of few tables compares few.
         old = existing.facts.join(scanned.select(*m.K4), m.K4, "left_semi")
-        changed = changed_tables(old, incoming.facts).withColumn("changed", F.lit(True))
+        changed = changed_tables(old, incoming.facts, exact).withColumn("changed", F.lit(True))
         scanned = scanned.join(changed, m.K4, "left")
     else:
         scanned = scanned.withColumn("changed", F.lit(True))

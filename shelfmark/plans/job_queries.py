@@ -14,7 +14,7 @@ from shelfmark.operators import jobs
 from shelfmark.plans import roles
 from shelfmark.plans.registry import query
 from shelfmark.plans.roles import CAT, EV, K4_SQL, ORD, t, text_time
-from shelfmark.plans.scope_queries import SCOPES_SQL, _scopes
+from shelfmark.plans.scope_queries import SCOPES_SQL, scopes
 
 AS_OF = "2024-01-20 12:00:00"
 
@@ -54,7 +54,7 @@ def _scan(spark, sf) -> tuple[DataFrame, DataFrame]:
     )
     errors = cat.where(F.col("c_acctbal") < 0).select(*m.K4, F.lit("denied").alias("error"))
     described = described.where(F.col("c_acctbal") >= 0)
-    return jobs.scan(cat, _scopes(spark, sf), described, errors)
+    return jobs.scan(cat, scopes(spark, sf), described, errors)
 
 
 @query(

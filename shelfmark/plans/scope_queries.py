@@ -149,7 +149,7 @@ def listed_kinds(spark, sf):
     return scope.list_tables(_named_schemas(spark, sf).withColumn("kind", kind), by_dialect=True)
 
 
-def _scopes(spark, sf) -> DataFrame:
+def scopes(spark, sf) -> DataFrame:
     """Scopes of every kind: all, each region, each nation, each segment, pairs, each customer by
     name, and suppliers, which are no tables of the catalogue."""
     none = F.lit(None).cast("string")
@@ -196,7 +196,7 @@ expanded AS (SELECT scope_id, cat.config, cat.instance, cat."schema", cat."table
 
 @query("c4_expand_scope", f"WITH {SCOPES_SQL} SELECT scope_id, {K4_SQL} FROM expanded")
 def expand_scope(spark, sf):
-    return scope.expand_scope(roles.catalog(spark, sf), _scopes(spark, sf))
+    return scope.expand_scope(roles.catalog(spark, sf), scopes(spark, sf))
 
 
 @query(
@@ -205,8 +205,8 @@ def expand_scope(spark, sf):
         FROM scopes WHERE scope_id NOT IN (SELECT scope_id FROM expanded)""",
 )
 def unmatched_scopes(spark, sf):
-    scopes = _scopes(spark, sf)
-    return scope.unmatched_scopes(scopes, scope.expand_scope(roles.catalog(spark, sf), scopes))
+    given = scopes(spark, sf)
+    return scope.unmatched_scopes(given, scope.expand_scope(roles.catalog(spark, sf), given))
 
 
 @query(

@@ -13,7 +13,7 @@ from shelfmark.plans import roles
 from shelfmark.plans.registry import query
 from shelfmark.plans.roles import CAT, DOC_K4, K4_SQL, NOW_ISO, ORD, now, t
 from shelfmark.sources import documents
-from shelfmark.sources.store import new_folder, read_store, write_store
+from shelfmark.sources.store import new_folder, read_store, update_store, write_store
 
 
 @query(
@@ -154,17 +154,23 @@ def merge_only_if_changed(spark, sf):
     return shown_tables(store.merge_metadata(old, new, now(), only_if_changed=True).tables)
 
 
-@query(
-    "d4_changed_tables",
-    f"""WITH {SNAPSHOTS_SQL} SELECT {K4_SQL} FROM merged WHERE action = 'update'
-        UNION ALL SELECT DISTINCT {K4_SQL} FROM old_t WHERE c_custkey NOT IN (SELECT c_custkey FROM new_t)
-        UNION ALL SELECT DISTINCT {K4_SQL} FROM new_t WHERE c_custkey NOT IN (SELECT c_custkey FROM old_t)""",
-)
+CHANGED_SQL = f"""WITH {SNAPSHOTS_SQL} SELECT {K4_SQL} FROM merged WHERE action = 'update'
+    UNION ALL SELECT DISTINCT {K4_SQL} FROM old_t WHERE c_custkey NOT IN (SELECT c_custkey FROM new_t)
+    UNION ALL SELECT DISTINCT {K4_SQL} FROM new_t WHERE c_custkey NOT IN (SELECT c_custkey FROM old_t)"""
+
+
+@query("d4_changed_tables", CHANGED_SQL)
 def changed_tables(spark, sf):
     old, new = snapshots(spark, sf)
     return store.changed_tables(old.facts, new.facts)
 
 
+@query("d4_changed_fingerprints", CHANGED_SQL)
+def changed_fingerprints(spark, sf):
+    old, new = snapshots(spark, sf)
+    return store.changed_tables(old.facts, new.facts, exact=False)
+
+
 @query(
     "d3_merged_facts",
     f"""WITH {SNAPSHOTS_SQL} SELECT ord.config, ord.instance, ord."schema", ord."table",
@@ -407,6 +413,25 @@ def store_round_trip(spark, sf):
     )
 
 
+# The store after a scan of one instance: only the schemas that changed are written again.
+@query(
+    "a4_store_update",
+    f"""WITH {SNAPSHOTS_SQL} SELECT ord.config, ord.instance, ord."schema", ord."table",
+          o_orderkey AS position, column_name, o_orderpriority AS data_type
+        FROM ord JOIN merged ON ord.c_custkey = merged.c_custkey
+        WHERE (merged.instance = 'NATION_3' AND action <> 'kept') OR o_orderdate < TIMESTAMP '{CUT}'""",
+)
+def store_update(spark, sf):
+    path = new_folder(spark, "store")
+    old, new = snapshots(spark, sf)
+    write_store(old, path, F.lit("2001-01-01").cast("timestamp"))
+    one = F.col("instance") == "NATION_3"
+    part = read_store(spark, path, config=None, instance="NATION_3")
+    scan = Store(new.tables.where(one), new.facts.where(one))
+    update_store(store.merge_metadata(part, scan, now(), only_if_changed=True), path)
+    return read_store(spark, path).facts.select(*m.K4, "position", "column_name", "data_type")
+
+
 def json_documents(spark, sf) -> DataFrame:
     """Customers' tables as JSON documents."""
     own = roles.store(spark, sf)

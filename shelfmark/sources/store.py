@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark import model as m
-from shelfmark.operators.store import Store
+from shelfmark.operators.store import Merged, Store
 
 _LEVELS = ["config", "instance", "schema"]
+_TABLE_ORDER = m.K4
+_FACT_ORDER = [*m.K4, *m.FACT_ORDER]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,37 +50,76 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _write(df: DataFrame, path: str, order: list[str]) -> None:
+def _write(df: DataFrame, path: str, order: list[str], **options: str) -> None:
     # A range shuffle in the order of the hierarchy keeps the number of files per folder small, and
     # cuts a schema or table that holds most of the rows over many tasks.
-    df.repartitionByRange(*order).write.partitionBy(*_LEVELS).parquet(path)
+    writer = df.repartitionByRange(*order).write.options(**options).partitionBy(*_LEVELS)
+    writer.mode("overwrite" if options else "errorifexists").parquet(path)
 
 
 def write_store(store: Store, path: str, now: Column) -> str:
     """A4. Write a new version and commit it; the version's name."""
     spark = store.tables.sparkSession
     version = uuid.uuid4().hex
-    _write(store.tables.select(*m.TABLE_COLUMNS), f"{path}/versions/{version}/tables", m.K4)
-    _write(store.facts.select(*m.FACT_COLUMNS), f"{path}/versions/{version}/facts", [*m.K4, *m.FACT_ORDER])
+    at = f"{path}/versions/{version}"
+    _write(store.tables.select(*m.TABLE_COLUMNS), f"{at}/tables", _TABLE_ORDER)
+    _write(store.facts.select(*m.FACT_COLUMNS), f"{at}/facts", _FACT_ORDER)
     commit = spark.range(1).select(F.lit(version).alias("version"), now.alias("committed_at"))
     commit.write.mode("append").parquet(f"{path}/commits")
     return version
 
 
-def read_store(spark: SparkSession, path: str) -> Store:
-    """A3. The latest committed version."""
+def update_store(merged: Merged, path: str) -> None:
+    """A4. Bring a merge into the latest version by rewriting only the schemas it changed.
+
+    For scans that touch little of a large store; while it runs, readers may see old and new
+    schemas side by side.  The new rows are written aside first, because the merge reads the
+    store, and then replace their partitions.
+    """
+    spark = merged.tables.sparkSession
+    at = _latest(spark, path)
+    is_written = F.col("action").isin("insert", "update")
+    schemas = merged.tables.where(is_written).select(*_LEVELS).distinct()
+    new = {
+        "tables": (merged.tables.select(*m.TABLE_COLUMNS), _TABLE_ORDER),
+        "facts": (merged.facts.select(*m.FACT_COLUMNS), _FACT_ORDER),
+    }
+    aside = {
+        part: written(rows.join(schemas, _LEVELS, "left_semi"), part)
+        for part, (rows, _) in new.items()
+    }
+    for part, (_, order) in new.items():
+        _write(aside[part], f"{at}/{part}", order, partitionOverwriteMode="dynamic")
+
+
+def _latest(spark: SparkSession, path: str) -> str:
     commits = spark.read.schema("version string, committed_at timestamp").parquet(f"{path}/commits")
     latest = commits.orderBy(F.desc("committed_at"), F.desc("version")).first()["version"]
-    at = f"{path}/versions/{latest}"
-    names = ", ".join(f"`{k}` STRING" for k in _LEVELS)
-    tables = ", ".join(f"{n} {t}" for n, t in m.TABLE_FIELDS.items())
-    facts = ", ".join(f"{n} {t}" for n, t in {"section": "string", **m.FACT_FIELDS}.items())
-    read = lambda part, fields: spark.read.schema(
-        f"`table` STRING, {fields}, {names}"
-    ).parquet(f"{at}/{part}")
+    return f"{path}/versions/{latest}"
+
+
+def read_store(
+    spark: SparkSession,
+    path: str,
+    config: str | None = None,
+    instance: str | None = None,
+    schema: str | None = None,
+) -> Store:
+    """A3. The latest committed version, or its part within the given names (folders are pruned)."""
+    at = _latest(spark, path)
+    levels = ", ".join(f"`{k}` STRING" for k in _LEVELS)
+
+    def read(part: str, fields: dict[str, str]) -> DataFrame:
+        columns = ", ".join(f"{n} {t}" for n, t in fields.items())
+        rows = spark.read.schema(f"`table` STRING, {columns}, {levels}").parquet(f"{at}/{part}")
+        for level, name in zip(_LEVELS, (config, instance, schema)):
+            if name is not None:
+                rows = rows.where(F.col(level) == name)
+        return rows
+
     return Store(
-        read("tables", tables).select(*m.TABLE_COLUMNS),
-        read("facts", facts).select(*m.FACT_COLUMNS),
+        read("tables", m.TABLE_FIELDS).select(*m.TABLE_COLUMNS),
+        read("facts", {"section": "string", **m.FACT_FIELDS}).select(*m.FACT_COLUMNS),
     )
 
 

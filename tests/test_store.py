@@ -10,7 +10,7 @@ from shelfmark.functions.text import document_path, iso, metadata_key, sanitize
 from shelfmark.operators import store as ops
 from shelfmark.operators.store import Store
 from shelfmark.sources import documents
-from shelfmark.sources.store import new_folder, read_store, write_store
+from shelfmark.sources.store import new_folder, read_store, update_store, write_store
 
 OLD, NEW = datetime(2024, 1, 1), datetime(2024, 2, 2, 3, 4, 5, 600)
 
@@ -92,11 +92,14 @@ def test_merge_without_saving(spark):
         ([column("a"), column("b", 2)], [column("b"), column("a", 2)], True),
         ([column("a")], [column("a"), column("a")], True),
         ([column("a"), column("b", 2)], [column("b", 2), column("a")], False),
+        ([column("a", default_value="x")], [column("a", comment="x")], True),
+        ([column("a")] * 2, [column("b")] * 2, True),
     ],
 )
 def test_change_detection(spark, old, new, changed):
     frame = lambda given: facts(spark, *[("t", "column", f) for f in given])
-    assert ops.changed_tables(frame(old), frame(new)).count() == int(changed)
+    for exact in (True, False):
+        assert ops.changed_tables(frame(old), frame(new), exact).count() == int(changed)
 
 
 def test_system_fields_are_not_custom(spark):
@@ -226,6 +229,26 @@ def test_store_versions(spark):
     assert rows(ops.get_table(got.tables, "c", "i", "s", "fresh"), "updated_at") == [(NEW,)]
 
 
+def test_update_rewrites_only_changed_schemas(spark):
+    path = new_folder(spark, "test-store")
+    own = existing(spark)
+    elsewhere = lambda df: df.unionByName(df.withColumn("schema", F.lit("s2")))
+    write_store(Store(elsewhere(own.tables), elsewhere(own.facts)), path, F.lit(OLD))
+    files = lambda df, schema: {f for f in df.inputFiles() if f"schema={schema}/" in f}
+    before = read_store(spark, path)
+    kept, replaced = files(before.facts, "s2"), files(before.facts, "s")
+    scoped = read_store(spark, path, "c", "i", "s")
+    assert {r[0] for r in rows(scoped.facts, "schema")} == {"s"}
+    merged = ops.merge_metadata(scoped, incoming(spark), now(), only_if_changed=True)
+    expected = rows(merged.facts)
+    update_store(merged, path)
+    after = read_store(spark, path)
+    assert kept and replaced
+    assert rows(after.facts.where("schema = 's'")) == expected
+    assert rows(after.tables.where("schema = 's'"), "table") == [(t,) for t in ("absent", "changed", "fresh", "same")]
+    assert files(after.facts, "s2") == kept and not files(after.facts, "s") & replaced
+
+
 def test_documents_round_trip(spark):
     from shelfmark.operators.describe import nest
 
