@@ -105,9 +105,11 @@ def merge_metadata(
         *m.K4, F.col("ai_documentation").alias("new_ai"), F.lit(True).alias("in_scan")
     )
     if only_if_changed:
-        # Facts of tables outside the scan do not matter; a scan of few tables compares few.
-        old = existing.facts.join(scanned.select(*m.K4), m.K4, "left_semi")
-        changed = changed_tables(old, incoming.facts, exact).withColumn("changed", F.lit(True))
+        # Tables outside the scan come out as changed too, but find no row here.  To leave them out
+        # of the comparison, read only the scanned part of the store.
+        changed = changed_tables(existing.facts, incoming.facts, exact).withColumn(
+            "changed", F.lit(True)
+        )
         scanned = scanned.join(changed, m.K4, "left")
     else:
         scanned = scanned.withColumn("changed", F.lit(True))

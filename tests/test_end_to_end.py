@@ -70,7 +70,7 @@ def test_sqlite_to_documents(spark):
         [("i", "main", "users", 1, {"owner": '"crm"'})],
         "instance string, schema string, table string, seq int, payload map<string,string>",
     )
-    path = new_folder(spark, "pipeline")
+    path = new_folder(spark, "end-to-end")
     write_store(Store(merged.tables, merged.facts), path, at(1))
     stored = read_store(spark, path)
     write_store(Store(store.annotate(stored.tables, patches, at(2)), stored.facts), path, at(2))
