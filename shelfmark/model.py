@@ -71,6 +71,8 @@ PENDING, RUNNING, COMPLETED, PARTIAL, FAILED = (
 # Export formats.
 MARKDOWN, OKF = "markdown", "okf"
 FORMATS = [MARKDOWN, OKF]
+# Folder of each format's files; the knowledge bundle is a folder of its own.
+FORMAT_FOLDERS = {MARKDOWN: "markdown", OKF: "okf/catalog"}
 
 NAME_TYPES = T.StructType([T.StructField(name, T.StringType(), False) for name in K4])
 

@@ -20,7 +20,7 @@ NOW_ISO = "2024-06-01T12:00:00+00:00"
 
 
 def now() -> Column:
-    return F.lit(NOW).cast("timestamp")
+    return F.lit(f"{NOW}Z").cast("timestamp")
 
 
 # Columns of the given tables; declared, so that opening a table reads no file.
@@ -241,7 +241,7 @@ def tables(spark: SparkSession, sf: str) -> DataFrame:
     ai = F.struct(
         F.concat(F.lit("Orders of "), F.col("table")).alias("summary"),
         F.when(F.col("newest").isNotNull(), described).alias("column_descriptions"),
-        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("generated_at"),
+        F.lit("2024-01-01 00:00:00Z").cast("timestamp").alias("generated_at"),
         F.lit("m").alias("model"),
     )
     custom = F.create_map(
@@ -253,7 +253,7 @@ def tables(spark: SparkSession, sf: str) -> DataFrame:
         known,
         ai_documentation=F.when(has_text, ai),
         custom=custom,
-        updated_at=F.lit("2024-01-01 00:00:00").cast("timestamp"),
+        updated_at=F.lit("2024-01-01 00:00:00Z").cast("timestamp"),
     )
 
 
@@ -286,7 +286,7 @@ def document_tables(spark: SparkSession, sf: str) -> DataFrame:
         named,
         ai_documentation=ai,
         custom=F.create_map(F.lit("owner"), json_text(F.col("instance"))),
-        updated_at=F.lit("2024-01-01 00:00:00").cast("timestamp"),
+        updated_at=F.lit("2024-01-01 00:00:00Z").cast("timestamp"),
     )
 
 

@@ -107,7 +107,7 @@ def snapshots(spark, sf) -> tuple[Store, Store]:
         custom=F.create_map(
             F.lit("owner"), roles.json_text(F.col("instance")), F.lit("table_name"), F.lit('"x"')
         ),
-        updated_at=F.lit("2001-01-01 00:00:00").cast("timestamp"),
+        updated_at=F.lit("2001-01-01 00:00:00Z").cast("timestamp"),
     )
     new = m.tables(
         scanned.select(*m.K4).distinct(),
@@ -279,8 +279,8 @@ def annotated_facts(spark, sf):
 def stale_patches(spark, sf):
     based = patches(spark, sf).withColumn(
         "based_on",
-        F.when(F.map_contains_key("payload", "toxic"), F.lit("2023-01-01"))
-        .otherwise(F.lit("2024-01-01"))
+        F.when(F.map_contains_key("payload", "toxic"), F.lit("2023-01-01 00:00:00Z"))
+        .otherwise(F.lit("2024-01-01 00:00:00Z"))
         .cast("timestamp"),
     )
     return store.stale_patches(roles.document_tables(spark, sf), based).select(

@@ -131,7 +131,7 @@ def write_exports(documents: DataFrame, path: str) -> None:
 
 
 def publish_files(documents: DataFrame, root: str) -> None:
-    """A5. One file per document below ``root``, a folder that every executor mounts.
+    """A5. One file per document below its format's folder in ``root``, which executors mount.
 
     Parts of a document reach one task in order and are streamed to a temporary file beside the
     target, which then replaces it, so a reader sees the old or the new file and a task that runs
@@ -146,7 +146,7 @@ def publish_files(documents: DataFrame, root: str) -> None:
 
         handle, target = None, None
         for row in rows:
-            path = f"{root}/{row.format}/{row.path}"
+            path = f"{root}/{m.FORMAT_FOLDERS[row.format]}/{row.path}"
             if path != target:
                 if handle:
                     finish(handle, target)

@@ -206,7 +206,7 @@ def test_published_files_are_whole_and_replaced(spark):
     )
     publish_files(docs, root)
     publish_files(docs.withColumn("content", F.upper("content")), root)
-    read = lambda p: open(f"{root}/okf/{p}", encoding="utf-8").read()
+    read = lambda p: open(f"{root}/okf/catalog/{p}", encoding="utf-8").read()
     assert read("a/x.md") == "ONE\nTWO" and read("a/y.md") == "É"
-    assert os.stat(f"{root}/okf/a/x.md").st_mode & 0o777 == 0o644
-    assert sorted(os.listdir(f"{root}/okf/a")) == ["x.md", "y.md"]
+    assert os.stat(f"{root}/okf/catalog/a/x.md").st_mode & 0o777 == 0o644
+    assert sorted(os.listdir(f"{root}/okf/catalog/a")) == ["x.md", "y.md"]
