@@ -40,6 +40,8 @@ def test_state_over_batches_equals_state_at_once(spark):
 
     expected = rows(jobs.job_state(spark.read.schema(EVENT).parquet(path), ["ts", "seq"], fields))
     assert run() == expected == [("j", "completed", "late"), ("k", "pending", None)]
+    # One file per batch, as the source is told.
+    assert spark.read.parquet(out).select("batch").distinct().count() == 3
     # More input later goes on from the checkpoint.
     spark.createDataFrame([("k", 9, sec(9), "failed", "x")], EVENT).write.mode("append").parquet(path)
     assert run() == [("j", "completed", "late"), ("k", "failed", "x")]
