@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,18 +24,18 @@ _FACT_ORDER = [*m.K4, *m.FACT_ORDER]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where unset, one of our own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-
-
-@cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="shelfmark-")
+    """The folder all executors share: ``spark.checkpoint.dir``, or where unset, below the warehouse."""
+    own = f"{spark.conf.get('spark.sql.warehouse.dir')}/shelfmark-run"
+    return spark.conf.get("spark.checkpoint.dir", None) or own
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder name below the shared folder; the folder is removed when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(hadoop).deleteOnExit(place)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
