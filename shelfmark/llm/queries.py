@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, mixing, quality, shards, tokens
+from shelfmark.llm import chat, decontaminate, minmax, mixing, quality, shards, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,7 +30,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers import this package; in local mode they may have been started elsewhere.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -101,6 +107,55 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_min_max_near_duplicates")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near copies."""
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_decontamination",
+    """
+    WITH split AS (
+      SELECT doc_id, regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents),
+    items AS (
+      SELECT item_id, regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark),
+    windows AS (
+      SELECT DISTINCT item_id, least(len(w), 10) AS n,
+             array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS phrase
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i
+            FROM items WHERE len(w) > 0)),
+    lengths AS (SELECT DISTINCT n FROM windows),
+    runs AS (
+      SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+            FROM split, lengths WHERE len(w) >= n)),
+    hits AS (SELECT doc_id, i, n, item_id FROM runs JOIN windows USING (n, phrase)),
+    words AS (
+      SELECT doc_id, count(DISTINCT p) AS n_hit
+      FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+    found AS (
+      SELECT doc_id, count(DISTINCT item_id) AS n_items,
+             sha256(array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',')) AS s
+      FROM hits GROUP BY doc_id)
+    SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+           coalesce(n_items, 0)::BIGINT AS n_items, coalesce(s, sha256('')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated
+    FROM split LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document is in the benchmark."""
+    documents, benchmark = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontaminate.contamination(decontaminate.build_index(documents, benchmark)).drop("variant")
+
+
 # DuckDB's md5 keys give the same order, blocks and draws, so every taken word can be recounted.
 @query(
     "op9_mixture",
