@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, decontaminate, minmax, mixing, quality, shards, tokens
+from shelfmark.llm import chat, classifier, decontaminate, minmax, mixing, quality, shards, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,6 +97,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), path, limit=512)
 
 
+@query("op4_nearest_neighbour_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, from labels that are not held out."""
+    documents, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return classifier.scores(documents, classifier.learn(documents, labels))
+
+
 @query("op5_shards")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot."""
