@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, classifier, decontaminate, minmax, mixing, quality, shards, tokens
+from shelfmark.llm import chat, classifier, decontaminate, lines, minmax, mixing, quality, shards, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,6 +114,57 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op6_line_winnowing",
+    r"""
+    WITH numbered AS (
+      SELECT doc_id, pos - 1 AS pos,
+             regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line,
+             len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+      FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+            FROM documents)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    summed AS (
+      SELECT *, row_number() OVER w AS k, (sum(n) OVER w)::BIGINT AS after, (sum(n) OVER w - n)::BIGINT AS before
+      FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+    windows AS (
+      SELECT doc_id, min(k) OVER f AS a, max(k) OVER f AS b, min(pos) OVER f AS p, max(pos) OVER f AS q,
+             sum(n) OVER f AS words, list(line) OVER f AS content
+      FROM summed WINDOW f AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+      UNION ALL
+      SELECT doc_id, min(k) OVER f, max(k) OVER f, min(pos) OVER f, max(pos) OVER f, sum(n) OVER f, list(line) OVER f
+      FROM summed WINDOW f AS (PARTITION BY doc_id ORDER BY after RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+    whole AS (SELECT DISTINCT doc_id, a, b, p, q, content FROM windows WHERE words >= 50),
+    later AS (
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, a) AS nth FROM whole)
+      WHERE nth > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(p, q + 1)) AS pos FROM later),
+    gone_lines AS (
+      SELECT doc_id, count(*) AS n_removed,
+             count(*) FILTER (k IS DISTINCT FROM before_k + 1) AS n_runs
+      FROM (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before_k
+            FROM summed SEMI JOIN gone USING (doc_id, pos))
+      GROUP BY doc_id),
+    kept AS (
+      SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS text_md5
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                   generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
+      ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(s.n_lines, 0)::BIGINT AS n_lines, coalesce(g.n_removed, 0)::BIGINT AS n_removed,
+           coalesce(g.n_runs, 0)::BIGINT AS n_runs,
+           CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text_md5, md5('')) END AS text_md5
+    FROM documents d
+    LEFT JOIN (SELECT doc_id, count(*) AS n_lines FROM numbered GROUP BY doc_id) s USING (doc_id)
+    LEFT JOIN gone_lines g USING (doc_id) LEFT JOIN kept k USING (doc_id)
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines and the digest of its text without repeated runs."""
+    cleaned = lines.without_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5("text").alias("text_md5"))
+
+
 @query("op7_min_max_near_duplicates")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near copies."""
