@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, classifier, decontaminate, lines, minmax, mixing, quality, shards, tokens
+from shelfmark.llm import chat, classifier, decontaminate, lines, minmax, mixing, quality, shards, surrogates, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -278,3 +278,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(
         "doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken", "source"
     )
+
+
+@query("op10_surrogates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for the personal data in it."""
+    return surrogates.with_surrogates(table(spark, sf_dir, "documents"))
