@@ -139,13 +139,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     later AS (
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, a) AS nth FROM whole)
       WHERE nth > 1),
-    gone AS (SELECT DISTINCT doc_id, unnest(range(p, q + 1)) AS pos FROM later),
-    gone_lines AS (
-      SELECT doc_id, count(*) AS n_removed,
-             count(*) FILTER (k IS DISTINCT FROM before_k + 1) AS n_runs
-      FROM (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before_k
-            FROM summed SEMI JOIN gone USING (doc_id, pos))
-      GROUP BY doc_id),
+    hit AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS k FROM later),
+    runs AS (  -- consecutive lines with words; what lies between them goes too
+      SELECT doc_id, min(pos) AS p, max(pos) AS q, count(*) AS n FROM (
+        SELECT doc_id, pos, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run
+        FROM hit JOIN summed USING (doc_id, k))
+      GROUP BY doc_id, run),
+    gone AS (SELECT doc_id, unnest(range(p, q + 1)) AS pos FROM runs),
+    gone_lines AS (SELECT doc_id, sum(n) AS n_removed, count(*) AS n_runs FROM runs GROUP BY doc_id),
     kept AS (
       SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS text_md5
       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,

@@ -1,0 +1,142 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import defaultdict
+
+from tests_llm_words import WORDS
+
+from shelfmark.llm import lines, surrogates
+
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def brute(rows, least):
+    """Places of deleted lines by row, from all windows of all texts."""
+    first, gone, found = {}, defaultdict(set), []
+    for k, (i, text, _) in enumerate(rows):
+        kept = [(p, x.strip(SPACES), len(WORDS.findall(x))) for p, x in enumerate((text or "").split("\n"))]
+        kept = [x for x in kept if x[2]]
+        spans = set()
+        for a in range(len(kept)):
+            for step in (1, -1):
+                b, words = a, kept[a][2]
+                while words < least and 0 <= b + step < len(kept):
+                    b += step
+                    words += kept[b][2]
+                if words >= least:
+                    spans.add((min(a, b), max(a, b)))
+        for a, b in spans:
+            found.append((i, text or "", a, tuple(x[1] for x in kept[a : b + 1]), k))
+    order = sorted(found, key=lambda f: (f[0], f[2]))
+    for i, text, a, content, k in order:
+        at = first.setdefault(content, (i, text, a))
+        if at != (i, text, a):
+            gone[k].update(range(a, a + len(content)))
+    places = {}
+    for k, hit in gone.items():
+        text = (rows[k][1] or "").split("\n")
+        kept = [p for p, x in enumerate(text) if WORDS.search(x)]
+        # Lines without words between two deleted lines go too.
+        between = [range(kept[a], kept[a + 1] + 1) for a in hit if a + 1 in hit]
+        places[k] = {kept[a] for a in hit}.union(*between)
+    return defaultdict(set, places)
+
+
+def test_repeated_runs(make_docs):
+    rnd = random.Random(4)
+    line = lambda n: " ".join(f"w{rnd.randrange(900)}" for _ in range(n))
+    pool = [line(rnd.choice([1, 3, 8, 20, 60])) for _ in range(40)]
+    rows = []
+    for i in range(80):
+        parts = [line(rnd.randrange(1, 15)) for _ in range(rnd.randrange(0, 6))]
+        for _ in range(rnd.randrange(0, 3)):
+            at, k = rnd.randrange(0, len(parts) + 1), rnd.randrange(0, 36)
+            parts[at:at] = [rnd.choice(["", " ", "\t"]) + x for x in pool[k : k + rnd.randrange(1, 5)]]
+        rows.append((i, rnd.choice(["\n", "\n\n"]).join(parts), None))
+    rows += [(100, None, None), (101, "", None), (102, "\n \n", None), (103, "\n".join([pool[0]] * 30), None),
+             (104, "\n".join(line(9) for _ in range(3000)), None)]
+    rows += [(105, rows[-1][1], None)]
+    gone = brute(rows, 20)
+    assert sum(map(bool, gone.values())) > 20
+    got = {r.doc_id: r for r in lines.without_repeats(make_docs(rows), min_words=20).collect()}
+    for k, (i, text, _) in enumerate(rows):
+        parts = (text or "").split("\n")
+        want = None if text is None else "\n".join(x for p, x in enumerate(parts) if p not in gone[k])
+        assert got[i].text == want, (i, sorted(gone[k]))
+        assert got[i].n_lines == sum(bool(WORDS.search(x)) for x in parts)
+        assert got[i].n_removed == sum(bool(WORDS.search(x)) for p, x in enumerate(parts) if p in gone[k])
+
+
+def test_long_passage_of_one_line(make_docs):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, f"head one\n{passage}\ntail one", None), (2, f"{passage}", None), (3, f"a\n  {passage} \nb", None)]
+    rows += [(4, "head one\ntail one", None), (None, passage, None)]
+    got = {r.doc_id: r.text for r in lines.without_repeats(make_docs(rows)).collect()}
+    # Null ids come first, so the passage stays there.
+    assert got == {1: "head one\ntail one", 2: "", 3: "a\nb", 4: "head one\ntail one", None: passage}
+    assert lines.without_repeats(make_docs([])).count() == 0
+
+
+def test_entities_are_found():
+    text = (
+        "Write to Jean.Dupont@mail.example.org, call +1 (706) 555-3138 or 706-555-3138 from 97.51.17.173; "
+        'card 4111-1111-1111-1111, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" for Mrs Anna Smith. '
+        "Version 4.0.2 of 2024, page 12, MS word, dr no, pi is 3.14159 and 1.2.3.4.5."
+    )
+    kinds = [f.kind for f in surrogates.find(text)]
+    assert kinds == ["email", "phone", "phone", "ip", "card", "secret", "given", "family"]
+    assert surrogates.find("Nothing personal in here, only version 3 and CC BY-NC 4.0.") == []
+
+
+def test_surrogates_keep_type_format_and_persons_apart():
+    text = (
+        "Mr. John Smith met Mrs Anna Smith. MR. JOHN SMITH, Dr Clara Weiß, Госпожа Анна Петрова. "
+        "4111-1111-1111-1111 4111111111111111 1234567812345678 +1 (706) 555-3138 706-555-3138 "
+        "A.B@x.example A.C@x.example a.b@x.example"
+    )
+    new, found = surrogates.replaced(text, {}, b"key")
+    said = [text[f.start : f.end] for f in found]
+    assert not any(re.search(rf"(?<!\w){re.escape(s)}(?!\w)", new) for s in said)
+    m = re.match(r"Mr\. (\w+) (\w+) met Mrs (\w+) (\w+)\. MR\. (\w+) (\w+), Dr (\w+) (\w+), Госпожа ([а-яА-Я]+) ([а-яА-Я]+)\. ", new)
+    john, smith, anna, also, upper_john, upper_smith, clara, _, анна, _ = m.groups()
+    assert smith == also and upper_john == john.upper() and upper_smith == smith.upper()
+    assert john in surrogates.GIVEN["LATIN", "male"] and anna in surrogates.GIVEN["LATIN", "female"]
+    assert clara in surrogates.GIVEN["LATIN", "female"] and анна in surrogates.GIVEN["CYRILLIC", "female"]
+    dashed, plain, invalid = re.findall(r"(\d{4}-\d{4}-\d{4}-\d{4}) (\d{16}) (\d{16})", new)[0]
+    assert dashed.replace("-", "") == plain and surrogates._luhn(plain) == 0
+    assert surrogates._luhn(invalid) == surrogates._luhn("1234567812345678")
+    phones = re.search(r"\+1 \((\d{3})\) (\d{3})-(\d{4}) (\d{3})-(\d{3})-(\d{4})", new).groups()
+    assert phones[:3] == phones[3:]
+    ab, ac, again = re.findall(r"\S+@\S+", new)
+    assert ab == again and ab != ac and ab.split("@")[1] == ac.split("@")[1]
+    assert surrogates.replaced(text, {}, b"other")[0] != new
+    assert surrogates.replaced(text, {}, b"key")[0] == new
+
+
+def test_collisions_are_drawn_again(spark, monkeypatch):
+    real = [("given", f"male:name{k}") for k in range(400)] + [("family", f"smith{k}") for k in range(300)]
+    taken = surrogates.surrogate("family", "smith0", 0, b"k")
+    real += [("family", taken), ("given", "male:adam")]
+    occurrences = spark.createDataFrame([(1, 0, *x) for x in real], "doc_id long, variant long, kind string, value string")
+    draws = {(r.kind, r.value): r.draw for r in surrogates.redrawn(occurrences, b"k").collect()}
+    assert draws["family", "smith0"] > 0
+    drawn = {x: surrogates.surrogate(*x, draws.get(x, 0), b"k") for x in real}
+    assert len({(k, s) for (k, _), s in drawn.items()}) == len(real)
+    assert not {(k, s) for (k, _), s in drawn.items()} & set(real)
+
+
+def test_table(spark, make_docs):
+    rows = [(1, None, None), (2, "", None), (3, "clean text", None), (4, "mail a.b@c.org now", None), (4, "mail a.b@c.org now", None),
+            (5, "A.B@C.ORG!!", None), (None, "Mr Smith", None), (6, "x " * 200_000 + "10.1.2.3", None),
+            *[(10 + k, f"Mr Smith{k} and Herr Smith{k}", None) for k in range(30)]]
+    rows = [(i, re.sub(r"Smith(\d+)", lambda m: "Smith" + "abcdefghij"[int(m[1]) % 10] * (1 + int(m[1]) // 10), t or "") if t else t, s) for i, t, s in rows]
+    got = surrogates.with_surrogates(make_docs(rows)).collect()
+    assert len(got) == len(rows)
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[1].text is None and by_id[2].text == "" and by_id[3].text == "clean text"
+    assert by_id[5].text == by_id[4].text.split()[1].upper() + "!!" and by_id[4].n_email == 1
+    assert "10.1.2.3" not in by_id[6].text and len(by_id[6].text) >= 400_000
+    families = {by_id[10 + k].text.split()[1] for k in range(30)}
+    assert len(families) == 30 and all(by_id[10 + k].text.split()[1] == by_id[10 + k].text.split()[4] for k in range(30))
+    assert surrogates.with_surrogates(make_docs([])).count() == 0
