@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shelfmark import model as m
 from shelfmark.functions.text import code, non_empty, strip
 from shelfmark.functions.types import BSON_TYPES, DYNAMO_TYPES, normalise_type
-from shelfmark.operators.lists import PER_ROW, long_keys, with_part
+from shelfmark.operators.lists import PART_ITEMS, ordered_list, with_part
 
 TABLE_SCHEMA = {"table_schema": "schema", "table_name": "table"}
 
@@ -613,48 +613,34 @@ def not_found(targets: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def describe_tables(*parts: DataFrame, per_row: int = PER_ROW) -> DataFrame:
-    """B14. All facts of every table as one nested record per table.
-
-    The facts are a plain union, nested by one shuffle on K4 (and ``part``); no joins of lists.
-    A missing list is empty, a missing key null.  A table with more than ``per_row`` facts comes
-    as several rows with rising ``part``, each holding a consecutive stretch of its facts, so no
-    task builds an unbounded record.  The facts are read twice (the count first): pass a written
-    table if computing them is costly.
-    """
-    return nest(m.union(*parts), per_row)
+def describe_tables(*parts: DataFrame, per_part: int = PART_ITEMS) -> DataFrame:
+    """B14. All facts of every table as nested records, see ``nest``; no joins of lists."""
+    return nest(m.union(*parts), per_part)
 
 
-def nest(facts: DataFrame, per_row: int = PER_ROW) -> DataFrame:
+def nest(facts: DataFrame, per_part: int = PART_ITEMS) -> DataFrame:
     """Facts as nested records ``K4, part, columns, primary_key, sort_key, foreign_keys, indexes,
-    partitions``."""
-    is_in = lambda section: F.col("section") == section
-
-    def listed(section: str, *fields: str) -> Column:
-        order = ["item", "position", "column_name", "referenced_column"]
-        rows = F.collect_list(F.when(is_in(section), F.struct(*order, *_not_in(fields, order))))
-        return F.transform(
-            F.sort_array(rows), lambda r: F.struct(*[r[f].alias(f) for f in fields])
-        )
+    partitions``.
 
-    grouped = (
-        with_part(facts, m.K4, m.FACT_ORDER, long_keys(facts, m.K4, per_row))
-        .groupBy(*m.K4, "part")
-        .agg(
-            listed(
-                m.COLUMN,
-                "position", "column_name", "data_type", "is_nullable", "default_value", "comment",
-            ).alias("columns"),
-            listed(m.PRIMARY_KEY, "column_name").alias("key"),
-            listed(m.SORT_KEY, "column_name").alias("sort"),
-            listed(
-                m.FOREIGN_KEY, "item", "column_name", "referenced_table", "referenced_column"
-            ).alias("references"),
-            listed(
-                m.INDEX, "item", "column_name", "is_unique", "is_primary", "index_type"
-            ).alias("index_columns"),
-            listed(m.PARTITION, "column_name", "data_type", "comment").alias("partitions"),
-        )
+    A record holds ``per_part`` consecutive facts of its table in the order ``FACT_ORDER``, so most
+    tables have one, with part 0.  The facts are brought together in that order once, as one list
+    per record, and split by section within the row.  A missing list is empty, a missing key null.
+    """
+    # Fields that tie are ordered by the rest of the fact.
+    rest = [f for f in m.FACT_FIELDS if f not in m.FACT_ORDER]
+    placed = with_part(facts.select(*m.FACT_COLUMNS), m.K4, [*m.FACT_ORDER, *rest], per_part)
+    fact = F.struct("rank", "section", *m.FACT_FIELDS)
+    listed = placed.groupBy(*m.K4, "part").agg(ordered_list(fact).alias("facts"))
+    of = lambda section: F.filter("facts", lambda f: f["section"] == section)
+    grouped = listed.select(
+        *m.K4,
+        "part",
+        of(m.COLUMN).alias("columns"),
+        of(m.PRIMARY_KEY).alias("key"),
+        of(m.SORT_KEY).alias("sort"),
+        of(m.FOREIGN_KEY).alias("references"),
+        of(m.INDEX).alias("index_columns"),
+        of(m.PARTITION).alias("partition_columns"),
     )
     key_names = F.transform("key", lambda k: k["column_name"])
     return grouped.select(
@@ -681,23 +667,37 @@ def nest(facts: DataFrame, per_row: int = PER_ROW) -> DataFrame:
                 F.nullif(r["item"], F.lit("")).alias("constraint_name"),
             ),
         ).alias("foreign_keys"),
-        _by_index(F.col("index_columns")).alias("indexes"),
-        "partitions",
+        _by_index().alias("indexes"),
+        F.transform(
+            "partition_columns",
+            lambda c: F.struct(
+                c["column_name"].alias("column_name"),
+                c["data_type"].alias("data_type"),
+                c["comment"].alias("comment"),
+            ),
+        ).alias("partitions"),
     )
 
 
-def _not_in(fields: tuple[str, ...], order: list[str]) -> list[str]:
-    return [f for f in fields if f not in order]
+def _by_index() -> Column:
+    """Sorted index columns of one record gathered by index name.
 
+    Columns of an index stand together, so an index is the stretch from where its name begins to
+    where the next one does: one pass, however many indexes there are.
+    """
+    begins = (
+        "filter(sequence(0, size(index_columns) - 1), i -> i = 0 OR "
+        "NOT index_columns[i].item <=> index_columns[i - 1].item)"
+    )
+    starts = F.when(F.size("index_columns") > 0, F.expr(begins)).otherwise(
+        F.array().cast("array<int>")
+    )
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size("index_columns")))
 
-def _by_index(index_columns: Column) -> Column:
-    """Sorted index columns of one record gathered by index name."""
-    names = F.array_distinct(F.transform(index_columns, lambda c: c["item"]))
-
-    def one(name: Column) -> Column:
-        own = F.filter(index_columns, lambda c: c["item"] == name)
+    def one(start: Column, end: Column) -> Column:
+        own = F.slice("index_columns", start + 1, end - start)
         return F.struct(
-            name.alias("name"),
+            own[0]["item"].alias("name"),
             F.filter(
                 F.transform(own, lambda c: c["column_name"]), lambda c: c.isNotNull()
             ).alias("column_names"),
@@ -706,4 +706,4 @@ def _by_index(index_columns: Column) -> Column:
             own[0]["index_type"].alias("type"),
         )
 
-    return F.transform(names, one)
+    return F.filter(F.zip_with(starts, ends, lambda a, b: F.when(a.isNotNull(), one(a, b))), lambda x: x.isNotNull())

@@ -19,9 +19,10 @@ SYSTEM_MESSAGE = (
 
 
 def build_prompts(nested: DataFrame) -> DataFrame:
-    """F1. One prompt per described table ``K4, part, prompt`` from ``describe.nest``.
+    """F1. One prompt per record ``K4, part, prompt`` from ``describe.nest``.
 
-    A very wide table, which comes in several parts, gives one prompt per part.
+    A very wide table, which has several records, gives one prompt per part; ``joined`` brings the
+    replies together again.
     """
     as_json = lambda c: F.to_json(F.col(c), {"ignoreNullFields": "false"})
     prompt = F.concat_ws(
@@ -41,6 +42,42 @@ def build_prompts(nested: DataFrame) -> DataFrame:
     return nested.select(*m.K4, "part", prompt.alias("prompt"))
 
 
+def joined(replies: DataFrame) -> DataFrame:
+    """Parsed replies of a table's parts as one row per table ``K4, ai_documentation,
+    ai_generation_status, ai_generation_error``.
+
+    The summary is that of the first part that has one; descriptions of columns are those of all
+    parts, as each describes its own columns; failed if all parts are.  There is a part per
+    ``PART_ITEMS`` facts, so what is brought together is small.
+    """
+    ai, status = F.col("ai_documentation"), F.col("ai_generation_status")
+    descriptions = F.flatten(
+        F.collect_list(F.struct("part", F.map_entries(ai["column_descriptions"]).alias("e")))["e"]
+    )
+    named = F.aggregate(
+        descriptions,
+        F.create_map().cast("map<string,string>"),
+        lambda all_, e: F.map_concat(
+            all_, F.map_filter(F.map_from_entries(F.array(e)), lambda k, v: ~F.map_contains_key(all_, k))
+        ),
+    )
+    first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("part")))
+    grouped = replies.groupBy(*m.K4).agg(
+        first(ai["summary"]).alias("summary"), named.alias("column_descriptions"),
+        F.max(ai["generated_at"]).alias("generated_at"), F.max(ai["model"]).alias("model"),
+        F.max(ai.isNotNull()).alias("any"),
+        F.max(F.when(status == "generated", status)).alias("generated"),
+        first(F.col("ai_generation_error")).alias("error"),
+    )
+    parts = ["summary", "column_descriptions", "generated_at", "model"]
+    return grouped.select(
+        *m.K4,
+        F.when(F.col("any"), F.struct(*parts)).cast(m.AI_TYPE).alias("ai_documentation"),
+        F.coalesce("generated", F.lit("failed")).alias("ai_generation_status"),
+        F.when(F.col("generated").isNull(), F.col("error")).alias("ai_generation_error"),
+    )
+
+
 def generate(
     prompts: DataFrame,
     call: Callable[[str, str], str],

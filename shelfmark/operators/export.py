@@ -24,7 +24,8 @@ from shelfmark.functions.text import (
     quoted,
     unquoted,
 )
-from shelfmark.operators.lists import PER_ROW, PER_ROW_LARGE, Long, long_keys, ordered_text
+from shelfmark.operators.lists import PART_ITEMS, ordered_text
+from shelfmark.operators.ranks import ranked
 from shelfmark.operators.store import Store
 
 # Words and layout of the documents.
@@ -263,25 +264,26 @@ def pieces(store: Store, okf: bool = False) -> DataFrame:
     )
 
 
-def _documents(store: Store, okf: bool, long: Long | None) -> DataFrame:
+def _documents(store: Store, okf: bool, per_part: int) -> DataFrame:
+    rows = pieces(store, okf)
     return (
-        ordered_text(pieces(store, okf), m.K4, _ORDER, F.col("text"), "content", long)
+        ordered_text(rows, m.K4, _ORDER, F.col("text"), "content", per_part=per_part)
         .withColumn("path", document_path())
         .select(*m.K4, "path", "part", "content")
     )
 
 
-def render_markdown(store: Store, per_row: int = PER_ROW) -> DataFrame:
+def render_markdown(store: Store, per_part: int = PART_ITEMS) -> DataFrame:
     """E4. Markdown documents ``K4, path, part, content``; empty sections are left out.
 
-    A table with more than ``per_row`` facts gives several rows, to be read one after the other.
+    A row has ``per_part`` pieces, about one per fact; a document is its rows one after the other.
     """
-    return _documents(store, False, long_keys(store.facts, m.K4, per_row))
+    return _documents(store, False, per_part)
 
 
-def render_okf(store: Store, per_row: int = PER_ROW) -> DataFrame:
+def render_okf(store: Store, per_part: int = PART_ITEMS) -> DataFrame:
     """E5. Knowledge-bundle documents: front matter, then the body one heading level higher."""
-    return _documents(store, True, long_keys(store.facts, m.K4, per_row))
+    return _documents(store, True, per_part)
 
 
 def index_entries(documents: DataFrame) -> DataFrame:
@@ -315,31 +317,26 @@ def _bullets(df: DataFrame, title: Column, description: Column) -> DataFrame:
     return df.where(~name.isin(RESERVED_NAMES)).select("path", line.alias("line"))
 
 
-def render_okf_index(entries: DataFrame, per_row: int = PER_ROW_LARGE) -> DataFrame:
-    """E6. The bundle's index ``path, part, content``, bullets sorted by path.
+def render_okf_index(entries: DataFrame) -> DataFrame:
+    """E6. The bundle's index as ordered lines ``path, part, content``: part 0 opens the file, every
+    further part is one bullet, sorted by the parts of its path.
 
-    All bullets belong to one text, so beyond ``per_row`` of them it comes in several parts, cut by
-    a range shuffle; the first part opens the file, the others continue it.
+    The index is one text with a line per document of the bundle, so it is never joined to a string;
+    lines are numbered by a range shuffle.
     """
     head = f'---\nokf_version: "{OKF_VERSION}"\n---\n\n# {INDEX_TITLE}\n\n'
-    bullets = entries.select(
-        F.lit(1).alias("block"),
-        F.split("path", "/").alias("place"),
-        F.concat("line", F.lit("\n")).alias("text"),
-    )
-    no_place = F.array().cast("array<string>").alias("place")
-    opening = entries.sparkSession.range(1).select(
-        F.lit(0).alias("block"), no_place, F.lit(head).alias("text")
-    )
+    bullets = entries.select(F.split("path", "/").alias("place"), F.concat("line", F.lit("\n")).alias("content"))
+    lines = ranked(bullets, [], ["place", "content"]).select(F.col("rank").alias("part"), "content")
     # A bundle without documents says so.
     nothing = (
         entries.agg(F.count("*").alias("n"))
         .where(F.col("n") == 0)
-        .select(F.lit(1).alias("block"), no_place, F.lit(f"{INDEX_EMPTY}\n").alias("text"))
+        .select(F.lit(1).cast("bigint").alias("part"), F.lit(f"{INDEX_EMPTY}\n").alias("content"))
+    )
+    opening = entries.sparkSession.range(1).select(
+        F.lit(0).cast("bigint").alias("part"), F.lit(head).alias("content")
     )
-    rows = m.union(opening, nothing, bullets).withColumn("path", F.lit("index.md"))
-    long = long_keys(rows, ["path"], per_row)
-    return ordered_text(rows, ["path"], ["block", "place"], F.col("text"), "content", long)
+    return m.union(opening, nothing, lines).select(F.lit("index.md").alias("path"), "part", "content")
 
 
 def export_formats(formats: list[str] | None = None, save_markdown: bool | None = None) -> list[str]:
@@ -355,7 +352,10 @@ def export_formats(formats: list[str] | None = None, save_markdown: bool | None
 
 
 def export(
-    store: Store, formats: list[str] | None = None, preformat: bool = True, per_row: int = PER_ROW
+    store: Store,
+    formats: list[str] | None = None,
+    preformat: bool = True,
+    per_part: int = PART_ITEMS,
 ) -> DataFrame | None:
     """E8. Documents of the chosen formats ``format, path, part, content``; None without formats.
 
@@ -365,12 +365,12 @@ def export(
     if not chosen:
         return None
     source = essential(store) if preformat else store
-    long = long_keys(store.facts, m.K4, per_row)
     frames = []
     if m.MARKDOWN in chosen:
-        frames.append(_documents(source, False, long).withColumn("format", F.lit(m.MARKDOWN)))
+        frames.append(_documents(source, False, per_part).withColumn("format", F.lit(m.MARKDOWN)))
     if m.OKF in chosen:
         index = render_okf_index(entries_of_tables(source.tables))
-        frames.append(_documents(source, True, long).withColumn("format", F.lit(m.OKF)))
+        frames.append(_documents(source, True, per_part).withColumn("format", F.lit(m.OKF)))
         frames.append(index.withColumn("format", F.lit(m.OKF)))
-    return m.union(*[f.select("format", "path", "part", "content") for f in frames])
+    part = F.col("part").cast("bigint").alias("part")
+    return m.union(*[f.select("format", "path", part, "content") for f in frames])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import model as m
-from shelfmark.operators.lists import PER_ROW, PER_ROW_LARGE, long_keys, ordered_lists, ordered_text
+from shelfmark.operators.lists import PART_ITEMS, ordered_lists, ordered_text
 from shelfmark.operators.scope import expand_scope, unmatched_scopes
 
 RETENTION = "interval 7 days"
@@ -90,16 +90,15 @@ def fold_status(
     errors: DataFrame,
     order: list[str],
     crashed: DataFrame | None = None,
-    per_row: int = PER_ROW,
+    per_part: int = PART_ITEMS,
 ) -> DataFrame:
     """G2. Final state ``job_id, part, status, result_count, error``.
 
-    ``error`` joins the errors of a job in order by '; '; with more than ``per_row`` errors the text
-    comes in several parts.  Only completed and partial jobs carry a result count.
+    ``error`` joins the errors of a job in order by '; ', ``per_part`` of them per row; a job without
+    errors has one row.  Only completed and partial jobs carry a result count.
     """
     counts = fold_counts(jobs, results, errors, crashed)
-    long = long_keys(errors, ["job_id"], per_row)
-    texts = ordered_text(errors, ["job_id"], order, F.col("error"), "error", long, "; ")
+    texts = ordered_text(errors, ["job_id"], order, F.col("error"), "error", "; ", per_part)
     if crashed is not None:
         broken = crashed.groupBy("job_id").agg(F.min("error").alias("error"))
         texts = m.union(
@@ -168,16 +167,15 @@ def job_with_results(
     results: DataFrame,
     order: list[str],
     include: bool = True,
-    per_row: int = PER_ROW_LARGE,
+    per_part: int = PART_ITEMS,
 ) -> DataFrame:
-    """G6b. Jobs with their results as an ordered array, or without them.
+    """G6b. Jobs with their results as an ordered array per ``part``, or without them.
 
-    A job with more than ``per_row`` results comes in several parts.
+    A part has ``per_part`` results; a job without results has one row with an empty array.
     """
     if not include:
         return jobs
-    long = long_keys(results, ["job_id"], per_row)
-    lists = ordered_lists(results, ["job_id"], order, F.col("document"), "results", long)
+    lists = ordered_lists(results, ["job_id"], order, F.col("document"), "results", per_part)
     nothing = F.array().cast("array<string>")
     return (
         jobs.join(lists, "job_id", "left")

@@ -1,65 +1,33 @@
 """Ordered lists per key that no single task has to hold whole.
 
-A list of at most ``per_row`` items becomes one row with ``part`` 0.  A longer list is cut, in
-order, into several rows with rising ``part``; nothing is dropped.  Whether any key is that long is
-checked first, by a pre-aggregated count that reads the key columns only; without long keys the
-list is one plain grouping.
+Every list is cut into rows by ``part``: the place of an item in its list, from 0, divided by a
+fixed number of items.  So the parts are a function of the data alone, most keys have part 0 only,
+and a key with very many items spreads over parts and tasks; nothing is dropped.  Places come from
+a range shuffle by key and order with sums of counts per partition.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Items per row.  No database declares so many columns, keys and index columns for one table that
-# its description would be cut; whole documents are larger, so fewer of them share a row.
-PER_ROW = 100_000
-PER_ROW_LARGE = 10_000
-
-
-# At most so many range partitions cut the long lists, however long they are.
-MAX_RANGES = 100_000
-
-
-class Long(NamedTuple):
-    """Keys whose lists are cut, and into how many ranges their rows are cut altogether."""
-
-    keys: DataFrame
-    ranges: int
-
+from shelfmark.operators.ranks import ranked
 
-def long_keys(df: DataFrame, keys: list[str], per_row: int = PER_ROW) -> Long | None:
-    """Keys with more than ``per_row`` rows, None if there are none (found out at once)."""
-    long = df.groupBy(*keys).count().where(F.col("count") > per_row)
-    rows = long.agg(F.sum("count")).first()[0]
-    if not rows:
-        return None
-    return Long(long.select(*keys), min(-(-rows // per_row), MAX_RANGES))
+# Items of a part.
+PART_ITEMS = 10_000
 
 
-def with_part(df: DataFrame, keys: list[str], order: list[str], long: Long | None) -> DataFrame:
-    """Add ``part``: 0, or for long keys the number of the range partition the row sorts into.
-
-    The long rows are range-partitioned by key *and* order, so one key spreads over many tasks and
-    every part holds a consecutive stretch of its list, of about ``per_row`` rows.
-    """
-    if long is None:
-        return df.withColumn("part", F.lit(0))
-    short_rows = df.join(long.keys, keys, "left_anti").withColumn("part", F.lit(0))
-    long_rows = (
-        df.join(long.keys, keys, "left_semi")
-        .repartitionByRange(long.ranges, *keys, *order)
-        .withColumn("part", F.spark_partition_id())
-    )
-    return short_rows.unionByName(long_rows)
+def with_part(
+    df: DataFrame, keys: list[str], order: list[str], per_part: int = PART_ITEMS
+) -> DataFrame:
+    """Add ``rank`` (from 1 per key, by ``order``) and ``part`` (``rank - 1`` div ``per_part``)."""
+    placed = ranked(df, keys, order).drop("rank_rows")
+    return placed.withColumn("part", F.expr(f"CAST((rank - 1) DIV {per_part} AS INT)"))
 
 
-def ordered_list(order: list[str], item: str) -> Column:
-    """Aggregate: the items of a group as an array in the given order."""
-    rows = F.collect_list(F.struct(*order, F.col(item).alias("_item")))
-    return F.transform(F.sort_array(rows), lambda row: row["_item"])
+def ordered_list(items: Column) -> Column:
+    """Aggregate: the structs of a group, whose first field is ``rank``, in order."""
+    return F.array_sort(F.collect_list(items))
 
 
 def ordered_lists(
@@ -68,15 +36,16 @@ def ordered_lists(
     order: list[str],
     item: Column,
     name: str,
-    long: Long | None,
+    per_part: int = PART_ITEMS,
 ) -> DataFrame:
-    """One row ``keys, part, name`` per key and part; ``name`` is an array of ``item``."""
+    """One row ``keys, part, name`` per key and part; ``name`` is an array of ``item``.
+
+    Items that tie in ``order`` are ordered by themselves.
+    """
     items = df.select(*keys, *order, item.alias("_value"))
-    return (
-        with_part(items, keys, order, long)
-        .groupBy(*keys, "part")
-        .agg(ordered_list(order, "_value").alias(name))
-    )
+    rows = with_part(items, keys, [*order, "_value"], per_part).groupBy(*keys, "part")
+    listed = ordered_list(F.struct("rank", F.col("_value").alias("item")))
+    return rows.agg(F.transform(listed, lambda row: row["item"]).alias(name))
 
 
 def ordered_text(
@@ -85,13 +54,13 @@ def ordered_text(
     order: list[str],
     text: Column,
     name: str,
-    long: Long | None,
     separator: str = "",
+    per_part: int = PART_ITEMS,
 ) -> DataFrame:
     """One row ``keys, part, name`` per key and part; ``name`` is the joined text of its rows.
 
     Between two parts of a text the separator is left out.
     """
-    return ordered_lists(df, keys, order, text, name, long).withColumn(
+    return ordered_lists(df, keys, order, text, name, per_part).withColumn(
         name, F.array_join(name, separator)
     )

@@ -757,6 +757,7 @@ def flat(nested: DataFrame) -> DataFrame:
     join = lambda items: F.array_join(items, ",")
     return nested.select(
         *m.K4,
+        "part",
         F.size("columns").cast("bigint").alias("n_columns"),
         join(F.transform("columns", typed)).alias("column_list"),
         F.coalesce(join("primary_key.column_names"), F.lit("")).alias("key_list"),
@@ -786,14 +787,14 @@ def flat(nested: DataFrame) -> DataFrame:
 @query(
     "b14_describe_tables",
     f"""WITH {FACTS_SQL}
-    SELECT {K4_SQL}, n_columns, column_list, coalesce(key_list, '') AS key_list,
+    SELECT {K4_SQL}, 0 AS part, n_columns, column_list, coalesce(key_list, '') AS key_list,
            coalesce(reference_list, '') AS reference_list, coalesce(index_list, '') AS index_list,
            coalesce(partition_list, '') AS partition_list
     FROM columns_of LEFT JOIN keys_of USING ({K4_SQL}) LEFT JOIN refs_of USING ({K4_SQL})
       LEFT JOIN indexes_of USING ({K4_SQL}) LEFT JOIN parts_of USING ({K4_SQL})""",
 )
 def describe_tables(spark, sf):
-    return flat(describe.describe_tables(written(roles.facts(spark, sf), "facts")))
+    return flat(describe.describe_tables(roles.facts(spark, sf)))
 
 
 @query(
@@ -819,7 +820,7 @@ def not_found(spark, sf):
 FLAGSHIP_SQL = f"""WITH {FACTS_SQL},
 page AS (SELECT {K4_SQL}, row_number() OVER (PARTITION BY config, instance, "schema" ORDER BY "table") AS rn
          FROM cat QUALIFY rn <= 5)
-SELECT {K4_SQL}, coalesce(n_columns, 0) AS n_columns, coalesce(column_list, '') AS column_list,
+SELECT {K4_SQL}, 0 AS part, coalesce(n_columns, 0) AS n_columns, coalesce(column_list, '') AS column_list,
        coalesce(key_list, '') AS key_list
 FROM page LEFT JOIN columns_of USING ({K4_SQL}) LEFT JOIN keys_of USING ({K4_SQL})"""
 
@@ -839,11 +840,12 @@ def described_page(spark, sf):
             column_name=F.col("column_name"),
         ),
     ).join(page, m.K4, "left_semi")
-    described = flat(describe.describe_tables(written(listed, "page"))).select(
-        *m.K4, "n_columns", "column_list", "key_list"
+    described = flat(describe.describe_tables(listed)).select(
+        *m.K4, "part", "n_columns", "column_list", "key_list"
     )
     return page.join(described, m.K4, "left").select(
         *m.K4,
+        F.coalesce("part", F.lit(0)).alias("part"),
         F.coalesce("n_columns", F.lit(0)).cast("bigint").alias("n_columns"),
         F.coalesce("column_list", F.lit("")).alias("column_list"),
         F.coalesce("key_list", F.lit("")).alias("key_list"),

@@ -33,7 +33,8 @@ def escaped(spark, sf):
     return texts.union(pages)
 
 
-# Parts of a customer's document in SQL.  ``u`` is the newest order, which documentation describes.
+# Parts of a customer's document in SQL.  No customer has as many facts as a part holds, so ``part``
+# is 0; ``tests/test_skew.py`` compares longer ones with SQL.  ``u`` is the newest order, which documentation describes.
 DOC_SQL = f"""{ITEM},
 u AS (SELECT o_custkey, max(o_orderkey) AS newest FROM orders GROUP BY ALL),
 head AS (SELECT cat.*, newest FROM cat LEFT JOIN u ON c_custkey = o_custkey),
@@ -101,7 +102,7 @@ PATH_OF_HEAD = PATH_SQL.replace("config,", "head.config,").replace(
 
 def _markdown_sql(indexes: str) -> str:
     return (
-        f"SELECT {PATH_OF_HEAD} AS path, {HEAD_SQL} || {_body_sql('##', 'Columns', indexes)}"
+        f"SELECT {PATH_OF_HEAD} AS path, 0 AS part, {HEAD_SQL} || {_body_sql('##', 'Columns', indexes)}"
         f" || chr(10) AS content FROM head {JOINED}"
     )
 
@@ -123,7 +124,7 @@ def _okf_sql(indexes: str) -> str:
     # A document without anything below its front matter ends with an empty body.
     body = _body_sql("#", "Schema", indexes)
     return (
-        f"SELECT {PATH_OF_HEAD} AS path, {FRONT_SQL} || CASE WHEN ({body}) = '' THEN chr(10) || chr(10)"
+        f"SELECT {PATH_OF_HEAD} AS path, 0 AS part, {FRONT_SQL} || CASE WHEN ({body}) = '' THEN chr(10) || chr(10)"
         f" ELSE {body} END || chr(10) AS content FROM head {JOINED}"
     )
 
@@ -165,18 +166,18 @@ def essential_tables(spark, sf):
 
 @query("e4_render_markdown", f"WITH {DOC_SQL} {_markdown_sql('ix.rows')}")
 def render_markdown(spark, sf):
-    return export.render_markdown(roles.store(spark, sf)).select("path", "content")
+    return export.render_markdown(roles.store(spark, sf)).select("path", "part", "content")
 
 
 @query("e5_render_okf", f"WITH {DOC_SQL} {_okf_sql('ix.rows')}")
 def render_okf(spark, sf):
-    return export.render_okf(roles.store(spark, sf)).select("path", "content")
+    return export.render_okf(roles.store(spark, sf)).select("path", "part", "content")
 
 
 @query(
     "e4_render_texts",
     f"""WITH docs AS (SELECT {DOC_K4}, text FROM documents)
-      SELECT {PATH_SQL} AS path, '# docs.' || "table" || chr(10) || chr(10) || '## Source' || chr(10) || chr(10)
+      SELECT {PATH_SQL} AS path, 0 AS part, '# docs.' || "table" || chr(10) || chr(10) || '## Source' || chr(10) || chr(10)
        || '- Configuration: `' || config || '`' || chr(10) || '- Instance: `' || instance || '`' || chr(10)
        || '- Schema: `docs`' || chr(10) || '- Table: `' || "table" || '`' || chr(10)
        || '- Metadata updated: `2024-01-01T00:00:00+00:00`'
@@ -202,7 +203,17 @@ def render_texts(spark, sf):
         data_type=F.col("text"),
     )
     own = Store(roles.document_tables(spark, sf), facts)
-    return export.render_markdown(own).select("path", "content")
+    return export.render_markdown(own).select("path", "part", "content")
+
+
+def _index_sql(bullets: str) -> str:
+    """Part 0 opens the index, every further part is one bullet."""
+    return (
+        """SELECT 'index.md' AS path, 0 AS part, '---' || chr(10) || 'okf_version: "0.2"' || chr(10)"""
+        " || '---' || chr(10) || chr(10) || '# Database Catalog' || chr(10) || chr(10) AS content UNION ALL"
+        " SELECT 'index.md', row_number() OVER (ORDER BY string_split(path, '/')), line || chr(10)"
+        f" FROM {bullets}"
+    )
 
 
 BULLETS_SQL = f"""docs AS (SELECT {DOC_K4}, text FROM documents),
@@ -220,13 +231,11 @@ def index_entries(spark, sf):
 
 @query(
     "e6_render_okf_index",
-    f"""WITH {BULLETS_SQL} SELECT 'index.md' AS path, '---' || chr(10) || 'okf_version: "0.2"' || chr(10)
-        || '---' || chr(10) || chr(10) || '# Database Catalog' || chr(10) || chr(10)
-        || string_agg(line, chr(10) ORDER BY string_split(path, '/')) || chr(10) AS content FROM bullet""",
+    f"WITH {BULLETS_SQL} {_index_sql('bullet')}",
 )
 def render_okf_index(spark, sf):
     entries = export.entries_of_tables(roles.document_tables(spark, sf))
-    return export.render_okf_index(entries).select("path", "content")
+    return export.render_okf_index(entries).select("path", "part", "content")
 
 
 @query(
@@ -256,24 +265,22 @@ def parse_front_matter(spark, sf):
 EXPORT_SQL = f"""WITH {DOC_SQL},
   entry AS (SELECT {PATH_SQL} AS path, '* [' || "schema" || '.' || "table" || '](' || {PATH_SQL} || ')' ||
     CASE WHEN "schema" <> 'MACHINERY' THEN ' - Orders of ' || "table" ELSE '' END AS line FROM cat)
-  SELECT 'markdown' AS format, path, content FROM ({_markdown_sql('ix.essential_rows')})
-  UNION ALL SELECT 'okf', path, content FROM ({_okf_sql('ix.essential_rows')})
-  UNION ALL SELECT 'okf', 'index.md', '---' || chr(10) || 'okf_version: "0.2"' || chr(10)
-        || '---' || chr(10) || chr(10) || '# Database Catalog' || chr(10) || chr(10)
-        || string_agg(line, chr(10) ORDER BY string_split(path, '/')) || chr(10) FROM entry"""
+  SELECT 'markdown' AS format, path, part, content FROM ({_markdown_sql('ix.essential_rows')})
+  UNION ALL SELECT 'okf', path, part, content FROM ({_okf_sql('ix.essential_rows')})
+  UNION ALL SELECT 'okf', * FROM ({_index_sql('entry')})"""
 
 
 @query("e8_export", EXPORT_SQL)
 def export_all(spark, sf):
-    return export.export(roles.store(spark, sf)).select("format", "path", "content")
+    return export.export(roles.store(spark, sf)).select("format", "path", "part", "content")
 
 
 @query("a5_written_exports", f"WITH {DOC_SQL} SELECT 'markdown' AS format, * FROM ({_markdown_sql('ix.essential_rows')})")
 def written_exports(spark, sf):
     path = new_folder(spark, "exports")
     write_exports(export.export(roles.store(spark, sf), ["markdown"]), path)
-    written = spark.read.schema("path string, part int, content string, format string").parquet(path)
-    return written.select("format", "path", "content")
+    written = spark.read.schema("path string, part bigint, content string, format string").parquet(path)
+    return written.select("format", "path", "part", "content")
 
 
 PROMPT_SQL = f"""WITH {ITEM},
@@ -287,7 +294,7 @@ PROMPT_SQL = f"""WITH {ITEM},
       || '"referenced_column":"s_' || l_suppkey || '","constraint_name":"' || constraint_name || '"}}', ','
       ORDER BY constraint_name, l_linenumber, column_name, 's_' || l_suppkey) AS refs
     FROM item WHERE o_orderpriority = '2-HIGH' GROUP BY ALL)
-  SELECT {K4_SQL}, 'Describe what this database table is for.' || chr(10) || 'Instance: ' || instance
+  SELECT {K4_SQL}, 0 AS part, 'Describe what this database table is for.' || chr(10) || 'Instance: ' || instance
     || chr(10) || 'Schema: ' || "schema" || chr(10) || 'Table: ' || "table" || chr(10)
     || 'Columns: [' || columns || ']' || chr(10) || 'Primary key: [' || coalesce(keys, '') || ']' || chr(10)
     || 'References: [' || coalesce(refs, '') || ']' || chr(10)
@@ -298,7 +305,7 @@ PROMPT_SQL = f"""WITH {ITEM},
 
 @query("f1_build_prompts", PROMPT_SQL)
 def build_prompts(spark, sf):
-    return docgen.build_prompts(describe.nest(roles.store(spark, sf).facts)).select(*m.K4, "prompt")
+    return docgen.build_prompts(describe.nest(roles.store(spark, sf).facts)).select(*m.K4, "part", "prompt")
 
 
 @query(

@@ -79,24 +79,26 @@ def scan_errors(spark, sf):
 
 STATUS_SQL = f"""{EV},
 counted AS (SELECT job_id, count(*) FILTER (event_type = 'click') AS r,
-    count(*) FILTER (event_type = 'error') AS e,
-    string_agg('table ' || seq || ': ' || props, '; ' ORDER BY seq) FILTER (event_type = 'error') AS error
+    count(*) FILTER (event_type = 'error') AS e
   FROM ev GROUP BY job_id),
+texts AS (SELECT job_id, part, string_agg('table ' || seq || ': ' || props, '; ' ORDER BY seq) AS error
+  FROM (SELECT *, (row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1) // 10000 AS part FROM ev
+        WHERE event_type = 'error') GROUP BY job_id, part),
 folded AS (SELECT job_id, CASE WHEN e = 0 THEN 'completed' WHEN r > 0 THEN 'partial' ELSE 'failed' END
-    AS status, r, e, error FROM counted)"""
+    AS status, r, e FROM counted)"""
 
 
 @query(
     "g2_fold_status",
-    f"""WITH {STATUS_SQL} SELECT job_id, status, CASE WHEN status <> 'failed' THEN r END AS result_count,
-        error FROM folded""",
+    f"""WITH {STATUS_SQL} SELECT job_id, coalesce(part, 0)::INT AS part, status,
+        CASE WHEN status <> 'failed' THEN r END AS result_count, error FROM folded LEFT JOIN texts USING (job_id)""",
 )
 def fold_status(spark, sf):
     events = roles.events(spark, sf)
     folded = jobs.fold_status(
         _all_jobs(events), of_type(events, "click"), _error_text(events), ["seq"]
     )
-    return folded.drop("part")
+    return folded
 
 
 @query(
@@ -218,9 +220,10 @@ def job_results(spark, sf):
 @query(
     "g6b_job_with_results",
     """WITH job AS (SELECT DISTINCT conv_id AS job_id FROM conversations),
-       result AS (SELECT conv_id AS job_id, string_agg(text, chr(10) || '~' ORDER BY turn) AS results,
-         count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1)
-       SELECT job_id, coalesce(results, '') AS results, coalesce(n, 0) AS n FROM job LEFT JOIN result USING (job_id)""",
+       result AS (SELECT conv_id AS job_id, part, string_agg(text, chr(10) || '~' ORDER BY turn) AS results,
+         count(*) AS n FROM (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 10000 AS part
+           FROM conversations WHERE role = 'assistant') GROUP BY ALL)
+       SELECT job_id, coalesce(part, 0)::INT AS part, coalesce(results, '') AS results, coalesce(n, 0) AS n FROM job LEFT JOIN result USING (job_id)""",
 )
 def job_with_results(spark, sf):
     talk = t(spark, sf, "conversations").withColumnsRenamed(
@@ -230,6 +233,7 @@ def job_with_results(spark, sf):
     full = jobs.job_with_results(talk.select("job_id").distinct(), answers, ["seq"])
     return full.select(
         "job_id",
+        "part",
         F.array_join("results", "\n~").alias("results"),
         F.size("results").cast("bigint").alias("n"),
     )

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from helpers import store
 from shelfmark import model as m
-from shelfmark.operators import describe, export, jobs, lists
+from shelfmark.operators import describe, export, jobs, lists, ranks
 from shelfmark.operators.store import Store
 
 
@@ -31,7 +31,7 @@ def hot_facts(spark, tables=40, hot=900):
 
 def test_nest_cuts_long_tables_in_order(spark):
     facts = hot_facts(spark)
-    got = describe.nest(facts, per_row=300).collect()
+    got = describe.nest(facts, per_part=300).collect()
     per_table = {}
     for row in sorted(got, key=lambda r: (r.table, r.part)):
         per_table.setdefault(row.table, []).append(row)
@@ -51,21 +51,20 @@ def test_documents_in_parts_equal_whole_documents(spark):
     for render in (export.render_markdown, export.render_okf):
         whole = {r.path: r.content for r in render(own).collect()}
         parts = {}
-        for r in sorted(render(own, per_row=300).collect(), key=lambda r: (r.path, r.part)):
+        for r in sorted(render(own, per_part=300).collect(), key=lambda r: (r.path, r.part)):
             parts.setdefault(r.path, []).append(r.content)
         assert len(parts["c/i/s/t7.md"]) > 1
         assert {p: "".join(c) for p, c in parts.items()} == whole
 
 
-def test_index_in_parts_equals_whole_index(spark):
+def test_index_is_ordered_lines(spark):
     entries = spark.range(500).select(
         F.format_string("c/i/s/t%04d.md", "id").alias("path"),
         F.concat(F.lit("* "), F.col("id")).alias("line"),
     )
-    whole = export.render_okf_index(entries).collect()
-    parts = sorted(export.render_okf_index(entries, per_row=100).collect(), key=lambda r: r.part)
-    assert len(whole) == 1 and len(parts) > 1
-    assert "".join(p.content for p in parts) == whole[0].content
+    lines = sorted(export.render_okf_index(entries.repartition(7)).collect(), key=lambda r: r.part)
+    assert [r.part for r in lines] == list(range(501)) and {r.path for r in lines} == {"index.md"}
+    assert [r.content for r in lines[1:]] == [f"* {i}\n" for i in range(500)]
 
 
 def test_job_with_very_many_errors(spark):
@@ -74,7 +73,7 @@ def test_job_with_very_many_errors(spark):
         F.col("id").alias("seq"), F.concat(F.lit("e"), F.col("id")).alias("error"),
     )
     all_jobs = errors.select("job_id").distinct()
-    folded = jobs.fold_status(all_jobs, all_jobs.limit(0), errors, ["seq"], per_row=100)
+    folded = jobs.fold_status(all_jobs, all_jobs.limit(0), errors, ["seq"], per_part=100)
     hot = sorted(folded.where("job_id = 'hot'").collect(), key=lambda r: r.part)
     assert len(hot) > 1 and {r.status for r in hot} == {"failed"}
     assert "; ".join(r.error for r in hot) == "; ".join(f"e{i}" for i in range(0, 1000, 3))
@@ -86,17 +85,42 @@ def test_results_of_a_hot_job(spark):
         F.col("id").cast("string").alias("document"),
     )
     all_jobs = spark.createDataFrame([("hot",), ("idle",)], "job_id string")
-    got = jobs.job_with_results(all_jobs, results, ["seq"], per_row=100).collect()
+    got = jobs.job_with_results(all_jobs, results, ["seq"], per_part=100).collect()
     parts = [r.results for r in sorted(got, key=lambda r: (r.job_id, r.part)) if r.job_id == "hot"]
     assert len(parts) > 1 and sum(parts, []) == [str(i) for i in range(900)]
     assert [r.results for r in got if r.job_id == "idle"] == [[]]
 
 
-def test_no_long_key_means_one_plain_grouping(spark):
-    df = spark.range(10).withColumn("k", F.lit(1))
-    assert lists.long_keys(df, ["k"], per_row=10) is None
-    long = lists.long_keys(df, ["k"], per_row=3)
-    assert long.keys.first().k == 1 and long.ranges == 4
+def test_parts_are_a_function_of_the_data(spark):
+    """The same parts as SQL gives, for keys above and below the number of items, however partitioned."""
+    import duckdb
+
+    rows = [("hot" if i % 3 else f"k{i % 11}" if i % 2 else None, i * 7919 % 2003) for i in range(2000)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE t (k VARCHAR, v BIGINT)")
+    db.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    want = db.execute(
+        "SELECT k, part, list(v ORDER BY v) FROM (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY v) - 1)"
+        " // 100 AS part FROM t) GROUP BY k, part"
+    ).fetchall()
+    for n in (1, 5, 13):
+        df = spark.createDataFrame(rows, "k string, v long").repartition(n)
+        got = lists.ordered_lists(df, ["k"], ["v"], F.col("v"), "items", per_part=100).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert max(p for k, p, _ in want if k == "hot") > 5
+
+
+def test_ranks_and_sums(spark):
+    rows = [(i % 3 or None, i * 31 % 97, i % 5) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, v int, w int").repartition(6)
+    got = ranks.ranked(df, ["k"], ["v", "w"], weight="w").collect()
+    for k in {r.k for r in got}:
+        own = sorted((r for r in got if r.k == k), key=lambda r: r.rank)
+        assert [r.rank for r in own] == list(range(1, len(own) + 1)) and {r.rank_rows for r in own} == {len(own)}
+        assert [(r.v, r.w) for r in own] == sorted((r.v, r.w) for r in own)
+        assert [r.before for r in own] == [sum(x.w for x in own[:i]) for i in range(len(own))]
+        assert {r.rank_weight for r in own} == {sum(r.w for r in own)}
+    assert ranks.ranked(df.limit(0), [], ["v"]).count() == 0
 
 
 def test_copies_of_an_index_column(spark):
