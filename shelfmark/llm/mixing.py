@@ -16,7 +16,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import n_words, ranked, seeded
+from shelfmark.llm.common import n_words, seeded
+from shelfmark.operators.ranks import ranked
 from shelfmark.sources.store import written
 
 BLOCK = 256  # words of a block
