@@ -38,6 +38,7 @@ FACT_FIELDS = {
     "is_unique": "boolean",
     "is_primary": "boolean",
     "index_type": "string",
+    "description": "string",  # of a column, written by people
 }
 FACT_COLUMNS = [*K4, "section", *FACT_FIELDS]
 # A total order of the facts of one table.

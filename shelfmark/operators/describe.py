@@ -592,16 +592,29 @@ def partitions_mongo(docs: DataFrame) -> DataFrame:
 # ---- whole tables ----------------------------------------------------------------------------
 
 
+def _declares() -> Column:
+    """The declared schema is there and is a JSON object."""
+    kind = F.schema_of_variant(F.try_parse_json("json_schema"))
+    return F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+
+
+def mongo_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """B8, B11e, B12, B15. Facts of the collections that declare a schema, and error rows of the
+    others: a collection that is refused leaves no facts at all."""
+    declared = docs.where(_declares())
+    parts = (columns_mongo, indexes_mongo, partitions_mongo)
+    return m.union(*[part(declared) for part in parts]), undescribed(docs)
+
+
 def undescribed(docs: DataFrame) -> DataFrame:
-    """B15. Collections without a declared schema as error rows ``K4, error``."""
-    return docs.where(F.col("json_schema").isNull()).select(
+    """B15. Collections whose schema is not declared, or cannot be read, as error rows ``K4, error``."""
+    return docs.where(~_declares()).select(
         "config",
         "instance",
         F.col("db").alias("schema"),
         F.col("name").alias("table"),
         F.concat(
-            F.lit("Collection '"), F.col("db"), F.lit("."), F.col("name"),
-            F.lit("' has no $jsonSchema validator."),
+            F.lit("No readable JSON schema is declared for "), F.col("db"), F.lit("."), F.col("name"),
         ).alias("error"),
     )
 
@@ -654,6 +667,7 @@ def nest(facts: DataFrame, per_part: int = PART_ITEMS) -> DataFrame:
                 c["is_nullable"].alias("is_nullable"),
                 c["default_value"].alias("default_value"),
                 c["comment"].alias("comment"),
+                c["description"].alias("description"),
             ),
         ).alias("columns"),
         F.when(F.size("key") > 0, F.struct(key_names.alias("column_names"))).alias("primary_key"),

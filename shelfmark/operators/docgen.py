@@ -25,13 +25,14 @@ def build_prompts(nested: DataFrame) -> DataFrame:
     replies together again.
     """
     as_json = lambda c: F.to_json(F.col(c), {"ignoreNullFields": "false"})
+    columns = F.transform("columns", lambda c: c.dropFields("description"))
     prompt = F.concat_ws(
         "\n",
         F.lit("Describe what this database table is for."),
         F.concat(F.lit("Instance: "), F.col("instance")),
         F.concat(F.lit("Schema: "), F.col("schema")),
         F.concat(F.lit("Table: "), F.col("table")),
-        F.concat(F.lit("Columns: "), as_json("columns")),
+        F.concat(F.lit("Columns: "), F.to_json(columns, {"ignoreNullFields": "false"})),
         F.concat(F.lit("Primary key: "), F.coalesce(F.to_json("primary_key.column_names"), F.lit("[]"))),
         F.concat(F.lit("References: "), as_json("foreign_keys")),
         F.lit(
@@ -142,8 +143,8 @@ def parse_replies(replies: DataFrame, model: str, now: Column) -> DataFrame:
     empty = F.coalesce(F.col("reply") == "", F.lit(True))
     error = (
         F.when(failed.isNotNull(), failed)
-        .when(empty, F.lit(f"Empty response content from model '{model}'"))
-        .when(~is_object, F.lit(f"Non-JSON response from model '{model}'"))
+        .when(empty, F.lit(f"Model '{model}' sent an empty reply"))
+        .when(~is_object, F.lit(f"Model '{model}' sent no JSON object"))
     )
     return (
         replies.withColumn("ai_generation_error", error)

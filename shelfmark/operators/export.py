@@ -77,7 +77,7 @@ def essential(store: Store) -> Store:
         | (F.coalesce("is_unique", F.lit(False)) & ~F.coalesce("is_primary", F.lit(False)))
     )
     nothing = F.lit(None).cast("string")
-    compact = {"default_value": nothing, "comment": non_empty("description")}
+    compact = {"default_value": nothing, "comment": non_empty("shown"), "description": nothing}
     columns = described_columns(store).select(
         *[compact.get(name, F.col(name)).alias(name) for name in m.FACT_COLUMNS]
     )
@@ -103,7 +103,8 @@ def essential(store: Store) -> Store:
 
 
 def described_columns(store: Store) -> DataFrame:
-    """Column facts with ``description``: the documentation's text, else the comment.
+    """Column facts with ``shown``: the column's own description, else the documentation's text,
+    else the comment.
 
     The join is keyed by (table, column), so a wide table spreads over tasks.
     """
@@ -112,7 +113,8 @@ def described_columns(store: Store) -> DataFrame:
     )
     columns = store.facts.where(F.col("section") == m.COLUMN)
     return columns.join(texts, [*m.K4, "column_name"], "left").select(
-        *m.FACT_COLUMNS, F.coalesce(non_empty("ai_text"), "comment").alias("description")
+        *m.FACT_COLUMNS,
+        F.coalesce(non_empty("description"), non_empty("ai_text"), "comment").alias("shown"),
     )
 
 
@@ -122,6 +124,8 @@ def _listed_name(lead: Column, facts: DataFrame) -> DataFrame:
     The first fact per line comes from a pre-aggregated minimum, copies of a fact are counted
     before anything else, and no line is collected.
     """
+    # A fact without an item has a line like others; joins and groups take it as the empty name.
+    facts = facts.withColumn("item", F.coalesce("item", F.lit("")))
     line = [*m.K4, "section", "item"]
     place = F.struct(F.coalesce("position", F.lit(-1)).alias("p"), F.col("column_name").alias("c"))
     copies = facts.groupBy(*line, "position", "column_name", "is_unique").agg(
@@ -144,7 +148,7 @@ def _pieces_of_facts(store: Store) -> DataFrame:
     facts, section = store.facts, F.col("section")
     cells = [
         md_escape("column_name"), md_escape("data_type"), md_bool("is_nullable"),
-        md_escape("description"),
+        md_escape("shown"),
     ]
     row = F.concat(F.lit("\n| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     sort_key = F.concat(F.lit("\n- Sort key: "), code("column_name"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.sources.store import written
+from shelfmark.shared import written
 
 
 def ranked(

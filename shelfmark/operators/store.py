@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from shelfmark import model as m
 from shelfmark.functions.text import document_path, metadata_key
+from shelfmark.operators.ranks import ranked
+from shelfmark.shared import written
 
 
 class Store(NamedTuple):
@@ -44,8 +46,19 @@ def sanitize_collisions(df: DataFrame) -> DataFrame:
     )
 
 
+def _in_sequence(facts: DataFrame) -> DataFrame:
+    """Facts with their place in the order of an item instead of the position they came with."""
+    order = ["position", *[c for c in m.FACT_FIELDS if c not in ("position", "item")]]
+    ordered = ranked(facts, [*m.K4, "section", "item", "n"], order)
+    return ordered.withColumn("position", F.col("rank")).drop("rank", "rank_rows")
+
+
 def changed_tables(old: DataFrame, new: DataFrame, exact: bool = True) -> DataFrame:
-    """D4. Tables whose facts differ in any field, place or number, as ``K4``.
+    """D4. Tables whose facts differ in any field, order or number, as ``K4``.
+
+    Positions count as an order only: a table whose columns come at 1 and 3, and are read back from
+    a document at 1 and 2, is the same.  So tables that differ at first are compared again with
+    their facts numbered in order; these few only, as numbering takes a range shuffle.
 
     Old and new facts cancel out as a multiset, grouped by whole facts: exact, null-safe, without
     building a table's record, and a table with very many facts spreads over all tasks.
@@ -58,6 +71,16 @@ def changed_tables(old: DataFrame, new: DataFrame, exact: bool = True) -> DataFr
         old.select(*m.FACT_COLUMNS, F.lit(-1).alias("n")),
         new.select(*m.FACT_COLUMNS, F.lit(1).alias("n")),
     )
+    differ = written(_different(counted, exact), "differ")
+    both = old.select(*m.K4).distinct().join(differ, m.K4, "left_semi").join(
+        new.select(*m.K4).distinct(), m.K4, "left_semi"
+    )
+    again = _different(_in_sequence(counted.join(both, m.K4, "left_semi")), exact)
+    return differ.join(both, m.K4, "left_anti").union(again)
+
+
+def _different(counted: DataFrame, exact: bool) -> DataFrame:
+    """Tables whose facts, -1 for an old and 1 for a new one, do not cancel out."""
     if exact:
         facts = counted.groupBy(*m.FACT_COLUMNS).agg(F.sum("n").alias("n"))
         return facts.where(F.col("n") != 0).select(*m.K4).distinct()
@@ -121,17 +144,19 @@ def merge_metadata(
         .when(F.col("changed").isNull(), "unchanged")
         .otherwise("update")
     )
-    written = F.col("action").isin("insert", "update")
+    is_new = F.col("action").isin("insert", "update")
+    # Written once: the facts to store, those of the scan and the tables all ask for the action.
     merged = both.withColumn("action", action).select(
         *m.K4,
-        F.when(written, F.coalesce("new_ai", "ai_documentation"))
+        F.when(is_new, F.coalesce("new_ai", "ai_documentation"))
         .otherwise(F.col("ai_documentation"))
         .alias("ai_documentation"),
-        F.when(written, _own(F.col("custom"))).otherwise(F.col("custom")).alias("custom"),
-        F.when(written, now).otherwise(F.col("updated_at")).alias("updated_at"),
+        F.when(is_new, _own(F.col("custom"))).otherwise(F.col("custom")).alias("custom"),
+        F.when(is_new, now).otherwise(F.col("updated_at")).alias("updated_at"),
         "action",
     )
-    replaced = merged.where(written).select(*m.K4)
+    merged = written(merged, "merged")
+    replaced = merged.where(is_new).select(*m.K4)
     touched = merged.where(F.col("action") != "kept")
     old_facts, new_facts = existing.facts, incoming.facts
     fresh = new_facts.join(replaced, m.K4, "left_semi")
@@ -280,19 +305,21 @@ def distinct_names(df: DataFrame, level: str, **within: str) -> DataFrame:
 def page(names: DataFrame, number: int = 1, size: int = DEFAULT_PAGE) -> DataFrame:
     """D10-D12. One row ``items, total, page, page_size, pages`` of sorted names.
 
-    Only the names of the page (at most 200) are gathered, by a top-n that each task applies first;
-    the total is a scalar subquery.  No names: an empty page, 0 pages.
+    Names get their places by a range sort and counts per partition, so a late page costs what the
+    first one does, and only its names (at most 200) are gathered.  No names: an empty page, 0 pages.
     """
     if number < 1 or not 1 <= size <= MAX_PAGE:
         raise ValueError(f"page is at least 1 and page size 1 to {MAX_PAGE}")
-    items = names.orderBy("name").offset((number - 1) * size).limit(size)
-    total = names.agg(F.count("*").alias("total")).scalar()
-    return items.agg(F.sort_array(F.collect_list("name")).alias("items")).select(
+    placed = ranked(names.select("name"), [], ["name"])
+    first = (number - 1) * size
+    here = F.when((F.col("rank") > first) & (F.col("rank") <= first + size), F.col("name"))
+    total = F.coalesce(F.max("rank_rows"), F.lit(0)).cast("bigint")
+    return placed.agg(F.sort_array(F.collect_list(here)).alias("items"), total.alias("total")).select(
         "items",
-        total.alias("total"),
+        "total",
         F.lit(number).alias("page"),
         F.lit(size).alias("page_size"),
-        F.ceil(total / F.lit(size)).alias("pages"),
+        F.ceil(F.col("total") / F.lit(size)).alias("pages"),
     )
 
 

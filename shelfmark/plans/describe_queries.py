@@ -799,13 +799,40 @@ def describe_tables(spark, sf):
 
 @query(
     "b15_undescribed",
-    f"""WITH {NAMED_EVENTS} SELECT {K4_SQL}, 'Collection ''' || "schema" || '.' || "table" ||
-        ''' has no $jsonSchema validator.' AS error FROM named WHERE event_type = 'error'""",
+    f"""WITH {NAMED_EVENTS} SELECT {K4_SQL}, 'No readable JSON schema is declared for ' || "schema" || '.' || "table"
+        AS error FROM named WHERE event_type = 'error'""",
 )
 def undescribed(spark, sf):
     return describe.undescribed(_mongo(spark, sf))
 
 
+@query(
+    "b15_mongo_tables",
+    f"""WITH {NAMED_EVENTS}, kind AS (SELECT *, event_id % 4 AS cut FROM named)
+        SELECT {K4_SQL}, CASE WHEN event_type = 'error' OR cut > 0
+            THEN 'No readable JSON schema is declared for ' || "schema" || '.' || "table" END AS error,
+          CASE WHEN event_type = 'error' OR cut > 0 THEN 0
+            WHEN event_type = 'view' THEN 5 ELSE 6 END AS facts FROM kind""",
+)
+def mongo_tables(spark, sf):
+    """Collections with a readable schema have facts; the others (none declared, cut off, no object)
+    an error only."""
+    cut = F.regexp_extract("name", r"(\d+)$", 1).cast("bigint") % 4
+    schema = F.col("json_schema")
+    docs = _mongo(spark, sf).withColumn(
+        "json_schema",
+        F.when(cut == 0, schema)
+        .when(cut == 1, schema.substr(F.lit(1), F.length(schema) - 1))
+        .when(cut == 2, F.lit("[1]")),
+    )
+    facts, errors = describe.mongo_tables(docs)
+    counted = facts.select(*m.K4, F.lit(None).cast("string").alias("error"), F.lit(1).alias("n"))
+    refused = errors.select(*m.K4, "error", F.lit(0).alias("n"))
+    return m.union(counted, refused).groupBy(*m.K4).agg(
+        F.max("error").alias("error"), F.sum("n").alias("facts")
+    )
+
+
 @query(
     "b15_not_found",
     f"""WITH {CAT} SELECT {K4_SQL}, 'Table `' || "table" || '` not found.' AS error FROM cat

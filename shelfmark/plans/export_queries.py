@@ -311,9 +311,9 @@ def build_prompts(spark, sf):
 @query(
     "f2_parse_replies",
     """SELECT doc_id, text AS summary, source AS text_of_lang, 'generated' AS status, NULL AS error FROM documents
-       UNION ALL SELECT -1 - doc_id, NULL, NULL, 'failed', 'Non-JSON response from model ''m''' FROM documents
+       UNION ALL SELECT -1 - doc_id, NULL, NULL, 'failed', 'Model ''m'' sent no JSON object' FROM documents
          WHERE text <> ''
-       UNION ALL SELECT 1000000000 + page_id, NULL, NULL, 'failed', 'Empty response content from model ''m'''
+       UNION ALL SELECT 1000000000 + page_id, NULL, NULL, 'failed', 'Model ''m'' sent an empty reply'
          FROM pages""",
 )
 def parse_replies(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark import model as m
 from shelfmark.functions.text import iso, metadata_key
 
-_LIST = "struct<name:string,data_type:string,is_nullable:boolean,default_value:string,comment:string>"
+_LIST = "struct<name:string,data_type:string,is_nullable:boolean,default_value:string,comment:string,description:string>"
 _DESCRIPTION = (
     f"struct<columns:array<{_LIST}>,primary_key:struct<column_names:array<string>>,"
     "sort_key:string,"
@@ -25,6 +25,8 @@ def facts_of_descriptions(df: DataFrame) -> DataFrame:
     return _facts(df.select(*m.K4, F.from_json("description", _DESCRIPTION).alias("d")))
 
 
+# Fixed value: what documents call an index without a name.
+UNNAMED = "None"
 # Facts of a later part of a long table come after those of the parts before it.
 _PART = 1 << 32
 
@@ -51,6 +53,7 @@ def _facts(described: DataFrame) -> DataFrame:
             is_nullable=F.col("e.is_nullable"),
             default_value=F.col("e.default_value"),
             comment=F.col("e.comment"),
+            description=F.col("e.description"),
         ),
         m.facts(
             items("primary_key.column_names"),
@@ -76,7 +79,7 @@ def _facts(described: DataFrame) -> DataFrame:
         m.facts(
             index_columns,
             m.INDEX,
-            item=F.col("x.name"),
+            item=F.coalesce("x.name", F.lit(UNNAMED)),
             position=place,
             column_name=F.col("name"),
             is_unique=F.col("x.is_unique"),
@@ -101,30 +104,42 @@ _DOCUMENT = (
 
 
 def _parsed(texts: DataFrame, column: str) -> DataFrame:
-    """Documents with their names; text that is no such object counts as absent."""
+    """Documents with their names; text that is no such object counts as absent.
+
+    Of several documents of a table (and part) the one with the newest ``updated_at`` counts, then
+    the greatest text; parts of older versions do not count.
+    """
     doc = F.from_json(column, _DOCUMENT)
     part = F.col("part") if "part" in texts.columns else F.lit(0)
-    return (
+    found = (
         texts.where(F.try_parse_json(column).isNotNull())
         .select(F.col(column).alias("text"), doc.alias("doc"), part.alias("part"))
         .where(F.col("doc.table_name").isNotNull())
         .select(*[F.col(f"doc.{k}_name").alias(k) for k in m.K4], "part", "text", "doc")
     )
+    at = F.coalesce(F.col("doc.updated_at").try_cast("timestamp"), F.timestamp_seconds(F.lit(0)))
+    newest = found.groupBy(*m.K4, "part").agg(
+        F.max_by(F.struct("text", "doc"), F.struct(at.alias("at"), "text")).alias("n"),
+        F.max(at).alias("at"),
+    )
+    last = newest.groupBy(*m.K4).agg(F.max("at").alias("last"))
+    return newest.join(last, m.K4).where("at = last").select(*m.K4, "part", "n.text", "n.doc")
 
 
 def tables_of_documents(texts: DataFrame, column: str = "document") -> DataFrame:
     """A3, D6. Header rows of JSON documents; custom fields, as JSON text each, are all that the
-    system does not own.  The documents of a table that comes in several parts share one row."""
+    system does not own.  Of a table that comes in several parts the first one counts."""
     fields = F.from_json("text", "map<string,variant>")
     custom = F.transform_values(
         F.map_filter(fields, lambda k, v: ~k.isin(m.SYSTEM_KEYS)), lambda k, v: F.to_json(v)
     )
+    first = _parsed(texts, column).where("part = 0")
     return m.tables(
-        _parsed(texts, column),
+        first,
         ai_documentation=F.col("doc.ai_documentation"),
         custom=custom,
         updated_at=F.col("doc.updated_at"),
-    ).dropDuplicates(m.K4)
+    )
 
 
 def facts_of_documents(texts: DataFrame, column: str = "document") -> DataFrame:
@@ -147,13 +162,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def to_documents(tables: DataFrame, nested: DataFrame) -> DataFrame:
     """Stored form: ``K4, part, document`` with custom fields beside the system's own.
 
-    ``nested`` comes from ``describe.nest``; a very wide table gives several documents by ``part``.
+    ``nested`` comes from ``describe.nest``; a very wide table gives several documents by ``part``, a
+    table without facts one with empty lists.
     """
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast(nested.schema[c].dataType)).alias(c)
     description = F.struct(
         F.col("instance").alias("instance_name"),
         F.col("schema").alias("schema_name"),
         F.col("table").alias("table_name"),
-        "columns", "primary_key", "sort_key", "foreign_keys", "indexes", "partitions",
+        empty("columns"), "primary_key", "sort_key",
+        *[empty(c) for c in ("foreign_keys", "indexes", "partitions")],
     )
     own = F.to_json(
         F.struct(
@@ -176,8 +194,8 @@ def to_documents(tables: DataFrame, nested: DataFrame) -> DataFrame:
         ),
     )
     custom = F.array_join(F.transform(entries, lambda e: F.concat(e, F.lit(","))), "")
-    return tables.join(nested, m.K4).select(
+    return tables.join(nested, m.K4, "left").select(
         *m.K4,
-        "part",
+        F.coalesce("part", F.lit(0)).alias("part"),
         F.concat(F.lit("{"), custom, own.substr(F.lit(2), F.length(own) - 1)).alias("document"),
     )

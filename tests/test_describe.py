@@ -166,7 +166,7 @@ def test_indexes_and_partitions_mongo(spark):
 
 def test_undescribed_collection_is_an_error_row(spark):
     got = rows(describe.undescribed(extract(spark, "mongo", *MONGO)), "table", "error")
-    assert got == [("free", "Collection 'db.free' has no $jsonSchema validator.")]
+    assert got == [("free", "No readable JSON schema is declared for db.free")]
 
 
 def test_primary_keys_join_on_name_schema_and_table(spark):

@@ -34,8 +34,8 @@ def test_replies(spark):
     assert got[0].ai_documentation.column_descriptions == {"id": "key"}
     assert got[4].ai_documentation.column_descriptions == {}
     assert [r.ai_generation_status for r in got].count("failed") == 5
-    assert got[5].ai_generation_error == "Non-JSON response from model 'm'"
-    assert got[7].ai_generation_error == got[8].ai_generation_error == "Empty response content from model 'm'"
+    assert got[5].ai_generation_error == "Model 'm' sent no JSON object"
+    assert got[7].ai_generation_error == got[8].ai_generation_error == "Model 'm' sent an empty reply"
 
 
 def test_generate_tries_twice_and_isolates_failures(spark):
