@@ -14,7 +14,8 @@ from shelfmark.operators.store import Store
 from shelfmark.plans import roles
 from shelfmark.plans.registry import query
 from shelfmark.plans.roles import DOC_K4, ITEM, K4_SQL, now, t
-from shelfmark.sources.store import new_folder, write_exports
+from shelfmark.shared import new_folder
+from shelfmark.sources.store import write_exports
 
 
 @query(

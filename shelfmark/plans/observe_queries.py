@@ -10,7 +10,7 @@ from shelfmark.plans import roles
 from shelfmark.plans.registry import query
 from shelfmark.plans.roles import K4_SQL, ORD, SCHEMAS, t
 from shelfmark.sources.extracts import read_extract, read_json_extract
-from shelfmark.sources.store import new_folder
+from shelfmark.shared import new_folder
 
 
 def _columns(name: str) -> list[tuple[str, str]]:

@@ -11,7 +11,7 @@ from shelfmark.plans import roles
 from shelfmark.plans.job_queries import MESSAGES_SQL, STATE_SQL, shown_state, updates
 from shelfmark.plans.registry import query
 from shelfmark.plans.roles import CAT, EV, SCHEMAS
-from shelfmark.sources.store import new_folder
+from shelfmark.shared import new_folder
 from shelfmark.streaming import scans
 
 

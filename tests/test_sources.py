@@ -4,8 +4,8 @@ import pytest
 
 from helpers import extract, rows
 from shelfmark.operators import describe
+from shelfmark.shared import new_folder, shared_dir
 from shelfmark.sources.extracts import EXTRACTS, read_extract, read_json_extract
-from shelfmark.sources.store import new_folder, shared_dir
 
 
 @pytest.mark.parametrize("format", ["parquet", "csv", "json", "orc"])
@@ -30,11 +30,17 @@ def test_every_extract_kind_parses(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     class Conf:
-        def get(self, key, default):
-            return {"spark.checkpoint.dir": "hdfs://shared/x"}.get(key, default)
+        def __init__(self, **settings):
+            self.settings = settings
+
+        def get(self, key, *default):
+            return self.settings.get(key.replace(".", "_"), *default)
 
     class Session:
-        conf = Conf()
+        def __init__(self, **settings):
+            self.conf = Conf(**settings)
 
-    assert shared_dir(Session()) == "hdfs://shared/x"
-    assert new_folder(Session(), "a").startswith("hdfs://shared/x/a-")
+    given = Session(spark_checkpoint_dir="hdfs://shared/x", spark_sql_warehouse_dir="hdfs://w")
+    assert shared_dir(given) == "hdfs://shared/x"
+    assert shared_dir(Session(spark_sql_warehouse_dir="hdfs://w")) == "hdfs://w/shelfmark-run"
+    assert new_folder(spark, "a").startswith(f"{shared_dir(spark)}/a-")

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from helpers import rows
 from shelfmark.operators import jobs
-from shelfmark.sources.store import new_folder
+from shelfmark.shared import new_folder
 from shelfmark.streaming import scans
 
 START = datetime(2024, 1, 1)
