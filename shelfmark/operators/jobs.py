@@ -195,13 +195,16 @@ def reclaim(
     """G7. Messages to take over: of the first ``count`` unacknowledged ones by id, those idle for
     at least ``min_idle`` and held by another consumer.
 
+    Ids are numbers joined by dashes, time and sequence, and are ordered as such: 2 comes before 10.
+
     The last delivery per message combines before the shuffle; the first ``count`` are a top-n.
     """
+    numbers = F.transform(F.split("message_id", "-"), lambda n: n.try_cast("bigint"))
     pending = (
         deliveries.groupBy("message_id")
         .agg(F.max(F.struct("delivered_at", "consumer")).alias("last"))
         .join(acks.select("message_id"), "message_id", "left_anti")
-        .orderBy("message_id")
+        .orderBy(numbers, "message_id")
         .limit(count)
     )
     return pending.where(

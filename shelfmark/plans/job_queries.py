@@ -258,7 +258,8 @@ def messages(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "g7_reclaim",
-    f"""WITH {MESSAGES_SQL}, first AS (SELECT * FROM pending ORDER BY message_id LIMIT 10)
+    f"""WITH {MESSAGES_SQL}, first AS (SELECT * FROM pending ORDER BY
+          list_transform(string_split(message_id, '-'), lambda n: TRY_CAST(n AS BIGINT)), message_id LIMIT 10)
         SELECT message_id, consumer, strftime(delivered_at, '%Y-%m-%d %H:%M:%S.%f') AS delivered_at
         FROM first WHERE consumer <> 'w0' AND delivered_at + INTERVAL 30 SECOND <= TIMESTAMP '{AS_OF}'""",
 )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark import model as m
 from shelfmark.operators import jobs
 from shelfmark.plans import roles
-from shelfmark.plans.job_queries import MESSAGES_SQL, STATE_SQL, shown_state, updates
+from shelfmark.plans.job_queries import STATE_SQL, shown_state, updates
 from shelfmark.plans.registry import query
 from shelfmark.plans.roles import CAT, EV, SCHEMAS
 from shelfmark.shared import new_folder
@@ -61,39 +61,55 @@ def stream_dedupe(spark, sf):
     return written.select("job_id", "event_type")
 
 
-@query(
-    "g7_stream_abandoned",
-    f"""WITH {MESSAGES_SQL} SELECT message_id, consumer,
-          strftime(delivered_at, '%Y-%m-%d %H:%M:%S') AS delivered_at
-        FROM pending WHERE consumer <> 'w0'
-          AND delivered_at + INTERVAL 30 SECOND <= (SELECT max(ts) FROM events)""",
-)
-def stream_abandoned(spark, sf):
+# Sessions of a message's events without a pause of 30 seconds.
+ABANDONED_SQL = f"""WITH {EV},
+  steps AS (SELECT job_id AS message_id, ts, seq, event_type, coalesce(ts > lag(ts) OVER w + INTERVAL 30 SECOND, true)::INT
+      AS begins
+    FROM ev WINDOW w AS (PARTITION BY job_id ORDER BY ts)),
+  sessions AS (SELECT message_id, nr, max(ts) AS last, max(ts) FILTER (event_type = 'view') AS delivered_at,
+      max_by('w' || (seq % 3), (ts, 'w' || (seq % 3))) FILTER (event_type = 'view') AS consumer,
+      bool_or(event_type = 'purchase') AS acked
+    FROM (SELECT *, sum(begins) OVER (PARTITION BY message_id ORDER BY ts) AS nr FROM steps) GROUP BY ALL)
+  SELECT message_id, consumer, strftime(delivered_at, '%Y-%m-%d %H:%M:%S') AS delivered_at FROM sessions
+  WHERE delivered_at IS NOT NULL AND NOT acked AND consumer <> 'w0'
+    AND last + INTERVAL 30 SECOND <= (SELECT date_trunc('millisecond', max(ts)) FROM events)"""
+
+
+def _abandoned(spark, events: DataFrame) -> DataFrame:
     path = new_folder(spark, "abandoned")
     kind = F.col("event_type")
-    deliveries = (
-        event_stream(spark, sf)
-        .select(
-            F.col("job_id").alias("message_id"),
-            F.when(kind == "view", "delivered").when(kind == "purchase", "acked").alias("kind"),
-            F.concat(F.lit("w"), F.col("seq") % 3).alias("consumer"),
-            "ts",
-        )
+    deliveries = events.select(
+        F.col("job_id").alias("message_id"),
+        F.when(kind == "view", "delivered").when(kind == "purchase", "acked").alias("kind"),
+        F.concat(F.lit("w"), F.col("seq") % 3).alias("consumer"),
+        "ts",
     )
     found = scans.abandoned_stream(deliveries, "w0")
     scans.write_append(found, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    written = spark.read.schema(
-        "message_id string, consumer string, delivered_ms bigint"
-    ).parquet(f"{path}/out")
-    return written.select(
-        "message_id",
-        "consumer",
-        F.date_format(F.timestamp_millis("delivered_ms"), "yyyy-MM-dd HH:mm:ss").alias(
-            "delivered_at"
-        ),
+    schema = "message_id string, consumer string, delivered_ms bigint"
+    at = F.date_format(F.timestamp_millis("delivered_ms"), "yyyy-MM-dd HH:mm:ss")
+    return spark.read.schema(schema).parquet(f"{path}/out").select(
+        "message_id", "consumer", at.alias("delivered_at")
     )
 
 
+@query("g7_stream_abandoned", ABANDONED_SQL)
+def stream_abandoned(spark, sf):
+    return _abandoned(spark, event_stream(spark, sf))
+
+
+@query("g7_stream_abandoned_batches", ABANDONED_SQL)
+def stream_abandoned_batches(spark, sf):
+    """The same events in three files, one after the other in time, so in three micro-batches."""
+    path = new_folder(spark, "parts")
+    events = roles.t(spark, sf, "events")
+    cuts = events.agg(F.percentile_approx("ts", F.array(F.lit(0.3), F.lit(0.7)))).first()[0]
+    late = F.when(F.col("ts") < F.lit(cuts[0]), 0).when(F.col("ts") < F.lit(cuts[1]), 1).otherwise(2)
+    for k in range(3):
+        events.where(late == k).coalesce(1).write.mode("append").parquet(f"{path}/events.parquet")
+    return _abandoned(spark, event_stream(spark, path))
+
+
 # One request per nation, without configuration; those of one region name instances that are gone.
 @query(
     "g1_stream_scans",

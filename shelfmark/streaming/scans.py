@@ -5,13 +5,9 @@ A stream's own progress is its checkpoint; there are no acknowledgements or cons
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfmark.operators.jobs import STATE_FIELDS, decode_messages, scan
 from shelfmark.operators.scope import resolve_owner
@@ -147,50 +143,21 @@ def abandoned_stream(
 ) -> DataFrame:
     """G7. Messages idle for ``idle_seconds`` without acknowledgement, held by another consumer.
 
-    ``deliveries``: ``message_id, kind ('delivered' or 'acked'), consumer, ts``.  State is the last
-    delivery per open message; its timer runs in event time, and an acknowledgement ends it.
+    ``deliveries``: ``message_id, kind ('delivered' or 'acked'), consumer, ts``.  What happens to a
+    message without a pause of ``idle_seconds`` is one session; a session that closes with a delivery
+    and without an acknowledgement was abandoned by whoever got the message last.  Sessions are made
+    in event time, so batch borders, and the order within ``delay``, change nothing; a message that
+    is delivered again after its pause can be abandoned again.  State is one row per open session.
     """
-
-    def watch(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            consumer, at = state.get
-            state.remove()
-            if consumer != me:
-                yield pd.DataFrame(
-                    {"message_id": [key[0]], "consumer": [consumer], "delivered_ms": [at]}
-                )
-            return
-        consumer, at = state.get if state.exists else (None, -1)
-        acked = False
-        for frame in frames:
-            acked = acked or bool((frame["kind"] == "acked").any())
-            given = frame[frame["kind"] == "delivered"]
-            if len(given):
-                last = given.sort_values(["ms", "consumer"]).iloc[-1]
-                if int(last["ms"]) >= at:
-                    consumer, at = last["consumer"], int(last["ms"])
-        if acked:
-            if state.exists:
-                state.remove()
-            return
-        if at >= 0:
-            state.update((consumer, at))
-            due = at + idle_seconds * 1000
-            # A timer may not lie before the watermark; one that is due runs at the next batch.
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    return (
+    delivered = F.when(F.col("kind") == "delivered", F.struct("ts", "consumer"))
+    sessions = (
         deliveries.withWatermark("ts", delay)
-        .select("message_id", "kind", "consumer", F.unix_millis("ts").alias("ms"), "ts")
-        .groupBy("message_id")
-        .applyInPandasWithState(
-            watch,
-            "message_id string, consumer string, delivered_ms bigint",
-            "consumer string, delivered_ms bigint",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+        .groupBy("message_id", F.session_window("ts", f"{idle_seconds} seconds"))
+        .agg(F.max(delivered).alias("last"), F.max(F.col("kind") == "acked").alias("acked"))
+    )
+    open_ = F.col("last").isNotNull() & ~F.coalesce("acked", F.lit(False))
+    return sessions.where(open_ & (F.col("last.consumer") != me)).select(
+        "message_id",
+        F.col("last.consumer").alias("consumer"),
+        F.unix_millis("last.ts").alias("delivered_ms"),
     )
-

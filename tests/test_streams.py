@@ -71,5 +71,19 @@ def test_abandoned_messages(spark):
     found = scans.abandoned_stream(scans.read_scan_events(spark, path, schema), "me")
     scans.write_append(found, out, new_folder(spark, "checkpoint")).awaitTermination()
     got = rows(spark.read.parquet(out), "message_id", "consumer")
-    # 2 is ours, 3 was acknowledged, 4 was delivered again, and 9 only now.
-    assert got == [("1", "dead2")]
+    # 2 is ours, 3 was acknowledged, 9 was delivered only now; 4 was idle until it was delivered again.
+    assert got == [("1", "dead2"), ("4", "dead")]
+
+
+def test_abandoned_messages_whatever_the_batches(spark):
+    """An acknowledgement a batch before its delivery counts, and one after the pause does not."""
+    schema = "message_id string, kind string, consumer string, ts timestamp"
+    early = ("1", "acked", None, sec(12)), ("2", "delivered", "dead", sec(0)), ("3", "delivered", "dead", sec(5))
+    late = ("1", "delivered", "dead", sec(10)), ("2", "acked", None, sec(31)), ("3", "acked", None, sec(35))
+    end = (("9", "delivered", "dead", sec(200)),)
+    for batches in ([early, late, end], [early + late, end], [early + late + end]):
+        path, out = landed(spark, schema, *map(list, batches)), new_folder(spark, "out")
+        stream = scans.read_scan_events(spark, path, schema)
+        found = scans.abandoned_stream(stream, "me", delay="60 seconds")
+        scans.write_append(found, out, new_folder(spark, "checkpoint")).awaitTermination()
+        assert rows(spark.read.parquet(out), "message_id", "consumer") == [("2", "dead")]
