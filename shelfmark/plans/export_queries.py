@@ -15,7 +15,7 @@ from shelfmark.plans import roles
 from shelfmark.plans.registry import query
 from shelfmark.plans.roles import DOC_K4, ITEM, K4_SQL, now, t
 from shelfmark.shared import new_folder
-from shelfmark.sources.store import write_exports
+from shelfmark.sources.store import bundle_index, read_exports, write_exports
 
 
 @query(
@@ -280,8 +280,21 @@ def export_all(spark, sf):
 def written_exports(spark, sf):
     path = new_folder(spark, "exports")
     write_exports(export.export(roles.store(spark, sf), ["markdown"]), path)
-    written = spark.read.schema("path string, part bigint, content string, format string").parquet(path)
-    return written.select("format", "path", "part", "content")
+    return read_exports(spark, path)
+
+
+@query("a5_export_batches", EXPORT_SQL)
+def export_batches(spark, sf):
+    """Three batches, of other schemas and formats each: later ones leave the earlier documents, and
+    the index lists the whole bundle."""
+    path = new_folder(spark, "exports")
+    whole = roles.store(spark, sf)
+    batches = [("schema <> 'MACHINERY'", None), ("schema >= 'FURNITURE'", ["okf"]), ("schema >= 'MACHINERY'", ["markdown"])]
+    for condition, formats in batches:
+        part = Store(whole.tables.where(condition), whole.facts.where(condition))
+        write_exports(export.export(part, formats), path)
+    index = bundle_index(spark, path).select(F.lit("okf").alias("format"), "path", "part", "content")
+    return read_exports(spark, path).union(index)
 
 
 PROMPT_SQL = f"""WITH {ITEM},

@@ -13,7 +13,8 @@ from shelfmark.plans import roles
 from shelfmark.plans.registry import query
 from shelfmark.plans.roles import CAT, DOC_K4, K4_SQL, NOW_ISO, ORD, now, t
 from shelfmark.sources import documents
-from shelfmark.sources.store import new_folder, read_store, update_store, write_store
+from shelfmark.shared import new_folder
+from shelfmark.sources.store import read_store, update_store, write_store
 
 
 @query(
@@ -406,8 +407,8 @@ def store_round_trip(spark, sf):
     path = new_folder(spark, "store")
     facts = describe.columns_mysql(roles.raw_columns_mysql(spark, sf))
     tables = roles.tables(spark, sf)
-    write_store(Store(tables.limit(0), facts.limit(0)), path, F.lit("2024-01-01").cast("timestamp"))
-    write_store(Store(tables, facts), path, now())
+    write_store(Store(tables.limit(0), facts.limit(0)), path)
+    write_store(Store(tables, facts), path)
     return read_store(spark, path).facts.select(
         *m.K4, "position", "column_name", "data_type", "is_nullable"
     )
@@ -424,7 +425,7 @@ def store_round_trip(spark, sf):
 def store_update(spark, sf):
     path = new_folder(spark, "store")
     old, new = snapshots(spark, sf)
-    write_store(old, path, F.lit("2001-01-01").cast("timestamp"))
+    write_store(old, path)
     one = F.col("instance") == "NATION_3"
     part = read_store(spark, path, config=None, instance="NATION_3")
     scan = Store(new.tables.where(one), new.facts.where(one))

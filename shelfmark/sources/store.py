@@ -1,9 +1,11 @@
 """A3, A4, A5. The store and the rendered documents on shared storage.
 
-A store is a folder with ``versions/<name>/tables`` and ``versions/<name>/facts``, partitioned by
-config, instance and schema, and ``commits``, a small table with one row per complete version.
-Writers add a version and then commit it; readers take the latest commit.  A writer that is lost
-leaves files that nobody reads, never a half-written store.
+A store is a folder with ``tables`` and ``facts``, each partitioned by version, config, instance and
+schema, ``manifests`` (which version of each schema is the current one) and ``commits`` (one small
+file per commit, numbered without gaps).  A writer adds folders of a name of its own and then creates
+the file of the next number, which only one writer can; files that belong to a commit are never
+changed.  A writer that is lost leaves folders that no commit names, never a half-written store, and
+what was read before stays readable.
 """
 
 from __future__ import annotations
@@ -12,64 +14,113 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark import model as m
+from shelfmark.operators import export
 from shelfmark.operators.store import Merged, Store
-from shelfmark.shared import new_folder, written
+from shelfmark.shared import written
 
 _LEVELS = ["config", "instance", "schema"]
-_TABLE_ORDER = m.K4
-_FACT_ORDER = [*m.K4, *m.FACT_ORDER]
+_ORDER = {"tables": m.K4, "facts": [*m.K4, *m.FACT_ORDER]}
+_COLUMNS = {"tables": m.TABLE_COLUMNS, "facts": m.FACT_COLUMNS}
+_FIELDS = {"tables": m.TABLE_FIELDS, "facts": {"section": "string", **m.FACT_FIELDS}}
 
 
-def _write(df: DataFrame, path: str, order: list[str], **options: str) -> None:
+class Conflict(Exception):
+    """Another writer has committed since the version that this one was made from."""
+
+
+def _folder(spark: SparkSession, path: str):
+    """The file system of a folder and its path there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def version(spark: SparkSession, path: str) -> int:
+    """Number of the latest commit, 0 where nothing is committed."""
+    fs, place = _folder(spark, f"{path}/commits")
+    if not fs.exists(place):
+        return 0
+    names = (f.getPath().getName() for f in fs.listStatus(place))
+    return max((int(n) for n in names if n.isdigit()), default=0)
+
+
+def _commit(spark: SparkSession, path: str, base: int, name: str) -> int:
+    """Commit ``name`` as the number after ``base``; creating the file fails if it is there."""
+    number = base + 1
+    fs, place = _folder(spark, f"{path}/commits/{number:020d}")
+    try:
+        out = fs.create(place, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception):
+            raise Conflict(f"{path}: version {number} is committed already") from e
+        raise
+    out.write(bytearray(name.encode()))
+    out.close()
+    return number
+
+
+def _names(spark: SparkSession, path: str) -> DataFrame:
+    """``number, name`` of all commits."""
+    files = spark.read.text(f"{path}/commits", wholetext=True)
+    return files.select(F.col("_metadata.file_name").cast("bigint").alias("number"), F.col("value").alias("name"))
+
+
+def _new_name() -> str:
+    return uuid.uuid4().hex
+
+
+def _write(df: DataFrame, path: str, part: str, name: str) -> None:
     # A range shuffle in the order of the hierarchy keeps the number of files per folder small, and
     # cuts a schema or table that holds most of the rows over many tasks.
-    writer = df.repartitionByRange(*order).write.options(**options).partitionBy(*_LEVELS)
-    writer.mode("overwrite" if options else "errorifexists").parquet(path)
+    rows = df.select(*_COLUMNS[part]).repartitionByRange(*_ORDER[part])
+    rows.write.partitionBy(*_LEVELS).parquet(f"{path}/{part}/version={name}")
 
 
-def write_store(store: Store, path: str, now: Column) -> str:
-    """A4. Write a new version and commit it; the version's name."""
+def _manifest(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """``config, instance, schema, version`` of a commit; empty for number 0."""
+    fields = ", ".join(f"`{k}` STRING" for k in [*_LEVELS, "version"])
+    if number == 0:
+        return spark.createDataFrame([], fields)
+    name = _names(spark, path).where(F.col("number") == number).first()["name"]
+    return spark.read.schema(fields).parquet(f"{path}/manifests/{name}")
+
+
+def write_store(store: Store, path: str, base: int | None = None) -> int:
+    """A4. Write a store whole and commit it; the number of the commit.
+
+    With ``base``, the number the store was made from, a commit in between raises ``Conflict``.
+    """
     spark = store.tables.sparkSession
-    version = uuid.uuid4().hex
-    at = f"{path}/versions/{version}"
-    _write(store.tables.select(*m.TABLE_COLUMNS), f"{at}/tables", _TABLE_ORDER)
-    _write(store.facts.select(*m.FACT_COLUMNS), f"{at}/facts", _FACT_ORDER)
-    commit = spark.range(1).select(F.lit(version).alias("version"), now.alias("committed_at"))
-    commit.write.mode("append").parquet(f"{path}/commits")
-    return version
+    base = version(spark, path) if base is None else base
+    name = _new_name()
+    for part, rows in (("tables", store.tables), ("facts", store.facts)):
+        _write(rows, path, part, name)
+    schemas = store.tables.select(*_LEVELS).distinct()
+    schemas.withColumn("version", F.lit(name)).write.parquet(f"{path}/manifests/{name}")
+    return _commit(spark, path, base, name)
 
 
-def update_store(merged: Merged, path: str) -> None:
-    """A4. Bring a merge into the latest version by rewriting only the schemas it changed.
+def update_store(merged: Merged, path: str, base: int | None = None) -> int:
+    """A4. Commit a merge by writing only the schemas it changed; the number of the commit.
 
-    For scans that touch little of a large store; while it runs, readers may see old and new
-    schemas side by side.  The new rows are written aside first, because the merge reads the
-    store, and then replace their partitions.
+    The other schemas stay where they are, the new manifest names them again.  ``merged`` holds all
+    tables of the schemas it changed, and stays readable.  ``base`` as for ``write_store``.
     """
     spark = merged.tables.sparkSession
-    at = _latest(spark, path)
+    base = version(spark, path) if base is None else base
+    name = _new_name()
     is_written = F.col("action").isin("insert", "update")
-    schemas = merged.tables.where(is_written).select(*_LEVELS).distinct()
-    new = {
-        "tables": (merged.tables.select(*m.TABLE_COLUMNS), _TABLE_ORDER),
-        "facts": (merged.facts.select(*m.FACT_COLUMNS), _FACT_ORDER),
-    }
-    aside = {
-        part: written(rows.join(schemas, _LEVELS, "left_semi"), part)
-        for part, (rows, _) in new.items()
-    }
-    for part, (_, order) in new.items():
-        _write(aside[part], f"{at}/{part}", order, partitionOverwriteMode="dynamic")
-
-
-def _latest(spark: SparkSession, path: str) -> str:
-    commits = spark.read.schema("version string, committed_at timestamp").parquet(f"{path}/commits")
-    latest = commits.orderBy(F.desc("committed_at"), F.desc("version")).first()["version"]
-    return f"{path}/versions/{latest}"
+    schemas = written(merged.tables.where(is_written).select(*_LEVELS).distinct(), "schemas")
+    for part, rows in (("tables", merged.tables), ("facts", merged.facts)):
+        _write(rows.join(schemas, _LEVELS, "left_semi"), path, part, name)
+    kept = _manifest(spark, path, base).join(schemas, _LEVELS, "left_anti")
+    new = schemas.withColumn("version", F.lit(name))
+    kept.unionByName(new).write.parquet(f"{path}/manifests/{name}")
+    return _commit(spark, path, base, name)
 
 
 def read_store(
@@ -78,30 +129,68 @@ def read_store(
     config: str | None = None,
     instance: str | None = None,
     schema: str | None = None,
+    number: int | None = None,
 ) -> Store:
-    """A3. The latest committed version, or its part within the given names (folders are pruned)."""
-    at = _latest(spark, path)
-    levels = ", ".join(f"`{k}` STRING" for k in _LEVELS)
-
-    def read(part: str, fields: dict[str, str]) -> DataFrame:
-        columns = ", ".join(f"{n} {t}" for n, t in fields.items())
-        rows = spark.read.schema(f"`table` STRING, {columns}, {levels}").parquet(f"{at}/{part}")
+    """A3. The latest commit (or that of ``number``), or its part within the given names, for which
+    folders are pruned.  A store that nothing is committed to is empty."""
+    number = version(spark, path) if number is None else number
+    manifest = _manifest(spark, path, number)
+    for level, name in zip(_LEVELS, (config, instance, schema)):
+        if name is not None:
+            manifest = manifest.where(F.col(level) == name)
+    # As many versions as commits are still current for some schema; their folders only are listed.
+    versions = [r["version"] for r in manifest.select("version").distinct().collect()]
+
+    def read(part: str) -> DataFrame:
+        fields = ", ".join(f"{n} {t}" for n, t in _FIELDS[part].items())
+        levels = ", ".join(f"`{k}` STRING" for k in ["version", *_LEVELS])
+        kind = f"`table` STRING, {fields}, {levels}"
+        if not versions:
+            return spark.createDataFrame([], kind).select(*_COLUMNS[part])
+        folders = [f"{path}/{part}/version={v}" for v in versions]
+        rows = spark.read.schema(kind).option("basePath", f"{path}/{part}").parquet(*folders)
         for level, name in zip(_LEVELS, (config, instance, schema)):
             if name is not None:
                 rows = rows.where(F.col(level) == name)
-        return rows
+        return rows.join(manifest, [*_LEVELS, "version"], "left_semi").select(*_COLUMNS[part])
+
+    return Store(read("tables"), read("facts"))
+
 
-    return Store(
-        read("tables", m.TABLE_FIELDS).select(*m.TABLE_COLUMNS),
-        read("facts", {"section": "string", **m.FACT_FIELDS}).select(*m.FACT_COLUMNS),
+def write_exports(documents: DataFrame, path: str) -> int:
+    """A5. Add rendered documents ``format, path, part, content`` to the exports in ``path``.
+
+    Documents of the same format and path are replaced; all others stay, whatever their format.  The
+    index is not taken over: it is that of the whole bundle, see ``bundle_index``.
+    """
+    spark = documents.sparkSession
+    base, name = version(spark, path), _new_name()
+    part = F.col("part").cast("bigint").alias("part")
+    own = documents.where(~((F.col("format") == m.OKF) & (F.col("path") == "index.md")))
+    own.select("format", "path", part, "content").repartitionByRange("format", "path", "part").write.partitionBy(
+        "format"
+    ).parquet(f"{path}/documents/batch={name}")
+    return _commit(spark, path, base, name)
+
+
+def read_exports(spark: SparkSession, path: str) -> DataFrame:
+    """A5. The current documents ``format, path, part, content``: of each the last one written."""
+    documents = spark.read.schema(
+        "path STRING, part BIGINT, content STRING, batch STRING, format STRING"
+    ).parquet(f"{path}/documents")
+    commits = _names(spark, path).withColumnRenamed("name", "batch")
+    numbered = documents.join(commits, "batch")
+    last = numbered.groupBy("format", "path").agg(F.max("number").alias("number"))
+    return numbered.join(last, ["format", "path", "number"], "left_semi").select(
+        "format", "path", "part", "content"
     )
 
 
-def write_exports(documents: DataFrame, path: str) -> None:
-    """A5. Rendered documents as a table ``path, part, content`` per format."""
-    documents.select("format", "path", "part", "content").repartitionByRange(
-        "format", "path", "part"
-    ).write.mode("overwrite").partitionBy("format").parquet(path)
+def bundle_index(spark: SparkSession, path: str) -> DataFrame:
+    """A5, E6. The index ``path, part, content`` of all knowledge-bundle documents in the exports."""
+    # Front matter stands in a document's first part.
+    first = read_exports(spark, path).where((F.col("format") == m.OKF) & (F.col("part") == 0))
+    return export.render_okf_index(export.index_entries(first.select("path", "content")))
 
 
 def publish_files(documents: DataFrame, root: str) -> None:

@@ -8,7 +8,8 @@ from helpers import extract, rows
 from shelfmark import model as m
 from shelfmark.operators import describe, export, store
 from shelfmark.operators.store import Store
-from shelfmark.sources.store import new_folder, read_store, write_store, written
+from shelfmark.shared import new_folder, written
+from shelfmark.sources.store import read_store, write_store
 
 TABLES = """
 CREATE TABLE users (id INTEGER PRIMARY KEY, name TEXT NOT NULL, email TEXT UNIQUE);
@@ -71,9 +72,9 @@ def test_sqlite_to_documents(spark):
         "instance string, schema string, table string, seq int, payload map<string,string>",
     )
     path = new_folder(spark, "end-to-end")
-    write_store(Store(merged.tables, merged.facts), path, at(1))
+    write_store(Store(merged.tables, merged.facts), path)
     stored = read_store(spark, path)
-    write_store(Store(store.annotate(stored.tables, patches, at(2)), stored.facts), path, at(2))
+    write_store(Store(store.annotate(stored.tables, patches, at(2)), stored.facts), path)
     own = read_store(spark, path)
 
     database.execute("ALTER TABLE products ADD COLUMN note TEXT")

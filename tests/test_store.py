@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from helpers import column, facts, rows, store, tables
 from shelfmark.functions.text import document_path, iso, metadata_key, sanitize
+from shelfmark.operators import export
 from shelfmark.operators import store as ops
 from shelfmark.operators.store import Store
+from shelfmark.shared import new_folder
 from shelfmark.sources import documents
-from shelfmark.sources.store import new_folder, read_store, update_store, write_store
+from shelfmark.sources.store import Conflict, read_store, update_store, version, write_store
 
 OLD, NEW = datetime(2024, 1, 1), datetime(2024, 2, 2, 3, 4, 5, 600)
 
@@ -204,6 +206,48 @@ def test_pages(spark):
             ops.page(names, *bad)
 
 
+def test_late_pages(spark):
+    names = spark.range(1000).select(F.format_string("n%04d", F.col("id") * 7919 % 1000).alias("name")).repartition(9)
+    got = ops.page(names, 13, 80).first()
+    assert got["items"] == [f"n{i:04d}" for i in range(960, 1000)] and (got["total"], got["pages"]) == (1000, 13)
+    assert ops.page(names, 99, 80).first()["items"] == []
+    plan = ops.page(names, 13, 80)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Limit" not in plan
+
+
+def test_gaps_between_positions_are_no_change(spark):
+    """Columns at 1 and 3, as a dropped column leaves them, equal those read back at 1 and 2."""
+    one = lambda *places: facts(spark, *[("t", "column", column(c, p)) for c, p in zip("ab", places)])
+    for exact in (True, False):
+        assert rows(ops.changed_tables(one(1, 3), one(1, 2), exact)) == []
+        assert len(rows(ops.changed_tables(one(3, 1), one(1, 2), exact))) == 1
+
+
+def test_documents_of_all_kinds(spark):
+    """A table without facts has a document, the newest document of a table counts, a column keeps
+    its own description, an index without a name is listed."""
+    from shelfmark.operators.describe import nest
+
+    own = store(
+        spark,
+        [("bare", {"updated_at": OLD}), ("t", {"updated_at": OLD})],
+        [("t", "column", column("a", description="by hand", comment="c"))],
+    )
+    texts = documents.to_documents(own.tables, nest(own.facts)).select("document")
+    assert rows(documents.tables_of_documents(texts), "table") == [("bare",), ("t",)]
+    assert rows(documents.facts_of_documents(texts)) == rows(own.facts)
+    assert " | by hand |" in export.render_markdown(own).where("path like '%t.md'").first().content
+    newer = texts.where("document like '%by hand%'").select(
+        F.regexp_replace(F.regexp_replace("document", "by hand", "newer"), "2024-01-01T", "2024-05-01T").alias("document")
+    )
+    (fact,) = documents.facts_of_documents(texts.union(newer).repartition(3)).collect()
+    assert fact.description == "newer"
+    unnamed = '{"columns":[],"indexes":[{"column_names":["a","b"],"is_unique":true}]}'
+    described = own.tables.where("`table` = 't'").select("config", "instance", "schema", "table", F.lit(unnamed).alias("description"))
+    listed = Store(own.tables, documents.facts_of_descriptions(described))
+    assert "- `None`: unique `a`, `b`" in export.render_markdown(listed).where("path like '%t.md'").first().content
+
+
 def test_search_ignores_case_and_nulls(spark):
     df = spark.createDataFrame([("Orders", None), ("x", "ORDER desk"), (None, None)], "a string, b string")
     assert len(rows(ops.search(df, ["a", "b"], "order"))) == 2
@@ -220,33 +264,70 @@ def test_iso(spark):
 def test_store_versions(spark):
     path = new_folder(spark, "test-store")
     own = existing(spark)
-    write_store(own, path, F.lit(OLD))
+    assert version(spark, path) == 0 and rows(read_store(spark, path).tables) == []
+    assert write_store(own, path) == 1
     merged = ops.merge_metadata(read_store(spark, path), incoming(spark), now())
-    write_store(Store(merged.tables, merged.facts), path, now())
+    assert write_store(Store(merged.tables, merged.facts), path, base=1) == 2
     got = read_store(spark, path)
     assert {r[0] for r in rows(got.tables, "table")} == {"same", "changed", "absent", "fresh"}
     assert rows(got.facts) == rows(merged.facts)
     assert rows(ops.get_table(got.tables, "c", "i", "s", "fresh"), "updated_at") == [(NEW,)]
+    assert rows(read_store(spark, path, number=1).facts) == rows(own.facts)
 
 
-def test_update_rewrites_only_changed_schemas(spark):
+def test_only_one_of_two_writers_commits(spark):
+    path = new_folder(spark, "test-store")
+    own = existing(spark)
+    write_store(own, path)
+    merged = ops.merge_metadata(read_store(spark, path), incoming(spark), now())
+    write_store(own, path, base=1)
+    with pytest.raises(Conflict):
+        update_store(merged, path, base=1)
+    assert version(spark, path) == 2 and rows(read_store(spark, path).facts) == rows(own.facts)
+
+
+def test_a_lost_writer_leaves_the_store_as_it_was(spark):
+    path = new_folder(spark, "test-store")
+    own = existing(spark)
+    write_store(own, path)
+    # Folders without a commit, as a writer leaves that is lost before it commits.
+    own.facts.limit(1).write.partitionBy("config", "instance", "schema").parquet(f"{path}/facts/version=lost")
+    assert rows(read_store(spark, path).facts) == rows(own.facts)
+    assert write_store(own, path) == 2
+
+
+def test_update_writes_only_changed_schemas(spark):
     path = new_folder(spark, "test-store")
     own = existing(spark)
     elsewhere = lambda df: df.unionByName(df.withColumn("schema", F.lit("s2")))
-    write_store(Store(elsewhere(own.tables), elsewhere(own.facts)), path, F.lit(OLD))
-    files = lambda df, schema: {f for f in df.inputFiles() if f"schema={schema}/" in f}
+    write_store(Store(elsewhere(own.tables), elsewhere(own.facts)), path)
+    files = lambda df: {f for f in df.inputFiles() if "/facts/" in f}
     before = read_store(spark, path)
-    kept, replaced = files(before.facts, "s2"), files(before.facts, "s")
     scoped = read_store(spark, path, "c", "i", "s")
     assert {r[0] for r in rows(scoped.facts, "schema")} == {"s"}
     merged = ops.merge_metadata(scoped, incoming(spark), now(), only_if_changed=True)
     expected = rows(merged.facts)
     update_store(merged, path)
     after = read_store(spark, path)
-    assert kept and replaced
     assert rows(after.facts.where("schema = 's'")) == expected
     assert rows(after.tables.where("schema = 's'"), "table") == [(t,) for t in ("absent", "changed", "fresh", "same")]
-    assert files(after.facts, "s2") == kept and not files(after.facts, "s") & replaced
+    assert rows(after.facts.where("schema = 's2'")) == rows(before.facts.where("schema = 's2'"))
+    new = files(after.facts) - files(before.facts)
+    assert new and all("/schema=s/" in f for f in new)
+    # What was read before the update is still there, and so is the merge.
+    assert len(rows(before.facts)) == 2 * len(rows(own.facts))
+    assert export.render_markdown(merged.scanned).count() > 0
+
+
+def test_a_schema_that_loses_all_facts(spark):
+    path = new_folder(spark, "test-store")
+    own = existing(spark)
+    write_store(own, path)
+    stored = read_store(spark, path)
+    nothing = Store(own.tables, own.facts.limit(0))
+    update_store(ops.merge_metadata(stored, nothing, now()), path)
+    after = read_store(spark, path)
+    assert rows(after.facts) == [] and rows(after.tables, "table") == rows(own.tables, "table")
 
 
 def test_documents_round_trip(spark):
