@@ -23,6 +23,9 @@ SYSTEM_SCHEMAS = {
 # Fixed value: further hidden names there; '_' of a LIKE pattern matches any one character.
 POSTGRES_HIDDEN = "^pg."
 
+# Keys over which the tables below a coarse scope are dealt.
+SALTS = 16
+
 # Table kinds listed per dialect; dialects not named list every kind.
 LISTED_KINDS = {"postgres": ["BASE TABLE"], "sqlite": ["table"]}
 
@@ -156,26 +159,35 @@ def expand_scope(catalog: DataFrame, scopes: DataFrame) -> DataFrame:
     """C4. Tables each scope covers: ``scope_id, K4``; a null level means all of that level.
 
     ``scopes``: ``scope_id`` and the four names.  A catalogue row stands for one candidate per
-    pattern of null levels that occurs among the scopes (16 at most), and one null-safe equi join
-    on the four names finds the scopes: no condition with OR, no nested loop, one scan.  A scope
-    that covers nothing has no row (see ``unmatched_scopes``).
+    pattern of null levels that occurs among the scopes (16 at most, asked for first), and one
+    null-safe equi join on the four names finds the scopes: no condition with OR, no nested loop, one
+    scan.  Where no table is named, very many rows share their names, so their candidates are dealt
+    over ``SALTS`` keys, to each of which the scope goes.  A scope that covers nothing has no row
+    (see ``unmatched_scopes``).
     """
     bits = {k: 1 << i for i, k in enumerate(m.K4)}
     pattern = sum(F.when(F.col(k).isNull(), 0).otherwise(bit) for k, bit in bits.items())
-    present = scopes.agg(F.collect_set(pattern)).scalar()
+    present = sorted(r["pattern"] for r in scopes.select(pattern.alias("pattern")).distinct().collect())
+    names_table = lambda given: given & bits["table"]
 
     def candidate(given: int) -> Column:
         names = [
             (F.col(k) if given & bit else F.lit(None)).cast("string").alias(f"s_{k}")
             for k, bit in bits.items()
         ]
-        return F.when(F.array_contains(present, F.lit(given)), F.struct(*names))
+        salt = F.lit(0) if names_table(given) else F.pmod(F.hash(*m.K4), F.lit(SALTS))
+        return F.struct(*names, salt.alias("s_salt"))
 
-    candidates = F.array_compact(F.array(*[candidate(p) for p in range(1 << len(bits))]))
+    candidates = F.array(*[candidate(p) for p in present or [0]])
     rows = catalog.select(*m.K4, F.inline(candidates))
-    wanted = scopes.select("scope_id", *[F.col(k).alias(f"w_{k}") for k in m.K4])
+    salts = F.when(F.col("table").isNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    wanted = scopes.select(
+        "scope_id", *[F.col(k).alias(f"w_{k}") for k in m.K4], F.explode(salts).alias("w_salt")
+    )
     same = reduce(and_, [F.col(f"s_{k}").eqNullSafe(F.col(f"w_{k}")) for k in m.K4])
-    return rows.join(wanted, same).select("scope_id", *m.K4)
+    return rows.join(wanted, same & (F.col("s_salt") == F.col("w_salt"))).select("scope_id", *m.K4)
 
 
 def unmatched_scopes(scopes: DataFrame, expanded: DataFrame) -> DataFrame:

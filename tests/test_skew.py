@@ -67,6 +67,25 @@ def test_index_is_ordered_lines(spark):
     assert [r.content for r in lines[1:]] == [f"* {i}\n" for i in range(500)]
 
 
+def test_coarse_scopes_are_dealt_over_keys(spark):
+    """One scope over everything: no join key holds most of the catalogue."""
+    from shelfmark.operators import scope
+
+    catalog = spark.range(4000).select(
+        F.lit("c").alias("config"), F.lit("i").alias("instance"), F.lit("s").alias("schema"),
+        F.concat(F.lit("t"), "id").alias("table"),
+    )
+    scopes = spark.createDataFrame(
+        [("all", None, None, None, None), ("one", "c", "i", "s", "t7"), ("schema", "c", "i", "s", None)],
+        "scope_id string, config string, instance string, schema string, table string",
+    )
+    expanded = scope.expand_scope(catalog, scopes)
+    got = {r["scope_id"]: r["count"] for r in expanded.groupBy("scope_id").count().collect()}
+    assert got == {"all": 4000, "schema": 4000, "one": 1}
+    assert "s_salt" in expanded._jdf.queryExecution().executedPlan().toString()
+    assert scope.expand_scope(catalog, scopes.limit(0)).count() == 0
+
+
 def test_job_with_very_many_errors(spark):
     errors = spark.range(1000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("j"), F.col("id") % 50)).alias("job_id"),
