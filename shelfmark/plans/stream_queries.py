@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import model as m
-from shelfmark.operators import jobs
+from shelfmark.functions.text import document_path
+from shelfmark.operators import describe, jobs
 from shelfmark.plans import roles
 from shelfmark.plans.job_queries import STATE_SQL, shown_state, updates
 from shelfmark.plans.registry import query
 from shelfmark.plans.roles import CAT, EV, SCHEMAS
-from shelfmark.shared import new_folder
+from shelfmark.shared import new_folder, written
+from shelfmark.sources.scans import apply_requests
+from shelfmark.sources.store import read_exports, read_store
 from shelfmark.streaming import scans
 
 
@@ -145,3 +148,58 @@ def stream_scans(spark, sf):
         messages, cat, described, errors, f"{path}/out", f"{path}/checkpoint"
     ).awaitTermination()
     return jobs.fold_counts(*scans.read_scans(spark, f"{path}/out"))
+
+
+# Requests of every kind of options, run twice over the same facts, the second time without exports:
+# what is saved, when, and exported.
+@query(
+    "g1_scan_options",
+    f"""WITH {CAT},
+      described AS (SELECT DISTINCT o_custkey AS c_custkey FROM orders)
+      SELECT config, instance, "schema", "table", n_nationkey % 5 <> 0 AS saved,
+        CASE WHEN n_nationkey % 5 = 0 THEN NULL WHEN n_nationkey % 2 = 0 THEN '2024-01-01' ELSE '2024-02-02' END
+          AS updated_on, n_nationkey % 3 <> 1 AS markdown, n_nationkey % 3 <> 0 AS okf
+      FROM cat JOIN nation ON n_name = instance SEMI JOIN described USING (c_custkey)""",
+)
+def scan_options(spark, sf):
+    """Even nations are saved only if changed, every fifth is not saved; formats go round."""
+    path = new_folder(spark, "options")
+    key = F.col("n_nationkey")
+    text = lambda condition: condition.cast("string")
+    nations = scans.read_scan_events(spark, f"{sf}/nation.parquet*", SCHEMAS["nation"]).select(
+        F.concat(F.lit("job_"), key).alias("job_id"),
+        F.lit("").alias("config_name"),
+        F.col("n_name").alias("instance_name"),
+        F.lit("").alias("schema_name"),
+        text(key % 5 != 0).alias("save_metadata"),
+        text(key % 2 == 0).alias("only_if_changed"),
+        F.when(key % 3 == 0, '["markdown"]').when(key % 3 == 1, '["okf"]').otherwise('["okf","markdown"]')
+        .alias("export_formats"),
+        F.lit("true").alias("export_preformat"),
+    )
+    again = nations.withColumn("export_formats", F.lit("[]"))
+    cat = roles.catalog(spark, sf)
+    facts = written(describe.columns_mysql(roles.raw_columns_mysql(spark, sf)), "facts")
+    described = facts.select(*m.K4).distinct()
+    errors = cat.limit(0).select(*m.K4, F.lit("").alias("error"))
+    for day, messages in (("2024-01-01", nations), ("2024-02-02", again)):
+
+        def apply(requests, results, at=F.lit(day).cast("timestamp")):
+            apply_requests(requests, results, facts, f"{path}/store", f"{path}/exports", at)
+
+        scans.write_scans(
+            messages, cat, described, errors, f"{path}/out-{day}", f"{path}/checkpoint-{day}", apply
+        ).awaitTermination()
+    stored = read_store(spark, f"{path}/store").tables.select(
+        *m.K4, F.date_format("updated_at", "yyyy-MM-dd").alias("updated_on")
+    )
+    has = lambda f: F.max(F.col("format") == f)
+    exported = read_exports(spark, f"{path}/exports").groupBy("path").agg(
+        has(m.MARKDOWN).alias("markdown"), has(m.OKF).alias("okf")
+    )
+    return (
+        described.withColumn("path", document_path())
+        .join(stored, m.K4, "left")
+        .join(exported, "path", "left")
+        .select(*m.K4, F.col("updated_on").isNotNull().alias("saved"), "updated_on", "markdown", "okf")
+    )

@@ -5,12 +5,15 @@ A stream's own progress is its checkpoint; there are no acknowledgements or cons
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.operators.jobs import STATE_FIELDS, decode_messages, scan
 from shelfmark.operators.scope import resolve_owner
+from shelfmark.shared import written
 
 
 def read_scan_events(
@@ -77,15 +80,18 @@ def write_scans(
     errors: DataFrame,
     path: str,
     checkpoint: str,
+    apply: Callable[[DataFrame, DataFrame], object] | None = None,
 ) -> StreamingQuery:
     """G1. Run the scan requests of a message stream: decode, bind owners, expand, fan out.
 
     Per batch ``jobs``, ``results`` and ``errors`` are written below ``path``; a batch that runs
     twice writes the same folders again.  A request for an instance that nobody owns fails alone.
+    ``apply(requests, results)`` then does what the requests' options say, see
+    ``sources.scans.apply_requests``; saving and exporting again changes nothing but times.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        requests = decode_messages(batch).withColumnRenamed("config", "given")
+        requests = written(decode_messages(batch).withColumnRenamed("config", "given"), "requests")
         owned = resolve_owner(requests, catalog).withColumn(
             "config", F.coalesce("given", "config")
         )
@@ -106,6 +112,9 @@ def write_scans(
         }
         for name, frame in frames.items():
             frame.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        if apply is not None:
+            found = batch.sparkSession.read.parquet(f"{path}/results/batch={batch_id}")
+            apply(requests.withColumnRenamed("given", "config"), found)
 
     return (
         messages.writeStream.foreachBatch(run)
