@@ -27,6 +27,7 @@ from shelfmark.functions.text import (
 from shelfmark.operators.lists import PART_ITEMS, ordered_text
 from shelfmark.operators.ranks import ranked
 from shelfmark.operators.store import Store
+from shelfmark.shared import written
 
 # Words and layout of the documents.
 SOURCE_LABELS = {
@@ -144,7 +145,7 @@ def _listed_name(lead: Column, facts: DataFrame) -> DataFrame:
     )
 
 
-def _pieces_of_facts(store: Store) -> DataFrame:
+def _pieces_of_facts(store: Store, compact: bool) -> DataFrame:
     facts, section = store.facts, F.col("section")
     cells = [
         md_escape("column_name"), md_escape("data_type"), md_bool("is_nullable"),
@@ -162,7 +163,11 @@ def _pieces_of_facts(store: Store) -> DataFrame:
         F.coalesce("data_type", F.lit("None")), F.lit(")"),
     )
     place = [*m.K4, "section", "item", "position", "column_name", "referenced_column"]
-    columns = described_columns(store).select(*place, row.alias("text"))
+    if compact:
+        described = facts.where(section == m.COLUMN).withColumn("shown", F.col("comment"))
+    else:
+        described = described_columns(store)
+    columns = described.select(*place, row.alias("text"))
     own_line = facts.where(section.isin(m.SORT_KEY, m.FOREIGN_KEY, m.PARTITION)).select(
         *place,
         F.when(section == m.SORT_KEY, sort_key)
@@ -233,10 +238,14 @@ def _front_lines() -> Column:
     )
 
 
-def pieces(store: Store, okf: bool = False) -> DataFrame:
-    """E4, E5. All pieces of all documents: K4, the sort key ``_ORDER``, ``text``."""
+def pieces(store: Store, okf: bool = False, compact: bool = False) -> DataFrame:
+    """E4, E5. All pieces of all documents: K4, the sort key ``_ORDER``, ``text``.
+
+    A ``compact`` store is one from ``essential``, whose comments are the descriptions already, so
+    they are not joined again.
+    """
     mark = "#" if okf else "##"
-    of_facts = _pieces_of_facts(store)
+    of_facts = _pieces_of_facts(store, compact)
     # At most four headings per table, pre-aggregated.
     heads = store.facts.select(*m.K4, _place(0).alias("block")).distinct()
     titles = {
@@ -268,8 +277,8 @@ def pieces(store: Store, okf: bool = False) -> DataFrame:
     )
 
 
-def _documents(store: Store, okf: bool, per_part: int) -> DataFrame:
-    rows = pieces(store, okf)
+def _documents(store: Store, okf: bool, per_part: int, compact: bool = False) -> DataFrame:
+    rows = pieces(store, okf, compact)
     return (
         ordered_text(rows, m.K4, _ORDER, F.col("text"), "content", per_part=per_part)
         .withColumn("path", document_path())
@@ -369,12 +378,14 @@ def export(
     if not chosen:
         return None
     source = essential(store) if preformat else store
+    # Every format reads the facts by section, several times.
+    source = Store(source.tables, written(source.facts, "exported"))
     frames = []
     if m.MARKDOWN in chosen:
-        frames.append(_documents(source, False, per_part).withColumn("format", F.lit(m.MARKDOWN)))
+        frames.append(_documents(source, False, per_part, preformat).withColumn("format", F.lit(m.MARKDOWN)))
     if m.OKF in chosen:
         index = render_okf_index(entries_of_tables(source.tables))
-        frames.append(_documents(source, True, per_part).withColumn("format", F.lit(m.OKF)))
+        frames.append(_documents(source, True, per_part, preformat).withColumn("format", F.lit(m.OKF)))
         frames.append(index.withColumn("format", F.lit(m.OKF)))
     part = F.col("part").cast("bigint").alias("part")
     return m.union(*[f.select("format", "path", part, "content") for f in frames])

@@ -84,7 +84,9 @@ def test_sqlite_to_documents(spark):
         ("products", "update"), ("sales", "unchanged"), ("users", "unchanged"),
     ]
     scanned = Store(*[written(frame, "scanned") for frame in again.scanned])
-    documents = {(r.format, r.path): r.content for r in export.export(scanned).collect()}
+    documents = {}
+    for r in sorted(export.export(scanned).collect(), key=lambda r: r.part):
+        documents[r.format, r.path] = documents.get((r.format, r.path), "") + r.content
     assert len(documents) == 7
     users = documents[("okf", "c/i/main/users.md")]
     assert 'owner: "crm"' in users and "| email | TEXT | True |  |" in users
