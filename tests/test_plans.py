@@ -5,9 +5,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from shelfmark.operators import scope, store
-from shelfmark.plans import roles
+from shelfmark.plans import QUERIES, roles
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -29,12 +28,12 @@ def large(spark):
 
 
 # Queries that write or stream while they are built are left to the SQL checks.
-BUILT = [n for n in sorted(entry.queries()) if not re.match(r"a\d|e|f1|.*stream|b14|described", n)]
+BUILT = [n for n in sorted(QUERIES) if not re.match(r"a\d|e|f1|.*stream|g1_scan_options|b14|described", n)]
 
 
 @pytest.mark.parametrize("name", BUILT)
 def test_no_cross_join_and_no_broadcast_by_hint(large, name):
-    text = plan(entry.queries()[name](large, SF_DIR))
+    text = plan(QUERIES[name](large, SF_DIR))
     assert "NestedLoop" not in text and "Cartesian" not in text
     assert "Broadcast" not in text
 
@@ -52,3 +51,20 @@ def test_lookup_filters_and_columns_reach_the_scan(large):
     text = plan(df.select("table"))
     assert "EqualTo(c_mktsegment,BUILDING)" in text and "EqualTo(r_name,ASIA)" in text
     assert "c_acctbal" not in text
+
+
+# Shuffles of the last step: places by key and part, then one grouping.
+@pytest.mark.parametrize(
+    "name, most", [("b14_describe_tables", 5), ("described_page", 20), ("e4_render_markdown", 5), ("e8_export", 20)]
+)
+def test_shuffles_of_nested_records_and_documents(large, name, most):
+    text = plan(QUERIES[name](large, SF_DIR))
+    assert "NestedLoop" not in text and "Cartesian" not in text
+    assert len(re.findall(r"\bExchange ", text)) <= most
+
+
+def test_a_hot_table_meets_no_single_window(large):
+    """Places of facts come from a range shuffle, never from a window over a whole table's facts."""
+    text = plan(QUERIES["b14_describe_tables"](large, SF_DIR))
+    windows = [line for line in text.split("\n") if "Window " in line and "row_number" in line]
+    assert windows == []
