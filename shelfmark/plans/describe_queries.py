@@ -12,7 +12,6 @@ from shelfmark.operators.scope import list_tables
 from shelfmark.plans import roles
 from shelfmark.plans.registry import query
 from shelfmark.plans.roles import CAT, ITEM, K4_SQL, ORD, SUP, t
-from shelfmark.shared import written
 
 SHOWN = [
     "section", "item", "position", "column_name", "data_type", "is_nullable", "default_value",
