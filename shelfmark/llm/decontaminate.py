@@ -23,6 +23,7 @@ WINDOW = 10  # words
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_TERMS = 1_000_000  # benchmark terms that are broadcast; more are joined by shuffle
+BROADCAST_DOCS = 1_000_000  # documents with candidates that are broadcast; more are joined by shuffle
 
 
 class Index(NamedTuple):
@@ -146,7 +147,7 @@ def _rarest(index: Index, slop: int) -> DataFrame:
 def phrases(index: Index) -> DataFrame:
     """``doc_id, variant, item_id, from_word, to_word``: maximal runs of words (``to_word`` is
     behind the last) that consist of windows of the item."""
-    places = _rarest(index, 0).select("doc_id", "variant", "item_id", "item", "n", "at").distinct()
+    places = written(_rarest(index, 0).select("doc_id", "variant", "item_id", "item", "n", "at").distinct(), "places")
     words = index.items.join(index.terms.select("word", "term"), "word").select(
         F.col("item_id").alias("i_id"), F.col("item").alias("i"), "off", F.col("term").alias("i_term")
     )
@@ -155,7 +156,10 @@ def phrases(index: Index) -> DataFrame:
     wanted = places.join(words, same_item).where("at + off >= 0").select(
         "doc_id", "variant", "item_id", "item", "n", "at", "off", "i_term", (F.col("at") + F.col("off")).alias("pos")
     )
-    postings = index.postings
+    # Lists are intersected for the candidates' documents; the postings of all others stay where they are.
+    few = places.select("doc_id", "variant").distinct()
+    few = F.broadcast(few) if few.count() <= BROADCAST_DOCS else few
+    postings = index.postings.join(few, _same_doc(index.postings, few), "left_semi")
     hit = (
         _same_doc(wanted, postings)
         & (wanted["pos"] == postings["pos"])
