@@ -139,9 +139,14 @@ def uses(mixed: Mix) -> DataFrame:
     return mixed.draws.groupBy("source", "block").agg(F.count("*").alias("uses"))
 
 
+def _named_uses(mixed: Mix) -> DataFrame:
+    # Draws are made from a few rows, whose size would be taken for theirs: never broadcast them.
+    return uses(mixed).withColumnsRenamed({"source": "_source", "block": "_block"}).hint("merge")
+
+
 def taken(mixed: Mix) -> DataFrame:
     """``doc_id, source, place, size, source_size, target, taken`` for every document."""
-    used = uses(mixed).select(F.col("source").alias("_source"), F.col("block").alias("_block"), "uses")
+    used = _named_uses(mixed)
     here = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))
     words = (F.col("to_word") - F.col("from_word")) * F.col("uses")
     by_doc = (
@@ -163,7 +168,7 @@ def copies(mixed: Mix) -> DataFrame:
 
     A document comes once for each time the mix takes the block in which it begins.
     """
-    used = uses(mixed).select(F.col("source").alias("_source"), F.col("block").alias("_block"), "uses")
+    used = _named_uses(mixed)
     first = mixed.docs.withColumn("block", F.expr(f"start div {mixed.block}"))
     here = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))
     return first.join(used, here, "left").select(

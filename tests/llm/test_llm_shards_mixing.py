@@ -104,3 +104,11 @@ def test_mix_of_nothing(make_docs):
     assert mixing.taken(mixing.mix(make_docs([]))).count() == 0
     got = mixing.taken(mixing.mix(make_docs([(1, None, "a"), (2, "", None)]))).collect()
     assert [(r.size, r.target, r.taken) for r in got] == [(0, 0.0, 0)] * 2
+
+
+def test_draws_are_never_broadcast(make_docs):
+    mixed = mixing.mix(make_docs(corpus()), block=16, n_shards=5)
+    for frame in (mixing.taken(mixed), mixing.copies(mixed)):
+        plan = frame._jdf.queryExecution().sparkPlan().toString()
+        joins = [line for line in plan.split("\n") if "Join" in line and "_block" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins), joins
