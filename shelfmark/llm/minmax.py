@@ -9,10 +9,12 @@ Links are confirmed on full sets of shingles, but a group of ``n`` alike texts i
 ``n * n`` times, since only components are asked for:
 
 1. texts with equal words are one node;
-2. every member of a bucket is compared with the bucket's least node; components are formed;
+2. every member of a bucket is compared with the bucket's least node by sketches, which are a lower
+   bound of the difference of two sets; of what remains first one link per member, then those
+   between different components are confirmed, and components are formed;
 3. members of one bucket that are still in different components are compared pair by pair, in
-   blocks, by sketches that are a lower bound of the difference of two sets: no linked pair is
-   lost, and nearly every pair that remains is a link, which is then confirmed.
+   blocks, by sketches: no linked pair is lost, and nearly every pair that remains is a link, which
+   is then confirmed.
 
 Shingles are 64-bit hashes of five words.  At the threshold of 0.85, a linked pair shares no band
 with a probability of about 2e-8.
@@ -32,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.components import components
-from shelfmark.sources.store import written
+from shelfmark.shared import written
 
 SHINGLE = 5  # words
 PERCENT = 85  # least Jaccard similarity of linked texts
 PERMUTATIONS = 48
 ROWS = 4  # values of a band
-BLOCK = 512  # members of a bucket, or of a star, that meet in one task
+BLOCK = 256  # members of a bucket, or of a star, that meet in one task
 BROADCAST_ROWS = 1_000_000  # nodes whose texts are fetched by a broadcast; more are joined by shuffle
 KNOWN_WORDS = 1 << 20  # words whose hashes a worker remembers
 
