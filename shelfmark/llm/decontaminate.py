@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import lower_ascii, variant
+from shelfmark.llm.common import lower_ascii, told_apart
 from shelfmark.shared import written
 
 WINDOW = 10  # words
@@ -43,7 +43,8 @@ def _words(text: Column) -> Column:
 def build_index(docs: DataFrame, benchmark: DataFrame) -> Index:
     """The index of ``docs`` (``doc_id``, ``text``) for the terms of ``benchmark`` (``item_id``, ``text``).
 
-    Null texts have no words.  Rows of equal id are told apart by their text (``variant``).
+    Null texts have no words.  Rows of equal id are told apart by their text (``variant``); rows of
+    equal id and text have their postings once.
     """
     # Items of equal id and different text stay apart; equal rows are one item.
     named = benchmark.select("item_id", "text").distinct()
@@ -56,8 +57,8 @@ def build_index(docs: DataFrame, benchmark: DataFrame) -> Index:
     )
     small = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
 
-    rows = docs.select("doc_id", "text").withColumn("variant", variant(docs))
-    tokens = rows.select("doc_id", "variant", F.posexplode(_words(F.col("text"))).alias("pos", "word"))
+    rows, once = told_apart(docs)
+    tokens = once.select("doc_id", "variant", F.posexplode(_words(F.col("text"))).alias("pos", "word"))
     found = tokens.select("doc_id", "variant", "pos", lower_ascii(F.col("word")).alias("word")).join(small, "word")
     postings = written(
         found.select("term", "doc_id", "variant", "pos").sortWithinPartitions("term", "doc_id", "variant", "pos"),

@@ -90,3 +90,15 @@ def test_proximity(spark, make_docs):
     for slop in (0, 2, 5):
         got = {r.doc_id for r in decontaminate.proximity(index, slop).collect()}
         assert got == {i for i, t, _ in rows if any(d <= slop for d in apart(t))}
+
+
+def test_repeated_rows(spark, make_docs):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, f"so {item} end", None)] * 2 + [(2, f"{item} lambda", None)] * 3 + [(3, "short one", None)] * 2
+    rows += [(1, "another text", None), (4, item, None)] + [(None, f"x {item}", None)] * 2
+    benchmark = spark.createDataFrame([(1, item), (2, "short one")], "item_id long, text string")
+    index = decontaminate.build_index(make_docs(rows), benchmark)
+    got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(index).collect()]
+    want = [(1, 12, 10, 1, True)] * 2 + [(2, 11, 10, 1, True)] * 3 + [(3, 2, 2, 1, True)] * 2
+    want += [(1, 2, 0, 0, False), (4, 10, 10, 1, True)] + [(None, 11, 10, 1, True)] * 2
+    assert sorted(got, key=str) == sorted(want, key=str)
