@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import NOT_SPACE, SPACE, variant
+from shelfmark.llm.common import NOT_SPACE, SPACE, told_apart
 from shelfmark.shared import written
 
 MIN_WORDS = 50
@@ -73,7 +73,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Places are numbers of lines of the text, from 0; ``source_doc_id`` is the document where the
     run's first window stands first.  First is the least ``doc_id``, then the place in the text.
-    Documents need ``doc_id``, ``variant`` and ``text``.
+    Documents need ``doc_id``, ``variant`` and ``text``, and come once each.
     """
     windows = written(_windows(docs, min_words), "windows")
     place = F.struct(*_DOC, "least_at")
@@ -114,9 +114,9 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows of equal id and other texts are documents of their own.  Other columns are not read; an
     empty table gives no rows.
     """
-    rows = docs.select("doc_id", "text").withColumn("variant", variant(docs))
+    rows, once = told_apart(docs)
     runs = written(
-        repeated_runs(rows, min_words).groupBy(*_DOC).agg(
+        repeated_runs(once, min_words).groupBy(*_DOC).agg(
             F.collect_list(F.struct("first_pos", "last_pos")).alias("runs"), F.sum("n_lines").alias("n_removed")
         ),
         "runs",

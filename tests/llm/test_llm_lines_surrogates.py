@@ -140,3 +140,18 @@ def test_table(spark, make_docs):
     families = {by_id[10 + k].text.split()[1] for k in range(30)}
     assert len(families) == 30 and all(by_id[10 + k].text.split()[1] == by_id[10 + k].text.split()[4] for k in range(30))
     assert surrogates.with_surrogates(make_docs([])).count() == 0
+
+
+def test_repeated_rows_are_one_document(make_docs):
+    passage = "\n".join(" ".join(f"q{k}x{j}" for j in range(12)) for k in range(6))
+    long = " ".join(f"r{k}" for k in range(60))
+    rows = [(1, f"head\n{passage}", None)] * 2 + [(2, f"{passage}\ntail", None), (None, "x", None), (None, "x", None)]
+    rows += [(3, f"{long}\nown", None)] * 3 + [(4, f"a\n{long}", None), (1, f"other\n{long}", None)]
+    got = sorted(((r.doc_id, r.text, r.n_removed, r.n_runs) for r in lines.without_repeats(make_docs(rows)).collect()), key=str)
+    want = [(1, f"head\n{passage}", 0, 0)] * 2 + [(2, "tail", 6, 1), (None, "x", 0, 0), (None, "x", 0, 0)]
+    # The first place of the long line is in the other document of id 1.
+    want += [(3, "own", 1, 1)] * 3 + [(4, "a", 1, 1), (1, f"other\n{long}", 0, 0)]
+    assert got == sorted(want, key=str)
+    alone = [(3, f"{long}\nown", None)] * 2 + [(4, f"a\n{long}", None)]
+    texts = sorted(r.text for r in lines.without_repeats(make_docs(alone)).collect())
+    assert texts == sorted([f"{long}\nown"] * 2 + ["a"])
