@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -47,21 +48,33 @@ SYLLABLES = {
     "CYRILLIC": "бар вол гор дан зор кал лев мар нов пет рад сол тар вел кру лан мир сав тол фед".split(),
 }
 
+ALPHABETS = {"LATIN": "abcdefghijklmnopqrstuvwxyz", "CYRILLIC": "абвгдежзийклмнопрстуфхцчшщъыьэюя"}
+
 _TITLED = "|".join(sorted((re.escape(t) for t in TITLES), key=len, reverse=True))
 _FIND = re.compile(
     r"(?P<email>(?<![\w.%+\-])[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)+)"
     r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d))"
     r"|(?P<card>(?<![\w+])\d{4}([ \-]?)\d{4}\5\d{4}\5\d{1,7}(?!\w))"
-    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]\d{3,4}(?!\w)"
+    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?!\w)"
     r"|(?<![\w.])\+\d{8,15}(?!\w))"
-    rf"|(?P<person>(?<!\w)(?i:{_TITLED})\.? (?:[^\W\d_]+ ){{0,1}}[^\W\d_]+)"
 )
 # What every entity has: an at sign or a digit, or a title.  Most texts have none of them; titles
 # are first looked for as plain strings, which is faster than as a pattern.
 _HINT = re.compile(r"[@\d]")
-_TITLE = re.compile(rf"(?<!\w)(?i:{_TITLED})\.? ")
+_TITLE = re.compile(rf"(?<!\w)(?:(?i:{_TITLED})\.? )+")
 _PLAIN = [t + end for t in TITLES for end in (" ", ". ")]
+_INITIAL = re.compile(r"[^\W\d_]\.")
+_PART = re.compile(r"(?<!\w)[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+_INSIDE = re.compile(r"[^\W\d_]+")
+# What may stand before and between parts of a name in small letters.
+PARTICLES = set("de la las los del della der den di da do dos das du des van von vom zu zum zur ten ter le el al af av bin ibn ben y".split())
+# Words that are no later mention of a person, though all-capital lines may have them as parts of a name.
+COMMON = set(
+    "the a an and or of in on at to for from by with is was are were be has had have he she it they we you his her their our "
+    "my this that these those as but not no if so who when where what how why which will would can could may might do does "
+    "did said says after before then there here all any some one two".split()
+)
 
 
 class Found(NamedTuple):
@@ -78,17 +91,102 @@ def _script(word: str) -> str:
     return name if name in SYLLABLES else "LATIN"
 
 
-def _gender(title: str, given: str) -> str:
-    told = TITLES[title.lower().rstrip(".")]
-    known = (g for (_, g), names in GIVEN.items() if given.title() in names)
-    return told or next(known, "")
+def _listed(given: str) -> str:
+    return next((g for (_, g), names in GIVEN.items() if given.title() in names), "")
+
+
+def _parts(text: str, at: int) -> list[tuple[int, int, bool]]:
+    """Start, end and whether it is an initial of all parts of the name at a place."""
+    parts = []
+    while at < len(text):
+        if text[at].isupper() and _INITIAL.match(text, at):
+            parts.append((at, at + 1, True))
+            at += 3 if text[at + 2 : at + 3] == " " else 2
+            continue
+        m = _PART.match(text, at) or (_INSIDE.match(text, at) if parts else None)
+        title = _TITLE.match(text, at) if parts else None
+        if not m or (title and text[title.end() : title.end() + 1].isupper()):
+            break
+        word, end = m[0], m.end()
+        # Small first letters: particles, and names such as d'Angelo.
+        glued = re.split(r"['’\-]", word)
+        named = word[0].isupper() or (len(glued) > 1 and len(glued[0]) < 4 and glued[1][0].isupper())
+        if not named and word.lower() not in PARTICLES:
+            break
+        own = len(glued) > 1 and word[-2:].lower() in ("'s", "’s")
+        if named:
+            parts.append((at, end - 2 * own, False))
+        if own or text[end : end + 1] != " ":
+            break
+        at = end + 1
+    last = max((k for k, p in enumerate(parts) if not p[2]), default=0)
+    return [(a, b, i or (b - a == 1 and k < last)) for k, (a, b, i) in enumerate(parts)]
+
+
+def _name(said: str) -> str:
+    return said.lower().replace("’", "'")
+
+
+def _persons(text: str, taken: list[Found]) -> list[Found]:
+    """Names behind titles, and all other mentions of these names in the text."""
+    ends = {f.start: f.end for f in taken}
+    starts = sorted(ends)
+
+    def free(start: int, end: int) -> bool:
+        k = bisect(starts, start)
+        return not (k and ends[starts[k - 1]] > start or k < len(starts) and starts[k] < end)
+
+    def take(start: int, end: int, kind: str, value: str) -> None:
+        found.append(Found(start, end, kind, value))
+        ends[start] = end
+        starts.insert(bisect(starts, start), start)
+
+    found, persons, told, families = [], [], {}, set()
+    for m in _TITLE.finditer(text):
+        gender = next(filter(None, (TITLES[t.rstrip(".")] for t in m[0].lower().split())), "")
+        parts = [p for p in _parts(text, m.end()) if free(p[0], p[1])]
+        names = [_name(text[a:b]) for a, b, initial in parts if not initial]
+        persons.append((gender, parts, len(names)))
+        if len(names) > 1:
+            families.add(names[-1])
+            for name in names[:-1]:
+                told[name] = told.get(name) or gender
+    known = {}
+    for gender, parts, n in persons:
+        k = 0
+        for start, end, initial in parts:
+            if not free(start, end):
+                continue
+            name = _name(text[start:end])
+            if initial:
+                take(start, end, "given", f":{name}.")
+                continue
+            k += 1
+            given = k < n or (n == 1 and name in told and name not in families)
+            kind = "given" if given else "family"
+            value = f"{gender or told.get(name) or _listed(name)}:{name}" if given else name
+            take(start, end, kind, value)
+            if len(name) > 1 and name not in COMMON:
+                known.setdefault(name, (kind, value))
+    for m in _PART.finditer(text) if known else ():
+        said = m[0] if m[0][-2:].lower() not in ("'s", "’s") else m[0][:-2]
+        whole = [(m.start(), m.start() + len(said))]
+        if _name(said) not in known:
+            whole = [(m.start() + p.start(), m.start() + p.end()) for p in _INSIDE.finditer(m[0])]
+        for start, end in whole:
+            entity = known.get(_name(text[start:end]))
+            if entity and any(c.isupper() for c in text[start:end]) and free(start, end):
+                take(start, end, *entity)
+    return found
 
 
 def find(text: str) -> list[Found]:
     """All entities of a text, in order.
 
-    Of a titled person, given and family name are entities of their own, so that "Mr Smith" stays
-    the same family as "Mr John Smith".  Names are only those written with capitals.
+    Of a titled person, given and family names are entities of their own, so that "Mr Smith" stays
+    the same family as "Mr John Smith".  All parts written with capitals are taken, and all other
+    mentions of them in the text, with or without title.  A given name has the gender of its title,
+    else the one told of it in the text, else the one of the lists; else none (see ``_told``).
     """
     if not _HINT.search(text):
         lowered = text.lower()
@@ -97,26 +195,14 @@ def find(text: str) -> list[Found]:
     found = []
     for m in _FIND.finditer(text):
         kind, said = m.lastgroup, m[0]
-        if kind == "person":
-            title, *names = said.split(" ")
-            if not all(n[0].isupper() for n in names):
-                names = names[:1]
-                if not names[0][0].isupper():
-                    continue
-            at = m.start() + len(title) + 1
-            gender = _gender(title, names[0])
-            for k, name in enumerate(names):
-                part = "given" if k == 0 and len(names) > 1 else "family"
-                found.append(Found(at, at + len(name), part, f"{gender}:{name.lower()}" if part == "given" else name.lower()))
-                at += len(name) + 1
-        elif kind in ("phone", "card"):
+        if kind in ("phone", "card"):
             digits = re.sub(r"\D", "", said)
             if kind == "phone" and len(digits) == 11 and digits[0] == "1":
                 digits = digits[1:]
             found.append(Found(*m.span(), kind, digits))
         else:
             found.append(Found(*m.span(), kind, said.lower()))
-    return found
+    return sorted(found + _persons(text, found))
 
 
 def _number(key: bytes, *parts: object) -> int:
@@ -171,6 +257,11 @@ def surrogate(kind: str, value: str, draw: int, key: bytes) -> str:
     if kind == "given":
         gender, _, name = value.partition(":")
         script = _script(name)
+        if name.endswith("."):
+            # An initial: the next one in a keyed order, so that different ones stay apart.
+            letters = sorted(ALPHABETS[script], key=lambda c: _number(key, "initial", c))
+            at = letters.index(name[0]) + 1 if name[0] in letters else n
+            return letters[at % len(letters)]
         names = [x for (s, g), all_ in GIVEN.items() if s == script and gender in ("", g) for x in all_]
         picked, n = names[n % len(names)], n // len(names)
         # A list of names is short: more draws lengthen them.
@@ -191,24 +282,25 @@ def _pour(kind: str, said: str, drawn: str) -> str:
     return drawn.capitalize() if kind in ("given", "family") else drawn
 
 
-def replaced(text: str, draws: dict[tuple[str, str], int], key: bytes) -> tuple[str, list[Found]]:
-    """The text with surrogates, and what was found; ``draws`` has the entities drawn again."""
+def replaced(text: str, draws: dict[tuple[str, str], tuple[str, int]], key: bytes) -> tuple[str, list[Found]]:
+    """The text with surrogates, and what was found; ``draws`` has value and draw of the entities that
+    were drawn again or had their gender told elsewhere."""
     found, out, at = find(text), [], 0
     for f in found:
-        drawn = surrogate(f.kind, f.value, draws.get((f.kind, f.value), 0), key)
+        drawn = surrogate(f.kind, *draws.get((f.kind, f.value), (f.value, 0)), key)
         out += [text[at : f.start], _pour(f.kind, text[f.start : f.end], drawn)]
         at = f.end
     return "".join([*out, text[at:]]), found
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
-    """``doc_id, variant, kind, value``, distinct within each text."""
+    """``doc_id, variant, kind, value``, distinct within each text; initials are left out."""
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, kinds, values = [], [], []
             for i, text in enumerate(batch.column(2)):
-                for kind, value in sorted({(f.kind, f.value) for f in find(text.as_py() or "")}):
+                for kind, value in sorted({(f.kind, f.value) for f in find(text.as_py() or "") if f.kind != "given" or f.value[-1] != "."}):
                     at.append(i)
                     kinds.append(kind)
                     values.append(value)
@@ -222,6 +314,24 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     )
 
 
+def _told(occurrences: DataFrame) -> DataFrame:
+    """``occurrences`` with ``said``: given names without gender get as ``value`` the one with the
+    gender most texts tell of the name, so that a person is the same with any title."""
+    given = occurrences.where("kind = 'given'").select(
+        F.substring_index("value", ":", 1).alias("gender"), F.substring_index("value", ":", -1).alias("name")
+    )
+    counted = given.where("gender <> ''").groupBy("name", "gender").agg(F.count("*").alias("n"))
+    most = counted.groupBy("name").agg(F.max(F.struct("n", "gender"))["gender"].alias("gender"))
+    named = most.join(given.where("gender = ''").select("name").distinct(), "name").select(
+        F.lit("given").alias("kind"),
+        F.concat(F.lit(":"), "name").alias("value"),
+        F.concat("gender", F.lit(":"), "name").alias("as"),
+    )
+    return occurrences.join(named, ["kind", "value"], "left").select(
+        "doc_id", "variant", "kind", F.col("value").alias("said"), F.coalesce("as", "value").alias("value")
+    )
+
+
 def _drawn(entities: DataFrame, key: bytes) -> DataFrame:
     """``kind, value, draw, drawn``: the surrogates of ``kind, value, draw``."""
 
@@ -270,11 +380,12 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     themselves are kept in the shared folder while the application runs.
     """
     rows = docs.select("doc_id", "text").withColumn("variant", variant(docs))
-    occurrences = written(_occurrences(rows), "occurrences")
+    occurrences = written(_told(written(_occurrences(rows), "occurrences")), "told")
     draws = (
-        occurrences.join(redrawn(occurrences, key), ["kind", "value"])
+        occurrences.join(redrawn(occurrences, key), ["kind", "value"], "left")
+        .where("draw IS NOT NULL OR said <> value")
         .groupBy("doc_id", "variant")
-        .agg(F.collect_set(F.struct("kind", "value", "draw")).alias("draws"))
+        .agg(F.collect_set(F.struct("kind", "said", "value", F.coalesce("draw", F.lit(0)).alias("draw"))).alias("draws"))
     )
     draws = written(draws.toDF("_doc_id", "_variant", "draws"), "draws")
     if draws.count() <= BROADCAST_ROWS:
@@ -287,7 +398,7 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         for batch in batches:
             texts, counts = [], [[] for _ in names[2:]]
             for text, again in zip(batch.column(1), batch.column(2), strict=True):
-                own = {(d["kind"], d["value"]): d["draw"] for d in again.as_py() or ()}
+                own = {(d["kind"], d["said"]): (d["value"], d["draw"]) for d in again.as_py() or ()}
                 new, found = replaced(text.as_py() or "", own, key)
                 texts.append(new if text.is_valid else None)
                 numbers = [len(found), *(sum(f.kind == k for f in found) for k in KINDS)]

@@ -155,3 +155,20 @@ def test_repeated_rows_are_one_document(make_docs):
     alone = [(3, f"{long}\nown", None)] * 2 + [(4, f"a\n{long}", None)]
     texts = sorted(r.text for r in lines.without_repeats(make_docs(alone)).collect())
     assert texts == sorted([f"{long}\nown"] * 2 + ["a"])
+
+
+def test_whole_names_are_found(make_docs):
+    names = ["Mrs Anna Maria Smith", "Dr John Q. Smith", "Mr Jean-Luc Picard", "Ms O'Neil", "Herr Ludwig van Beethoven",
+             "Mr J.R.R. Tolkien", "Frau Dr. Weber", "Mr Jones Mrs Brown"]
+    for text in names:
+        new, _ = surrogates.replaced(text, {}, b"k")
+        said = re.findall(r"[A-Z][a-z]*", re.sub("Mrs|Dr|Mr|Ms|Herr|Frau", "", text))
+        assert not [x for x in said if re.search(rf"(?<!\w){x}(?!\w)", new)], new
+    new, found = surrogates.replaced("Dr John Smith, Mr John Smith. Smith's dog saw JOHN; Mr John left. (706)555-3138", {}, b"k")
+    john, smith = new.split()[1], new.split()[2].strip(",")
+    assert new.startswith(f"Dr {john} {smith}, Mr {john} {smith}. {smith}'s dog saw {john.upper()}; Mr {john} left. (")
+    assert found[-1].kind == "phone" and "555" not in new and smith != "Smith" and john != "John"
+    # A title without gender: the gender is told by another text.
+    rows = [(1, "Mr Quentin Smith", None), (2, "Dr Quentin Smith", None), (3, "Ms Quentin Y", None), (4, "Mr Quentin Z", None)]
+    got = {r.doc_id: r.text.split() for r in surrogates.with_surrogates(make_docs(rows)).collect()}
+    assert got[1][1:] == got[2][1:] and got[1][1] == got[4][1] != got[3][1]
