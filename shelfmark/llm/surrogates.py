@@ -350,10 +350,13 @@ def redrawn(occurrences: DataFrame, key: bytes = KEY) -> DataFrame:
     """``kind, value, draw`` of the entities whose first surrogate could not stay.
 
     In every round, of the entities with one surrogate the one of fewest draws, then the least,
-    keeps it; the others, and those whose surrogate is an entity of the corpus, draw again.
+    keeps it; the others, and those whose surrogate is an entity of the corpus, draw again.  A drawn
+    name is compared with all real names, given ones without their gender and family names.
     """
     real = written(occurrences.select("kind", "value").distinct(), "entities")
-    taken = F.col("value").alias("drawn")
+    like = F.when(F.col("kind").isin("given", "family"), "name").otherwise(F.col("kind"))
+    bare = F.when(F.col("kind") == "given", F.substring_index("value", ":", -1)).otherwise(F.col("value"))
+    taken = real.select(like.alias("like"), bare.alias("drawn")).distinct()
     all_ = written(_drawn(real.withColumn("draw", F.lit(0)), key), "drawn")
     for _ in range(MOST_DRAWS):
         keeper = all_.groupBy("kind", "drawn").agg(
@@ -361,7 +364,7 @@ def redrawn(occurrences: DataFrame, key: bytes = KEY) -> DataFrame:
         )
         meet = keeper.where("n > 1").select("kind", "drawn", "keeper")
         equal = all_.join(meet, ["kind", "drawn"]).where(F.col("value") != F.col("keeper.value"))
-        occurs = all_.join(real.select("kind", taken), ["kind", "drawn"], "left_semi")
+        occurs = all_.withColumn("like", like).join(taken, ["like", "drawn"], "left_semi")
         names = ["kind", "value", "draw"]
         losers = written(equal.select(*names).union(occurs.select(*names)).distinct(), "losers")
         if losers.isEmpty():

@@ -172,3 +172,14 @@ def test_whole_names_are_found(make_docs):
     rows = [(1, "Mr Quentin Smith", None), (2, "Dr Quentin Smith", None), (3, "Ms Quentin Y", None), (4, "Mr Quentin Z", None)]
     got = {r.doc_id: r.text.split() for r in surrogates.with_surrogates(make_docs(rows)).collect()}
     assert got[1][1:] == got[2][1:] and got[1][1] == got[4][1] != got[3][1]
+
+
+def test_surrogates_are_no_real_names(spark):
+    listed = [(g, n.lower()) for (_, g), names in surrogates.GIVEN.items() for n in names]
+    real = [("given", f"{g}:{n}") for g, n in listed] + [("given", f"{g}:name{k}") for k in range(40) for g in ("", "male", "female")]
+    real += [("family", "adam"), ("family", surrogates.surrogate("family", "adam", 0, b"k"))]
+    occurrences = spark.createDataFrame([(1, 0, *x) for x in real], "doc_id long, variant long, kind string, value string")
+    draws = {(r.kind, r.value): r.draw for r in surrogates.redrawn(occurrences, b"k").collect()}
+    drawn = [surrogates.surrogate(*x, draws.get(x, 0), b"k") for x in real]
+    assert len(set(drawn)) == len(real)
+    assert not set(drawn) & {v.rpartition(":")[2] for _, v in real}
