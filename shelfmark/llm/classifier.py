@@ -61,6 +61,15 @@ def _runs(data: np.ndarray, width: int, buckets: int) -> np.ndarray:
     return np.bincount(code, minlength=buckets)
 
 
+def _distinct_pairs(words: list[bytes]) -> int:
+    """Number of different pairs of neighbouring words; long texts number their words instead of holding pairs."""
+    if len(words) < PIECE:
+        return len(set(zip(words, words[1:])))
+    numbers: dict[bytes, int] = {}
+    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    return len(np.unique(ids[:-1] * len(numbers) + ids[1:]))
+
+
 def features(text: bytes | None) -> np.ndarray:
     """Hashed counts, in logarithms, of a whole text."""
     text = text or b""
@@ -77,8 +86,7 @@ def features(text: bytes | None) -> np.ndarray:
     facts[16 + share(sum(map(eq, words, words[1:])), n)] = 1
     facts[32 + share(len(set(words)), n)] = 1
     facts[48 + share(len(lines) - len(set(lines)), len(lines))] = 1
-    pairs = set(zip(words, words[1:])) if n < PIECE else set(words)
-    facts[64 + share(len(pairs), n)] = 1
+    facts[64 + share(_distinct_pairs(words), n)] = 1
     facts[80 + share(len(_LETTERS.findall(text)) if n < 20 else 0, len(text))] = 1
     parts = [np.log1p(p * (1000 / max(len(text), 50))) for p in (kinds, grams)]
     return np.concatenate([*parts, facts * 3.0]).astype(np.float32)

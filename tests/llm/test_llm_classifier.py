@@ -77,3 +77,15 @@ def test_held_out_accuracy_on_the_tables(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     scored = classifier.scores(docs, classifier.learn(docs, labels)).where("held_out").join(labels, "doc_id").collect()
     assert sum(r.predicted == r.quality for r in scored) >= 0.95 * len(scored)
+
+
+def test_pairs_are_counted_at_every_length(monkeypatch):
+    # 400 words of 20: few words are different, most pairs are.
+    text = " ".join(f"w{k % 20} w{(k * 7 + k // 20) % 20}" for k in range(200)).encode()
+    words = text.split()
+    pairs = len(set(zip(words, words[1:])))
+    whole = classifier.features(text)
+    monkeypatch.setattr(classifier, "PIECE", 400)
+    assert len(words) >= classifier.PIECE and pairs > 5 * len(set(words))
+    assert classifier._distinct_pairs(words) == pairs
+    assert np.allclose(classifier.features(text), whole)
