@@ -13,14 +13,8 @@ from shelfmark.plans import roles
 from shelfmark.plans.registry import query
 from shelfmark.plans.roles import CAT, ITEM, K4_SQL, ORD, SUP, t
 
-SHOWN = [
-    "section", "item", "position", "column_name", "data_type", "is_nullable", "default_value",
-    "comment", "referenced_table", "referenced_column", "is_unique", "is_primary", "index_type",
-]
-
-
 def shown(facts: DataFrame) -> DataFrame:
-    return facts.select(*m.K4, *SHOWN)
+    return facts.select(*m.K4, "section", *m.FACT_FIELDS)
 
 
 def fact_sql(source: str, section: str, **fields: str) -> str:
