@@ -26,6 +26,7 @@ from shelfmark.llm.common import seeded
 MAX_LABELLED = 4096  # labelled rows that are fitted and broadcast; more are sampled by seeded hash
 KINDS, BYTES, FACTS = 1024, 512, 128  # hashed counts of each sort
 DIRECTIONS = 48
+SPARE, ROUNDS = 16, 12  # of the iteration that finds them: further directions, and steps
 NEIGHBOURS = 15
 SHARP = 8  # power of the similarity with which a label votes
 ROWS = 512  # documents of a block
@@ -101,18 +102,33 @@ def fit(rows: np.ndarray, labels: np.ndarray) -> Model:
     seen = (rows > 0).sum(axis=0)
     weights = (np.log((1 + len(rows)) / (1 + seen)) + 0.3).astype(np.float32)
     weighted = _unit(rows * weights)
-    _, vectors = np.linalg.eigh(weighted.T.astype(np.float64) @ weighted)
-    directions = vectors[:, ::-1][:, :DIRECTIONS].astype(np.float32)
+    directions = _leading(weighted)
     return Model(weights, directions, _unit(weighted @ directions), labels.astype(np.float32))
 
 
+def _leading(rows: np.ndarray) -> np.ndarray:
+    """The leading right singular directions, by subspace iteration: no width x width matrix is held."""
+    start = np.random.default_rng(4).standard_normal((rows.shape[1], DIRECTIONS + SPARE)).astype(np.float32)
+    basis = np.linalg.qr(start)[0]
+    for _ in range(ROUNDS):
+        basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
+    _, turn = np.linalg.eigh((image := rows @ basis).T @ image)
+    return basis @ turn[:, ::-1][:, :DIRECTIONS]
+
+
 def vote(model: Model, rows: np.ndarray) -> np.ndarray:
-    """Score of each row: its nearest neighbours' labels, weighted by similarity; 0 to 1."""
+    """Score of each row: its nearest neighbours' labels, weighted by similarity; 0 to 1.
+
+    Of neighbours that tie for the last place those of smaller ids vote.
+    """
     if not len(model.labels):
         return np.full(len(rows), 0.5)
     cosines = _unit(_unit(rows * model.weights) @ model.directions) @ model.vectors.T
     k = min(NEIGHBOURS, cosines.shape[1])
     near = np.argpartition(cosines, -k, axis=1)[:, -k:]
+    least = np.take_along_axis(cosines, near, axis=1).min(axis=1, keepdims=True)
+    for row in np.flatnonzero((cosines >= least).sum(axis=1) > k):
+        near[row] = np.argsort(-cosines[row], kind="stable")[:k]
     weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64) ** SHARP + 1e-9
     return (weight * model.labels[near]).sum(axis=1) / weight.sum(axis=1)
 
@@ -121,10 +137,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Fit on the labelled rows of ``docs`` whose crc32 of the id, modulo 4, is not 2.
 
     Null labels and ids are left out; of a row labelled twice the lower label counts, of an id with
-    several texts the least text.  At most ``MAX_LABELLED`` rows come to the driver.
+    several texts the least text.  At most ``MAX_LABELLED`` rows come to the driver.  Labels of absent documents do not count.
     """
     usable = (
         labels.where(F.col(label).isNotNull() & (_fold() != 2))
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
         .groupBy("doc_id")
         .agg(F.min(label).cast("int").alias("_label"))
     )
@@ -139,10 +156,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "row"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(counted, f"doc_id {kind}, label int, row binary").collect()
-    found.sort(key=lambda r: r["doc_id"])
-    matrix = np.frombuffer(b"".join(bytes(r["row"]) for r in found), np.float32).reshape(-1, _WIDTH)
-    return fit(matrix, np.array([r["label"] for r in found]))
+    return fit(*_gathered(rows.mapInArrow(counted, f"doc_id {kind}, label int, row binary")))
+
+
+def _gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels by id, with one copy of them in memory at a time."""
+    found = rows.toArrow().sort_by("doc_id")
+    matrix = np.empty((found.num_rows, _WIDTH), np.float32)
+    for k, row in enumerate(found["row"]):
+        matrix[k] = np.frombuffer(row.as_buffer(), np.float32)
+    return matrix, found["label"].to_numpy()
 
 
 def _fold():

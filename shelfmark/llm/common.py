@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # ASCII white space, and what separates words for the two kinds of word.
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
+BROADCAST_BYTES = 16 << 20  # of frames whose size is measured; larger ones are joined by shuffle
 
 
 def n_words(text: Column) -> Column:
@@ -22,6 +23,16 @@ def lower_ascii(word: Column) -> Column:
     return F.when(plain, F.lower(word)).otherwise(F.translate(word, upper, upper.lower()))
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if its rows are measured to hold few bytes, else as it is.
+
+    What is measured is the rows as JSON, with names and lists of any length.  ``df`` is read twice,
+    so it should be a written one.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
+
+
 def variant(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> Column:
     """What tells rows of equal ``row_id`` apart: 0 if every id is there once, else a hash of the text.
 

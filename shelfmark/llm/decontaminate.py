@@ -15,15 +15,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import lower_ascii, told_apart
+from shelfmark.llm.common import broadcast_if_small, lower_ascii, told_apart
 from shelfmark.shared import written
 
 WINDOW = 10  # words
 # Fixed value: words are runs of ASCII letters and digits and of all characters from U+0080.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BROADCAST_TERMS = 1_000_000  # benchmark terms that are broadcast; more are joined by shuffle
-BROADCAST_DOCS = 1_000_000  # documents with candidates that are broadcast; more are joined by shuffle
 
 
 class Index(NamedTuple):
@@ -55,7 +53,7 @@ def build_index(docs: DataFrame, benchmark: DataFrame) -> Index:
     terms = written(
         words.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term")), "terms"
     )
-    small = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    small = broadcast_if_small(terms)
 
     rows, once = told_apart(docs)
     tokens = once.select("doc_id", "variant", F.posexplode(_words(F.col("text"))).alias("pos", "word"))
@@ -158,8 +156,7 @@ def phrases(index: Index) -> DataFrame:
         "doc_id", "variant", "item_id", "item", "n", "at", "off", "i_term", (F.col("at") + F.col("off")).alias("pos")
     )
     # Lists are intersected for the candidates' documents; the postings of all others stay where they are.
-    few = places.select("doc_id", "variant").distinct()
-    few = F.broadcast(few) if few.count() <= BROADCAST_DOCS else few
+    few = broadcast_if_small(places.select("doc_id", "variant").distinct())
     postings = index.postings.join(few, _same_doc(index.postings, few), "left_semi")
     hit = (
         _same_doc(wanted, postings)

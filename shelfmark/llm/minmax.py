@@ -30,9 +30,10 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import broadcast_if_small
 from shelfmark.llm.components import components
 from shelfmark.shared import written
 
@@ -41,7 +42,6 @@ PERCENT = 85  # least Jaccard similarity of linked texts
 PERMUTATIONS = 48
 ROWS = 4  # values of a band
 BLOCK = 256  # members of a bucket, or of a star, that meet in one task
-BROADCAST_ROWS = 1_000_000  # nodes whose texts are fetched by a broadcast; more are joined by shuffle
 KNOWN_WORDS = 1 << 20  # words whose hashes a worker remembers
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, from the golden ratio
@@ -217,29 +217,49 @@ def _compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
                 yield tuple(sorted((row[0], group[j][0])))
 
 
-def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """``head, id``: members of a bucket, not its head, in different components, that may be linked."""
-    label = F.coalesce("component", "id").alias("component")
-    inner = members.join(labels, "id", "left").select("key", "id", label)
-    mixed = (
-        inner.groupBy("key")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-        .where("lo < hi")
-        .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"))
+def _dealt(inner: DataFrame) -> DataFrame:
+    """``key, lo, hi, id, component, chunk``: members of buckets in all blocks, that is pairs of chunks,
+    in which they meet members of other components.
+
+    A component with a chunk's members or more has chunks of its own, which do not meet each other;
+    smaller ones share chunks.  So one outsider meets a large component once.
+    """
+    keys = inner.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    met = written(inner.join(keys.select("key"), "key"), "met")
+    counted = met.groupBy("key", "component").agg(F.count("*").alias("n"))
+    own = F.when(F.col("n") >= BLOCK, F.col("component")).alias("own")
+    groups = counted.groupBy("key", own).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("chunks"))
+    of_key = Window.partitionBy("key")
+    placed = groups.select(
+        "key", "own", "chunks",
+        (F.sum("chunks").over(of_key.orderBy("own")) - F.col("chunks")).cast("int").alias("first"),
+        F.sum("chunks").over(of_key).cast("int").alias("total"),
+    ).withColumnsRenamed({"key": "_key", "own": "_own"})
+    here = (F.col("key") == F.col("_key")) & F.col("own").eqNullSafe(F.col("_own"))
+    others = F.filter(
+        F.sequence(F.lit(0), F.col("total") - 1),
+        lambda k: F.col("own").isNull() | (k < F.col("first")) | (k >= F.col("first") + F.col("chunks")),
     )
-    spread = (
-        inner.join(mixed, "key")
-        .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return (
+        met.join(counted.select("key", "component", own), ["key", "component"])
+        .join(placed, here)
+        .withColumn("chunk", F.col("first") + F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(others))
         .select(
             "key",
             F.least("chunk", "other").alias("lo"),
             F.greatest("chunk", "other").alias("hi"),
             "id", "component", "chunk",
         )
-        .join(nodes.select("id", "n_shingles", "sketch"), "id")
     )
 
+
+def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``head, id``: members of a bucket, not its head, in different components, that may be linked."""
+    label = F.coalesce("component", "id").alias("component")
+    inner = members.join(labels, "id", "left").select("key", "id", label)
+    spread = _dealt(inner).join(nodes.select("id", "n_shingles", "sketch"), "id")
+
     def rows(batches):
         for batch in batches:
             yield from zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True)
@@ -283,9 +303,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
     places = (
         member.union(heads).groupBy("id").agg(F.collect_list(F.struct("head", "salt")).alias("places"))
     )
-    wanted = written(places.join(nodes.select("id", "node", "rep"), "id"), "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = broadcast_if_small(written(places.join(nodes.select("id", "node", "rep"), "id"), "wanted"))
     texts = docs.select(F.col("doc_id").alias("rep_id"), F.col("text").cast("binary").alias("text"))
     found = texts.join(wanted, F.col("rep_id").eqNullSafe(F.col("rep")))
 

@@ -124,3 +124,20 @@ def test_components(spark):
     alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: low for x, low in label.items() if x not in alone}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_an_outsider_meets_a_large_component_once(spark):
+    """2000 members of one component and one outsider: every member is in one block, the outsider in each."""
+    rows = [(7, i, 0) for i in range(2000)] + [(7, 5000, 5000)] + [(8, i, i) for i in range(300)] + [(9, 1, 1), (9, 2, 1)]
+    inner = spark.createDataFrame(rows, "key long, id long, component long")
+    dealt = minmax._dealt(inner).collect()
+    chunks = -(-2000 // minmax.BLOCK)
+    assert sum(r.key == 7 for r in dealt) == 2000 + chunks + 1  # the last: the outsider with itself
+    met = set()
+    for block in {(r.key, r.lo, r.hi) for r in dealt}:
+        inside = [r for r in dealt if (r.key, r.lo, r.hi) == block]
+        left = [r for r in inside if r.chunk == block[1]]
+        right = [r for r in inside if r.chunk == block[2]]
+        met |= {(block[0], *sorted((a.id, b.id))) for a in left for b in right if a.component != b.component}
+    want = {(7, i, 5000) for i in range(2000)} | {(8, i, j) for j in range(300) for i in range(j)}
+    assert met == want
