@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import classifier, decontaminate, minmax, mixing, shards
+from shelfmark.llm.common import broadcast_if_small
 from shelfmark.shared import new_folder, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-BROADCAST_ROWS = 1_000_000  # rows of decisions that are broadcast; more are joined by shuffle
 #: The classifier and the fitted order of stages have no SQL; small runs are tested by brute force.
 ORACLE_SQL = None
 
@@ -44,9 +44,8 @@ def _as_input(rows: DataFrame) -> DataFrame:
 
 
 def _decisions(df: DataFrame, name: str) -> DataFrame:
-    """Decisions by row, written once, and broadcast if they are few enough."""
-    df = written(df, name)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Decisions by row, written once, and broadcast if they hold few bytes."""
+    return broadcast_if_small(written(df, name))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
