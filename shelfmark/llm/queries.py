@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, classifier, decontaminate, lines, minmax, mixing, quality, shards, surrogates, tokens
+from shelfmark.llm import (
+    chat, classifier, collocations, decontaminate, lines, minmax, mixing, quality, shards, surrogates, tokens,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -285,3 +287,49 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for the personal data in it."""
     return surrogates.with_surrogates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_collocations",
+    r"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[.,;:!?\x0A-\x0D]')) AS piece
+      FROM documents),
+    split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+    windows AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM places),
+    totals AS (SELECT lang, count(*) AS n FROM windows GROUP BY lang),
+    f1 AS (SELECT lang, w1, count(*) AS f FROM windows GROUP BY ALL),
+    f2 AS (SELECT lang, w1, w2, count(*) AS f FROM windows WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+    f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM windows WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+    cuts AS (
+      SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, 1 AS k, x.f AS l, y.f AS r
+      FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.w1 = f2.w1 JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+      UNION ALL
+      SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, 1, x.f, y.f
+      FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.w1 = f3.w1
+        JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+      UNION ALL
+      SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, 2, x.f, y.f
+      FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.w1 = f3.w1 AND x.w2 = f3.w2
+        JOIN f1 y ON y.lang = f3.lang AND y.w1 = f3.w3),
+    scored AS (
+      SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth
+      FROM (SELECT *, (1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS score FROM cuts)),
+    longer AS (
+      SELECT lang, phrase, max(f) AS most FROM (
+        SELECT lang, w1 || ' ' || w2 AS phrase, f FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f3)
+      GROUP BY ALL),
+    ranked AS (
+      SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+      FROM scored s LEFT JOIN longer USING (lang, phrase)
+      WHERE nth = 1 AND NOT coalesce(100 * most >= 50 * a, false))
+    SELECT r.lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+    FROM ranked r JOIN totals USING (lang) WHERE rank <= 2000
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language's best collocations."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
