@@ -368,10 +368,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     nodes = written(bare.withColumn("id", F.monotonically_increasing_id()), "nodes")
     buckets = nodes.select("id", F.explode("bands").alias("key"))
-    heads = (
-        buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last"))
-        .where("head < last").select("key", "head")
-    )
+    # Each bucket has a head of its own choice, so a group that shares many buckets has many stars.
+    chosen = F.min_by("id", F.xxhash64("key", "id")).alias("head")
+    heads = buckets.groupBy("key").agg(chosen, F.count("*").alias("n")).where("n > 1").select("key", "head")
     members = written(buckets.join(heads, "key").where("id <> head"), "members")
 
     stars = written(_stars(members, nodes), "stars")
