@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import (
     chat, classifier, collocations, decontaminate, lines, minmax, mixing, quality, shards, surrogates, tokens,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -289,6 +290,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.with_surrogates(table(spark, sf_dir, "documents"))
 
 
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's first eight whitened components."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 @query(
     "op13_collocations",
     r"""
