@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import (
-    chat, classifier, collocations, decontaminate, lines, minmax, mixing, quality, shards, surrogates, tokens,
+    chat, classifier, collocations, decontaminate, licences, lines, minmax, mixing, quality, shards, surrogates, tokens,
     whitening,
 )
 
@@ -296,6 +296,27 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+@query("op12_licences")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licences: the places of the base phrases, and labels of all that is found."""
+    found = licences.licences(table(spark, sf_dir, "documents"))
+    listed = lambda names: F.array_join(F.array_sort(F.array_distinct(names)), ",")
+    base, more = (F.transform(c, lambda x: x["label"]) for c in ("phrases", "spans"))
+    starts = F.transform("phrases", lambda p: p["first"])
+    covered = F.coalesce(F.array_max(F.transform("spans", lambda s: s["covered"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        listed(base).alias("base_labels"),
+        listed(F.concat(base, more)).alias("labels"),
+        F.when(F.size("phrases") > 0, 1.0).otherwise(covered).alias("score"),
+        F.size("spans").cast("long").alias("n_spans"),
+    )
+
+
 @query(
     "op13_collocations",
     r"""
