@@ -5,6 +5,8 @@ A store is two frames: ``tables`` (one row per table) and ``facts``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -23,12 +25,33 @@ class Store(NamedTuple):
     facts: DataFrame
 
 
+class Snapshot(Store):
+    """A store as it was read: it knows the number of the commit."""
+
+    number: int
+
+    def __new__(cls, tables: DataFrame, facts: DataFrame, number: int) -> Snapshot:
+        self = super().__new__(cls, tables, facts)
+        self.number = number
+        return self
+
+    def within(self, keys: DataFrame) -> Snapshot:
+        """The part whose names are in ``keys``, which has one or more of the four."""
+        return Snapshot(*[frame.join(keys, keys.columns, "left_semi") for frame in self], self.number)
+
+
 class Merged(NamedTuple):
-    """``tables`` and ``facts`` to store, and what the merge makes of the scanned tables."""
+    """``tables`` and ``facts`` to store, and what the merge makes of the scanned tables.
+
+    ``number`` is that of the store that was merged, if it was read; ``again`` merges the same scan
+    with another store.
+    """
 
     tables: DataFrame
     facts: DataFrame
     scanned: Store
+    number: int | None = None
+    again: Callable[[Store], Merged] | None = None
 
 
 def with_metadata_key(df: DataFrame) -> DataFrame:
@@ -124,6 +147,10 @@ def merge_metadata(
     With ``save=False`` the store stays as it is and only ``scanned`` carries the merge.  ``exact``
     is the way to compare, see ``changed_tables``.
     """
+    again = partial(
+        merge_metadata, incoming=incoming, now=now, only_if_changed=only_if_changed, save=save, exact=exact
+    )
+    number = getattr(existing, "number", None)
     scanned = incoming.tables.select(
         *m.K4, F.col("ai_documentation").alias("new_ai"), F.lit(True).alias("in_scan")
     )
@@ -166,7 +193,7 @@ def merge_metadata(
     )
     if save:
         in_scan = facts.join(touched.select(*m.K4), m.K4, "left_semi")
-        return Merged(merged, facts, Store(touched, in_scan))
+        return Merged(merged, facts, Store(touched, in_scan), number, again)
     unchanged = old_facts.join(
         merged.where(F.col("action") == "unchanged").select(*m.K4), m.K4, "left_semi"
     )
@@ -174,6 +201,8 @@ def merge_metadata(
         existing.tables.withColumn("action", F.lit("kept")),
         old_facts,
         Store(touched, m.union(unchanged.select(*m.FACT_COLUMNS), fresh.select(*m.FACT_COLUMNS))),
+        number,
+        again,
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import model as m
@@ -12,9 +12,10 @@ from shelfmark.operators.store import Store
 from shelfmark.plans import roles
 from shelfmark.plans.registry import query
 from shelfmark.plans.roles import CAT, DOC_K4, K4_SQL, NOW_ISO, ORD, now, t
-from shelfmark.sources import documents
 from shelfmark.shared import new_folder
-from shelfmark.sources.store import read_store, update_store, write_store
+from shelfmark.sources import documents
+from shelfmark.sources.commits import vacuum
+from shelfmark.sources.store import compact_store, read_store, update_store, write_store
 
 
 @query(
@@ -172,13 +173,13 @@ def changed_fingerprints(spark, sf):
     return store.changed_tables(old.facts, new.facts, exact=False)
 
 
-@query(
-    "d3_merged_facts",
-    f"""WITH {SNAPSHOTS_SQL} SELECT ord.config, ord.instance, ord."schema", ord."table",
-          o_orderkey AS position, column_name, o_orderpriority AS data_type
-        FROM ord JOIN merged ON ord.c_custkey = merged.c_custkey
-        WHERE action <> 'kept' OR o_orderdate < TIMESTAMP '{CUT}'""",
-)
+MERGED_FACTS_SQL = f"""WITH {SNAPSHOTS_SQL} SELECT ord.config, ord.instance, ord."schema", ord."table",
+      o_orderkey AS position, column_name, o_orderpriority AS data_type
+    FROM ord JOIN merged ON ord.c_custkey = merged.c_custkey
+    WHERE action <> 'kept' OR o_orderdate < TIMESTAMP '{CUT}'"""
+
+
+@query("d3_merged_facts", MERGED_FACTS_SQL)
 def merged_facts(spark, sf):
     old, new = snapshots(spark, sf)
     facts = store.merge_metadata(old, new, now(), only_if_changed=True).facts
@@ -433,6 +434,41 @@ def store_update(spark, sf):
     return read_store(spark, path).facts.select(*m.K4, "position", "column_name", "data_type")
 
 
+def _parts(scan: Store, share: Column, n: int) -> list[Store]:
+    """A scan in ``n`` scans of disjoint tables."""
+    return [Store(scan.tables.where(share == k), scan.facts.where(share == k)) for k in range(n)]
+
+
+# Both scans are merged with the same version, and have tables of every schema; the first one to commit is
+# not undone by the second, which merges again.
+@query("a4_interleaved_scans", MERGED_FACTS_SQL)
+def interleaved_scans(spark, sf):
+    path = new_folder(spark, "store")
+    old, new = snapshots(spark, sf)
+    write_store(old, path)
+    read = read_store(spark, path)
+    first, second = [
+        store.merge_metadata(read, part, now(), only_if_changed=True)
+        for part in _parts(new, F.crc32("table") % 2, 2)
+    ]
+    update_store(second, path)
+    update_store(first, path)
+    return read_store(spark, path).facts.select(*m.K4, "position", "column_name", "data_type")
+
+
+# A store after three scans, its small versions put together, and all older ones removed.
+@query("a4_compacted_store", MERGED_FACTS_SQL)
+def compacted_store(spark, sf):
+    path = new_folder(spark, "store")
+    old, new = snapshots(spark, sf)
+    write_store(old, path)
+    for part in _parts(new, F.crc32("instance") % 3, 3):
+        update_store(store.merge_metadata(read_store(spark, path), part, now(), only_if_changed=True), path)
+    compact_store(spark, path)
+    vacuum(spark, path, keep=1, seconds=0)
+    return read_store(spark, path).facts.select(*m.K4, "position", "column_name", "data_type")
+
+
 def json_documents(spark, sf) -> DataFrame:
     """Customers' tables as JSON documents."""
     own = roles.store(spark, sf)

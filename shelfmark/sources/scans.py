@@ -12,7 +12,7 @@ from shelfmark.operators import docgen, export
 from shelfmark.operators.describe import nest
 from shelfmark.operators.store import Store, merge_metadata
 from shelfmark.shared import written
-from shelfmark.sources.store import read_store, update_store, write_exports
+from shelfmark.sources.store import commit_merge, read_store, write_exports
 
 _LEVELS = m.K4[:3]
 
@@ -77,13 +77,14 @@ def apply_requests(
         own = incoming.where(condition)
         if own.isEmpty():
             continue
-        stored = Store(*[f.join(schemas, _LEVELS, "left_semi") for f in read_store(spark, store)])
+        stored = read_store(spark, store).within(schemas)
         tables = m.tables(own, ai_documentation=F.col("ai_documentation"))
         new = Store(tables, found.join(own.select(*m.K4), m.K4, "left_semi"))
         merged = merge_metadata(stored, new, now, only_if_changed=only_if_changed, save=saved)
-        scanned.append(Store(*[written(frame, "merged") for frame in merged.scanned]))
         if saved:
-            update_store(merged, store)
+            # Another worker may have saved the same schemas meanwhile: then this is a newer merge.
+            merged, _ = commit_merge(merged, store)
+        scanned.append(Store(*[written(frame, "merged") for frame in merged.scanned]))
 
     if scanned:
         whole = Store(m.union(*[s.tables for s in scanned]), m.union(*[s.facts for s in scanned]))

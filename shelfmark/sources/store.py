@@ -1,126 +1,122 @@
 """A3, A4, A5. The store and the rendered documents on shared storage.
 
 A store is a folder with ``tables`` and ``facts``, each partitioned by version, config, instance and
-schema, ``manifests`` (which version of each schema is the current one) and ``commits`` (one small
-file per commit, numbered without gaps).  A writer adds folders of a name of its own and then creates
-the file of the next number, which only one writer can; files that belong to a commit are never
+schema, and the commits that say which version of each schema is the current one, see ``commits``.  A
+writer adds folders of a name of its own and then commits them; files that belong to a commit are never
 changed.  A writer that is lost leaves folders that no commit names, never a half-written store, and
-what was read before stays readable.
+what was read before stays readable until ``commits.vacuum`` removes what is old.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark import model as m
 from shelfmark.operators import export
-from shelfmark.operators.store import Merged, Store
+from shelfmark.operators.store import Merged, Snapshot, Store
 from shelfmark.shared import written
+from shelfmark.sources.commits import (
+    LEVELS, Conflict, commit, commit_schemas, manifest, names, new_name, sizes, version,
+)
 
-_LEVELS = ["config", "instance", "schema"]
 _ORDER = {"tables": m.K4, "facts": [*m.K4, *m.FACT_ORDER]}
 _COLUMNS = {"tables": m.TABLE_COLUMNS, "facts": m.FACT_COLUMNS}
 _FIELDS = {"tables": m.TABLE_FIELDS, "facts": {"section": "string", **m.FACT_FIELDS}}
-
-
-class Conflict(Exception):
-    """Another writer has committed since the version that this one was made from."""
-
-
-def _folder(spark: SparkSession, path: str):
-    """The file system of a folder and its path there."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
-def version(spark: SparkSession, path: str) -> int:
-    """Number of the latest commit, 0 where nothing is committed."""
-    fs, place = _folder(spark, f"{path}/commits")
-    if not fs.exists(place):
-        return 0
-    names = (f.getPath().getName() for f in fs.listStatus(place))
-    return max((int(n) for n in names if n.isdigit()), default=0)
-
-
-def _commit(spark: SparkSession, path: str, base: int, name: str) -> int:
-    """Commit ``name`` as the number after ``base``; creating the file fails if it is there."""
-    number = base + 1
-    fs, place = _folder(spark, f"{path}/commits/{number:020d}")
-    try:
-        out = fs.create(place, False)
-    except Py4JJavaError as e:
-        if "FileAlreadyExists" in str(e.java_exception):
-            raise Conflict(f"{path}: version {number} is committed already") from e
-        raise
-    out.write(bytearray(name.encode()))
-    out.close()
-    return number
-
-
-def _names(spark: SparkSession, path: str) -> DataFrame:
-    """``number, name`` of all commits."""
-    files = spark.read.text(f"{path}/commits", wholetext=True)
-    return files.select(F.col("_metadata.file_name").cast("bigint").alias("number"), F.col("value").alias("name"))
-
-
-def _new_name() -> str:
-    return uuid.uuid4().hex
+RETRIES = 20  # merges of one scan that may meet a conflict
 
 
 def _write(df: DataFrame, path: str, part: str, name: str) -> None:
     # A range shuffle in the order of the hierarchy keeps the number of files per folder small, and
     # cuts a schema or table that holds most of the rows over many tasks.
     rows = df.select(*_COLUMNS[part]).repartitionByRange(*_ORDER[part])
-    rows.write.partitionBy(*_LEVELS).parquet(f"{path}/{part}/version={name}")
-
-
-def _manifest(spark: SparkSession, path: str, number: int) -> DataFrame:
-    """``config, instance, schema, version`` of a commit; empty for number 0."""
-    fields = ", ".join(f"`{k}` STRING" for k in [*_LEVELS, "version"])
-    if number == 0:
-        return spark.createDataFrame([], fields)
-    name = _names(spark, path).where(F.col("number") == number).first()["name"]
-    return spark.read.schema(fields).parquet(f"{path}/manifests/{name}")
+    rows.write.partitionBy(*LEVELS).parquet(f"{path}/{part}/version={name}")
 
 
 def write_store(store: Store, path: str, base: int | None = None) -> int:
     """A4. Write a store whole and commit it; the number of the commit.
 
-    With ``base``, the number the store was made from, a commit in between raises ``Conflict``.
+    With ``base``, the number the store was made from, a commit in between raises ``Conflict``.  A
+    store as it was read knows its number.
     """
     spark = store.tables.sparkSession
+    base = getattr(store, "number", None) if base is None else base
     base = version(spark, path) if base is None else base
-    name = _new_name()
+    name = new_name()
     for part, rows in (("tables", store.tables), ("facts", store.facts)):
         _write(rows, path, part, name)
-    schemas = store.tables.select(*_LEVELS).distinct()
+    schemas = store.tables.select(*LEVELS).distinct()
     schemas.withColumn("version", F.lit(name)).write.parquet(f"{path}/manifests/{name}")
-    return _commit(spark, path, base, name)
+    return commit(spark, path, base, name)
+
+
+def _put(merged: Merged, path: str, base: int) -> int:
+    spark = merged.tables.sparkSession
+    name = new_name()
+    is_written = F.col("action").isin("insert", "update")
+    schemas = written(merged.tables.where(is_written).select(*LEVELS).distinct(), "schemas")
+    for part, rows in (("tables", merged.tables), ("facts", merged.facts)):
+        _write(rows.join(schemas, LEVELS, "left_semi"), path, part, name)
+    return commit_schemas(spark, path, base, name, schemas)
+
+
+def commit_merge(merged: Merged, path: str, retries: int = RETRIES) -> tuple[Merged, int]:
+    """A4. Commit a merge; the merge that was committed and the number of the commit.
+
+    Only the schemas that it changed are written; the new manifest names the others again, also those
+    that were committed since the merge's store was read.  If some of these are its own, the scan is
+    merged again, with the newer store, and nothing that either writer has saved is lost.
+    """
+    if merged.number is None:
+        raise ValueError("the store that was merged has no number; read it, or give a base to update_store")
+    spark = merged.tables.sparkSession
+    while True:
+        try:
+            return merged, _put(merged, path, merged.number)
+        except Conflict:
+            if retries == 0:
+                raise
+            retries -= 1
+            schemas = merged.scanned.tables.select(*LEVELS).distinct()
+            merged = merged.again(read_store(spark, path).within(schemas))
 
 
 def update_store(merged: Merged, path: str, base: int | None = None) -> int:
     """A4. Commit a merge by writing only the schemas it changed; the number of the commit.
 
-    The other schemas stay where they are, the new manifest names them again.  ``merged`` holds all
-    tables of the schemas it changed, and stays readable.  ``base`` as for ``write_store``.
+    ``merged`` holds all tables of the schemas it changed, and stays readable.  Without ``base`` it is
+    based on the number that was read, and merged again where that is needed, see ``commit_merge``;
+    with a ``base`` a later commit of the same schemas raises ``Conflict``.
     """
-    spark = merged.tables.sparkSession
-    base = version(spark, path) if base is None else base
-    name = _new_name()
-    is_written = F.col("action").isin("insert", "update")
-    schemas = written(merged.tables.where(is_written).select(*_LEVELS).distinct(), "schemas")
-    for part, rows in (("tables", merged.tables), ("facts", merged.facts)):
-        _write(rows.join(schemas, _LEVELS, "left_semi"), path, part, name)
-    kept = _manifest(spark, path, base).join(schemas, _LEVELS, "left_anti")
-    new = schemas.withColumn("version", F.lit(name))
-    kept.unionByName(new).write.parquet(f"{path}/manifests/{name}")
-    return _commit(spark, path, base, name)
+    return commit_merge(merged, path)[1] if base is None else _put(merged, path, base)
+
+
+def compact_store(spark: SparkSession, path: str, target: int = 128 << 20) -> int:
+    """A4. Rewrite the schemas whose versions have fewer than ``target`` bytes as one version.
+
+    Every merge leaves a version of its own, so a store after many small ones is many small files in
+    many folders.  Their current rows go to one version, in files of range order; larger versions stay.  A
+    scan that is committed meanwhile wins: compaction starts again from there.  The number of the
+    commit, or of the latest one where there was nothing to do.
+    """
+    while True:
+        stored = read_store(spark, path)
+        current = manifest(spark, path, stored.number)
+        held = sizes(spark, path, [r["version"] for r in current.select("version").distinct().collect()])
+        small = [v for v, n in held.items() if n < target]
+        if len(small) < 2:
+            return stored.number
+        schemas = written(current.where(F.col("version").isin(small)).select(*LEVELS), "schemas")
+        name, own = new_name(), stored.within(schemas)
+        for part, rows in (("tables", own.tables), ("facts", own.facts)):
+            _write(rows, path, part, name)
+        try:
+            return commit_schemas(spark, path, stored.number, name, schemas)
+        except Conflict:
+            continue
 
 
 def read_store(
@@ -130,31 +126,32 @@ def read_store(
     instance: str | None = None,
     schema: str | None = None,
     number: int | None = None,
-) -> Store:
+) -> Snapshot:
     """A3. The latest commit (or that of ``number``), or its part within the given names, for which
     folders are pruned.  A store that nothing is committed to is empty."""
     number = version(spark, path) if number is None else number
-    manifest = _manifest(spark, path, number)
-    for level, name in zip(_LEVELS, (config, instance, schema)):
+    current = manifest(spark, path, number)
+    for level, name in zip(LEVELS, (config, instance, schema)):
         if name is not None:
-            manifest = manifest.where(F.col(level) == name)
-    # As many versions as commits are still current for some schema; their folders only are listed.
-    versions = [r["version"] for r in manifest.select("version").distinct().collect()]
+            current = current.where(F.col(level) == name)
+    # As many versions as commits are still current for some schema, which compact_store bounds; their
+    # folders only are listed.
+    versions = [r["version"] for r in current.select("version").distinct().collect()]
 
     def read(part: str) -> DataFrame:
         fields = ", ".join(f"{n} {t}" for n, t in _FIELDS[part].items())
-        levels = ", ".join(f"`{k}` STRING" for k in ["version", *_LEVELS])
+        levels = ", ".join(f"`{k}` STRING" for k in ["version", *LEVELS])
         kind = f"`table` STRING, {fields}, {levels}"
         if not versions:
             return spark.createDataFrame([], kind).select(*_COLUMNS[part])
         folders = [f"{path}/{part}/version={v}" for v in versions]
         rows = spark.read.schema(kind).option("basePath", f"{path}/{part}").parquet(*folders)
-        for level, name in zip(_LEVELS, (config, instance, schema)):
+        for level, name in zip(LEVELS, (config, instance, schema)):
             if name is not None:
                 rows = rows.where(F.col(level) == name)
-        return rows.join(manifest, [*_LEVELS, "version"], "left_semi").select(*_COLUMNS[part])
+        return rows.join(current, [*LEVELS, "version"], "left_semi").select(*_COLUMNS[part])
 
-    return Store(read("tables"), read("facts"))
+    return Snapshot(read("tables"), read("facts"), number)
 
 
 def write_exports(documents: DataFrame, path: str) -> int:
@@ -164,13 +161,13 @@ def write_exports(documents: DataFrame, path: str) -> int:
     index is not taken over: it is that of the whole bundle, see ``bundle_index``.
     """
     spark = documents.sparkSession
-    base, name = version(spark, path), _new_name()
+    base, name = version(spark, path), new_name()
     part = F.col("part").cast("bigint").alias("part")
     own = documents.where(~((F.col("format") == m.OKF) & (F.col("path") == "index.md")))
     own.select("format", "path", part, "content").repartitionByRange("format", "path", "part").write.partitionBy(
         "format"
     ).parquet(f"{path}/documents/batch={name}")
-    return _commit(spark, path, base, name)
+    return commit(spark, path, base, name)
 
 
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
@@ -178,7 +175,7 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
     documents = spark.read.schema(
         "path STRING, part BIGINT, content STRING, batch STRING, format STRING"
     ).parquet(f"{path}/documents")
-    commits = _names(spark, path).withColumnRenamed("name", "batch")
+    commits = names(spark, path).withColumnRenamed("name", "batch")
     numbered = documents.join(commits, "batch")
     last = numbered.groupBy("format", "path").agg(F.max("number").alias("number"))
     return numbered.join(last, ["format", "path", "number"], "left_semi").select(
