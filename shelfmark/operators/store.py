@@ -80,45 +80,57 @@ def changed_tables(old: DataFrame, new: DataFrame, exact: bool = True) -> DataFr
     """D4. Tables whose facts differ in any field, order or number, as ``K4``.
 
     Positions count as an order only: a table whose columns come at 1 and 3, and are read back from
-    a document at 1 and 2, is the same.  So tables that differ at first are compared again with
-    their facts numbered in order; these few only, as numbering takes a range shuffle.
-
-    Old and new facts cancel out as a multiset, grouped by whole facts: exact, null-safe, without
-    building a table's record, and a table with very many facts spreads over all tasks.
-
-    With ``exact=False`` two 64-bit hashes of every fact are summed per table instead.  That moves
-    one row per table and task, where the exact form moves every fact; two different tables pass
-    for equal with a chance of about 2**-128.
+    a document at 1 and 2, is the same.  Old and new facts cancel out as a multiset, grouped by whole
+    facts: exact, null-safe, without building a table's record, and a table with very many facts
+    spreads over all tasks.  What is left is added up without positions, which decides nearly all tables:
+    if facts remain, the table has changed.  Only where all of them differ in nothing but their positions
+    are the facts of both sides numbered in order and compared again.
+
+    With ``exact=False`` two 64-bit hashes of every fact, with its position and without, are summed per
+    table instead.  That moves one row per table and task, where the exact form moves every fact; two
+    different tables pass for equal with a chance of about 2**-128.
     """
-    counted = m.union(
+    both = m.union(
         old.select(*m.FACT_COLUMNS, F.lit(-1).alias("n")),
         new.select(*m.FACT_COLUMNS, F.lit(1).alias("n")),
     )
-    differ = written(_different(counted, exact), "differ")
-    both = old.select(*m.K4).distinct().join(differ, m.K4, "left_semi").join(
-        new.select(*m.K4).distinct(), m.K4, "left_semi"
-    )
-    again = _different(_in_sequence(counted.join(both, m.K4, "left_semi")), exact)
-    return differ.join(both, m.K4, "left_anti").union(again)
+    left = written(_remaining(both) if exact else _remaining_sums(both), "left")
+    differ = left.where("changed").select(*m.K4)
+    moved = left.where("NOT changed").select(*m.K4)
+    if moved.isEmpty():
+        return differ
+    numbered = _in_sequence(both.join(moved, m.K4, "left_semi"))
+    again = _remaining(numbered) if exact else _remaining_sums(numbered)
+    return differ.union(again.select(*m.K4))
+
+
+_BARE = [c for c in m.FACT_COLUMNS if c != "position"]
+
+
+def _remaining(both: DataFrame) -> DataFrame:
+    """``K4, changed``: tables whose facts, -1 for an old and 1 for a new one, do not cancel out, and
+    whether they do not without positions either."""
+    facts = both.groupBy(*m.FACT_COLUMNS).agg(F.sum("n").alias("n")).where(F.col("n") != 0)
+    bare = facts.groupBy(*_BARE).agg(F.sum("n").alias("n"))
+    return bare.groupBy(*m.K4).agg(F.max(F.col("n") != 0).alias("changed"))
 
 
-def _different(counted: DataFrame, exact: bool) -> DataFrame:
-    """Tables whose facts, -1 for an old and 1 for a new one, do not cancel out."""
-    if exact:
-        facts = counted.groupBy(*m.FACT_COLUMNS).agg(F.sum("n").alias("n"))
-        return facts.where(F.col("n") != 0).select(*m.K4).distinct()
-    fields = [c for c in m.FACT_COLUMNS if c not in m.K4]
+def _remaining_sums(both: DataFrame) -> DataFrame:
+    """The same by sums of hashes."""
+    fields = [c for c in _BARE if c not in m.K4]
     # A hash skips nulls, so the places of nulls are hashed as well.
     nulls = [F.col(c).isNull() for c in fields]
-    hashes = [F.xxhash64(F.lit(seed), *fields, *nulls) for seed in (1, 2)]
-    sums = counted.groupBy(*m.K4).agg(
+    hashed = lambda seed, *more: F.xxhash64(F.lit(seed), *fields, *nulls, *more).cast("decimal(20,0)")
+    place = [F.col("position"), F.col("position").isNull()]
+    total = lambda h: F.sum(F.col("n") * h)
+    sums = both.groupBy(*m.K4).agg(
         F.sum("n").alias("n"),
-        *[
-            F.sum(F.col("n") * h.cast("decimal(20,0)")).alias(f"h{i}")
-            for i, h in enumerate(hashes)
-        ],
+        F.array(total(hashed(1)), total(hashed(2))).alias("bare"),
+        F.array(total(hashed(3, *place)), total(hashed(4, *place))).alias("placed"),
     )
-    return sums.where((F.col("n") != 0) | (F.col("h0") != 0) | (F.col("h1") != 0)).select(*m.K4)
+    is_left = lambda c: F.exists(c, lambda x: x != 0)
+    changed = (F.col("n") != 0) | is_left("bare")
+    return sums.where(changed | is_left("placed")).select(*m.K4, changed.alias("changed"))
 
 
 def _own(custom: Column) -> Column:

@@ -360,3 +360,37 @@ def test_documents_round_trip(spark):
     for i, name in enumerate(glob.glob(path + "/c/i/*.txt")):
         os.link(name, f"{path}/c/i/{i}.json")
     assert documents.read_documents(spark, path).where(F.length("document") > 1).count() == 1
+
+
+def test_positions_are_compared_as_an_order(spark):
+    """Gaps, swaps, repeated facts, other numbers of a fact, and items that have places of their own."""
+    index = lambda name, *columns: [("t", "index", {"item": name, "column_name": c, "position": p}) for c, p in columns]
+    cols = lambda *given: [("t", "column", column(c, p)) for c, p in given]
+    cases = [
+        (cols(("a", 1), ("b", 2)), cols(("a", 10), ("b", 70)), False),
+        (cols(("a", 1), ("b", 2)), cols(("b", 1), ("a", 2)), True),
+        (cols(("a", 1), ("a", 2), ("b", 3)), cols(("a", 1), ("b", 2), ("a", 3)), True),
+        (cols(("a", 1), ("a", 2), ("b", 3)), cols(("a", 4), ("a", 5), ("b", 9)), False),
+        (cols(("a", 1), ("a", 2)), cols(("a", 1)), True),
+        (cols(("a", 1), ("a", 1)), cols(("a", 1), ("a", 2)), False),
+        (cols(("a", None), ("b", 2)), cols(("a", None), ("b", 5)), False),
+        (index("x", ("a", 1), ("b", 2)) + index("y", ("a", 1)), index("x", ("a", 3), ("b", 4)) + index("y", ("a", 9)), False),
+        (index("x", ("a", 1), ("b", 2)) + index("y", ("a", 1)), index("x", ("a", 2), ("b", 1)) + index("y", ("a", 1)), True),
+        (index("x", ("a", 1)) + index("y", ("b", 2)), index("x", ("b", 1)) + index("y", ("a", 2)), True),
+        (cols(("a", 1)), [], True),
+    ]
+    named = lambda k, given: [(f"t{k}", *f[1:]) for f in given]
+    old = facts(spark, *[f for k, (a, _, _) in enumerate(cases) for f in named(k, a)])
+    new = facts(spark, *[f for k, (_, b, _) in enumerate(cases) for f in named(k, b)])
+    want = [(f"t{k}",) for k, (_, _, changed) in enumerate(cases) if changed]
+    for exact in (True, False):
+        assert rows(ops.changed_tables(old, new, exact), "table") == sorted(want, key=repr)
+        assert rows(ops.changed_tables(new, old, exact), "table") == sorted(want, key=repr)
+
+
+def test_a_table_with_more_facts_is_decided_without_an_order(spark, monkeypatch):
+    monkeypatch.setattr(ops, "_in_sequence", None)
+    old = facts(spark, ("t", "column", column("a", 1)), ("u", "column", column("a", 1)))
+    new = facts(spark, ("t", "column", column("a", 1)), ("t", "column", column("b", 2)), ("u", "column", column("a", 1)))
+    for exact in (True, False):
+        assert rows(ops.changed_tables(old, new, exact), "table") == [("t",)]
