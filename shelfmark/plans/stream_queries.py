@@ -18,8 +18,8 @@ from shelfmark.sources.store import read_exports, read_store
 from shelfmark.streaming import scans
 
 
-def event_stream(spark, sf) -> DataFrame:
-    raw = scans.read_scan_events(spark, f"{sf}/events.parquet*", SCHEMAS["events"])
+def event_stream(spark, sf, max_files: int = 1) -> DataFrame:
+    raw = scans.read_scan_events(spark, f"{sf}/events.parquet*", SCHEMAS["events"], max_files)
     return raw.select(
         F.concat_ws("-", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("job_id"),
         F.col("event_id").alias("seq"),
@@ -51,6 +51,18 @@ def stream_job_state(spark, sf):
     return shown_state(scans.read_job_state(spark, f"{path}/out"))
 
 
+@query("g3_compacted_state", STATE_SQL)
+def compacted_state(spark, sf):
+    """The events in batches, whose folders are merged in levels, so that few are left."""
+    path = new_folder(spark, "state")
+    roles.t(spark, sf, "events").repartition(9, "event_id").write.parquet(f"{path}/events.parquet")
+    stream = updates(event_stream(spark, path))
+    scans.write_job_state(
+        stream, f"{path}/out", f"{path}/checkpoint", ["ts", "seq"], fan=3
+    ).awaitTermination()
+    return shown_state(scans.read_job_state(spark, f"{path}/out"))
+
+
 @query(
     "g8_stream_dedupe",
     f"WITH {EV} SELECT DISTINCT job_id, event_type FROM ev",
@@ -64,6 +76,9 @@ def stream_dedupe(spark, sf):
     return written.select("job_id", "event_type")
 
 
+ALL_FILES = 1_000_000  # of a micro-batch
+
+
 # Sessions of a message's events without a pause of 30 seconds.
 ABANDONED_SQL = f"""WITH {EV},
   steps AS (SELECT job_id AS message_id, ts, seq, event_type, coalesce(ts > lag(ts) OVER w + INTERVAL 30 SECOND, true)::INT
@@ -78,8 +93,8 @@ ABANDONED_SQL = f"""WITH {EV},
     AND last + INTERVAL 30 SECOND <= (SELECT date_trunc('millisecond', max(ts)) FROM events)"""
 
 
-def _abandoned(spark, events: DataFrame) -> DataFrame:
-    path = new_folder(spark, "abandoned")
+def _abandoned(spark, events: DataFrame, path: str) -> DataFrame:
+    """What the stream finds from where ``path``'s checkpoint left it, and before."""
     kind = F.col("event_type")
     deliveries = events.select(
         F.col("job_id").alias("message_id"),
@@ -98,19 +113,21 @@ def _abandoned(spark, events: DataFrame) -> DataFrame:
 
 @query("g7_stream_abandoned", ABANDONED_SQL)
 def stream_abandoned(spark, sf):
-    return _abandoned(spark, event_stream(spark, sf))
+    return _abandoned(spark, event_stream(spark, sf), new_folder(spark, "abandoned"))
 
 
 @query("g7_stream_abandoned_batches", ABANDONED_SQL)
 def stream_abandoned_batches(spark, sf):
-    """The same events in three files, one after the other in time, so in three micro-batches."""
-    path = new_folder(spark, "parts")
+    """The same events in three parts, one after the other in time; each comes when the stream has ended
+    with those before, and is one micro-batch of however many files Spark writes."""
+    path, out = new_folder(spark, "parts"), new_folder(spark, "abandoned")
     events = roles.t(spark, sf, "events")
     cuts = events.agg(F.percentile_approx("ts", F.array(F.lit(0.3), F.lit(0.7)))).first()[0]
     late = F.when(F.col("ts") < F.lit(cuts[0]), 0).when(F.col("ts") < F.lit(cuts[1]), 1).otherwise(2)
     for k in range(3):
-        events.where(late == k).coalesce(1).write.mode("append").parquet(f"{path}/events.parquet")
-    return _abandoned(spark, event_stream(spark, path))
+        events.where(late == k).write.mode("append").parquet(f"{path}/events.parquet")
+        found = _abandoned(spark, event_stream(spark, path, ALL_FILES), out)
+    return found
 
 
 # One request per nation, without configuration; those of one region name instances that are gone.

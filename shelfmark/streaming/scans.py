@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfmark.operators.jobs import STATE_FIELDS, decode_messages, scan
 from shelfmark.operators.scope import resolve_owner
 from shelfmark.shared import written
+from shelfmark.streaming import state
 
 
 def read_scan_events(
@@ -44,19 +45,30 @@ def _latest(field: str, place: list[str]) -> Column:
 
 
 def write_job_state(
-    events: DataFrame, path: str, checkpoint: str, order: list[str], fields: list[str] | None = None
+    events: DataFrame,
+    path: str,
+    checkpoint: str,
+    order: list[str],
+    fields: list[str] | None = None,
+    fan: int = state.FAN,
+    ttl_seconds: float | None = None,
 ) -> StreamingQuery:
-    """G3. Fold each batch of events to one row per job and add it to ``path``.
+    """G3, G5. Fold each batch of events to one row per job and add it to the state in ``path``.
+
+    The last value of a field is a maximum over its place, so batches can be folded one by one, merged and
+    folded again when read: the stream keeps no state, however many jobs there are, and the folders it
+    leaves are merged in levels, see ``state``.  A batch that runs twice is added once.
 
-    The last value of a field is a maximum over its place, so batches can be folded one by one and
-    again when read: the stream keeps no state, however many jobs there are.  A batch that runs
-    twice writes the same folder again.  Events past retention need no state to drop either.
+    With ``ttl_seconds`` jobs without an event for so long, up to the newest event of all, are dropped
+    when folders are merged, and not read before that; the first of ``order`` is an event's time.  A job
+    that has an event again after that may have fields from before.
     """
     fields = fields or STATE_FIELDS
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        state = batch.groupBy("job_id").agg(*[_latest(f, order) for f in fields])
-        state.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        latest = [_latest(f, order) for f in fields]
+        folded = batch.groupBy("job_id").agg(F.max(order[0]).alias("last_at"), *latest)
+        state.add(folded, path, batch_id, lambda rows: _folded(rows, fields), fan, ttl_seconds)
 
     return (
         events.writeStream.foreachBatch(fold)
@@ -66,10 +78,23 @@ def write_job_state(
     )
 
 
-def read_job_state(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
-    """G3. Current state per job from the folded batches."""
+def _folded(rows: DataFrame, fields: list[str]) -> DataFrame:
+    return rows.groupBy("job_id").agg(*[F.max(f).alias(f) for f in ["last_at", *fields]])
+
+
+def read_job_state(
+    spark: SparkSession, path: str, fields: list[str] | None = None, ttl_seconds: float | None = None
+) -> DataFrame:
+    """G3, G5. Current state per job; with ``ttl_seconds`` only of jobs with an event within that time up
+    to the newest one.  Only folders of the current manifest are read."""
     fields = fields or STATE_FIELDS
-    latest = spark.read.parquet(path).groupBy("job_id").agg(*[F.max(f).alias(f) for f in fields])
+    current = state.latest(spark, path)
+    if not current.segments:
+        raise LookupError(f"{path}: no batch has been folded")
+    latest = _folded(state.segments(spark, path, current.segments, current.schema), fields)
+    if ttl_seconds is not None:
+        newest = max((s.newest for s in current.segments if s.newest is not None), default=0)
+        latest = latest.where(F.unix_micros("last_at") > newest - int(ttl_seconds * 1e6))
     return latest.select("job_id", *[F.col(f"{f}.{f}").alias(f) for f in fields])
 
 
