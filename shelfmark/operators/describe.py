@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shelfmark import model as m
 from shelfmark.functions.text import code, non_empty, strip
 from shelfmark.functions.types import BSON_TYPES, DYNAMO_TYPES, normalise_type
-from shelfmark.operators.lists import PART_ITEMS, ordered_list, with_part
+from shelfmark.operators.lists import PART_ITEMS, in_order, with_part
 
 TABLE_SCHEMA = {"table_schema": "schema", "table_name": "table"}
 
@@ -641,9 +641,9 @@ def nest(facts: DataFrame, per_part: int = PART_ITEMS) -> DataFrame:
     """
     # Fields that tie are ordered by the rest of the fact.
     rest = [f for f in m.FACT_FIELDS if f not in m.FACT_ORDER]
-    placed = with_part(facts.select(*m.FACT_COLUMNS), m.K4, [*m.FACT_ORDER, *rest], per_part)
-    fact = F.struct("rank", "section", *m.FACT_FIELDS)
-    listed = placed.groupBy(*m.K4, "part").agg(ordered_list(fact).alias("facts"))
+    order = [*m.FACT_ORDER, *rest]
+    placed = with_part(facts.select(*m.FACT_COLUMNS), m.K4, order, per_part)
+    listed = placed.groupBy(*m.K4, "part").agg(in_order(*order).alias("facts"))
     of = lambda section: F.filter("facts", lambda f: f["section"] == section)
     grouped = listed.select(
         *m.K4,

@@ -24,7 +24,7 @@ from shelfmark.functions.text import (
     quoted,
     unquoted,
 )
-from shelfmark.operators.lists import PART_ITEMS, ordered_text
+from shelfmark.operators.lists import PART_ITEMS, ordered_lists
 from shelfmark.operators.ranks import ranked
 from shelfmark.operators.store import Store
 from shelfmark.shared import written
@@ -187,13 +187,13 @@ def _pieces_of_facts(store: Store, compact: bool) -> DataFrame:
     )
 
 
-def _piece(df: DataFrame, block: Column, text: Column) -> DataFrame:
+def _piece(df: DataFrame, block: Column, text: Column, okf: Column) -> DataFrame:
     """Pieces that stand before the facts of their block."""
     nothing = F.lit(None).cast("string")
     return df.select(
         *m.K4, block.cast("int").alias("block"), F.lit(0).alias("kind"), F.lit("").alias("item"),
         F.lit(0).cast("bigint").alias("position"), nothing.alias("column_name"),
-        nothing.alias("referenced_column"), text.alias("text"),
+        nothing.alias("referenced_column"), text.alias("text"), okf.alias("okf"),
     )
 
 
@@ -238,52 +238,60 @@ def _front_lines() -> Column:
     )
 
 
-def pieces(store: Store, okf: bool = False, compact: bool = False) -> DataFrame:
-    """E4, E5. All pieces of all documents: K4, the sort key ``_ORDER``, ``text``.
+def pieces(store: Store, compact: bool = False) -> DataFrame:
+    """E4, E5. All pieces of all documents: K4, the sort key ``_ORDER``, ``text`` and ``okf``.
 
-    A ``compact`` store is one from ``essential``, whose comments are the descriptions already, so
-    they are not joined again.
+    ``text`` is a piece as it stands in Markdown, ``okf`` what stands in its place in the knowledge bundle,
+    null if it is the same: facts are rendered once for both.  A ``compact`` store is one from
+    ``essential``, whose comments are the descriptions already, so they are not joined again.
     """
-    mark = "#" if okf else "##"
-    of_facts = _pieces_of_facts(store, compact)
+    of_facts = _pieces_of_facts(store, compact).withColumn("okf", F.lit(None).cast("string"))
     # At most four headings per table, pre-aggregated.
     heads = store.facts.select(*m.K4, _place(0).alias("block")).distinct()
-    titles = {
-        _COLUMNS: f"{OKF_COLUMNS if okf else COLUMNS}\n\n{COLUMN_HEADER}",
-        _KEYS: f"{KEYS}\n",
-        _INDEXES: f"{INDEXES}\n",
-        _PARTITIONS: f"{PARTITIONS}\n",
-    }
-    title = F.create_map(*[F.lit(x) for pair in titles.items() for x in pair])
-    heading = F.concat(F.lit(f"\n\n{mark} "), F.try_element_at(title, F.col("block")))
-    front = _title_and_source()
-    tables = store.tables
-    if okf:
-        with_facts = heads.select(*m.K4).distinct().withColumn("has_facts", F.lit(True))
-        tables = tables.join(with_facts, m.K4, "left")
-        no_body = F.col("has_facts").isNull() & _summary().isNull()
-        front = F.concat(_front_lines(), F.when(no_body, F.lit("\n\n")).otherwise(F.lit("")))
-    summary = F.concat(F.lit(f"\n\n{mark} {DESCRIPTION}\n\n"), _summary())
+
+    def heading(mark: str, columns: str) -> Column:
+        titles = {
+            _COLUMNS: f"{columns}\n\n{COLUMN_HEADER}",
+            _KEYS: f"{KEYS}\n",
+            _INDEXES: f"{INDEXES}\n",
+            _PARTITIONS: f"{PARTITIONS}\n",
+        }
+        title = F.create_map(*[F.lit(x) for pair in titles.items() for x in pair])
+        return F.concat(F.lit(f"\n\n{mark} "), F.try_element_at(title, F.col("block")))
+
+    with_facts = heads.select(*m.K4).distinct().withColumn("has_facts", F.lit(True))
+    no_body = F.col("has_facts").isNull() & _summary().isNull()
+    okf_front = F.concat(_front_lines(), F.when(no_body, F.lit("\n\n")).otherwise(F.lit("")))
+    summary = lambda mark: F.concat(F.lit(f"\n\n{mark} {DESCRIPTION}\n\n"), _summary())
+    piece = lambda block, text, okf: F.struct(F.lit(block).alias("block"), text.alias("text"), okf.alias("okf"))
     of_table = F.array(
-        F.struct(F.lit(_FRONT).alias("block"), front.alias("text")),
-        F.struct(F.lit(_SUMMARY).alias("block"), summary.alias("text")),
-        F.struct(F.lit(_END).alias("block"), F.lit("\n").alias("text")),
+        piece(_FRONT, _title_and_source(), okf_front),
+        piece(_SUMMARY, summary("##"), summary("#")),
+        piece(_END, F.lit("\n"), F.lit("\n")),
     )
-    own = tables.select(*m.K4, F.inline(of_table)).where(F.col("text").isNotNull())
+    own = store.tables.join(with_facts, m.K4, "left").select(*m.K4, F.inline(of_table)).where(F.col("text").isNotNull())
     return m.union(
-        _piece(own, F.col("block"), F.col("text")),
-        _piece(heads, F.col("block"), heading),
+        _piece(own, F.col("block"), F.col("text"), F.col("okf")),
+        _piece(heads, F.col("block"), heading("##", COLUMNS), heading("#", OKF_COLUMNS)),
         of_facts,
     )
 
 
-def _documents(store: Store, okf: bool, per_part: int, compact: bool = False) -> DataFrame:
-    rows = pieces(store, okf, compact)
-    return (
-        ordered_text(rows, m.K4, _ORDER, F.col("text"), "content", per_part=per_part)
-        .withColumn("path", document_path())
-        .select(*m.K4, "path", "part", "content")
-    )
+def _documents(store: Store, formats: list[str], per_part: int, compact: bool = False) -> DataFrame:
+    """``K4, path, part, format, content``: documents of all formats from one pass over the pieces."""
+    # Facts are read by section, several times.
+    store = Store(store.tables, written(store.facts.select(*m.FACT_COLUMNS), "facts"))
+    rows = written(pieces(store, compact), "pieces")
+    # Every fact gives one piece, a table at most three and four headings more.
+    most = m.union(store.tables.select(*m.K4, F.lit(7).alias("n")), store.facts.select(*m.K4, F.lit(1).alias("n")))
+    counts = most.groupBy(*m.K4).agg(F.sum("n").alias("n"))
+    listed = ordered_lists(rows, m.K4, _ORDER, F.struct("text", "okf"), "pieces", per_part, counts)
+    said = {m.MARKDOWN: lambda p: p["text"], m.OKF: lambda p: F.coalesce(p["okf"], p["text"])}
+    contents = [
+        F.struct(F.lit(f).alias("format"), F.array_join(F.transform("pieces", said[f]), "").alias("content"))
+        for f in formats
+    ]
+    return listed.select(*m.K4, document_path().alias("path"), "part", F.inline(F.array(*contents)))
 
 
 def render_markdown(store: Store, per_part: int = PART_ITEMS) -> DataFrame:
@@ -291,12 +299,12 @@ def render_markdown(store: Store, per_part: int = PART_ITEMS) -> DataFrame:
 
     A row has ``per_part`` pieces, about one per fact; a document is its rows one after the other.
     """
-    return _documents(store, False, per_part)
+    return _documents(store, [m.MARKDOWN], per_part).drop("format")
 
 
 def render_okf(store: Store, per_part: int = PART_ITEMS) -> DataFrame:
     """E5. Knowledge-bundle documents: front matter, then the body one heading level higher."""
-    return _documents(store, True, per_part)
+    return _documents(store, [m.OKF], per_part).drop("format")
 
 
 def index_entries(documents: DataFrame) -> DataFrame:
@@ -378,14 +386,9 @@ def export(
     if not chosen:
         return None
     source = essential(store) if preformat else store
-    # Every format reads the facts by section, several times.
-    source = Store(source.tables, written(source.facts, "exported"))
-    frames = []
-    if m.MARKDOWN in chosen:
-        frames.append(_documents(source, False, per_part, preformat).withColumn("format", F.lit(m.MARKDOWN)))
+    frames = [_documents(source, sorted(set(chosen)), per_part, preformat)]
     if m.OKF in chosen:
         index = render_okf_index(entries_of_tables(source.tables))
-        frames.append(_documents(source, True, per_part, preformat).withColumn("format", F.lit(m.OKF)))
         frames.append(index.withColumn("format", F.lit(m.OKF)))
     part = F.col("part").cast("bigint").alias("part")
     return m.union(*[f.select("format", "path", part, "content") for f in frames])
