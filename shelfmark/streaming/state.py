@@ -2,7 +2,7 @@
 
 A batch adds one folder of level 0.  Where a level has ``fan`` folders, they are merged to one of the next
 level, so ``n`` batches leave about ``fan * log(n)`` folders, and a row is rewritten once per level.
-``manifests`` has one small file per batch with the names of the folders that hold the state; a reader
+``_manifests`` has one small file per batch with the names of the folders that hold the state; a reader
 opens these and no others.  Folders that the last manifests do not name are removed, so readers that
 have just opened one are not disturbed.  A batch that runs twice, or a writer that is lost anywhere
 between, leaves the manifest as it was or the whole new one: folders come first, their names last.
@@ -34,7 +34,7 @@ class Segment(NamedTuple):
 
     @property
     def name(self) -> str:
-        return f"L{self.level}-{self.first}-{self.last}"
+        return f"batch={self.first}" if self.level == 0 else f"batch={self.first}-{self.last}"
 
 
 class Manifest(NamedTuple):
@@ -49,11 +49,11 @@ def _names(spark: SparkSession, path: str) -> list[str]:
 
 
 def _numbers(spark: SparkSession, path: str) -> list[int]:
-    return sorted(int(n) for n in _names(spark, f"{path}/manifests") if n.isdigit())
+    return sorted(int(n) for n in _names(spark, f"{path}/_manifests") if n.isdigit())
 
 
 def _file(path: str, number: int) -> str:
-    return f"{path}/manifests/{number:020d}"
+    return f"{path}/_manifests/{number:020d}"
 
 
 def _read(spark: SparkSession, path: str, number: int) -> Manifest:
@@ -70,7 +70,7 @@ def latest(spark: SparkSession, path: str) -> Manifest:
 
 def _write(spark: SparkSession, path: str, manifest: Manifest) -> None:
     target = _file(path, manifest.batch)
-    fs, hidden = folder(spark, f"{path}/manifests/.{manifest.batch}")
+    fs, hidden = folder(spark, f"{path}/_manifests/.{manifest.batch}")
     out = fs.create(hidden, True)
     out.write(bytearray(json.dumps(manifest._asdict()).encode()))
     out.close()
@@ -82,7 +82,7 @@ def _write(spark: SparkSession, path: str, manifest: Manifest) -> None:
 def segments(spark: SparkSession, path: str, named: list[Segment], schema: str) -> DataFrame:
     """The rows of some folders."""
     kind = StructType.fromJson(json.loads(schema))
-    return spark.read.schema(kind).parquet(*[f"{path}/segments/{s.name}" for s in named])
+    return spark.read.schema(kind).parquet(*[f"{path}/{s.name}" for s in named])
 
 
 def _newest(rows: DataFrame) -> int | None:
@@ -115,7 +115,7 @@ def _merged(
             kept = kept.union(state.where("_old").join(young, "job_id", "left_semi"))
         state = kept.drop("_old")
     made = Segment(group[0].level + 1, group[0].first, group[-1].last, None)
-    state.write.mode("overwrite").parquet(f"{path}/segments/{made.name}")
+    state.write.mode("overwrite").parquet(f"{path}/{made.name}")
     return made._replace(newest=_newest(segments(spark, path, [made], schema)))
 
 
@@ -133,7 +133,7 @@ def add(
     if batch_id <= before.batch:
         return  # it ran before and is in
     own, schema = Segment(0, batch_id, batch_id, None), batch.schema.json()
-    batch.write.mode("overwrite").parquet(f"{path}/segments/{own.name}")
+    batch.write.mode("overwrite").parquet(f"{path}/{own.name}")
     held = [*before.segments, own._replace(newest=_newest(segments(spark, path, [own], schema)))]
     level = 0
     while len(group := [s for s in held if s.level == level]) >= fan:
@@ -151,7 +151,7 @@ def _clean(spark: SparkSession, path: str) -> None:
         fs, place = folder(spark, _file(path, number))
         fs.delete(place, False)
     named = {s.name for n in numbers[-KEEP:] for s in _read(spark, path, n).segments}
-    for name in _names(spark, f"{path}/segments"):
-        if name not in named:
-            fs, place = folder(spark, f"{path}/segments/{name}")
+    for name in _names(spark, path):
+        if name.startswith("batch=") and name not in named:
+            fs, place = folder(spark, f"{path}/{name}")
             fs.delete(place, True)

@@ -34,7 +34,7 @@ def at(hours):
 
 
 def folders(path):
-    return sorted(n for n in os.listdir(f"{path}/segments"))
+    return sorted(n for n in os.listdir(path) if n.startswith("batch="))
 
 
 def test_many_batches_leave_few_folders(spark):
@@ -45,12 +45,12 @@ def test_many_batches_leave_few_folders(spark):
         want |= {"hot": (f"s{k}", None), f"j{k}": ("new", "e" if k % 2 else None)}
     live = state.latest(spark, path).segments
     assert len(live) <= (state.FAN - 1) * math.ceil(math.log(51, state.FAN))
-    assert len(folders(path)) <= len(live) + state.FAN and len(os.listdir(f"{path}/manifests")) <= 2 * state.KEEP
+    assert len(folders(path)) <= len(live) + state.FAN and len(os.listdir(f"{path}/_manifests")) <= 2 * state.KEEP
     assert sorted(b for s in live for b in range(s.first, s.last + 1)) == list(range(50))
     assert read(spark, path) == want
     # A read opens the folders of the manifest only.
     files = scans.read_job_state(spark, path, FIELDS).inputFiles()
-    assert {f.split("/segments/")[1].split("/")[0] for f in files} <= {s.name for s in live}
+    assert {f.split("/")[-2] for f in files} <= {s.name for s in live}
 
 
 def test_an_older_event_in_a_later_batch_changes_nothing(spark):
