@@ -7,7 +7,7 @@ building documents, and rendered without collecting a table anywhere.  ``describ
 facts into one nested record per table where a caller wants that.
 
 What people and models add to a table (``tables`` frames) is one row per table:
-``K4, ai_documentation, custom, updated_at``.
+``K4, ai_documentation, custom, updated_at`` and the free-form fields of stored documents as variants.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ FACT_FIELDS = {
     "is_primary": "boolean",
     "index_type": "string",
     "description": "string",  # of a column, written by people
+    "extra": "string",  # JSON of what a document says of it beyond these fields, keys sorted
 }
 FACT_COLUMNS = [*K4, "section", *FACT_FIELDS]
 # A total order of the facts of one table.
@@ -52,6 +53,8 @@ TABLE_FIELDS = {
     "ai_documentation": AI_TYPE,
     "custom": "map<string,string>",
     "updated_at": "timestamp",
+    "ai_extra": "variant",  # fields of the documentation beyond those of its type
+    "description_extra": "variant",  # fields of the description beyond facts
 }
 TABLE_COLUMNS = [*K4, *TABLE_FIELDS]
 

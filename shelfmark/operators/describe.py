@@ -631,9 +631,9 @@ def describe_tables(*parts: DataFrame, per_part: int = PART_ITEMS) -> DataFrame:
     return nest(m.union(*parts), per_part)
 
 
-def nest(facts: DataFrame, per_part: int = PART_ITEMS) -> DataFrame:
+def nest(facts: DataFrame, per_part: int = PART_ITEMS, extra: bool = False) -> DataFrame:
     """Facts as nested records ``K4, part, columns, primary_key, sort_key, foreign_keys, indexes,
-    partitions``.
+    partitions``; with ``extra`` their entries also have the free-form fields, as JSON text.
 
     A record holds ``per_part`` consecutive facts of its table in the order ``FACT_ORDER``, so most
     tables have one, with part 0.  The facts are brought together in that order once, as one list
@@ -656,6 +656,7 @@ def nest(facts: DataFrame, per_part: int = PART_ITEMS) -> DataFrame:
         of(m.PARTITION).alias("partition_columns"),
     )
     key_names = F.transform("key", lambda k: k["column_name"])
+    more = lambda fact: [fact["extra"].alias("extra")] if extra else []
     return grouped.select(
         *m.K4,
         "part",
@@ -668,9 +669,12 @@ def nest(facts: DataFrame, per_part: int = PART_ITEMS) -> DataFrame:
                 c["default_value"].alias("default_value"),
                 c["comment"].alias("comment"),
                 c["description"].alias("description"),
+                *more(c),
             ),
         ).alias("columns"),
-        F.when(F.size("key") > 0, F.struct(key_names.alias("column_names"))).alias("primary_key"),
+        F.when(
+            F.size("key") > 0, F.struct(key_names.alias("column_names"), *more(F.get("key", F.lit(0))))
+        ).alias("primary_key"),
         F.try_element_at("sort", F.lit(-1))["column_name"].alias("sort_key"),
         F.transform(
             "references",
@@ -679,21 +683,23 @@ def nest(facts: DataFrame, per_part: int = PART_ITEMS) -> DataFrame:
                 r["referenced_table"].alias("referenced_table"),
                 r["referenced_column"].alias("referenced_column"),
                 F.nullif(r["item"], F.lit("")).alias("constraint_name"),
+                *more(r),
             ),
         ).alias("foreign_keys"),
-        _by_index().alias("indexes"),
+        _by_index(extra).alias("indexes"),
         F.transform(
             "partition_columns",
             lambda c: F.struct(
                 c["column_name"].alias("column_name"),
                 c["data_type"].alias("data_type"),
                 c["comment"].alias("comment"),
+                *more(c),
             ),
         ).alias("partitions"),
     )
 
 
-def _by_index() -> Column:
+def _by_index(extra: bool) -> Column:
     """Sorted index columns of one record gathered by index name.
 
     Columns of an index stand together, so an index is the stretch from where its name begins to
@@ -718,6 +724,7 @@ def _by_index() -> Column:
             own[0]["is_unique"].alias("is_unique"),
             own[0]["is_primary"].alias("is_primary"),
             own[0]["index_type"].alias("type"),
+            *([own[0]["extra"].alias("extra")] if extra else []),
         )
 
     return F.filter(F.zip_with(starts, ends, lambda a, b: F.when(a.isNotNull(), one(a, b))), lambda x: x.isNotNull())

@@ -154,7 +154,8 @@ def merge_metadata(
     ``tables`` gains ``action``: ``insert`` (new), ``update`` (facts replaced, ``updated_at`` set
     to ``now``), ``kept`` (not in this scan), and with ``only_if_changed`` also ``unchanged`` (same
     facts: the row stays as it is, even its documentation; new documentation is not taken over).
-    Documentation is kept where the scan brings none, custom fields always.
+    Documentation is kept where the scan brings none, custom fields always.  Free-form fields go with
+    what they belong to, and those of the description count as a change.
 
     With ``save=False`` the store stays as it is and only ``scanned`` carries the merge.  ``exact``
     is the way to compare, see ``changed_tables``.
@@ -164,7 +165,11 @@ def merge_metadata(
     )
     number = getattr(existing, "number", None)
     scanned = incoming.tables.select(
-        *m.K4, F.col("ai_documentation").alias("new_ai"), F.lit(True).alias("in_scan")
+        *m.K4,
+        F.col("ai_documentation").alias("new_ai"),
+        F.col("ai_extra").alias("new_ai_extra"),
+        F.col("description_extra").alias("new_extra"),
+        F.lit(True).alias("in_scan"),
     )
     if only_if_changed:
         # Tables outside the scan come out as changed too, but find no row here.  To leave them out
@@ -177,10 +182,11 @@ def merge_metadata(
         scanned = scanned.withColumn("changed", F.lit(True))
     stored = existing.tables.select(*m.TABLE_COLUMNS, F.lit(True).alias("in_store"))
     both = stored.join(scanned, m.K4, "full_outer")
+    same_extra = F.to_json("description_extra").eqNullSafe(F.to_json("new_extra"))
     action = (
         F.when(F.col("in_scan").isNull(), "kept")
         .when(F.col("in_store").isNull(), "insert")
-        .when(F.col("changed").isNull(), "unchanged")
+        .when(F.col("changed").isNull() & same_extra, "unchanged")
         .otherwise("update")
     )
     is_new = F.col("action").isin("insert", "update")
@@ -192,6 +198,10 @@ def merge_metadata(
         .alias("ai_documentation"),
         F.when(is_new, _own(F.col("custom"))).otherwise(F.col("custom")).alias("custom"),
         F.when(is_new, now).otherwise(F.col("updated_at")).alias("updated_at"),
+        F.when(is_new & F.col("new_ai").isNotNull(), F.col("new_ai_extra"))
+        .otherwise(F.col("ai_extra"))
+        .alias("ai_extra"),
+        F.when(is_new, F.col("new_extra")).otherwise(F.col("description_extra")).alias("description_extra"),
         "action",
     )
     merged = written(merged, "merged")
@@ -273,6 +283,8 @@ def annotate(tables: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
     unknown table has no effect, an empty one neither.  ``schema_description`` replaces facts, see
     ``annotated_facts``.
     """
+    from shelfmark.sources.documents import extra_of
+
     reserved = [*m.PROTECTED_KEYS, "schema_description", "ai_documentation"]
     # One entry per distinct field of a table, which bounds the collected list.
     patched = _fields(tables, patches).groupBy(*m.K4).agg(
@@ -282,6 +294,7 @@ def annotate(tables: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
             )
         ).alias("patch"),
         F.max(F.when(F.col("key") == "ai_documentation", F.col("value"))).alias("patched_ai"),
+        F.max(F.when(F.col("key") == "schema_description", F.col("value"))).alias("patched_description"),
         F.lit(True).alias("is_patched"),
     )
     custom = F.coalesce("custom", F.create_map().cast("map<string,string>"))
@@ -295,6 +308,12 @@ def annotate(tables: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
         .otherwise(F.col("custom"))
         .alias("custom"),
         F.when(F.col("is_patched"), now).otherwise(F.col("updated_at")).alias("updated_at"),
+        F.when(F.from_json("patched_ai", m.AI_TYPE).isNotNull(), extra_of(F.col("patched_ai"), "ai_documentation"))
+        .otherwise(F.col("ai_extra"))
+        .alias("ai_extra"),
+        F.when(F.col("patched_description").isNotNull(), extra_of(F.col("patched_description"), "description"))
+        .otherwise(F.col("description_extra"))
+        .alias("description_extra"),
     )
 
 

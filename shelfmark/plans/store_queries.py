@@ -12,7 +12,7 @@ from shelfmark.operators.store import Store
 from shelfmark.plans import roles
 from shelfmark.plans.registry import query
 from shelfmark.plans.roles import CAT, DOC_K4, K4_SQL, NOW_ISO, ORD, now, t
-from shelfmark.shared import new_folder
+from shelfmark.shared import new_folder, written
 from shelfmark.sources import documents
 from shelfmark.sources.commits import vacuum
 from shelfmark.sources.store import compact_store, read_store, update_store, write_store
@@ -505,3 +505,42 @@ def tables_of_documents(spark, sf):
     )
 
 
+
+
+# Documents with fields that nobody declared, beside the table's own, in its documentation, in its description
+# and in every column; through the store and back.
+@query(
+    "a3_round_trip_unchanged",
+    f"""WITH {ORD}, cols AS (SELECT {K4_SQL}, count(*) AS n FROM ord GROUP BY ALL)
+        SELECT cat.config, cat.instance, cat."schema", cat."table", true AS unchanged, coalesce(n, 0) AS columns_with_pii,
+          cat."schema" AS reviewed_by, CASE WHEN cat."schema" <> 'MACHINERY' THEN 0.75::DOUBLE END AS confidence
+        FROM cat LEFT JOIN cols ON cols.config = cat.config AND cols.instance = cat.instance
+          AND cols."schema" = cat."schema" AND cols."table" = cat."table" """,
+)
+def round_trip_unchanged(spark, sf):
+    path = new_folder(spark, "store")
+    plain = F.regexp_replace("document", r'"ai_documentation":\{', '"ai_documentation":{"confidence":0.75,')
+    plain = F.regexp_replace(plain, r'\{"comment":', '{"pii":{"kind":"mail"},"comment":')
+    given = F.concat(
+        F.substring_index(plain, '"schema_description":{', 1),
+        F.lit('"schema_description":{"reviewed":{"by":'), roles.json_text(F.col("schema")),
+        F.lit(',"notes":[1,{"x":null}]},'),
+        F.substring_index(plain, '"schema_description":{', -1),
+    )
+    own = roles.store(spark, sf)
+    texts = written(
+        documents.to_documents(own.tables, describe.nest(own.facts)).select(*m.K4, given.alias("document")), "texts"
+    )
+    write_store(Store(documents.tables_of_documents(texts), documents.facts_of_documents(texts)), path)
+    stored = read_store(spark, path)
+    back = documents.to_documents(stored.tables, describe.nest(stored.facts, extra=True))
+    value = lambda c: F.to_json(F.parse_json(c))
+    doc = F.parse_json("back")
+    columns = F.try_variant_get(doc, "$.schema_description.columns", "array<variant>")
+    return texts.join(back.select(*m.K4, F.col("document").alias("back")), m.K4, "left").select(
+        *m.K4,
+        (value("document") == value("back")).alias("unchanged"),
+        F.size(F.filter(columns, lambda c: F.try_variant_get(c, "$.pii.kind", "string") == "mail")).cast("bigint").alias("columns_with_pii"),
+        F.try_variant_get(doc, "$.schema_description.reviewed.by", "string").alias("reviewed_by"),
+        F.try_variant_get(doc, "$.ai_documentation.confidence", "double").alias("confidence"),
+    )

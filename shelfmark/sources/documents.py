@@ -1,8 +1,13 @@
-"""Stored metadata documents (one JSON object per table) to and from the store's frames."""
+"""Stored metadata documents (one JSON object per table) to and from the store's frames.
+
+Documents are free-form.  Fields that the store knows are typed columns; all others are kept beside them,
+at every level, as variants (of a table) or as their JSON text (of a fact, since facts are compared), and
+are written back where they stood.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark import model as m
@@ -20,9 +25,50 @@ _DESCRIPTION = (
 )
 
 
+# The names that are known at each level of a document.
+_KNOWN = {
+    "columns": ["name", "data_type", "is_nullable", "default_value", "comment", "description"],
+    "foreign_keys": ["column_name", "referenced_table", "referenced_column", "constraint_name"],
+    "indexes": ["name", "column_names", "is_unique", "is_primary", "type"],
+    "partitions": ["column_name", "data_type", "comment"],
+    "primary_key": ["column_names"],
+    "description": [
+        "instance_name", "schema_name", "table_name", "columns", "primary_key", "sort_key",
+        "foreign_keys", "indexes", "partitions",
+    ],
+    "ai_documentation": ["summary", "column_descriptions", "generated_at", "model"],
+}
+_OBJECT = "map<string,variant>"
+
+
+def _others(fields: Column, known: list[str]) -> Column:
+    """What an object says beyond the known names, as JSON text with sorted keys; null if nothing."""
+    names = F.array_sort(F.filter(F.map_keys(fields), lambda k: ~k.isin(known)))
+    kept = F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(fields, k)))
+    return F.when(F.size(names) > 0, F.to_json(kept))
+
+
+def _others_of_lists(description: Column) -> Column:
+    """The same for the entries of a description's lists (a variant), by list."""
+
+    def of_list(name: str) -> Column:
+        entries = F.try_variant_get(description, f"$.{name}", f"array<{_OBJECT}>")
+        return F.transform(entries, lambda e: _others(e, _KNOWN[name])).alias(name)
+
+    lists = [of_list(name) for name in ("columns", "foreign_keys", "indexes", "partitions")]
+    key = F.try_variant_get(description, "$.primary_key", _OBJECT)
+    return F.struct(*lists, _others(key, _KNOWN["primary_key"]).alias("primary_key"))
+
+
+def extra_of(object_: Column, level: str) -> Column:
+    """The fields of a JSON object (text) beyond those known at a level, as a variant."""
+    return F.try_parse_json(_others(F.from_json(object_, _OBJECT), _KNOWN[level]))
+
+
 def facts_of_descriptions(df: DataFrame) -> DataFrame:
     """Facts of ``K4, description``, the description being JSON text of one table's record."""
-    return _facts(df.select(*m.K4, F.from_json("description", _DESCRIPTION).alias("d")))
+    others = _others_of_lists(F.try_parse_json("description"))
+    return _facts(df.select(*m.K4, F.from_json("description", _DESCRIPTION).alias("d"), others.alias("others")))
 
 
 # Fixed value: what documents call an index without a name.
@@ -33,14 +79,20 @@ _PART = 1 << 32
 
 def _facts(described: DataFrame) -> DataFrame:
     part = F.col("part") if "part" in described.columns else F.lit(0)
-    parsed = described.select(*m.K4, (part.cast("bigint") * _PART).alias("before"), "d.*")
+    parsed = described.select(*m.K4, (part.cast("bigint") * _PART).alias("before"), "d.*", "others")
 
     def items(source: str) -> DataFrame:
-        return parsed.select(*m.K4, "before", F.posexplode(source).alias("i", "e"))
+        # The primary key is one object: what it says beyond its columns stays with each of them.
+        other = F.col("others.primary_key") if "." in source else None
+        with_other = F.transform(
+            source, lambda e, i: F.struct(e.alias("e"), (F.get(f"others.{source}", i) if other is None else other).alias("x"))
+        )
+        found = parsed.select(*m.K4, "before", F.posexplode(with_other).alias("i", "both"))
+        return found.select(*m.K4, "before", "i", F.col("both.e").alias("e"), F.col("both.x").alias("extra"))
 
     place = F.col("before") + F.col("i") + 1
     index_columns = items("indexes").select(
-        *m.K4, "before", F.col("e").alias("x"),
+        *m.K4, "before", "extra", F.col("e").alias("x"),
         F.posexplode_outer("e.column_names").alias("i", "name"),
     )
     return m.union(
@@ -54,12 +106,14 @@ def _facts(described: DataFrame) -> DataFrame:
             default_value=F.col("e.default_value"),
             comment=F.col("e.comment"),
             description=F.col("e.description"),
+            extra=F.col("extra"),
         ),
         m.facts(
             items("primary_key.column_names"),
             m.PRIMARY_KEY,
             position=place,
             column_name=F.col("e"),
+            extra=F.col("extra"),
         ),
         m.facts(
             parsed.where(F.col("sort_key").isNotNull()),
@@ -75,6 +129,7 @@ def _facts(described: DataFrame) -> DataFrame:
             column_name=F.col("e.column_name"),
             referenced_table=F.col("e.referenced_table"),
             referenced_column=F.col("e.referenced_column"),
+            extra=F.col("extra"),
         ),
         m.facts(
             index_columns,
@@ -85,6 +140,7 @@ def _facts(described: DataFrame) -> DataFrame:
             is_unique=F.col("x.is_unique"),
             is_primary=F.col("x.is_primary"),
             index_type=F.col("x.type"),
+            extra=F.col("extra"),
         ),
         m.facts(
             items("partitions"),
@@ -93,6 +149,7 @@ def _facts(described: DataFrame) -> DataFrame:
             column_name=F.col("e.column_name"),
             data_type=F.col("e.data_type"),
             comment=F.col("e.comment"),
+            extra=F.col("extra"),
         ),
     )
 
@@ -139,16 +196,26 @@ def tables_of_documents(texts: DataFrame, column: str = "document") -> DataFrame
         ai_documentation=F.col("doc.ai_documentation"),
         custom=custom,
         updated_at=F.col("doc.updated_at"),
+        ai_extra=extra_of(_inner("ai_documentation"), "ai_documentation"),
+        description_extra=extra_of(_inner("schema_description"), "description"),
     )
 
 
 def facts_of_documents(texts: DataFrame, column: str = "document") -> DataFrame:
     """A3. Facts of JSON documents, those of a table's parts (column ``part``) in their order."""
+    others = _others_of_lists(F.try_variant_get(F.try_parse_json("text"), "$.schema_description", "variant"))
     return _facts(
-        _parsed(texts, column).select(*m.K4, "part", F.col("doc.schema_description").alias("d"))
+        _parsed(texts, column).select(
+            *m.K4, "part", F.col("doc.schema_description").alias("d"), others.alias("others")
+        )
     )
 
 
+def _inner(name: str) -> Column:
+    """An object within a document, as JSON text."""
+    return F.to_json(F.try_variant_get(F.try_parse_json("text"), f"$.{name}", "variant"))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """A3. Document files (one JSON object each, in folders) as ``document`` texts."""
     return (
@@ -159,27 +226,51 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _with_others(entry: Column, extra: Column) -> Column:
+    """An entry (a struct) as a variant, with what is known of it only as JSON text."""
+    own = F.to_json(entry, {"ignoreNullFields": "false"})
+    whole = F.when(extra.isNull(), own).otherwise(
+        F.concat(own.substr(F.lit(1), F.length(own) - 1), F.lit(","), extra.substr(F.lit(2), F.length(extra) - 1))
+    )
+    return F.when(entry.isNotNull(), F.try_parse_json(whole))
+
+
 def to_documents(tables: DataFrame, nested: DataFrame) -> DataFrame:
     """Stored form: ``K4, part, document`` with custom fields beside the system's own.
 
-    ``nested`` comes from ``describe.nest``; a very wide table gives several documents by ``part``, a
-    table without facts one with empty lists.
+    ``nested`` comes from ``describe.nest``, with ``extra=True`` if what documents said beyond the known
+    fields is to be written back; a very wide table gives several documents by ``part``, a table without
+    facts one with empty lists.
     """
-    empty = lambda c: F.coalesce(F.col(c), F.array().cast(nested.schema[c].dataType)).alias(c)
+
+    def entries(name: str) -> Column:
+        kind = nested.schema[name].dataType
+        known = [f for f in kind.elementType.names if f != "extra"]
+        if known == kind.elementType.names:
+            return F.coalesce(F.col(name), F.array().cast(kind)).alias(name)
+        written_back = F.transform(
+            name, lambda e: _with_others(F.struct(*[e[f].alias(f) for f in known]), e["extra"])
+        )
+        return F.coalesce(written_back, F.array().cast("array<variant>")).alias(name)
+
+    key = F.col("primary_key")
+    if "extra" in nested.schema["primary_key"].dataType.names:
+        bare = F.when(key.isNotNull(), F.struct(key["column_names"].alias("column_names")))
+        key = _with_others(bare, key["extra"])
     description = F.struct(
         F.col("instance").alias("instance_name"),
         F.col("schema").alias("schema_name"),
         F.col("table").alias("table_name"),
-        empty("columns"), "primary_key", "sort_key",
-        *[empty(c) for c in ("foreign_keys", "indexes", "partitions")],
+        entries("columns"), key.alias("primary_key"), "sort_key",
+        *[entries(c) for c in ("foreign_keys", "indexes", "partitions")],
     )
     own = F.to_json(
         F.struct(
             metadata_key().alias("metadata_key"),
             *[F.col(k).alias(f"{k}_name") for k in m.K4],
             iso("updated_at").alias("updated_at"),
-            description.alias("schema_description"),
-            "ai_documentation",
+            _with_others(description, F.to_json("description_extra")).alias("schema_description"),
+            _with_others(F.col("ai_documentation"), F.to_json("ai_extra")).alias("ai_documentation"),
         ),
         {"ignoreNullFields": "false"},
     )
