@@ -5,15 +5,15 @@ number of words.  A source whose target is ``t`` words gives as many blocks as m
 these draws falls into a pseudorandom output shard, so that the counts of a source over the shards
 are multinomial while its total stays on target; plain multinomial totals would miss targets and
 the limit on repeats of small sources.  Draw ``k`` of a source takes, in its ``k div blocks``-th
-pass, the block to which that pass's permutation maps ``k mod blocks``; blocks and draws meet in an
-equi-join by source and block.
+pass, the block to which that pass's permutation maps ``k mod blocks``: every pass orders the blocks by a
+hash of seed, source, pass and block.  Blocks and draws meet in an equi-join by source and block.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import n_words, seeded
@@ -23,9 +23,7 @@ from shelfmark.shared import written
 BLOCK = 256  # words of a block
 WEIGHTS = (5, 2, 1)  # repeated over the sources in order
 MOST = 3  # no word is taken more often
-CHUNK = 100_000  # draws made by one row
-# A prime above any number of blocks: steps of it through a source's blocks meet every block once.
-STEP = 2**61 - 1
+CHUNK = 100_000  # places made by one row
 
 
 class Mix(NamedTuple):
@@ -73,14 +71,6 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return level.select("source", "source_size", F.coalesce(capped, F.lit(0.0)).alias("target"))
 
 
-def _block(place: Column, turn: Column, blocks: Column, seed: int) -> Column:
-    """The block that pass ``turn`` maps ``place`` to: a permutation of the source's blocks."""
-    text = F.concat_ws("|", F.lit(f"{seed}"), F.coalesce(F.col("source"), F.lit("")), turn)
-    shift = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-    stepped = place.cast("decimal(20,0)") * F.lit(STEP).cast("decimal(20,0)") + shift
-    return (stepped % blocks.cast("decimal(20,0)")).cast("long")
-
-
 def mix(docs: DataFrame, block: int = BLOCK, n_shards: int = 64, seed: int = 9) -> Mix:
     """Mix all rows of ``docs`` (``doc_id``, ``text``, ``source``) to the weights.
 
@@ -106,22 +96,30 @@ def mix(docs: DataFrame, block: int = BLOCK, n_shards: int = 64, seed: int = 9)
     )
     sources = written(sources, "sources")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = sources.where("n_draws > 0").select(
-        "source", "blocks", "n_draws",
-        F.explode(F.expr(f"sequence(0L, n_draws - 1, {CHUNK}L)")).alias("_from"),
+    # Whole passes: of the last one the draws take what its permutation puts first.
+    passes = F.expr("(n_draws + blocks - 1) div blocks")
+    chunks = sources.where("n_draws > 0").withColumn("n_places", passes * F.col("blocks")).select(
+        "source", "blocks", "n_draws", "n_places",
+        F.explode(F.expr(f"sequence(0L, n_places - 1, {CHUNK}L)")).alias("_from"),
     )
     # Few bytes become many rows here: an explicit number of partitions is not merged again.
     numbered = chunks.repartition(n, "source", "_from").select(
-        "source",
-        "blocks",
-        F.explode(F.expr(f"sequence(_from, least(_from + {CHUNK}L, n_draws) - 1)")).alias("k"),
-    )
-    turn, place = F.expr("k div blocks"), F.expr("k % blocks")
-    draws = numbered.select(
-        F.pmod(F.xxhash64(F.lit(seed), "source", "k"), F.lit(n_shards)).cast("int").alias("shard"),
-        "source",
-        turn.cast("int").alias("turn"),
-        _block(place, turn, F.col("blocks"), seed).alias("block"),
+        "source", "blocks", "n_draws",
+        F.explode(F.expr(f"sequence(_from, least(_from + {CHUNK}L, n_places) - 1)")).alias("at"),
+    )
+    of_pass = numbered.select(
+        "source", "blocks", "n_draws", F.expr("at div blocks").alias("turn"), F.expr("at % blocks").alias("block")
+    ).withColumn("_key", seeded(seed, "source", "turn", "block"))
+    placed = ranked(of_pass, ["source", "turn"], ["_key", "block"])
+    draws = (
+        placed.withColumn("k", F.col("turn") * F.col("blocks") + F.col("rank") - 1)
+        .where("k < n_draws")
+        .select(
+            F.pmod(F.xxhash64(F.lit(seed), "source", "k"), F.lit(n_shards)).cast("int").alias("shard"),
+            "source",
+            F.col("turn").cast("int").alias("turn"),
+            "block",
+        )
     )
     last = F.expr(f"(start + size - 1) div {block}")
     pieces = (

@@ -251,15 +251,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT *, CASE WHEN source_size = 0 THEN 0
                 ELSE round(target * blocks / source_size)::BIGINT END AS n
       FROM targets),
+    places AS (
+      SELECT source, blocks, n, j // blocks AS turn, j % blocks AS block FROM
+      (SELECT source, blocks, n, unnest(range(((n + blocks - 1) // blocks) * blocks)) AS j FROM draws WHERE n > 0)),
     slots AS (
-      SELECT source, blocks, k, (k // blocks) AS turn FROM
-      (SELECT source, blocks, unnest(range(n)) AS k FROM draws)),
+      SELECT *, row_number() OVER (PARTITION BY source, turn ORDER BY
+                  md5('9|' || coalesce(source, '') || '|' || turn || '|' || block), block) - 1 AS place
+      FROM places),
     uses AS (
-      SELECT source, block, count(*) AS uses FROM (
-        SELECT source, ((k % blocks)::HUGEINT * {mixing.STEP}
-                 + ('0x' || substr(md5('9|' || coalesce(source, '') || '|' || turn), 1, 8))::BIGINT)
-               % blocks AS block
-        FROM slots) GROUP BY source, block),
+      SELECT source, block, count(*) AS uses FROM slots WHERE turn * blocks + place < n GROUP BY source, block),
     pieces AS (
       SELECT doc_id, source, size, start,
              unnest(range(start // {mixing.BLOCK}, (start + size - 1) // {mixing.BLOCK} + 1)) AS block

@@ -112,3 +112,22 @@ def test_draws_are_never_broadcast(make_docs):
         plan = frame._jdf.queryExecution().sparkPlan().toString()
         joins = [line for line in plan.split("\n") if "Join" in line and "_block" in line]
         assert joins and all("SortMergeJoin" in line for line in joins), joins
+
+
+def test_permutations_are_no_rotations(make_docs):
+    """For numbers of blocks at which a fixed step would be a rotation, neighbouring draws take distant blocks."""
+    counts = [30, 75, 90, 210, 330]
+    rows = [(100 * k + i, "w " * 16, f"s{k}") for k, n in enumerate(counts) for i in range(n)]
+    mixed = mixing.mix(make_docs(rows), block=16, n_shards=5)
+    blocks = {r.source: r.blocks for r in mixed.sources.collect()}
+    draws = mixed.draws.collect()
+    assert [blocks[f"s{k}"] for k in range(len(counts))] == counts
+    by_pass = defaultdict(set)
+    for d in draws:
+        by_pass[d.source, d.turn].add(d.block)
+    partial = {key: found for key, found in by_pass.items() if len(found) < blocks[key[0]]}
+    assert partial and len(draws) == sum(map(len, by_pass.values()))
+    for (source, _), found in partial.items():
+        # A rotation takes one arc: only one taken block would have a neighbour that is not taken.
+        ends = sum((b + 1) % blocks[source] not in found for b in found)
+        assert ends > min(len(found), blocks[source] - len(found)) / 5, (source, len(found), ends)
