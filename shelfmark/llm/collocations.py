@@ -2,9 +2,9 @@
 
 Counts of all orders come from the longest windows alone.  At every word a window has the word and
 those that follow it in its piece, as columns led by one, two and more places and padded with nulls
-beyond the piece's end.  Windows are counted once; ROLLUP over these counts then sums up ever shorter
-prefixes: the count of a phrase is the sum over all windows that begin with it, and that of no word
-at all is the number of words.
+beyond the piece's end.  Windows are counted once, which are the counts of the longest phrases; ROLLUP over
+these counts then sums up ever shorter prefixes: the count of a phrase is the sum over all windows that
+begin with it, and that of no word at all is the number of words.
 
 A window of many words is rarely seen twice, so windows are padded earlier where that cannot change a
 result: behind a pair of neighbours that stands too seldom for any phrase with it to be a candidate.
@@ -91,16 +91,21 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     windows = _windows(docs, longest)
     pairs = written(_frequent_pairs(_windows(docs, 2), least), "pairs")
     counted = _padded(windows, pairs, longest).groupBy("lang", *words).agg(F.count("*").alias("f"))
-    sums = counted.rollup("lang", *words).agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
+    # The longest prefixes are the windows themselves; their counts need no further sum, nor a shuffle.
+    kept = F.when(F.col("f") >= least, F.col(words[-1])).isNotNull()
+    whole = counted.where(kept).select("lang", "f", F.lit(longest).alias("words"), F.array(*words).alias("all"))
+    shorter = words[:-1]
+    sums = counted.rollup("lang", *shorter).agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
     # A prefix of k words leaves out the columns behind it; padded ones are windows of fewer words.
-    levels = {(1 << (longest - k)) - 1: k for k in range(longest + 1)}
+    levels = {(1 << (longest - 1 - k)) - 1: k for k in range(longest)}
     length = F.create_map(*[F.lit(x) for pair in levels.items() for x in pair])[F.col("level").cast("int")]
-    found = sums.where(F.col("level") < (1 << longest)).select(
-        "lang", "f", length.alias("words"), F.array(*words).alias("all")
+    prefixes = sums.where(F.col("level") < (1 << (longest - 1))).select(
+        "lang", "f", length.alias("words"), F.array(*shorter).alias("all")
     )
-    whole = (F.col("words") == 0) | F.get("all", F.col("words") - 1).isNotNull()
+    filled = (F.col("f") >= least) & F.get("all", F.col("words") - 1).isNotNull()
+    prefixes = prefixes.where(F.when(F.col("words") == 0, F.lit(True)).otherwise(filled))
     found = written(
-        found.where(whole & ((F.col("f") >= least) | (F.col("words") == 0))).select(
+        prefixes.union(whole).select(
             "lang", F.array_join(F.slice("all", F.lit(1), F.col("words")), " ").alias("phrase"), "words", "f"
         ),
         "phrases",
