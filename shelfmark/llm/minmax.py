@@ -175,6 +175,13 @@ def _close(n: int, a: bytes, m: int, b: bytes) -> bool:
     return _near((int.from_bytes(a) ^ int.from_bytes(b)).bit_count(), n, m)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: their sketches become Python values a few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            yield batch.slice(at, BLOCK)
+
+
 def _stars(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """``head, id``: members that their bucket's head may be linked with."""
     pairs = members.select("head", "id").distinct()
@@ -183,7 +190,7 @@ def _stars(members: DataFrame, nodes: DataFrame) -> DataFrame:
     both = pairs.join(facts, "id").join(of_head, "head")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             facts = zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)
             mask = pa.array([bool(_close(n, a, m, b)) for n, a, m, b in facts], pa.bool_())
             yield batch.select([0, 1]).filter(mask)
@@ -261,7 +268,7 @@ def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFram
     spread = _dealt(inner).join(nodes.select("id", "n_shingles", "sketch"), "id")
 
     def rows(batches):
-        for batch in batches:
+        for batch in _small(batches):
             yield from zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
