@@ -225,9 +225,12 @@ bullet AS (SELECT {PATH_SQL} AS path, '* [docs.' || "table" || '](' || {PATH_SQL
 @query("e6_index_entries", f"WITH {BULLETS_SQL} SELECT path, line FROM bullet")
 def index_entries(spark, sf):
     """Bullets read back from the front matter of rendered documents."""
-    nothing = roles.facts(spark, sf).limit(0)
-    documents = export.render_okf(Store(roles.document_tables(spark, sf), nothing))
-    return export.index_entries(documents)
+    tables = roles.document_tables(spark, sf)
+    own = m.facts(
+        tables, m.COLUMN, position=F.lit(1), column_name=F.lit("text"), data_type=F.col("config")
+    )
+    documents = export.render_okf(Store(tables, own))
+    return export.index_entries(documents.where("part = 0"))
 
 
 @query(
