@@ -16,11 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import NOT_SPACE, SPACE, told_apart
+from shelfmark.llm.common import NOT_SPACE, SPACE, broadcast_if_small, told_apart
 from shelfmark.shared import written
 
 MIN_WORDS = 50
-BROADCAST_ROWS = 1_000_000  # documents with runs that are broadcast; more are joined by shuffle
 
 _DOC = ["doc_id", "variant"]
 
@@ -30,10 +29,13 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
     (their places in the text), ``words, content, least, least_at`` of all windows."""
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     line = docs.select(*_DOC, F.posexplode(split).alias("pos", "line")).where(F.col("line").rlike(NOT_SPACE))
+    bare = F.regexp_replace("line", rf"^{SPACE}|{SPACE}$", "")
     lines = line.select(
         *_DOC,
         "pos",
-        F.xxhash64(F.regexp_replace("line", rf"^{SPACE}|{SPACE}$", "")).alias("h"),
+        # Two hashes of other seeds: what is deleted is decided by both, 128 bits.
+        F.xxhash64(bare).alias("h"),
+        F.xxhash64(F.lit(1), bare).alias("h2"),
         F.regexp_count("line", F.lit(NOT_SPACE)).cast("long").alias("n"),
     )
     of_doc = Window.partitionBy(*_DOC)
@@ -55,7 +57,9 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
             F.min("pos").over(frame).alias("first_pos"),
             F.max("pos").over(frame).alias("last_pos"),
             F.sum("n").over(frame).alias("words"),
-            F.xxhash64(F.collect_list("h").over(frame)).alias("content"),
+            F.struct(
+                F.xxhash64(F.collect_list("h").over(frame)), F.xxhash64(F.collect_list("h2").over(frame))
+            ).alias("content"),
             picked["h"].alias("least"),
             picked["pos"].alias("least_at"),
         )
@@ -121,8 +125,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ),
         "runs",
     )
-    small = F.broadcast(runs) if runs.count() <= BROADCAST_ROWS else runs
-    named = small.toDF("_doc_id", "_variant", "runs", "n_removed")
+    named = broadcast_if_small(runs.toDF("_doc_id", "_variant", "runs", "n_removed"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("variant").eqNullSafe(F.col("_variant"))
     joined = rows.join(named, same, "left")
     lines = F.split("text", "\n")

@@ -5,7 +5,8 @@ in all documents (coreference) and in each of the ways it is written, different
 different ones (distinctness).  A surrogate follows the gender, script, length and format of what it
 stands for.  Before anything is replaced, the surrogates of all distinct entities of the corpus are
 compared: those that meet another entity's surrogate, or an entity that really occurs, are drawn
-again until none does.  Then every text is rewritten in its own row.
+again until none does.  Where a format has no free surrogate left, as short numbers may, the entity
+gets a keyed token instead.  Then every text is rewritten in its own row.
 """
 
 from __future__ import annotations
@@ -21,12 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import variant
+from shelfmark.llm.common import broadcast_if_small, variant
 from shelfmark.shared import written
 
 KEY = b"shelfmark surrogates"  # parameter: whoever knows it can test guesses, so set your own
-BROADCAST_ROWS = 1_000_000  # documents with redrawn entities that are broadcast; more are joined by shuffle
-MOST_DRAWS = 64
+MOST_DRAWS = 16  # draws in the entity's own format; from then on it gets a token
 
 KINDS = ("email", "secret", "ip", "card", "phone", "given", "family")
 
@@ -234,8 +234,13 @@ def _like(value: str, n: int) -> str:
 
 
 def surrogate(kind: str, value: str, draw: int, key: bytes) -> str:
-    """The ``draw``-th surrogate of an entity: a function of the key, its kind and its value alone."""
+    """The ``draw``-th surrogate of an entity: a function of the key, its kind and its value alone.
+
+    After ``MOST_DRAWS`` draws it is a token of 128 bits that is nothing ``find`` looks for.
+    """
     n = _number(key, kind, value, draw)
+    if draw >= MOST_DRAWS:
+        return kind + "".join(SYLLABLES["LATIN"][n >> 8 * k & 15] for k in range(32))
     if kind == "email":
         local, _, domain = value.partition("@")
         # The domain is drawn by itself, so people of one domain stay together; it is a reserved one.
@@ -271,8 +276,8 @@ def surrogate(kind: str, value: str, draw: int, key: bytes) -> str:
 
 
 def _pour(kind: str, said: str, drawn: str) -> str:
-    """A surrogate written the way the entity was."""
-    if kind in ("phone", "card"):
+    """A surrogate written the way the entity was; a token as it is."""
+    if kind in ("phone", "card") and drawn.isdigit():
         places = sum(c.isdigit() for c in said)
         rest = iter("1" * (places - len(drawn)) + drawn)
         return "".join(next(rest) if c.isdigit() else c for c in said)
@@ -352,27 +357,31 @@ def redrawn(occurrences: DataFrame, key: bytes = KEY) -> DataFrame:
     In every round, of the entities with one surrogate the one of fewest draws, then the least,
     keeps it; the others, and those whose surrogate is an entity of the corpus, draw again.  A drawn
     name is compared with all real names, given ones without their gender and family names.
+
+    A surrogate that was kept stays, so a round handles only those who lost the round before, and
+    writes them and their new surrogates.  The rounds end, since tokens of 128 bits follow.
     """
     real = written(occurrences.select("kind", "value").distinct(), "entities")
     like = F.when(F.col("kind").isin("given", "family"), "name").otherwise(F.col("kind"))
     bare = F.when(F.col("kind") == "given", F.substring_index("value", ":", -1)).otherwise(F.col("value"))
     taken = real.select(like.alias("like"), bare.alias("drawn")).distinct()
-    all_ = written(_drawn(real.withColumn("draw", F.lit(0)), key), "drawn")
-    for _ in range(MOST_DRAWS):
-        keeper = all_.groupBy("kind", "drawn").agg(
-            F.min(F.struct("draw", "value")).alias("keeper"), F.count("*").alias("n")
+    asked, kept, draw = real, None, 0
+    while True:
+        own = written(_drawn(asked.withColumn("draw", F.lit(draw)), key), "drawn")
+        # The surrogates that this round asked for are few after the first one, so they are looked up.
+        wanted = own.select("kind", "drawn").distinct()
+        given_away = taken.join(wanted.withColumn("like", like), ["like", "drawn"]).select("kind", "drawn")
+        if kept is not None:
+            given_away = given_away.union(kept.join(wanted, ["kind", "drawn"], "left_semi").select("kind", "drawn"))
+        free = own.join(given_away.distinct(), ["kind", "drawn"], "left_anti")
+        winners = written(
+            free.groupBy("kind", "drawn").agg(F.min("value").alias("value"), F.lit(draw).alias("draw")), "kept"
         )
-        meet = keeper.where("n > 1").select("kind", "drawn", "keeper")
-        equal = all_.join(meet, ["kind", "drawn"]).where(F.col("value") != F.col("keeper.value"))
-        occurs = all_.withColumn("like", like).join(taken, ["like", "drawn"], "left_semi")
-        names = ["kind", "value", "draw"]
-        losers = written(equal.select(*names).union(occurs.select(*names)).distinct(), "losers")
-        if losers.isEmpty():
-            return all_.where("draw > 0").select(*names)
-        stay = all_.join(losers, ["kind", "value"], "left_anti")
-        again = _drawn(losers.withColumn("draw", F.col("draw") + 1), key)
-        all_ = written(stay.select("kind", "value", "draw", "drawn").union(again), "drawn")
-    raise ValueError(f"entities without a surrogate of their own after {MOST_DRAWS} draws")
+        kept = winners if kept is None else kept.union(winners)
+        asked = written(own.join(winners, ["kind", "value"], "left_anti").select("kind", "value"), "losers")
+        if asked.isEmpty():
+            return kept.where("draw > 0").select("kind", "value", "draw")
+        draw += 1
 
 
 def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -390,9 +399,7 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         .groupBy("doc_id", "variant")
         .agg(F.collect_set(F.struct("kind", "said", "value", F.coalesce("draw", F.lit(0)).alias("draw"))).alias("draws"))
     )
-    draws = written(draws.toDF("_doc_id", "_variant", "draws"), "draws")
-    if draws.count() <= BROADCAST_ROWS:
-        draws = F.broadcast(draws)
+    draws = broadcast_if_small(written(draws.toDF("_doc_id", "_variant", "draws"), "draws"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("variant").eqNullSafe(F.col("_variant"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "text", "n_entities", *(f"n_{k}" for k in KINDS)]

@@ -183,3 +183,51 @@ def test_surrogates_are_no_real_names(spark):
     drawn = [surrogates.surrogate(*x, draws.get(x, 0), b"k") for x in real]
     assert len(set(drawn)) == len(real)
     assert not set(drawn) & {v.rpartition(":")[2] for _, v in real}
+
+
+def drawn_here(entities, key):
+    """Surrogates made in this process, where patches hold."""
+    made = [(r.kind, r.value, r.draw, surrogates.surrogate(r.kind, r.value, r.draw, key)) for r in entities.collect()]
+    return entities.sparkSession.createDataFrame(made, "kind string, value string, draw int, drawn string")
+
+
+def test_full_spaces_give_tokens(spark, monkeypatch):
+    # Of 90 numbers of two digits all are real ones; no draw of that format is free.
+    monkeypatch.setattr(surrogates, "MOST_DRAWS", 3)
+    monkeypatch.setattr(surrogates, "_drawn", drawn_here)
+    real = [("phone", str(n)) for n in range(10, 100)] + [("ip", "1.2.3.4")]
+    occurrences = spark.createDataFrame([(1, 0, *x) for x in real], "doc_id long, variant long, kind string, value string")
+    draws = {(r.kind, r.value): r.draw for r in surrogates.redrawn(occurrences, b"k").collect()}
+    drawn = [surrogates.surrogate(*x, draws.get(x, 0), b"k") for x in real]
+    assert len(set(drawn)) == len(real) and all(draws["phone", v] == 3 for k, v in real if k == "phone")
+    assert all(surrogates.find(f"call {d} now") == [] and surrogates._pour("phone", "1-0", d) == d for d in drawn[:-1])
+
+
+def test_draws_equal_those_of_rounds_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "surrogate", lambda kind, value, draw, key: f"{kind[0]}{(int(value) * 7 + draw * draw) % (9 + draw)}" if draw < 40 else f"{kind}{value}")
+    real = [("phone", str(n)) for n in range(14)] + [("card", str(n)) for n in range(14)]
+    draw, given, asked = dict.fromkeys(real, 0), set(), sorted(real)
+    while asked:
+        again = []
+        names = {}
+        for x in asked:
+            names.setdefault((x[0], surrogates.surrogate(*x, draw[x], b"")), []).append(x)
+        for name, those in names.items():
+            again += those if name in given else sorted(those)[1:]
+            given.add(name)
+        for x in again:
+            draw[x] += 1
+        asked = sorted(again)
+    assert len(given) == len(real)
+    monkeypatch.setattr(surrogates, "_drawn", drawn_here)
+    occurrences = spark.createDataFrame([(1, 0, *x) for x in real], "doc_id long, variant long, kind string, value string")
+    got = {(r.kind, r.value): r.draw for r in surrogates.redrawn(occurrences, b"").collect()}
+    assert got == {x: n for x, n in draw.items() if n}
+
+
+def test_windows_differ_where_one_hash_is_equal(make_docs):
+    passage = "\n".join(" ".join(f"w{k}x{j}" for j in range(12)) for k in range(6))
+    docs = lines.told_apart(make_docs([(1, passage, None), (2, passage, None), (3, passage + "x", None)]))[1]
+    rows = lines._windows(docs, 50).select("doc_id", "content.*").collect()
+    by_doc = {i: {tuple(r)[1:] for r in rows if r.doc_id == i} for i in (1, 2, 3)}
+    assert by_doc[1] == by_doc[2] and all(a != b for a, b in by_doc[1]) and by_doc[1] != by_doc[3]
