@@ -362,14 +362,19 @@ def distinct_names(df: DataFrame, level: str, **within: str) -> DataFrame:
     return df.select(F.col(level).alias("name")).distinct()
 
 
+def check_page_size(number: int, size: int) -> None:
+    if number < 1 or not 1 <= size <= MAX_PAGE:
+        raise ValueError(f"page is at least 1 and page size 1 to {MAX_PAGE}")
+
+
 def page(names: DataFrame, number: int = 1, size: int = DEFAULT_PAGE) -> DataFrame:
     """D10-D12. One row ``items, total, page, page_size, pages`` of sorted names.
 
     Names get their places by a range sort and counts per partition, so a late page costs what the
     first one does, and only its names (at most 200) are gathered.  No names: an empty page, 0 pages.
+    Names of a store on disk have an index, see ``sources.pages``.
     """
-    if number < 1 or not 1 <= size <= MAX_PAGE:
-        raise ValueError(f"page is at least 1 and page size 1 to {MAX_PAGE}")
+    check_page_size(number, size)
     placed = ranked(names.select("name"), [], ["name"])
     first = (number - 1) * size
     here = F.when((F.col("rank") > first) & (F.col("rank") <= first + size), F.col("name"))

@@ -15,6 +15,7 @@ from shelfmark.plans.roles import CAT, DOC_K4, K4_SQL, NOW_ISO, ORD, now, t
 from shelfmark.shared import new_folder, written
 from shelfmark.sources import documents
 from shelfmark.sources.commits import vacuum
+from shelfmark.sources.pages import index_names, names_page
 from shelfmark.sources.store import compact_store, read_store, update_store, write_store
 
 
@@ -388,6 +389,37 @@ def no_tables_page(spark, sf):
     return _shown_page(store.page(names))
 
 
+INDEXED_PAGES = [
+    ("instance", "", 2, 10, {}),
+    ("schema", "WHERE instance = 'NATION_3'", 1, 3, {"instance": "NATION_3"}),
+    ("table", "WHERE instance = 'NATION_3' AND \"schema\" = 'BUILDING'", 2, 4,
+     {"instance": "NATION_3", "schema": "BUILDING"}),
+]
+
+
+# Half of the tables are scanned after the other half was indexed; the pages are of all.
+@query(
+    "d10_indexed_pages",
+    " UNION ALL ".join(
+        f"""SELECT '{level}' AS level, * FROM ({_names_sql(f'"{level}"', where, number, size)})"""
+        for level, where, number, size, _ in INDEXED_PAGES
+    ),
+)
+def indexed_pages(spark, sf):
+    path = new_folder(spark, "store")
+    first, second = _parts(roles.store(spark, sf), F.crc32("table") % 2, 2)
+    write_store(first, path)
+    index_names(spark, path)
+    update_store(store.merge_metadata(read_store(spark, path), second, now()), path)
+    index_names(spark, path)
+    return m.union(
+        *[
+            _shown_page(names_page(spark, path, level, number, size, **within)).withColumn("level", F.lit(level))
+            for level, _, number, size, within in INDEXED_PAGES
+        ]
+    )
+
+
 @query(
     "d13_search",
     """SELECT doc_id FROM documents WHERE contains(lower(text), 'thand')

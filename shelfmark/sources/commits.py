@@ -142,6 +142,19 @@ def vacuum(spark: SparkSession, path: str, keep: int = KEEP, seconds: float = KE
     versions = {r["version"] for n in live for r in manifest(spark, path, n).select("version").distinct().collect()}
     used = {"manifests": {named[n] for n in live}}
     used |= {part: {f"version={v}" for v in versions} for part in ("tables", "facts")}
+    # The index of names, see ``pages``: a directory per indexed commit, which names files of several builds.
+    indexed = numbers(spark, f"{path}/names")
+    for number in sorted(set(indexed) - live):
+        remove(f"{path}/names/commits/{number:020d}")
+    if indexed:
+        still = live & set(indexed)
+        directories = {r["name"] for r in names(spark, f"{path}/names").collect()} if still else set()
+        builds = {
+            r["build"]
+            for d in directories
+            for r in spark.read.parquet(f"{path}/names/directories/{d}").select("build").distinct().collect()
+        }
+        used |= {"names/directories": directories, "names/files": builds}
     for part, kept in used.items():
         for status in _listed(spark, f"{path}/{part}"):
             name = status.getPath().getName()
