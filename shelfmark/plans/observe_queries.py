@@ -76,6 +76,24 @@ def check_key(spark, sf):
     )
 
 
+@query(
+    "h3_find_keys",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS "table", '{key}' AS key, CAST(sum(n) AS BIGINT) AS rows,
+        count(*) AS distinct_keys, CAST(0 AS BIGINT) AS null_rows, true AS holds,
+        'observed' AS evidence FROM (SELECT count(*) AS n FROM {name} GROUP BY {key}) HAVING sum(n) = count(*)"""
+        for name, key in KEYS
+    ),
+)
+def find_keys(spark, sf):
+    return m.union(
+        *[
+            observe.find_keys(t(spark, sf, name), [k.split(",") for n, k in KEYS if n == name]).withColumn("table", F.lit(name))
+            for name in dict(KEYS)
+        ]
+    )
+
+
 @query(
     "h3_check_unique_index",
     """SELECT 'amount' AS key, count(*) AS rows, count(DISTINCT CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END)
@@ -123,6 +141,22 @@ def check_reference(spark, sf):
     )
 
 
+@query(
+    "h4_check_references",
+    " UNION ALL ".join(
+        f"""SELECT '{child}' AS "table", '{c}' AS reference, '{parent}' AS parent,
+        count(*) FILTER ({c} IN (SELECT {p} FROM {parent})) AS matched_rows,
+        count(*) FILTER ({c} NOT IN (SELECT {p} FROM {parent})) AS orphan_rows,
+        CAST(0 AS BIGINT) AS null_rows, count(*) FILTER ({c} NOT IN (SELECT {p} FROM {parent})) = 0 AS holds,
+        'observed' AS evidence FROM {child}"""
+        for child, c, parent, p in REFERENCES
+    ),
+)
+def check_references(spark, sf):
+    tables = {name: t(spark, sf, name) for r in REFERENCES for name in (r[0], r[2])}
+    return observe.check_references(tables, [observe.Reference(a, [c], b, [p]) for a, c, b, p in REFERENCES])
+
+
 LAYOUTS = [
     ("orders", "o_orderpriority"), ("lineitem", "l_returnflag"), ("events", "event_type"),
     ("documents", "source"), ("customer", "c_mktsegment"), ("conversations", "role"),
