@@ -7,13 +7,17 @@ these counts then sums up ever shorter prefixes: the count of a phrase is the su
 begin with it, and that of no word at all is the number of words.
 
 A window of many words is rarely seen twice, so windows are padded earlier where that cannot change a
-result: behind a pair of neighbours that stands too seldom for any phrase with it to be a candidate.
-Pairs are counted by hash, and those seen often enough set bits of a filter of fixed size, so pairs that
-share a hash or a bit only keep more than needed.
+result: behind a pair of neighbours that stands too seldom for any phrase with it to be a candidate, and
+then before the last word of a longer run of words that stands too seldom itself.  Pairs and runs are
+counted by hash, and those seen often enough set bits of a filter of fixed size, so those that share a hash
+or a bit only keep more than needed.  Hashes are a fraction of the words' bytes in a shuffle, and what is
+left for the words themselves is little more than the phrases that are asked for.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,20 +41,17 @@ def _windows(docs: DataFrame, longest: int) -> DataFrame:
         F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"),
         F.explode(F.split(F.coalesce("text", F.lit("")), CUTS)).alias("piece"),
     )
-    split = pieces.select(
-        "lang", F.filter(F.split(lower_ascii(F.col("piece")), SPACES), lambda w: w != "").alias("words")
-    )
-    led = F.transform(
-        "words", lambda w, i: F.struct(*[F.get("words", i + k).alias(f"w{k + 1}") for k in range(longest)])
-    )
-    return split.select("lang", F.inline(led))
+    split = pieces.select("lang", F.array_remove(F.split(lower_ascii(F.col("piece")), SPACES), "").alias("words"))
+    # The words themselves and without the first, the first two ...: side by side they are windows.
+    led = [F.slice("words", F.lit(k + 1), F.greatest(F.size("words"), F.lit(1))) for k in range(1, longest)]
+    windows = split.select("lang", F.inline(F.arrays_zip("words", *led)))
+    return windows.toDF("lang", *[f"w{k + 1}" for k in range(longest)])
 
 
-def _pair(left: str, right: str) -> Column:
-    """The hash of a pair of neighbours, null where there is no second word."""
-    return F.when(
-        F.col(right).isNotNull(), F.xxhash64("lang", left, right).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
-    )
+def _hash(*words: str) -> Column:
+    """The hash of neighbours, null where any of the words is."""
+    there = reduce(Column.__and__, [F.col(w).isNotNull() for w in words])
+    return F.when(there, F.xxhash64("lang", *words).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
 
 def _word(pair: Column) -> Column:
@@ -62,35 +63,56 @@ def _bit(pair: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), pair.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def _frequent_pairs(windows: DataFrame, least: int) -> DataFrame:
-    """``word, bits``: the filter of pairs that are seen ``least`` times; ``2**FILTER_BITS`` bits at most."""
-    pairs = windows.select(_pair("w1", "w2").alias("pair")).where("pair IS NOT NULL")
-    often = pairs.groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    bits = often.select(_word(F.col("pair")).alias("word"), _bit(F.col("pair")).alias("bit"))
+def _frequent(windows: DataFrame, words: int, least: int) -> DataFrame:
+    """``word, bits``: the filter of runs of ``words`` words that are seen ``least`` times; ``2**FILTER_BITS`` bits at most."""
+    hashed = windows.select(_hash(*[f"w{k + 1}" for k in range(words)]).alias("hash")).where("hash IS NOT NULL")
+    often = hashed.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    bits = often.select(_word(F.col("hash")).alias("word"), _bit(F.col("hash")).alias("bit"))
     return bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
+def _frequent_pairs(windows: DataFrame, least: int) -> DataFrame:
+    return _frequent(windows, 2, least)
+
+
+def _cut(windows: DataFrame, bits: DataFrame, *words: str) -> DataFrame:
+    """Windows without the last of ``words`` where the filter does not have these words."""
+    found = F.coalesce(F.col("_bits").bitwiseAND(_bit(_hash(*words))) != 0, F.lit(False))
+    return (
+        windows.join(F.broadcast(bits.toDF("_word", "_bits")), _word(_hash(*words)) == F.col("_word"), "left")
+        .withColumn(words[-1], F.when(found, F.col(words[-1])))
+        .drop("_word", "_bits")
+    )
+
+
 def _padded(windows: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
     """Windows that end before the first pair which the filter does not have."""
     for k in range(1, longest):
-        pair, last = _pair(f"w{k}", f"w{k + 1}"), f"w{k + 1}"
-        own = F.broadcast(pairs.toDF("_word", "_bits"))
-        found = F.coalesce(F.col("_bits").bitwiseAND(_bit(pair)) != 0, F.lit(False))
-        windows = (
-            windows.join(own, _word(pair) == F.col("_word"), "left")
-            .withColumn(last, F.when(found, F.col(last)))
-            .drop("_word", "_bits")
-        )
+        windows = _cut(windows, pairs, f"w{k}", f"w{k + 1}")
     return windows
 
 
+def _likely(docs: DataFrame, longest: int, least: int) -> DataFrame:
+    """Windows padded behind words that no candidate has; one pass over the texts per filter."""
+    pairs = written(_frequent_pairs(_windows(docs, 2), least), "pairs")
+    filters: list[DataFrame] = []
+
+    def padded(words: int) -> DataFrame:
+        windows = _padded(_windows(docs, words), pairs, words)
+        for k, bits in enumerate(filters, 3):
+            windows = _cut(windows, bits, *[f"w{i + 1}" for i in range(k)])
+        return windows
+
+    for k in range(3, longest + 1):
+        filters.append(written(_frequent(padded(k), k, least), "runs"))
+    return padded(longest)
+
+
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, words, f`` of all phrases of up to ``longest`` words that occur ``least`` times
     or more, and ``lang, n`` of all languages with words."""
     words = [f"w{k + 1}" for k in range(longest)]
-    windows = _windows(docs, longest)
-    pairs = written(_frequent_pairs(_windows(docs, 2), least), "pairs")
-    counted = _padded(windows, pairs, longest).groupBy("lang", *words).agg(F.count("*").alias("f"))
+    counted = _likely(docs, longest, least).groupBy("lang", *words).agg(F.count("*").alias("f"))
     # The longest prefixes are the windows themselves; their counts need no further sum, nor a shuffle.
     kept = F.when(F.col("f") >= least, F.col(words[-1])).isNotNull()
     whole = counted.where(kept).select("lang", "f", F.lit(longest).alias("words"), F.array(*words).alias("all"))

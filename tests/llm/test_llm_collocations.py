@@ -86,6 +86,22 @@ def test_the_filter_drops_rare_pairs(spark):
     assert len(padded) == 1 + 1 + 1 + 20 and sum(r.w2 is not None for r in padded) == 2
 
 
+def test_words_around_a_rare_pair_are_no_phrase(spark, monkeypatch):
+    # Half of the filter is set by frequent pairs, so that every other hash of a word is found there.
+    monkeypatch.setattr(collocations, "FILTER_BITS", 6)
+    often = [f"a{i} b{i}. " * 10 for i in range(25)] + [f"the of{i}. " * 10 for i in range(20)]
+    around = [f"the x{i} of{i % 20}. " for i in range(800)]
+    rows = [(i, text, "en") for i, text in enumerate(["".join(often), "".join(around)])]
+    assert got(collocations.collocations(docs(spark, rows))) == brute(rows)
+
+
+def test_rare_runs_of_frequent_pairs_lose_their_last_word(spark):
+    rows = [(i, "one two. two three. one two four. " + ("one two three" if i < 5 else ""), "en") for i in range(12)]
+    found = {(r.w1, r.w2, r.w3) for r in collocations._likely(docs(spark, rows), 3, 10).collect()}
+    assert ("one", "two", "four") in found and ("one", "two", "three") not in found
+    assert got(collocations.collocations(docs(spark, rows))) == brute(rows)
+
+
 def test_a_long_text_counts_beyond_64_bits(spark):
     rows = [(0, "go on " * 200_000, "en")]
     assert got(collocations.collocations(docs(spark, rows))) == brute(rows)
