@@ -1,4 +1,4 @@
-"""A3, A4, A5. The store and the rendered documents on shared storage.
+"""A3, A4, A5. The store on shared storage, and documents as files.
 
 A store is a folder with ``tables`` and ``facts``, each partitioned by version, config, instance and
 schema, and the commits that say which version of each schema is the current one, see ``commits``.  A
@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark import model as m
-from shelfmark.operators import export
 from shelfmark.operators.store import Merged, Snapshot, Store
 from shelfmark.shared import written
 from shelfmark.sources.commits import (
-    LEVELS, Conflict, commit, commit_schemas, manifest, names, new_name, sizes, version,
+    LEVELS, Conflict, commit, commit_schemas, manifest, new_name, sizes, version,
 )
+from shelfmark.sources.exports import bundle_index, read_exports, write_exports  # noqa: F401
 
 _ORDER = {"tables": m.K4, "facts": [*m.K4, *m.FACT_ORDER]}
 _COLUMNS = {"tables": m.TABLE_COLUMNS, "facts": m.FACT_COLUMNS}
@@ -154,42 +154,6 @@ def read_store(
     return Snapshot(read("tables"), read("facts"), number)
 
 
-def write_exports(documents: DataFrame, path: str) -> int:
-    """A5. Add rendered documents ``format, path, part, content`` to the exports in ``path``.
-
-    Documents of the same format and path are replaced; all others stay, whatever their format.  The
-    index is not taken over: it is that of the whole bundle, see ``bundle_index``.
-    """
-    spark = documents.sparkSession
-    base, name = version(spark, path), new_name()
-    part = F.col("part").cast("bigint").alias("part")
-    own = documents.where(~((F.col("format") == m.OKF) & (F.col("path") == "index.md")))
-    own.select("format", "path", part, "content").repartitionByRange("format", "path", "part").write.partitionBy(
-        "format"
-    ).parquet(f"{path}/documents/batch={name}")
-    return commit(spark, path, base, name)
-
-
-def read_exports(spark: SparkSession, path: str) -> DataFrame:
-    """A5. The current documents ``format, path, part, content``: of each the last one written."""
-    documents = spark.read.schema(
-        "path STRING, part BIGINT, content STRING, batch STRING, format STRING"
-    ).parquet(f"{path}/documents")
-    commits = names(spark, path).withColumnRenamed("name", "batch")
-    numbered = documents.join(commits, "batch")
-    last = numbered.groupBy("format", "path").agg(F.max("number").alias("number"))
-    return numbered.join(last, ["format", "path", "number"], "left_semi").select(
-        "format", "path", "part", "content"
-    )
-
-
-def bundle_index(spark: SparkSession, path: str) -> DataFrame:
-    """A5, E6. The index ``path, part, content`` of all knowledge-bundle documents in the exports."""
-    # Front matter stands in a document's first part.
-    first = read_exports(spark, path).where((F.col("format") == m.OKF) & (F.col("part") == 0))
-    return export.render_okf_index(export.index_entries(first.select("path", "content")))
-
-
 def publish_files(documents: DataFrame, root: str) -> None:
     """A5. One file per document below its format's folder in ``root``, which executors mount.
 
