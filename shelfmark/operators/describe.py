@@ -631,18 +631,26 @@ def describe_tables(*parts: DataFrame, per_part: int = PART_ITEMS) -> DataFrame:
     return nest(m.union(*parts), per_part)
 
 
-def nest(facts: DataFrame, per_part: int = PART_ITEMS, extra: bool = False) -> DataFrame:
+def fact_counts(facts: DataFrame) -> DataFrame:
+    """``K4, n``: the number of a table's facts, for ``nest`` where facts stand in a table already."""
+    return facts.groupBy(*m.K4).agg(F.count("*").alias("n"))
+
+
+def nest(
+    facts: DataFrame, per_part: int = PART_ITEMS, extra: bool = False, counts: DataFrame | None = None
+) -> DataFrame:
     """Facts as nested records ``K4, part, columns, primary_key, sort_key, foreign_keys, indexes,
     partitions``; with ``extra`` their entries also have the free-form fields, as JSON text.
 
     A record holds ``per_part`` consecutive facts of its table in the order ``FACT_ORDER``, so most
     tables have one, with part 0.  The facts are brought together in that order once, as one list
     per record, and split by section within the row.  A missing list is empty, a missing key null.
+    ``counts``, see ``fact_counts``: facts are not written to be counted.
     """
     # Fields that tie are ordered by the rest of the fact.
     rest = [f for f in m.FACT_FIELDS if f not in m.FACT_ORDER]
     order = [*m.FACT_ORDER, *rest]
-    placed = with_part(facts.select(*m.FACT_COLUMNS), m.K4, order, per_part)
+    placed = with_part(facts.select(*m.FACT_COLUMNS), m.K4, order, per_part, counts)
     listed = placed.groupBy(*m.K4, "part").agg(in_order(*order).alias("facts"))
     of = lambda section: F.filter("facts", lambda f: f["section"] == section)
     grouped = listed.select(

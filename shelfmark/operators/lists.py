@@ -49,7 +49,8 @@ def with_part(
 
 def in_order(*fields: str) -> Column:
     """Aggregate: the structs of ``fields`` of a group, sorted by them."""
-    return F.array_sort(F.collect_list(F.struct(*fields)))
+    # No struct is null, so this is the order of array_sort, without a lambda for every comparison.
+    return F.sort_array(F.collect_list(F.struct(*fields)))
 
 
 def ordered_lists(

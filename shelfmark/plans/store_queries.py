@@ -504,7 +504,8 @@ def compacted_store(spark, sf):
 def json_documents(spark, sf) -> DataFrame:
     """Customers' tables as JSON documents."""
     own = roles.store(spark, sf)
-    return documents.to_documents(own.tables, describe.nest(own.facts)).select("part", "document")
+    nested = describe.nest(own.facts, counts=describe.fact_counts(own.facts))
+    return documents.to_documents(own.tables, nested).select("part", "document")
 
 
 # Positions of a document's columns are their places in its list.
@@ -560,18 +561,19 @@ def round_trip_unchanged(spark, sf):
         F.substring_index(plain, '"schema_description":{', -1),
     )
     own = roles.store(spark, sf)
-    texts = written(
-        documents.to_documents(own.tables, describe.nest(own.facts)).select(*m.K4, given.alias("document")), "texts"
-    )
+    nested = describe.nest(own.facts, counts=describe.fact_counts(own.facts))
+    texts = written(documents.to_documents(own.tables, nested).select(*m.K4, given.alias("document")), "texts")
     write_store(Store(documents.tables_of_documents(texts), documents.facts_of_documents(texts)), path)
     stored = read_store(spark, path)
-    back = documents.to_documents(stored.tables, describe.nest(stored.facts, extra=True))
-    value = lambda c: F.to_json(F.parse_json(c))
-    doc = F.parse_json("back")
+    nested = describe.nest(stored.facts, extra=True, counts=describe.fact_counts(stored.facts))
+    back = documents.to_documents(stored.tables, nested)
+    both = texts.join(back.select(*m.K4, F.col("document").alias("back")), m.K4, "left")
+    parsed = documents.once(both, [*m.K4], given=F.parse_json("document"), doc=F.parse_json("back"))
+    doc = F.col("doc")
     columns = F.try_variant_get(doc, "$.schema_description.columns", "array<variant>")
-    return texts.join(back.select(*m.K4, F.col("document").alias("back")), m.K4, "left").select(
+    return parsed.select(
         *m.K4,
-        (value("document") == value("back")).alias("unchanged"),
+        (F.to_json("given") == F.to_json("doc")).alias("unchanged"),
         F.size(F.filter(columns, lambda c: F.try_variant_get(c, "$.pii.kind", "string") == "mail")).cast("bigint").alias("columns_with_pii"),
         F.try_variant_get(doc, "$.schema_description.reviewed.by", "string").alias("reviewed_by"),
         F.try_variant_get(doc, "$.ai_documentation.confidence", "double").alias("confidence"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import model as m
 from shelfmark.functions.text import iso, metadata_key
+from shelfmark.shared import written
 
 _LIST = "struct<name:string,data_type:string,is_nullable:boolean,default_value:string,comment:string,description:string>"
 _DESCRIPTION = (
@@ -68,7 +69,13 @@ def extra_of(object_: Column, level: str) -> Column:
 def facts_of_descriptions(df: DataFrame) -> DataFrame:
     """Facts of ``K4, description``, the description being JSON text of one table's record."""
     others = _others_of_lists(F.try_parse_json("description"))
-    return _facts(df.select(*m.K4, F.from_json("description", _DESCRIPTION).alias("d"), others.alias("others")))
+    return _facts(once(df, [*m.K4], d=F.from_json("description", _DESCRIPTION), others=others))
+
+
+def once(df: DataFrame, kept: list[str], **values: Column) -> DataFrame:
+    """``kept`` and new columns that are computed once per row, however often and by however many filters
+    they are asked for: Spark copies an expression to where it is used, but not one that makes rows."""
+    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(name) for name, v in values.items()]))))
 
 
 # Fixed value: what documents call an index without a name.
@@ -77,81 +84,70 @@ UNNAMED = "None"
 _PART = 1 << 32
 
 
-def _facts(described: DataFrame) -> DataFrame:
-    part = F.col("part") if "part" in described.columns else F.lit(0)
-    parsed = described.select(*m.K4, (part.cast("bigint") * _PART).alias("before"), "d.*", "others")
+def _fact(section: str, **fields: Column) -> Column:
+    """A fact as a struct; fields not given are null, ``item`` is ''."""
+    fields.setdefault("item", F.lit(""))
+    values = [fields.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in m.FACT_FIELDS.items()]
+    return F.struct(F.lit(section).alias("section"), *values)
 
-    def items(source: str) -> DataFrame:
-        # The primary key is one object: what it says beyond its columns stays with each of them.
-        other = F.col("others.primary_key") if "." in source else None
-        with_other = F.transform(
-            source, lambda e, i: F.struct(e.alias("e"), (F.get(f"others.{source}", i) if other is None else other).alias("x"))
-        )
-        found = parsed.select(*m.K4, "before", F.posexplode(with_other).alias("i", "both"))
-        return found.select(*m.K4, "before", "i", F.col("both.e").alias("e"), F.col("both.x").alias("extra"))
 
-    place = F.col("before") + F.col("i") + 1
-    index_columns = items("indexes").select(
-        *m.K4, "before", "extra", F.col("e").alias("x"),
-        F.posexplode_outer("e.column_names").alias("i", "name"),
+def _facts(described: DataFrame) -> DataFrame:
+    """Facts of all sections from one pass over ``K4, d, others[, part]``."""
+    part = F.col("part") if "part" in described.columns else F.lit(0)
+    before = part.cast("bigint") * _PART
+    nothing = F.array().cast("array<" + _fact_type() + ">")
+
+    def place(i: Column) -> Column:
+        return before + i + 1
+
+    def listed(name: str, fact) -> Column:
+        facts = F.transform(f"d.{name}", lambda e, i: fact(e, i, F.get(f"others.{name}", i)))
+        return F.coalesce(facts, nothing)
+
+    def column(e: Column, i: Column, extra: Column) -> Column:
+        own = ["data_type", "is_nullable", "default_value", "comment", "description"]
+        return _fact(m.COLUMN, position=place(i), column_name=e["name"], extra=extra, **{f: e[f] for f in own})
+
+    def reference(e: Column, i: Column, extra: Column) -> Column:
+        own = ["column_name", "referenced_table", "referenced_column"]
+        item = F.coalesce(e["constraint_name"], F.lit(""))
+        return _fact(m.FOREIGN_KEY, item=item, position=place(i), extra=extra, **{f: e[f] for f in own})
+
+    def partition(e: Column, i: Column, extra: Column) -> Column:
+        own = ["column_name", "data_type", "comment"]
+        return _fact(m.PARTITION, position=place(i), extra=extra, **{f: e[f] for f in own})
+
+    def index(e: Column, i: Column, extra: Column) -> Column:
+        def of(position: Column, name: Column) -> Column:
+            return _fact(
+                m.INDEX, item=F.coalesce(e["name"], F.lit(UNNAMED)), position=position, column_name=name,
+                is_unique=e["is_unique"], is_primary=e["is_primary"], index_type=e["type"], extra=extra,
+            )
+
+        names = F.transform(e["column_names"], lambda name, k: of(place(k), name))
+        # An index without columns is a fact as well.
+        return F.when(F.size(e["column_names"]) > 0, names).otherwise(F.array(of(F.lit(None), F.lit(None))))
+
+    # The primary key is one object: what it says beyond its columns stays with each of them.
+    key = F.transform(
+        "d.primary_key.column_names",
+        lambda e, i: _fact(m.PRIMARY_KEY, position=place(i), column_name=e, extra=F.col("others.primary_key")),
     )
-    return m.union(
-        m.facts(
-            items("columns"),
-            m.COLUMN,
-            position=place,
-            column_name=F.col("e.name"),
-            data_type=F.col("e.data_type"),
-            is_nullable=F.col("e.is_nullable"),
-            default_value=F.col("e.default_value"),
-            comment=F.col("e.comment"),
-            description=F.col("e.description"),
-            extra=F.col("extra"),
-        ),
-        m.facts(
-            items("primary_key.column_names"),
-            m.PRIMARY_KEY,
-            position=place,
-            column_name=F.col("e"),
-            extra=F.col("extra"),
-        ),
-        m.facts(
-            parsed.where(F.col("sort_key").isNotNull()),
-            m.SORT_KEY,
-            position=F.lit(1),
-            column_name=F.col("sort_key"),
-        ),
-        m.facts(
-            items("foreign_keys"),
-            m.FOREIGN_KEY,
-            item=F.coalesce("e.constraint_name", F.lit("")),
-            position=place,
-            column_name=F.col("e.column_name"),
-            referenced_table=F.col("e.referenced_table"),
-            referenced_column=F.col("e.referenced_column"),
-            extra=F.col("extra"),
-        ),
-        m.facts(
-            index_columns,
-            m.INDEX,
-            item=F.coalesce("x.name", F.lit(UNNAMED)),
-            position=place,
-            column_name=F.col("name"),
-            is_unique=F.col("x.is_unique"),
-            is_primary=F.col("x.is_primary"),
-            index_type=F.col("x.type"),
-            extra=F.col("extra"),
-        ),
-        m.facts(
-            items("partitions"),
-            m.PARTITION,
-            position=place,
-            column_name=F.col("e.column_name"),
-            data_type=F.col("e.data_type"),
-            comment=F.col("e.comment"),
-            extra=F.col("extra"),
-        ),
+    sort_key = F.array(_fact(m.SORT_KEY, position=F.lit(1), column_name=F.col("d.sort_key")))
+    indexes = F.transform("d.indexes", lambda e, i: index(e, i, F.get("others.indexes", i)))
+    facts = F.concat(
+        listed("columns", column),
+        F.coalesce(key, nothing),
+        F.when(F.col("d.sort_key").isNotNull(), sort_key).otherwise(nothing),
+        listed("foreign_keys", reference),
+        F.coalesce(F.flatten(indexes), nothing),
+        listed("partitions", partition),
     )
+    return described.select(*m.K4, F.inline(facts)).select(*m.FACT_COLUMNS)
+
+
+def _fact_type() -> str:
+    return "struct<section:string," + ",".join(f"{name}:{kind}" for name, kind in m.FACT_FIELDS.items()) + ">"
 
 
 _DOCUMENT = (
@@ -160,60 +156,60 @@ _DOCUMENT = (
 )
 
 
-def _parsed(texts: DataFrame, column: str) -> DataFrame:
-    """Documents with their names; text that is no such object counts as absent.
+_HEAD = "struct<" + ",".join(f"{k}_name:string" for k in m.K4) + ",updated_at:string>"
+
+
+def _newest(texts: DataFrame, column: str) -> DataFrame:
+    """``K4, part, text`` of the documents that count; text that is no such object counts as absent.
 
     Of several documents of a table (and part) the one with the newest ``updated_at`` counts, then
-    the greatest text; parts of older versions do not count.
+    the greatest text; parts of older versions do not count.  Documents without all four names are absent.
     """
-    doc = F.from_json(column, _DOCUMENT)
     part = F.col("part") if "part" in texts.columns else F.lit(0)
-    found = (
-        texts.where(F.try_parse_json(column).isNotNull())
-        .select(F.col(column).alias("text"), doc.alias("doc"), part.alias("part"))
-        .where(F.col("doc.table_name").isNotNull())
-        .select(*[F.col(f"doc.{k}_name").alias(k) for k in m.K4], "part", "text", "doc")
-    )
-    at = F.coalesce(F.col("doc.updated_at").try_cast("timestamp"), F.timestamp_seconds(F.lit(0)))
-    newest = found.groupBy(*m.K4, "part").agg(
-        F.max_by(F.struct("text", "doc"), F.struct(at.alias("at"), "text")).alias("n"),
-        F.max(at).alias("at"),
-    )
-    last = newest.groupBy(*m.K4).agg(F.max("at").alias("last"))
-    return newest.join(last, m.K4).where("at = last").select(*m.K4, "part", "n.text", "n.doc")
+    given = once(texts, [], part=part, text=F.col(column))
+    head = F.when(F.try_parse_json("text").isNotNull(), F.from_json("text", _HEAD))
+    at = F.coalesce(F.col("head.updated_at").try_cast("timestamp"), F.timestamp_seconds(F.lit(0)))
+    named = once(given, ["part", "text"], head=head).select(
+        *[F.col(f"head.{k}_name").alias(k) for k in m.K4], "part", F.struct(at.alias("at"), "text").alias("n")
+    ).dropna(subset=m.K4)
+    newest = named.groupBy(*m.K4, "part").agg(F.max("n").alias("n")).select(*m.K4, "part", "n.at", "n.text")
+    newest = written(newest, "documents")
+    if "part" not in texts.columns:
+        return newest
+    # Only tables of several parts can have some of an older version; times are read without the texts.
+    ages = newest.groupBy(*m.K4).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    mixed = written(ages.where("first < last").select(*m.K4, "last"), "mixed")
+    if mixed.isEmpty():
+        return newest
+    return newest.join(mixed, m.K4, "left").where("last IS NULL OR at = last").select(*newest.columns)
 
 
 def tables_of_documents(texts: DataFrame, column: str = "document") -> DataFrame:
     """A3, D6. Header rows of JSON documents; custom fields, as JSON text each, are all that the
     system does not own.  Of a table that comes in several parts the first one counts."""
-    fields = F.from_json("text", "map<string,variant>")
+    first = _newest(texts, column).where("part = 0")
+    parsed = once(first, [*m.K4], doc=F.from_json("text", _DOCUMENT), fields=F.from_json("text", _OBJECT))
     custom = F.transform_values(
-        F.map_filter(fields, lambda k, v: ~k.isin(m.SYSTEM_KEYS)), lambda k, v: F.to_json(v)
+        F.map_filter("fields", lambda k, v: ~k.isin(m.SYSTEM_KEYS)), lambda k, v: F.to_json(v)
+    )
+    extra = lambda name, level: F.try_parse_json(
+        _others(F.try_variant_get(F.try_element_at("fields", F.lit(name)), "$", _OBJECT), _KNOWN[level])
     )
-    first = _parsed(texts, column).where("part = 0")
     return m.tables(
-        first,
+        parsed,
         ai_documentation=F.col("doc.ai_documentation"),
         custom=custom,
         updated_at=F.col("doc.updated_at"),
-        ai_extra=extra_of(_inner("ai_documentation"), "ai_documentation"),
-        description_extra=extra_of(_inner("schema_description"), "description"),
+        ai_extra=extra("ai_documentation", "ai_documentation"),
+        description_extra=extra("schema_description", "description"),
     )
 
 
 def facts_of_documents(texts: DataFrame, column: str = "document") -> DataFrame:
     """A3. Facts of JSON documents, those of a table's parts (column ``part``) in their order."""
     others = _others_of_lists(F.try_variant_get(F.try_parse_json("text"), "$.schema_description", "variant"))
-    return _facts(
-        _parsed(texts, column).select(
-            *m.K4, "part", F.col("doc.schema_description").alias("d"), others.alias("others")
-        )
-    )
-
-
-def _inner(name: str) -> Column:
-    """An object within a document, as JSON text."""
-    return F.to_json(F.try_variant_get(F.try_parse_json("text"), f"$.{name}", "variant"))
+    doc = F.from_json("text", _DOCUMENT)["schema_description"]
+    return _facts(once(_newest(texts, column), [*m.K4, "part"], d=doc, others=others))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -226,13 +222,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# Longer than any text: the rest of it, without asking for its length, which would build the text again.
+_REST = (1 << 31) - 1
+
+
 def _with_others(entry: Column, extra: Column) -> Column:
     """An entry (a struct) as a variant, with what is known of it only as JSON text."""
     own = F.to_json(entry, {"ignoreNullFields": "false"})
-    whole = F.when(extra.isNull(), own).otherwise(
-        F.concat(own.substr(F.lit(1), F.length(own) - 1), F.lit(","), extra.substr(F.lit(2), F.length(extra) - 1))
-    )
-    return F.when(entry.isNotNull(), F.try_parse_json(whole))
+    # The order of names is no matter in a variant.
+    lead = F.coalesce(F.concat(extra.substr(F.lit(1), F.length(extra) - 1), F.lit(",")), F.lit("{"))
+    return F.when(entry.isNotNull(), F.try_parse_json(F.concat(lead, own.substr(F.lit(2), F.lit(_REST)))))
 
 
 def to_documents(tables: DataFrame, nested: DataFrame) -> DataFrame:
@@ -288,5 +287,5 @@ def to_documents(tables: DataFrame, nested: DataFrame) -> DataFrame:
     return tables.join(nested, m.K4, "left").select(
         *m.K4,
         F.coalesce("part", F.lit(0)).alias("part"),
-        F.concat(F.lit("{"), custom, own.substr(F.lit(2), F.length(own) - 1)).alias("document"),
+        F.concat(F.lit("{"), custom, own.substr(F.lit(2), F.lit(_REST))).alias("document"),
     )

@@ -46,6 +46,8 @@ def write_store(store: Store, path: str, base: int | None = None) -> int:
     base = getattr(store, "number", None) if base is None else base
     base = version(spark, path) if base is None else base
     name = new_name()
+    # A range shuffle asks for its rows twice, and the schemas are asked for as well.
+    store = Store(*[written(getattr(store, part).select(*_COLUMNS[part]), part) for part in ("tables", "facts")])
     for part, rows in (("tables", store.tables), ("facts", store.facts)):
         _write(rows, path, part, name)
     schemas = store.tables.select(*LEVELS).distinct()

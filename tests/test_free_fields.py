@@ -116,3 +116,32 @@ def test_patches_bring_their_own(spark):
     other = patches.withColumn("payload", F.create_map(F.lit("owner"), F.lit('"x"')))
     (row,) = ops.annotate(own.tables, other, at()).collect()
     assert row.ai_extra.toPython()["confidence"] == 0.5 and row.description_extra.toPython() == {"engine": {"name": "E", "rows": 10}}
+
+
+def test_a_document_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(text):
+        seen.add(1)
+        return text
+
+    given = texts(spark, DOCUMENT).union(texts(spark, {**DOCUMENT, "table_name": "u"})).repartition(1)
+    for read_from in (documents.tables_of_documents, documents.facts_of_documents):
+        before = seen.value
+        computed = given.select(F.udf(passed, "string")("document").alias("document"), F.lit(0).alias("part"))
+        assert {r.table for r in read_from(computed).collect()} == {"t", "u"}
+        assert seen.value - before == 2
+
+
+def test_lists_of_odd_entries_and_documents_without_names(spark):
+    given = {**NAMES, "schema_description": {
+        "columns": [None, {"name": "a"}], "indexes": [{"name": None}, {"name": "x", "column_names": [], "w": 1}, {"column_names": ["a", None]}],
+        "primary_key": {"column_names": None, "x": 1}, "sort_key": "s",
+    }}
+    own = read(spark, given, {**given, "config_name": None}, {"table_name": "t"})
+    assert len(own.tables.collect()) == 1
+    assert rows(own.facts, "section", "item", "position", "column_name", "extra") == sorted([
+        ("column", "", 1, None, None), ("column", "", 2, "a", None), ("sort_key", "", 1, "s", None),
+        ("index", "None", None, None, None), ("index", "x", None, None, '{"w":1}'),
+        ("index", "None", 1, "a", None), ("index", "None", 2, None, None),
+    ], key=repr)
