@@ -70,9 +70,11 @@ def write_exports(documents: DataFrame, path: str) -> int:
     spark, batch = documents.sparkSession, new_name()
     part = F.col("part").cast("bigint").alias("part")
     own = documents.where(~((F.col("format") == m.OKF) & (F.col("path") == "index.md")))
-    own.select("format", "path", part, "content").repartitionByRange("format", "path", "part").write.partitionBy(
-        "format"
-    ).parquet(f"{path}/documents/batch={batch}")
+    # Written first, as a range shuffle asks for its rows twice: documents are rendered once.
+    own = written(own.select("format", "path", part, "content"), "rendered")
+    own.repartitionByRange("format", "path", "part").write.partitionBy("format").parquet(
+        f"{path}/documents/batch={batch}"
+    )
     new = written(_of_batch(spark, path, batch), "pointers")
     buckets = new.select("bucket").distinct()
     while True:

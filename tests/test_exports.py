@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from shelfmark.shared import new_folder
 from shelfmark.sources import exports
 
@@ -72,3 +74,16 @@ def test_without_documents(spark):
     exports.write_exports(batch(spark, []), path)
     assert current(spark, path) == []
     assert exports.bundle_index(spark, path).count() >= 0
+
+
+def test_documents_are_rendered_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(text):
+        seen.add(1)
+        return text
+
+    path = new_folder(spark, "test-exports")
+    given = batch(spark, [("okf", f"{k}.md", 0, str(k)) for k in range(5)])
+    exports.write_exports(given.withColumn("content", F.udf(passed, "string")("content")), path)
+    assert seen.value == 5 and len(current(spark, path)) == 5
