@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import lower_ascii
 from shelfmark.shared import written
 
-# Where a text is cut into pieces, and what separates words.
-CUTS, SPACES = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
+# Fixed value: where a text is cut into pieces; words are separated by spaces and tabs.
+CUTS = r"[.,;:!?\x0A-\x0D]"
 LONGEST = 3  # words of a phrase
 LEAST = 10  # occurrences of a candidate
 INSIDE = 50  # percent: a longer candidate with this share of a phrase's occurrences drops the phrase
@@ -37,11 +37,18 @@ FILTER_BITS = 26  # of the filter: at most 2**20 rows of 64 bits are broadcast,
 
 def _windows(docs: DataFrame, longest: int) -> DataFrame:
     """``lang, w1, w2 ...``: every word with those that follow it in its piece, padded with nulls."""
-    pieces = docs.select(
-        F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"),
-        F.explode(F.split(F.coalesce("text", F.lit("")), CUTS)).alias("piece"),
-    )
-    split = pieces.select("lang", F.array_remove(F.split(lower_ascii(F.col("piece")), SPACES), "").alias("words"))
+    text = F.coalesce("text", F.lit(""))
+    plain = F.octet_length(text) == F.char_length(text)
+    # Nearly all texts become lower case at once, others piece by piece, as few pieces need more than ASCII.
+    lowered = docs.select(
+        F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), plain.alias("plain"),
+        F.when(plain, F.lower(text)).otherwise(text).alias("text"),
+    )
+    pieces = lowered.select("lang", "plain", F.explode(F.split("text", CUTS)).alias("piece"))
+    piece = F.when(F.col("plain"), F.col("piece")).otherwise(lower_ascii(F.col("piece")))
+    # A single character is found without a regular expression; empty words between spaces go.
+    spaced = F.split(F.replace(piece, F.lit("\t"), F.lit(" ")), " ")
+    split = pieces.select("lang", F.array_remove(spaced, "").alias("words"))
     # The words themselves and without the first, the first two ...: side by side they are windows.
     led = [F.slice("words", F.lit(k + 1), F.greatest(F.size("words"), F.lit(1))) for k in range(1, longest)]
     windows = split.select("lang", F.inline(F.arrays_zip("words", *led)))

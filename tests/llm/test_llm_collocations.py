@@ -113,3 +113,14 @@ def test_a_long_text_counts_beyond_64_bits(spark):
 def test_without_rows(spark):
     assert collocations.collocations(docs(spark, [])).count() == 0
     assert collocations.collocations(docs(spark, [(1, None, None), (2, "one two", "en")])).count() == 0
+
+
+def test_words_are_split_without_a_regular_expression(spark):
+    texts = ["A\tB  c\t \tD", " É X\tK. ÀB ZZ Q", "", None, "\t ; \t", "x Y Z"]
+    docs = spark.createDataFrame([("de", text) for text in texts], "lang string, text string")
+    pieces = [p for text in texts for p in re.split(collocations.CUTS, text or "")]
+    words = [w for p in pieces for w in re.split(r"[\x20\x09]+", p.translate(LOWER)) if w]
+    windows = collocations._windows(docs, 2)
+    assert sorted(r.w1 for r in windows.collect()) == sorted(words)
+    plan = windows._jdf.queryExecution().optimizedPlan().toString()
+    assert r"\x09]+" not in plan and ", \\x20" not in plan
