@@ -143,3 +143,16 @@ def test_a_writer_from_a_version_that_is_gone(spark, path):
     with pytest.raises(Conflict, match="no longer kept"):
         commits.commit_schemas(spark, path, 1, "late", schemas)
     assert version(spark, path) == 3
+
+
+def test_a_store_that_is_written_whole_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(text):
+        seen.add(1)
+        return text
+
+    named = Store(*[frame.withColumn("config", F.udf(passed, "string")("config")) for frame in scan(spark, "t")])
+    path = new_folder(spark, "test-store")
+    write_store(named, path)
+    assert seen.value == 2 and read_store(spark, path).facts.count() == 1
