@@ -651,7 +651,9 @@ def nest(
     rest = [f for f in m.FACT_FIELDS if f not in m.FACT_ORDER]
     order = [*m.FACT_ORDER, *rest]
     placed = with_part(facts.select(*m.FACT_COLUMNS), m.K4, order, per_part, counts)
-    listed = placed.groupBy(*m.K4, "part").agg(in_order(*order).alias("facts"))
+    # Rows are sorted by their group, which compares four names each time unless a number decides.
+    number = F.xxhash64(*m.K4).alias("_number")
+    listed = placed.groupBy(number, *m.K4, "part").agg(in_order(*order).alias("facts"))
     of = lambda section: F.filter("facts", lambda f: f["section"] == section)
     grouped = listed.select(
         *m.K4,

@@ -563,18 +563,19 @@ def round_trip_unchanged(spark, sf):
     own = roles.store(spark, sf)
     nested = describe.nest(own.facts, counts=describe.fact_counts(own.facts))
     texts = written(documents.to_documents(own.tables, nested).select(*m.K4, given.alias("document")), "texts")
-    write_store(Store(documents.tables_of_documents(texts), documents.facts_of_documents(texts)), path)
+    current = documents.newest(texts)
+    write_store(Store(documents.tables_of_documents(current), documents.facts_of_documents(current)), path)
     stored = read_store(spark, path)
     nested = describe.nest(stored.facts, extra=True, counts=describe.fact_counts(stored.facts))
     back = documents.to_documents(stored.tables, nested)
     both = texts.join(back.select(*m.K4, F.col("document").alias("back")), m.K4, "left")
     parsed = documents.once(both, [*m.K4], given=F.parse_json("document"), doc=F.parse_json("back"))
     doc = F.col("doc")
-    columns = F.try_variant_get(doc, "$.schema_description.columns", "array<variant>")
+    columns = F.try_variant_get(doc, "$.schema_description.columns", "array<struct<pii:struct<kind:string>>>")
     return parsed.select(
         *m.K4,
         (F.to_json("given") == F.to_json("doc")).alias("unchanged"),
-        F.size(F.filter(columns, lambda c: F.try_variant_get(c, "$.pii.kind", "string") == "mail")).cast("bigint").alias("columns_with_pii"),
+        F.size(F.filter(columns, lambda c: c["pii"]["kind"] == "mail")).cast("bigint").alias("columns_with_pii"),
         F.try_variant_get(doc, "$.schema_description.reviewed.by", "string").alias("reviewed_by"),
         F.try_variant_get(doc, "$.ai_documentation.confidence", "double").alias("confidence"),
     )

@@ -7,6 +7,9 @@ are written back where they stood.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,36 +43,49 @@ _KNOWN = {
     "ai_documentation": ["summary", "column_descriptions", "generated_at", "model"],
 }
 _OBJECT = "map<string,variant>"
+_ENTRIES = ["columns", "foreign_keys", "indexes", "partitions"]
+# The objects of a description whose entries may say more, with all that they say.
+_OBJECTS = "struct<" + ",".join(f"{name}:array<{_OBJECT}>" for name in _ENTRIES) + f",primary_key:{_OBJECT}>"
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, which Spark does not see to around lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _others(fields: Column, known: list[str]) -> Column:
-    """What an object says beyond the known names, as JSON text with sorted keys; null if nothing."""
-    names = F.array_sort(F.filter(F.map_keys(fields), lambda k: ~k.isin(known)))
-    kept = F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(fields, k)))
-    return F.when(F.size(names) > 0, F.to_json(kept))
+    """What an object says beyond the known names, as JSON text with sorted keys; null if nothing.
+
+    ``fields`` is a column or a lambda's variable: it is asked for by every name.
+    """
 
+    def kept(names: Column) -> Column:
+        values = F.transform(names, lambda k: F.element_at(fields, k))
+        return F.when(F.size(names) > 0, F.to_json(F.map_from_arrays(names, values)))
 
-def _others_of_lists(description: Column) -> Column:
-    """The same for the entries of a description's lists (a variant), by list."""
+    return _let(F.sort_array(F.filter(F.map_keys(fields), lambda k: ~k.isin(known))), kept)
+
+
+def _others_of_lists(objects: str) -> Column:
+    """The same for the entries of a description's lists (a column of ``_OBJECTS``), by list."""
 
     def of_list(name: str) -> Column:
-        entries = F.try_variant_get(description, f"$.{name}", f"array<{_OBJECT}>")
-        return F.transform(entries, lambda e: _others(e, _KNOWN[name])).alias(name)
+        return F.transform(f"{objects}.{name}", lambda e: _others(e, _KNOWN[name])).alias(name)
 
-    lists = [of_list(name) for name in ("columns", "foreign_keys", "indexes", "partitions")]
-    key = F.try_variant_get(description, "$.primary_key", _OBJECT)
-    return F.struct(*lists, _others(key, _KNOWN["primary_key"]).alias("primary_key"))
+    key = _others(F.col(f"{objects}.primary_key"), _KNOWN["primary_key"])
+    return F.struct(*[of_list(name) for name in _ENTRIES], key.alias("primary_key"))
 
 
 def extra_of(object_: Column, level: str) -> Column:
     """The fields of a JSON object (text) beyond those known at a level, as a variant."""
-    return F.try_parse_json(_others(F.from_json(object_, _OBJECT), _KNOWN[level]))
+    return F.try_parse_json(_let(F.from_json(object_, _OBJECT), lambda fields: _others(fields, _KNOWN[level])))
 
 
 def facts_of_descriptions(df: DataFrame) -> DataFrame:
     """Facts of ``K4, description``, the description being JSON text of one table's record."""
-    others = _others_of_lists(F.try_parse_json("description"))
-    return _facts(once(df, [*m.K4], d=F.from_json("description", _DESCRIPTION), others=others))
+    objects = F.try_variant_get(F.try_parse_json("description"), "$", _OBJECTS)
+    parsed = once(df, [*m.K4], d=F.from_json("description", _DESCRIPTION), objects=objects)
+    return _facts(once(parsed, [*m.K4, "d"], others=_others_of_lists("objects")))
 
 
 def once(df: DataFrame, kept: list[str], **values: Column) -> DataFrame:
@@ -150,17 +166,20 @@ def _fact_type() -> str:
     return "struct<section:string," + ",".join(f"{name}:{kind}" for name, kind in m.FACT_FIELDS.items()) + ">"
 
 
-_DOCUMENT = (
-    "struct<" + ",".join(f"{k}_name:string" for k in m.K4)
-    + f",updated_at:string,ai_documentation:{m.AI_TYPE},schema_description:{_DESCRIPTION}>"
-)
+# What a table's row is made from; the lists of a description are passed over.
+_HEAD = "struct<" + ",".join(f"{k}_name:string" for k in m.K4) + f",updated_at:string,ai_documentation:{m.AI_TYPE}>"
+_READ = ["text", "updated_at", "ai_documentation"]
+
 
+class Newest(NamedTuple):
+    """``K4, part, at`` of the documents that count, and what is read of them, see ``newest``."""
 
-_HEAD = "struct<" + ",".join(f"{k}_name:string" for k in m.K4) + ",updated_at:string>"
+    documents: DataFrame
 
 
-def _newest(texts: DataFrame, column: str) -> DataFrame:
-    """``K4, part, text`` of the documents that count; text that is no such object counts as absent.
+def newest(texts: DataFrame, column: str = "document") -> Newest:
+    """The documents that count, for ``tables_of_documents`` and ``facts_of_documents`` of the same
+    texts; text that is no JSON object counts as absent.
 
     Of several documents of a table (and part) the one with the newest ``updated_at`` counts, then
     the greatest text; parts of older versions do not count.  Documents without all four names are absent.
@@ -170,46 +189,71 @@ def _newest(texts: DataFrame, column: str) -> DataFrame:
     head = F.when(F.try_parse_json("text").isNotNull(), F.from_json("text", _HEAD))
     at = F.coalesce(F.col("head.updated_at").try_cast("timestamp"), F.timestamp_seconds(F.lit(0)))
     named = once(given, ["part", "text"], head=head).select(
-        *[F.col(f"head.{k}_name").alias(k) for k in m.K4], "part", F.struct(at.alias("at"), "text").alias("n")
-    ).dropna(subset=m.K4)
-    newest = named.groupBy(*m.K4, "part").agg(F.max("n").alias("n")).select(*m.K4, "part", "n.at", "n.text")
-    newest = written(newest, "documents")
+        *[F.col(f"head.{k}_name").alias(k) for k in m.K4], "part", at.alias("at"),
+        "text", "head.updated_at", "head.ai_documentation",
+    ).dropna(subset=m.K4)
+    named = _last(written(named, "documents"))
     if "part" not in texts.columns:
-        return newest
+        return Newest(named)
     # Only tables of several parts can have some of an older version; times are read without the texts.
-    ages = newest.groupBy(*m.K4).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    ages = named.groupBy(*m.K4).agg(F.min("at").alias("first"), F.max("at").alias("last"))
     mixed = written(ages.where("first < last").select(*m.K4, "last"), "mixed")
     if mixed.isEmpty():
-        return newest
-    return newest.join(mixed, m.K4, "left").where("last IS NULL OR at = last").select(*newest.columns)
+        return Newest(named)
+    return Newest(named.join(mixed, m.K4, "left").where("last IS NULL OR at = last").select(*named.columns))
 
 
-def tables_of_documents(texts: DataFrame, column: str = "document") -> DataFrame:
+def _last(named: DataFrame) -> DataFrame:
+    """Of several texts of a table and part the last one.  Only such texts are moved; which tables have
+    them is found without the texts."""
+    keys = [*m.K4, "part"]
+    counted = named.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    several = written(counted.select(*[F.col(k).alias(f"_{k}") for k in keys]), "several")
+    if several.isEmpty():
+        return named
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    order = F.struct("at", "text")
+    last = named.join(several, same, "left_semi").groupBy(*keys).agg(F.max_by(F.struct("at", *_READ), order).alias("n"))
+    alone = named.join(several, same, "left_anti")
+    return written(alone.unionByName(last.select(*keys, "n.*")), "newest")
+
+
+def _documents(texts: DataFrame | Newest, column: str) -> DataFrame:
+    return (texts if isinstance(texts, Newest) else newest(texts, column)).documents
+
+
+def tables_of_documents(texts: DataFrame | Newest, column: str = "document") -> DataFrame:
     """A3, D6. Header rows of JSON documents; custom fields, as JSON text each, are all that the
     system does not own.  Of a table that comes in several parts the first one counts."""
-    first = _newest(texts, column).where("part = 0")
-    parsed = once(first, [*m.K4], doc=F.from_json("text", _DOCUMENT), fields=F.from_json("text", _OBJECT))
+    first = _documents(texts, column).where("part = 0")
+    of = lambda name: F.try_variant_get(F.try_element_at("fields", F.lit(name)), "$", _OBJECT)
+    kept = [*m.K4, "updated_at", "ai_documentation"]
+    parsed = once(
+        once(first, kept, fields=F.from_json("text", _OBJECT)), [*kept, "fields"],
+        ai=of("ai_documentation"), description=of("schema_description"),
+    )
     custom = F.transform_values(
         F.map_filter("fields", lambda k, v: ~k.isin(m.SYSTEM_KEYS)), lambda k, v: F.to_json(v)
     )
-    extra = lambda name, level: F.try_parse_json(
-        _others(F.try_variant_get(F.try_element_at("fields", F.lit(name)), "$", _OBJECT), _KNOWN[level])
-    )
+    extra = lambda object_, level: F.try_parse_json(_others(F.col(object_), _KNOWN[level]))
     return m.tables(
         parsed,
-        ai_documentation=F.col("doc.ai_documentation"),
+        ai_documentation=F.col("ai_documentation"),
         custom=custom,
-        updated_at=F.col("doc.updated_at"),
-        ai_extra=extra("ai_documentation", "ai_documentation"),
-        description_extra=extra("schema_description", "description"),
+        updated_at=F.col("updated_at"),
+        ai_extra=extra("ai", "ai_documentation"),
+        description_extra=extra("description", "description"),
     )
 
 
-def facts_of_documents(texts: DataFrame, column: str = "document") -> DataFrame:
+def facts_of_documents(texts: DataFrame | Newest, column: str = "document") -> DataFrame:
     """A3. Facts of JSON documents, those of a table's parts (column ``part``) in their order."""
-    others = _others_of_lists(F.try_variant_get(F.try_parse_json("text"), "$.schema_description", "variant"))
-    doc = F.from_json("text", _DOCUMENT)["schema_description"]
-    return _facts(once(_newest(texts, column), [*m.K4, "part"], d=doc, others=others))
+    kept = [*m.K4, "part"]
+    described = lambda kind: F.from_json("text", f"struct<schema_description:{kind}>")["schema_description"]
+    parsed = once(_documents(texts, column), kept, d=described(_DESCRIPTION), objects=described(_OBJECTS))
+    return _facts(once(parsed, [*kept, "d"], others=_others_of_lists("objects")))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -224,14 +268,83 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 # Longer than any text: the rest of it, without asking for its length, which would build the text again.
 _REST = (1 << 31) - 1
+_NULLS = {"ignoreNullFields": "false"}
 
 
-def _with_others(entry: Column, extra: Column) -> Column:
-    """An entry (a struct) as a variant, with what is known of it only as JSON text."""
-    own = F.to_json(entry, {"ignoreNullFields": "false"})
-    # The order of names is no matter in a variant.
+def _joined(own: Column, extra: Column) -> Column:
+    """An object (JSON text) with what is known of it only as JSON text; which comes first is no matter to parsers."""
     lead = F.coalesce(F.concat(extra.substr(F.lit(1), F.length(extra) - 1), F.lit(",")), F.lit("{"))
-    return F.when(entry.isNotNull(), F.try_parse_json(F.concat(lead, own.substr(F.lit(2), F.lit(_REST)))))
+    return F.concat(lead, own.substr(F.lit(2), F.lit(_REST)))
+
+
+def _sorted(text: Column) -> Column:
+    """JSON text with sorted keys; null if it is none."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def _text(entry: Column, kind) -> Column:
+    """The known fields of an entry as JSON text with sorted keys."""
+    return F.to_json(F.struct(*[entry[f].alias(f) for f in sorted(kind.names) if f != "extra"]), _NULLS)
+
+
+def _entry(entry: Column, kind) -> Column:
+    """An entry as JSON text with sorted keys.  Only one that says more is parsed, to sort its keys."""
+    text = _text(entry, kind)
+    if "extra" not in kind.names:
+        return text
+    more = F.coalesce(_sorted(_joined(text, entry["extra"])), F.lit("null"))
+    return F.when(entry["extra"].isNull(), text).otherwise(more)
+
+
+def _list(name: str, kind) -> Column:
+    """A list of a row of ``describe.nest`` as JSON text; missing ones are empty."""
+    bare = lambda e: F.struct(*[e[f].alias(f) for f in sorted(kind.names) if f != "extra"])
+    plain = F.coalesce(F.to_json(F.transform(name, bare), _NULLS), F.lit("[]"))
+    if "extra" not in kind.names:
+        return plain
+
+    def of(entry: Callable[[Column], Column]) -> Column:
+        return F.concat(F.lit("["), F.array_join(F.transform(name, entry), ","), F.lit("]"))
+
+    # Entries that say more are parsed together; one by one only if some entry is no object that way.
+    at_once = _sorted(of(lambda e: _joined(_text(e, kind), e["extra"])))
+    one_by_one = of(lambda e: _entry(e, kind))
+    says_more = F.exists(name, lambda e: e["extra"].isNotNull())
+    return F.when(says_more, F.coalesce(at_once, one_by_one)).otherwise(plain)
+
+
+def _value(c: Column) -> Column:
+    """A value as JSON text."""
+    text = F.to_json(F.array(c), _NULLS)
+    return text.substr(F.lit(2), F.length(text) - 2)
+
+
+def _description(nested: DataFrame) -> Column:
+    """The description of a row of ``nested`` as JSON text with sorted keys, and all that is kept beside it."""
+    key = F.col("primary_key")
+    own = {name: _list(name, nested.schema[name].dataType.elementType) for name in _ENTRIES}
+    own["primary_key"] = F.when(key.isNotNull(), _entry(key, nested.schema["primary_key"].dataType)).otherwise("null")
+    own |= {f"{k}_name": _value(F.col(k)) for k in ("instance", "schema", "table")}
+    own["sort_key"] = _value(F.col("sort_key"))
+    names = sorted(own)
+    piece = lambda place, at, text: F.struct(
+        F.lit(place).alias("place"), F.lit(at).alias("at"), text.alias("text")
+    )
+    known = [piece(2 * i + 1, 0, F.concat(F.lit(f'"{k}":'), own[k])) for i, k in enumerate(names)]
+
+    def other(e: Column, i: Column) -> Column:
+        # Between the known names that it stands between; variants have their names in order.
+        before = F.size(F.filter(F.lit(names), lambda k: k < e["key"]))
+        return piece(2 * before, i, F.concat(_value(e["key"]), F.lit(":"), F.to_json(e["value"])))
+
+    free = F.col("description_extra")
+    entries = F.map_entries(F.try_variant_get(free, "$", _OBJECT))
+    # Nothing at all, or a known name said again, makes no object.
+    is_object = free.isNull() | ((F.size(entries) > 0) & ~F.exists(entries, lambda e: e["key"].isin(names)))
+    none = F.array().cast("array<struct<place:int,at:int,text:string>>")
+    more = F.when(free.isNull(), none).otherwise(F.transform(entries, other))
+    texts = F.transform(F.sort_array(F.concat(F.array(*known), more)), lambda e: e["text"])
+    return F.when(is_object, F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}")))
 
 
 def to_documents(tables: DataFrame, nested: DataFrame) -> DataFrame:
@@ -241,38 +354,21 @@ def to_documents(tables: DataFrame, nested: DataFrame) -> DataFrame:
     fields is to be written back; a very wide table gives several documents by ``part``, a table without
     facts one with empty lists.
     """
-
-    def entries(name: str) -> Column:
-        kind = nested.schema[name].dataType
-        known = [f for f in kind.elementType.names if f != "extra"]
-        if known == kind.elementType.names:
-            return F.coalesce(F.col(name), F.array().cast(kind)).alias(name)
-        written_back = F.transform(
-            name, lambda e: _with_others(F.struct(*[e[f].alias(f) for f in known]), e["extra"])
-        )
-        return F.coalesce(written_back, F.array().cast("array<variant>")).alias(name)
-
-    key = F.col("primary_key")
-    if "extra" in nested.schema["primary_key"].dataType.names:
-        bare = F.when(key.isNotNull(), F.struct(key["column_names"].alias("column_names")))
-        key = _with_others(bare, key["extra"])
-    description = F.struct(
-        F.col("instance").alias("instance_name"),
-        F.col("schema").alias("schema_name"),
-        F.col("table").alias("table_name"),
-        entries("columns"), key.alias("primary_key"), "sort_key",
-        *[entries(c) for c in ("foreign_keys", "indexes", "partitions")],
-    )
-    own = F.to_json(
+    ai = F.col("ai_documentation")
+    documented = F.when(ai.isNotNull(), _sorted(_joined(F.to_json(ai, _NULLS), F.to_json("ai_extra"))))
+    names = F.to_json(
         F.struct(
             metadata_key().alias("metadata_key"),
             *[F.col(k).alias(f"{k}_name") for k in m.K4],
             iso("updated_at").alias("updated_at"),
-            _with_others(description, F.to_json("description_extra")).alias("schema_description"),
-            _with_others(F.col("ai_documentation"), F.to_json("ai_extra")).alias("ai_documentation"),
         ),
-        {"ignoreNullFields": "false"},
+        _NULLS,
     )
+    own = F.concat(
+        names.substr(F.lit(2), F.length(names) - 2),
+        F.lit(',"schema_description":'), F.coalesce(_description(nested), F.lit("null")),
+        F.lit(',"ai_documentation":'), F.coalesce(documented, F.lit("null")), F.lit("}"),
+    )
     # Custom values are JSON text already, so they are written as they are.
     entries = F.transform(
         F.map_entries(F.coalesce("custom", F.create_map().cast("map<string,string>"))),
@@ -287,5 +383,5 @@ def to_documents(tables: DataFrame, nested: DataFrame) -> DataFrame:
     return tables.join(nested, m.K4, "left").select(
         *m.K4,
         F.coalesce("part", F.lit(0)).alias("part"),
-        F.concat(F.lit("{"), custom, own.substr(F.lit(2), F.lit(_REST))).alias("document"),
+        F.concat(F.lit("{"), custom, own).alias("document"),
     )

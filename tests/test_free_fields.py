@@ -145,3 +145,41 @@ def test_lists_of_odd_entries_and_documents_without_names(spark):
         ("index", "None", None, None, None), ("index", "x", None, None, '{"w":1}'),
         ("index", "None", 1, "a", None), ("index", "None", 2, None, None),
     ], key=repr)
+
+
+def test_documents_that_count_are_found_once_for_tables_and_facts(spark, monkeypatch):
+    names, real = [], documents.written
+    monkeypatch.setattr(documents, "written", lambda df, name: names.append(name) or real(df, name))
+    described = {**DOCUMENT["schema_description"], "table_name": "u"}
+    other = {**DOCUMENT, "table_name": "u", "metadata_key": "c::i::s::u", "schema_description": described}
+    older = {**DOCUMENT, "updated_at": "2023-01-01T00:00:00+00:00", "schema_description": {"columns": [{"name": "old"}]}}
+    current = documents.newest(texts(spark, older, DOCUMENT, other, DOCUMENT))
+    own = Store(documents.tables_of_documents(current), documents.facts_of_documents(current))
+    assert sorted(back(own), key=lambda d: d["table_name"]) == [DOCUMENT, other]
+    assert names == ["documents", "several", "newest"]
+    # Where no document comes twice, none is moved.
+    names.clear()
+    assert documents.newest(texts(spark, DOCUMENT, other)).documents.count() == 2 and names == ["documents", "several"]
+
+
+def test_only_entries_that_say_more_are_parsed_to_be_written(spark):
+    given = [column(n, i, extra=extra) for i, (n, extra) in enumerate([("a", None), ("b", '{"name":"twice"}'), ("c", '{"k":[1,null],"b":"x"}')])]
+    own = Store(tables(spark, ("t", {})), facts(spark, *[("t", "column", f) for f in given]))
+    entry = lambda n, more="", last="": f'{{{more}"comment":null,"data_type":"int","default_value":null,"description":null,"is_nullable":null,{last}"name":"{n}"}}'
+    documented = lambda described: documents.to_documents(own.tables, described).first().document
+    rest = '"foreign_keys":[],"indexes":[],"instance_name":"i","partitions":[],"primary_key":null,"schema_name":"s","sort_key":null,"table_name":"t"}'
+    want = ",".join([entry("a"), "null", entry("c", '"b":"x",', '"k":[1,null],')])
+    assert f'"schema_description":{{"columns":[{want}],{rest}' in documented(nest(own.facts, extra=True))
+    plain = documents.to_documents(own.tables, nest(own.facts))
+    assert f'"schema_description":{{"columns":[{",".join(map(entry, "abc"))}],{rest}' in plain.first().document
+    # Without free-form fields only the documentation is built from a variant.
+    assert str(plain._jdf.queryExecution().optimizedPlan()).count("parseJson") <= 1
+
+
+def test_free_fields_of_descriptions_stand_in_order(spark):
+    free = '{"zz":1,"a":{"y":null,"x":"q\\""},"é":[2],"name":"n"}'
+    for text, ends in ((free, ('{"a":{"x":"q\\"","y":null},"columns":[]', '"table_name":"t","zz":1,"é":[2]}')), ('{"columns":1}', None)):
+        own = Store(tables(spark, ("t", {})).withColumn("description_extra", F.parse_json(F.lit(text))), facts(spark))
+        (row,) = documents.to_documents(own.tables, nest(own.facts, extra=True)).collect()
+        described = row.document.split('"schema_description":')[1].rsplit(',"ai_documentation":', 1)[0]
+        assert described.startswith(ends[0]) and described.endswith(ends[1]) if ends else described == "null"
